@@ -281,11 +281,14 @@ def extract_group(pages: list[str | None]) -> list[str]:
     return [main_text(t, template) for t in trees]
 
 
-def extract(pages: DataFrame, chunk: int = 64, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+def extract(pages: DataFrame, chunk: int = 64, keep: tuple[str, ...] = ("page_id", "url"), broadcast_bytes: int = 32 << 20) -> DataFrame:
     """keep columns, text and n_chars for every row of pages."""
     rows = pages.select(*keep, F.col("html").alias("__html"), host_of(F.col("url")).alias("__host"))
-    counts = rows.groupBy("__host").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / chunk)).cast("int").alias("__chunks")).withColumnRenamed("__host", "__h")
-    dealt = rows.join(counts, F.col("__host") == F.col("__h")).withColumn("__chunk", F.pmod(F.xxhash64(keep[0], F.length("__html")), F.col("__chunks"))).drop("__h", "__chunks")
+    hot = rows.groupBy("__host").count().where(F.col("count") > chunk).select(F.col("__host").alias("__h"), F.ceil(F.col("count") / chunk).cast("int").alias("__chunks"))
+    size = hot.agg(F.coalesce(F.sum(F.length("__h") + 24), F.lit(0)).alias("b")).first().b
+    dealt = rows.join(F.broadcast(hot) if size <= broadcast_bytes else hot, F.col("__host") == F.col("__h"), "left")
+    dealt = dealt.withColumn("__chunk", F.pmod(F.xxhash64(keep[0], F.length("__html")), F.coalesce("__chunks", F.lit(1))))
+    dealt = dealt.withColumn("__group", F.xxhash64("__host", "__chunk")).drop("__h", "__chunks", "__chunk")
     schema = plus(pages.select(*keep), "text string, n_chars bigint")
 
     def run(t: pa.Table) -> pa.Table:
@@ -293,4 +296,4 @@ def extract(pages: DataFrame, chunk: int = 64, keep: tuple[str, ...] = ("page_id
         texts = extract_group(t.column("__html").to_pylist())
         return pa.table([*[t.column(c) for c in keep], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return dealt.groupBy("__host", "__chunk").applyInArrow(run, schema)
+    return dealt.groupBy("__group", "__host").applyInArrow(run, schema)
