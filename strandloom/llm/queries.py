@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import html_extract, toxicity, url_filter
+from strandloom.llm import html_extract, lm_score, packing, substring_dedup, token_store, toxicity, url_filter
 from strandloom.llm.common import table
 
 # The rules that op1 is asked for.
@@ -24,8 +24,31 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """tokenizer: path of the tokenizer's file, read by the driver."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    with open(tokenizer, encoding="utf-8") as f:
+        vocabulary = f.read()
+    return token_store.read(token_store.write(table(spark, sf_dir, "documents"), vocabulary))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_toxicity, op5_html_extraction)}
+    return {f.__name__: f for f in (op1_url_filters, op2_toxicity, op5_html_extraction, op6_token_output, op7_packing, op8_lm_scoring, op9_substring_dedup)}
 
 
 OP1_SQL = """
