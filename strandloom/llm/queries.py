@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import html_extract, lm_score, packing, substring_dedup, token_store, toxicity, url_filter
+from strandloom.llm import html_extract, lm_score, packing, spot_signatures, substring_dedup, token_store, toxicity, url_filter
 from strandloom.llm.common import table
 
 # The rules that op1 is asked for.
@@ -47,8 +47,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_signatures.edited_neighbours(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_toxicity, op5_html_extraction, op6_token_output, op7_packing, op8_lm_scoring, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_url_filters, op2_toxicity, op5_html_extraction, op6_token_output, op7_packing, op8_lm_scoring, op9_substring_dedup, op10_document_fingerprints)}
 
 
 OP1_SQL = """
