@@ -27,14 +27,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type as pa_type
 
 from strandloom.llm.common import byte_words, hash_words, mix, plus
 
 BASE = 0x9E3779B97F4A7C15
 CHUNK_WORDS, SLICE_ROWS = 2_000_000, 256
-HIT = np.dtype([("pos", "<u4"), ("source", "<i8"), ("source_text", "<i8"), ("source_pos", "<u4")])
+HIT = np.dtype([("pos", "<u4"), ("source", "<i8"), ("source_pos", "<u4")])
 
 
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
@@ -65,27 +67,26 @@ def _unplanes(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(d.itemsize, -1).T).view(d).ravel()
 
 
-def _spans_of(k_id, k_text, pos, s_id, s_text, s_pos):
+def _spans_of(k_id, k_text, pos, s_id, s_pos):
     """Rows (id, text hash, hits) from arrays of repeated windows."""
     order = np.lexsort((pos, k_text, k_id))
-    k_id, k_text, pos, s_id, s_text, s_pos = (a[order] for a in (k_id, k_text, pos, s_id, s_text, s_pos))
+    k_id, k_text, pos, s_id, s_pos = (a[order] for a in (k_id, k_text, pos, s_id, s_pos))
     cut = np.flatnonzero(np.r_[True, (k_id[1:] != k_id[:-1]) | (k_text[1:] != k_text[:-1])]) if len(pos) else np.empty(0, np.int64)
     blobs = []
     for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(pos)], strict=True):
-        blobs.append(b"".join([pos[a:b].astype("<u4").tobytes(), s_id[a:b].tobytes(), s_text[a:b].tobytes(), (s_pos[a:b].astype(np.int64) - pos[a:b]).astype("<i4").tobytes()]))
+        blobs.append(b"".join([pos[a:b].astype("<u4").tobytes(), s_id[a:b].astype("<i8").tobytes(), (s_pos[a:b].astype(np.int64) - pos[a:b]).astype("<i4").tobytes()]))
     return k_id[cut], k_text[cut], blobs
 
 
 def read_hits(blobs: list[bytes]) -> np.ndarray:
-    """pos, source, source_text, source_pos of a document's repeated windows, by pos."""
+    """pos, source, source_pos of a document's repeated windows, by pos."""
     parts = []
     for b in blobs:
-        n = len(b) // 24
+        n = len(b) // 16
         x = np.empty(n, HIT)
         x["pos"] = np.frombuffer(b, "<u4", n)
         x["source"] = np.frombuffer(b, "<i8", n, 4 * n)
-        x["source_text"] = np.frombuffer(b, "<i8", n, 12 * n)
-        x["source_pos"] = x["pos"] + np.frombuffer(b, "<i4", n, 20 * n)
+        x["source_pos"] = x["pos"] + np.frombuffer(b, "<i4", n, 12 * n)
         parts.append(x)
     return np.sort(np.concatenate(parts), order="pos", kind="stable") if parts else np.empty(0, HIT)
 
@@ -95,7 +96,7 @@ def factors(hits: np.ndarray, width: int) -> list[tuple[int, int, int, int]]:
     if not len(hits):
         return []
     pos, src = hits["pos"].astype(np.int64), hits["source_pos"].astype(np.int64)
-    on = (np.diff(pos) == 1) & (np.diff(src) == 1) & (np.diff(hits["source"]) == 0) & (np.diff(hits["source_text"]) == 0)
+    on = (np.diff(pos) == 1) & (np.diff(src) == 1) & (np.diff(hits["source"]) == 0)
     first = np.flatnonzero(np.r_[True, ~on])
     last = np.r_[first[1:], len(pos)] - 1
     return [(int(pos[a]), int(pos[b] - pos[a]) + width, int(hits["source"][a]), int(src[a])) for a, b in zip(first, last, strict=True)]
@@ -139,7 +140,7 @@ class _Chunk:
         d, o = doc(again), doc(of)
         twin = (ids[d] == ids[o]) & (texts[d] == texts[o]) & (again - starts[d] == of - starts[o])
         again, of, d, o = (a[~twin] for a in (again, of, d, o))
-        k_id, k_text, blobs = _spans_of(ids[d], texts[d], again - starts[d], ids[o], texts[o], of - starts[o])
+        k_id, k_text, blobs = _spans_of(ids[d], texts[d], again - starts[d], ids[o], of - starts[o])
         out = [(int(t) % self.ranges, 1, int(i), int(t), b) for i, t, b in zip(k_id, k_text, blobs, strict=True)]
         sent = np.sort(order[first])
         part = (h[sent] >> np.uint64(32)).astype(np.int64) % self.ranges
@@ -152,7 +153,7 @@ class _Chunk:
                 docs, counts = np.unique(d, return_counts=True)
                 gaps = np.diff(p, prepend=0).astype("<u4")
                 head = np.array([len(p), len(docs)], "<i8").tobytes()
-                table = ids[docs].tobytes() + texts[docs].tobytes() + starts[docs].astype("<i8").tobytes() + counts.astype("<i8").tobytes()
+                table = b"".join(_planes(np.diff(c, prepend=0).astype("<i8")) for c in (ids[docs], starts[docs])) + texts[docs].astype("<i4").tobytes() + _planes(counts.astype("<u4"))
                 out.append((r, 0, 0, 0, head + table + _planes(gaps) + h[p].tobytes()))
         return out
 
@@ -160,11 +161,13 @@ class _Chunk:
 def _windows(b: bytes):
     """hash, id, text hash and position of the windows in a kind-0 blob."""
     n, k = np.frombuffer(b, "<i8", 2).tolist()
-    table = np.frombuffer(b, "<i8", 4 * k, 16).reshape(4, k)
-    at = 16 + 32 * k
+    ids, starts = (np.cumsum(_unplanes(b[16 + 8 * k * i : 16 + 8 * k * (i + 1)], "<i8")) for i in (0, 1))
+    texts = np.frombuffer(b, "<i4", k, 16 + 16 * k).astype(np.int64)
+    counts = _unplanes(b[16 + 20 * k : 16 + 24 * k], "<u4")
+    at = 16 + 24 * k
     p = np.cumsum(_unplanes(b[at : at + 4 * n], "<u4").astype(np.int64))
     h = np.frombuffer(b, "<u8", n, at + 4 * n)
-    ids, texts, starts = (np.repeat(table[i], table[3]) for i in range(3))
+    ids, texts, starts = (np.repeat(x, counts) for x in (ids, texts, starts))
     return h, ids, texts, p - starts
 
 
@@ -187,18 +190,19 @@ def _repeats(blobs: list[bytes]):
     lead = np.maximum.accumulate(np.where(np.r_[True, group[1:] != group[:-1]], np.arange(len(group)), 0))
     hit = (ids != ids[lead]) | (texts != texts[lead]) | (pos != pos[lead])
     lead = lead[hit]
-    return ids[hit], texts[hit], pos[hit], ids[lead], texts[lead], pos[lead]
+    return ids[hit], texts[hit], pos[hit], ids[lead], pos[lead]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with the key of a document: __id (null ids last) and __th."""
-    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)), "__th": F.xxhash64("text")})
+    """docs with the key of a document: __id (null ids last) and __th, 32 bits
+    that tell apart texts of one id."""
+    return docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)), "__th": F.shiftright(F.xxhash64("text"), 32)})
 
 
 def repeated_windows(docs: DataFrame, width: int = 20, ranges: int | None = None) -> DataFrame:
-    """s_id, s_th, hits: the repeated windows of each document that has any."""
+    """s_id, s_th, __hits: the repeated windows of each document that has any."""
     spark = docs.sparkSession
-    ranges = ranges or max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def send(batches):
         def batch(rows):
@@ -235,7 +239,7 @@ def repeated_windows(docs: DataFrame, width: int = 20, ranges: int | None = None
     rows = keyed(docs.select("doc_id", "text")).select("__id", "__th", "text")
     sent = rows.mapInArrow(send, "range int, kind int, s_id bigint, s_th bigint, blob binary")
     settled = sent.groupBy("range").applyInArrow(settle, "s_id bigint, s_th bigint, hit binary")
-    return settled.groupBy("s_id", "s_th").agg(F.collect_list("hit").alias("hits"))
+    return settled.groupBy("s_id", "s_th").agg(F.collect_list("hit").alias("__hits"))
 
 
 def _kept(text: str | None, blobs: list[bytes] | None, width: int) -> tuple[list[bytes], int, list]:
@@ -252,21 +256,29 @@ def _kept(text: str | None, blobs: list[bytes] | None, width: int) -> tuple[list
 def _apply(docs: DataFrame, width: int, ranges: int | None, keep: list[str], ddl: str, row) -> DataFrame:
     """docs with their repeated windows, through row(text, hits) -> new columns."""
     hits = repeated_windows(docs, width, ranges)
-    base = keyed(docs)
-    joined = base.join(hits, (F.col("__id") == F.col("s_id")) & (F.col("__th") == F.col("s_th")), "left")
-    joined = joined.select(*keep, F.col("text").alias("__text"), F.col("hits").alias("__hits"))
+    fields = [f"__{i}" for i in range(len(keep))]  # the columns that stay, by place
+    base = keyed(docs).select("__id", "__th", *[F.col(c).alias(f) for c, f in zip(keep, fields, strict=True)], F.col("text").alias("__text"))
+
+    def pack(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            texts = [None if t is None else squeeze(t.encode("utf-8", "surrogatepass")) for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.binary())], b.schema.names)
+
+    packed = base.mapInArrow(pack, plus(base.drop("__text"), "__text binary"))  # what the join shuffles
+    joined = packed.join(hits, (F.col("__id") == F.col("s_id")) & (F.col("__th") == F.col("s_th")), "left").select(*fields, "__text", "__hits")
     schema = plus(docs.select(*keep), ddl)
 
     def run(batches):
+        expand = zstandard.ZstdDecompressor().decompress
+        plain = lambda t: None if t is None else expand(t).decode("utf-8", "surrogatepass")
         for b in batches:
             for at in range(0, b.num_rows, SLICE_ROWS):
                 s = b.slice(at, SLICE_ROWS)
-                new = [row(t, h) for t, h in zip(s.column(len(keep)).to_pylist(), s.column(len(keep) + 1).to_pylist(), strict=True)]
+                new = [row(plain(t), h) for t, h in zip(s.column(len(keep)).to_pylist(), s.column(len(keep) + 1).to_pylist(), strict=True)]
                 types = [pa_type(f.dataType) for f in schema.fields[len(keep) :]]
                 yield pa.RecordBatch.from_arrays([*[s.column(i) for i in range(len(keep))], *[pa.array([r[i] for r in new], t) for i, t in enumerate(types)]], schema.names)
 
-    from pyspark.sql.pandas.types import to_arrow_type as pa_type
-
     return joined.mapInArrow(run, schema)
 
 
