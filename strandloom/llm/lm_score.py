@@ -122,6 +122,16 @@ def _chunks(batches):
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
+def _pack_docs(ids: np.ndarray, ths: np.ndarray, out: np.ndarray) -> bytes:
+    """13 bytes for each document: id, text hash, held-out flag."""
+    return _planes(np.diff(ids, prepend=0).astype("<i8")) + ths.astype("<i4").tobytes() + out.astype("<u1").tobytes()
+
+
+def _unpack_docs(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    k = len(b) // 13
+    return np.cumsum(_unplanes(b[: 8 * k], "<i8")), np.frombuffer(b, "<i4", k, 8 * k).astype(np.int64), np.frombuffer(b, "<u1", k, 12 * k).astype(np.int64)
+
+
 def _by_range(part: np.ndarray, ranges: int):
     by = np.argsort(part.astype(np.int16) if ranges < 1 << 15 else part, kind="stable")
     cuts = np.searchsorted(part[by], np.arange(ranges + 1))
@@ -161,19 +171,19 @@ def _compare(sent, t: pa.Table) -> pa.Table:
     """Counts of a range's bigrams: the histogram for EM and, per task's documents,
     the occurrences that have others."""
     vocab: Vocabulary = sent
-    hs, ws, docs, tables, at = [], [], [], [], 0
+    hs, ws, docs, packed, out, at = [], [], [], [], [], 0
     for b in t.column("blob").to_pylist():
         n, k = np.frombuffer(b, "<i8", 2).tolist()
-        table = np.frombuffer(b, "<i8", 4 * k, 16).reshape(4, k)
-        off = 16 + 32 * k
+        packed.append(b[16 : 16 + 13 * k])
+        out.append(_unpack_docs(packed[-1])[2])
+        counts = _unplanes(b[16 + 13 * k : 16 + 17 * k], "<u4")
+        off = 16 + 17 * k
         hs.append(_unplanes(b[off : off + 4 * n], "<u4"))
         ws.append(_unplanes(b[off + 4 * n : off + 8 * n], "<u4"))
-        docs.append(np.repeat(np.arange(at, at + k), table[3]))
-        tables.append(table)
+        docs.append(np.repeat(np.arange(at, at + k), counts))
         at += k
-    h, w, doc = (np.concatenate(x) for x in (hs, ws, docs))
-    table = np.concatenate(tables, axis=1)
-    train = table[2][doc] == 0
+    h, w, doc, held = (np.concatenate(x) for x in (hs, ws, docs, out))
+    train = held[doc] == 0
     key = h.astype(np.uint64) << np.uint64(32) | w
     keys, of = np.unique(key, return_inverse=True)
     c2 = np.bincount(of, train, len(keys)).astype(np.int64)
@@ -185,25 +195,23 @@ def _compare(sent, t: pa.Table) -> pa.Table:
     histogram = np.bincount(bucket(ch[seen]) * CELLS + cell(p2 / p1), c2[seen], BUCKETS * CELLS)
     more = c2[of] - train >= 1
     used, of = np.unique(of[more], return_inverse=True)
-    bounds = np.cumsum([0, *[x.shape[1] for x in tables]])
     return pa.table({
         "histogram": pa.array([histogram.tobytes()], pa.binary()),
         "keys": pa.array([_planes(keys[used]) if len(used) else b""], pa.binary()),
         "c2": pa.array([c2[used].astype("<u4").tobytes()], pa.binary()),
         "of": pa.array([_planes(of.astype("<u4")) if len(of) else b""], pa.binary()),
         "doc": pa.array([_planes(doc[more].astype("<u4")) if len(of) else b""], pa.binary()),
-        "docs": pa.array([np.ascontiguousarray(table[:3]).tobytes()], pa.binary()),
-        "tasks": pa.array([bounds.astype("<i8").tobytes()], pa.binary()),
+        "docs": pa.array([packed], pa.list_(pa.binary())),
     })
 
 
-COMPARED = "histogram binary, keys binary, c2 binary, of binary, doc binary, docs binary, tasks binary"
+COMPARED = "histogram binary, keys binary, c2 binary, of binary, doc binary, docs array<binary>"
 
 
 def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_bytes: int = 96 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    ranges = ranges or max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = keyed(docs.select("doc_id", "text")).withColumn("held_out", (crc_mod5() == held).cast("int")).select("doc_id", "__id", "__th", "held_out", "text")
     counted = word_counts(rows, ranges)
     size = counted.agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
@@ -222,13 +230,14 @@ def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_b
             w = vocab.find(h)
             c = _bigrams(w, n, vocab.v + 1)
             doc = np.repeat(np.arange(len(n)), n)
+            docs = _pack_docs(ids, ths, out)
             known = np.flatnonzero((w != vocab.v) & (c != vocab.v))
             part = (mix(c[known].astype(np.uint64) << np.uint64(32) | w[known]) >> np.uint64(33)).astype(np.int64) % ranges
             for r, i in _by_range(part, ranges):
                 i = known[i]
                 count = np.bincount(doc[i], minlength=len(n))
-                table = np.stack([ids, ths, out, count]).astype("<i8")
-                blob = np.array([len(i), len(n)], "<i8").tobytes() + table.tobytes() + _planes(c[i]) + _planes(w[i])
+                head = np.array([len(i), len(n)], "<i8").tobytes()
+                blob = head + docs + _planes(count.astype("<u4")) + _planes(c[i]) + _planes(w[i])
                 yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "blob": pa.array([blob], pa.binary())})
 
     compared = stored(rows.mapInArrow(send, "range int, blob binary").groupBy("range").applyInArrow(lambda t: _compare(vocabulary(), t), COMPARED), "bigrams")
@@ -246,27 +255,29 @@ def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_b
         vocab = vocabulary()
         for b in batches:
             for r in b.to_pylist():
-                docs = np.frombuffer(r["docs"], "<i8").reshape(3, -1)
-                total = np.zeros(docs.shape[1])
+                held = np.concatenate([_unpack_docs(x)[2] for x in r["docs"]])
+                total = np.zeros(len(held))
                 if r["of"]:
                     keys = _unplanes(r["keys"], "<u8")
                     h, w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
                     full = np.log10(mixed(vocab, h, w, np.frombuffer(r["c2"], "<u4")))
                     own = np.stack([full - np.log10(mixed(vocab, h, w, 1)), full - np.log10(mixed(vocab, h, w, 0))])
                     doc = _unplanes(r["doc"], "<u4")
-                    total = np.bincount(doc, own[docs[2][doc], _unplanes(r["of"], "<u4")], docs.shape[1])
-                bounds = np.frombuffer(r["tasks"], "<i8")
-                for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    name = xxhash.xxh3_64_intdigest(np.ascontiguousarray(docs[:2, a:z]).tobytes()) >> 1
-                    yield pa.RecordBatch.from_pydict({"task": pa.array([name], pa.int64()), "docs": pa.array([np.ascontiguousarray(docs[:2, a:z]).tobytes()], pa.binary()), "sums": pa.array([total[a:z].tobytes()], pa.binary())})
+                    total = np.bincount(doc, own[held[doc], _unplanes(r["of"], "<u4")], len(held))
+                at = 0
+                for x in r["docs"]:
+                    k = len(x) // 13
+                    name = xxhash.xxh3_64_intdigest(x) >> 1
+                    yield pa.RecordBatch.from_pydict({"task": pa.array([name], pa.int64()), "docs": pa.array([x], pa.binary()), "sums": pa.array([total[at : at + k].tobytes()], pa.binary())})
+                    at += k
 
     def add(t: pa.Table) -> pa.Table:
-        docs = np.frombuffer(t.column("docs")[0].as_py(), "<i8").reshape(2, -1)
+        ids, ths, _ = _unpack_docs(t.column("docs")[0].as_py())
         sums = np.sum([np.frombuffer(b, "<f8") for b in t.column("sums").to_pylist()], axis=0)
-        return pa.table({"c_id": docs[0], "c_th": docs[1], "more": sums})
+        return pa.table({"c_id": ids, "c_th": ths, "more": sums})
 
     corrections = (
-        compared.select("keys", "c2", "of", "doc", "docs", "tasks")
+        compared.select("keys", "c2", "of", "doc", "docs")
         .mapInArrow(correct, "task bigint, docs binary, sums binary")
         .groupBy("task")
         .applyInArrow(add, "c_id bigint, c_th bigint, more double")
