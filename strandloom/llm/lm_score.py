@@ -34,29 +34,35 @@ from strandloom.llm.substring_dedup import _planes, _unplanes, keyed
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word has a line feed
 BUCKETS, CELLS = 40, 256  # cells of log2 of the ratio, a quarter each; cell 0: ratio 0
-CHUNK_WORDS, SLICE_ROWS = 2_000_000, 256
+CHUNK_WORDS, SLICE_ROWS = 1_500_000, 256
 
 
 class Vocabulary:
     """Word numbers, by falling count, and counts; number V is any other word and
     V + 1 the start of a document."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, starts: int):
-        self.v, self.n = len(hashes), int(counts.sum())
-        number = np.empty(self.v, np.uint32)
-        number[np.lexsort((hashes, -counts.astype(np.int64)))] = np.arange(self.v, dtype=np.uint32)
+    def __init__(self, hashes: np.ndarray, number: np.ndarray, counts: np.ndarray):
+        """hashes: sorted, with their numbers; counts: by number, with V and V + 1."""
+        self.hashes, self.number, self.counts = hashes, number, counts
+        self.v, self.n = len(hashes), int(counts[: len(hashes)].sum(dtype=np.int64))
+        self.bits = max(1, min(24, int(self.v).bit_length() - 2))
+        self.first = np.r_[np.searchsorted(hashes, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)), self.v].astype(np.int32)
+
+    @staticmethod
+    def arrays(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What __init__ takes, from words and their counts in any order."""
+        number = np.empty(len(hashes), np.uint32)
+        number[np.lexsort((hashes, -counts))] = np.arange(len(hashes), dtype=np.uint32)
+        by_number = np.zeros(len(hashes) + 2, np.int64)
+        by_number[number] = counts
+        by_number[len(hashes) + 1] = counts[hashes == END].sum()  # documents
         order = np.argsort(hashes)
-        self.hashes, self.number = hashes[order], number[order]
-        self.counts = np.zeros(self.v + 2, np.int64)
-        self.counts[number] = counts
-        self.counts[self.v + 1] = starts
-        self.bits = max(1, min(24, int(self.v).bit_length()))
-        self.first = np.searchsorted(self.hashes, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int64)
-        self.first = np.r_[self.first, self.v]
+        return hashes[order], number[order], by_number.astype(np.uint32) if by_number.max() < 1 << 32 else by_number
 
     def find(self, h: np.ndarray) -> np.ndarray:
         cell = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         at, stop = self.first[cell], self.first[cell + 1]
+        del cell
         out = np.full(len(h), self.v, np.uint32)
         todo = np.flatnonzero(at < stop)
         while len(todo):
@@ -68,8 +74,8 @@ class Vocabulary:
             todo = todo[at[todo] < stop[todo]]
         return out
 
-    def base(self) -> np.ndarray:
-        return (np.r_[self.counts[: self.v], 0] + 0.5) / (self.n + 0.5 * (self.v + 1))
+    def base(self, w: np.ndarray) -> np.ndarray:
+        return (self.counts[w] + 0.5) / (self.n + 0.5 * (self.v + 1))
 
 
 def bucket(count: np.ndarray) -> np.ndarray:
@@ -180,15 +186,17 @@ def _compare(sent, t: pa.Table) -> pa.Table:
         off = 16 + 17 * k
         hs.append(_unplanes(b[off : off + 4 * n], "<u4"))
         ws.append(_unplanes(b[off + 4 * n : off + 8 * n], "<u4"))
-        docs.append(np.repeat(np.arange(at, at + k), counts))
+        docs.append(np.repeat(np.arange(at, at + k, dtype=np.uint32), counts))
         at += k
     h, w, doc, held = (np.concatenate(x) for x in (hs, ws, docs, out))
     train = held[doc] == 0
+    del hs, ws, docs
     key = h.astype(np.uint64) << np.uint64(32) | w
+    del h, w
     keys, of = np.unique(key, return_inverse=True)
     c2 = np.bincount(of, train, len(keys)).astype(np.int64)
     kh, kw = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    ch, cw = vocab.counts[kh], vocab.counts[kw]
+    ch, cw = vocab.counts[kh].astype(np.int64), vocab.counts[kw].astype(np.int64)
     seen = c2 > 0
     p2 = (c2[seen] - 1) / np.maximum(1, ch[seen] - 1)
     p1 = (cw[seen] - 0.5) / (vocab.n - 1 + 0.5 * (vocab.v + 1))
@@ -211,7 +219,7 @@ COMPARED = "histogram binary, keys binary, c2 binary, of binary, doc binary, doc
 def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_bytes: int = 96 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = keyed(docs.select("doc_id", "text")).withColumn("held_out", (crc_mod5() == held).cast("int")).select("doc_id", "__id", "__th", "held_out", "text")
     counted = word_counts(rows, ranges)
     size = counted.agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
@@ -220,8 +228,8 @@ def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_b
     parts = counted.select("words", "counts").collect()  # at most broadcast_bytes
     words = np.concatenate([np.frombuffer(p.words, "<u8") for p in parts] or [np.empty(0, np.uint64)])
     counts = np.concatenate([np.frombuffer(p.counts, "<i8") for p in parts] or [np.empty(0, np.int64)])
-    starts = int(counts[words == END].sum())
-    sent = spark.sparkContext.broadcast((words, counts, starts))
+    sent = spark.sparkContext.broadcast(Vocabulary.arrays(words, counts))
+    del parts, words, counts
     vocabulary = lambda: Vocabulary(*sent.value)
 
     def send(batches):
@@ -229,7 +237,8 @@ def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_b
         for ids, ths, out, h, n in _chunks(batches):
             w = vocab.find(h)
             c = _bigrams(w, n, vocab.v + 1)
-            doc = np.repeat(np.arange(len(n)), n)
+            doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)
+            del h
             docs = _pack_docs(ids, ths, out)
             known = np.flatnonzero((w != vocab.v) & (c != vocab.v))
             part = (mix(c[known].astype(np.uint64) << np.uint64(32) | w[known]) >> np.uint64(33)).astype(np.int64) % ranges
@@ -247,7 +256,7 @@ def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_b
     weights = learn(histogram.reshape(BUCKETS, CELLS))
 
     def mixed(vocab, h, w, c2):
-        ch, p1 = vocab.counts[h], vocab.base()[w]
+        ch, p1 = vocab.counts[h], vocab.base(w)
         lam = np.where(ch > 0, weights[bucket(ch)], 0.0)
         return lam * c2 / np.maximum(ch, 1) + (1 - lam) * p1
 
@@ -287,7 +296,6 @@ def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_b
 
     def own(batches):
         vocab = vocabulary()
-        logs = np.log10(vocab.base())
         for b in batches:
             for at in range(0, b.num_rows, SLICE_ROWS):
                 s = b.slice(at, SLICE_ROWS)
@@ -297,7 +305,7 @@ def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_b
                 train = np.repeat(np.array(s.column("held_out")) == 0, n)
                 p = np.log10(mixed(vocab, c.astype(np.int64), w.astype(np.int64), train.astype(np.float64)))
                 first = np.cumsum(n) - n
-                sums = [np.add.reduceat(x, first) for x in ((vocab.counts[w] > 0).astype(np.int64), logs[w], p)]
+                sums = [np.add.reduceat(x, first) for x in ((vocab.counts[w] > 0).astype(np.int64), np.log10(vocab.base(w)), p)]
                 yield pa.RecordBatch.from_arrays(
                     [s.column("doc_id"), s.column("__id"), s.column("__th"), pa.array(np.array(s.column("held_out")) == 1), pa.array(n), pa.array(sums[0]), pa.array([vocab.n] * len(n), pa.int64()), pa.array(sums[1]), pa.array(sums[2])],
                     ["doc_id", "__id", "__th", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "own"],

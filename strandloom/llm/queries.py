@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import html_extract, lm_score, packing, set_join, spot_signatures, substring_dedup, token_store, toxicity, url_filter
+from strandloom.llm import decontaminate, html_extract, lm_score, packing, set_join, spot_signatures, substring_dedup, token_store, toxicity, url_filter
 from strandloom.llm.common import table
 
 # The rules that op1 is asked for.
@@ -24,6 +24,11 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.near_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the benchmark items that it holds."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -56,7 +61,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_toxicity, op3_ngram_jaccard_join, op5_html_extraction, op6_token_output, op7_packing, op8_lm_scoring, op9_substring_dedup, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op1_url_filters, op2_toxicity, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_html_extraction, op6_token_output, op7_packing, op8_lm_scoring, op9_substring_dedup, op10_document_fingerprints)}
 
 
 OP1_SQL = """
