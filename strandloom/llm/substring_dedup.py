@@ -67,28 +67,31 @@ def _unplanes(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(d.itemsize, -1).T).view(d).ravel()
 
 
-def _spans_of(k_id, k_text, pos, s_id, s_pos):
-    """Rows (id, text hash, hits) from arrays of repeated windows."""
-    order = np.lexsort((pos, k_text, k_id))
-    k_id, k_text, pos, s_id, s_pos = (a[order] for a in (k_id, k_text, pos, s_id, s_pos))
-    cut = np.flatnonzero(np.r_[True, (k_id[1:] != k_id[:-1]) | (k_text[1:] != k_text[:-1])]) if len(pos) else np.empty(0, np.int64)
-    blobs = []
-    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(pos)], strict=True):
-        blobs.append(b"".join([pos[a:b].astype("<u4").tobytes(), s_id[a:b].astype("<i8").tobytes(), (s_pos[a:b].astype(np.int64) - pos[a:b]).astype("<i4").tobytes()]))
-    return k_id[cut], k_text[cut], blobs
-
-
-def read_hits(blobs: list[bytes]) -> np.ndarray:
+HITS = ("<i8", "<i4", "<u4", "<i8", "<i4")  # id, text hash, position, source, shift to its position
+
+
+def _pack_hits(k_id, k_text, pos, s_id, s_pos, buckets: int):
+    """(bucket of the document, blob) of repeated windows."""
+    cols = [np.asarray(c).astype(t) for c, t in zip((k_id, k_text, pos, s_id, np.asarray(s_pos, np.int64) - pos), HITS, strict=True)]
+    at = (mix(cols[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((cols[2], cols[1], cols[0], at))
+    cols, at = [c[order] for c in cols], at[order]
+    cuts = np.searchsorted(at, np.arange(buckets + 1))
+    return [(r, b"".join(_planes(c[cuts[r] : cuts[r + 1]]) for c in cols)) for r in range(buckets) if cuts[r + 1] > cuts[r]]
+
+
+def _unpack_hits(b: bytes) -> list[np.ndarray]:
+    n, at, out = len(b) // 28, 0, []
+    for t in HITS:
+        size = np.dtype(t).itemsize * n
+        out.append(_unplanes(b[at : at + size], t))
+        at += size
+    return out
+
+
+def read_hits(b: bytes | None) -> np.ndarray:
     """pos, source, source_pos of a document's repeated windows, by pos."""
-    parts = []
-    for b in blobs:
-        n = len(b) // 16
-        x = np.empty(n, HIT)
-        x["pos"] = np.frombuffer(b, "<u4", n)
-        x["source"] = np.frombuffer(b, "<i8", n, 4 * n)
-        x["source_pos"] = x["pos"] + np.frombuffer(b, "<i4", n, 12 * n)
-        parts.append(x)
-    return np.sort(np.concatenate(parts), order="pos", kind="stable") if parts else np.empty(0, HIT)
+    return np.frombuffer(b, HIT) if b else np.empty(0, HIT)
 
 
 def factors(hits: np.ndarray, width: int) -> list[tuple[int, int, int, int]]:
@@ -120,7 +123,8 @@ class _Chunk:
             self.words += len(h)
 
     def send(self):
-        """(range, kind, id, text hash, blob): kind 0 windows, kind 1 settled repeats."""
+        """(range, kind, blob): kind 0 windows, kind 1 settled repeats of documents
+        whose bucket has the range's number."""
         if not self.rows:
             return None
         self.rows.sort(key=lambda r: r[:2])
@@ -140,8 +144,7 @@ class _Chunk:
         d, o = doc(again), doc(of)
         twin = (ids[d] == ids[o]) & (texts[d] == texts[o]) & (again - starts[d] == of - starts[o])
         again, of, d, o = (a[~twin] for a in (again, of, d, o))
-        k_id, k_text, blobs = _spans_of(ids[d], texts[d], again - starts[d], ids[o], of - starts[o])
-        out = [(int(t) % self.ranges, 1, int(i), int(t), b) for i, t, b in zip(k_id, k_text, blobs, strict=True)]
+        out = [(r, 1, b) for r, b in _pack_hits(ids[d], texts[d], again - starts[d], ids[o], of - starts[o], self.ranges)] if len(d) else []
         sent = np.sort(order[first])
         part = (h[sent] >> np.uint64(32)).astype(np.int64) % self.ranges
         by = np.argsort(part, kind="stable")
@@ -154,7 +157,7 @@ class _Chunk:
                 gaps = np.diff(p, prepend=0).astype("<u4")
                 head = np.array([len(p), len(docs)], "<i8").tobytes()
                 table = b"".join(_planes(np.diff(c, prepend=0).astype("<i8")) for c in (ids[docs], starts[docs])) + texts[docs].astype("<i4").tobytes() + _planes(counts.astype("<u4"))
-                out.append((r, 0, 0, 0, head + table + _planes(gaps) + h[p].tobytes()))
+                out.append((r, 0, head + table + _planes(gaps) + h[p].tobytes()))
         return out
 
 
@@ -200,15 +203,14 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, width: int = 20, ranges: int | None = None) -> DataFrame:
-    """s_id, s_th, __hits: the repeated windows of each document that has any."""
+    """s_id, s_th, hits: the repeated windows of each document that has any."""
     spark = docs.sparkSession
     ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def send(batches):
         def batch(rows):
             cols = list(zip(*rows, strict=True))
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["range", "kind", "s_id", "s_th", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["range", "kind", "blob"])
 
         chunk = _Chunk(width, ranges)
         for b in batches:
@@ -221,30 +223,32 @@ def repeated_windows(docs: DataFrame, width: int = 20, ranges: int | None = None
             yield batch(rows)
 
     def settle(t: pa.Table) -> pa.Table:
-        kind = np.array(t.column("kind"))
-        blobs = t.column("blob").to_pylist()
-        ids, ths, hits = [], [], []
-        for i in np.flatnonzero(kind == 1).tolist():
-            ids.append(t.column("s_id")[i].as_py())
-            ths.append(t.column("s_th")[i].as_py())
-            hits.append(blobs[i])
+        r, kind, blobs = t.column("range")[0].as_py(), np.array(t.column("kind")), t.column("blob").to_pylist()
+        out = [(r, b) for b, k in zip(blobs, kind, strict=True) if k == 1]
         found = _repeats([b for b, k in zip(blobs, kind, strict=True) if k == 0]) if (kind == 0).any() else None
         if found:
-            k_id, k_text, more = _spans_of(*found)
-            ids += k_id.tolist()
-            ths += k_text.tolist()
-            hits += more
-        return pa.table([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(hits, pa.binary())], names=["s_id", "s_th", "hit"])
+            out += _pack_hits(*found, ranges)
+        return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])
+
+    def gather(t: pa.Table) -> pa.Table:
+        cols = [np.concatenate(c) for c in zip(*map(_unpack_hits, t.column("blob").to_pylist()), strict=True)]
+        order = np.lexsort((cols[2], cols[1], cols[0]))
+        k_id, k_text, pos, source, shift = (c[order] for c in cols)
+        hits = np.empty(len(pos), HIT)
+        hits["pos"], hits["source"], hits["source_pos"] = pos, source, pos + shift.astype(np.int64)
+        cut = np.flatnonzero(np.r_[True, (k_id[1:] != k_id[:-1]) | (k_text[1:] != k_text[:-1])])
+        blobs = [hits[a:b].tobytes() for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(pos)], strict=True)]
+        return pa.table({"s_id": k_id[cut], "s_th": k_text[cut].astype(np.int64), "__hits": pa.array(blobs, pa.binary())})
 
     rows = keyed(docs.select("doc_id", "text")).select("__id", "__th", "text")
-    sent = rows.mapInArrow(send, "range int, kind int, s_id bigint, s_th bigint, blob binary")
-    settled = sent.groupBy("range").applyInArrow(settle, "s_id bigint, s_th bigint, hit binary")
-    return settled.groupBy("s_id", "s_th").agg(F.collect_list("hit").alias("__hits"))
+    sent = rows.mapInArrow(send, "range int, kind int, blob binary")
+    settled = sent.groupBy("range").applyInArrow(settle, "bucket int, blob binary")
+    return settled.groupBy("bucket").applyInArrow(gather, "s_id bigint, s_th bigint, __hits binary")
 
 
-def _kept(text: str | None, blobs: list[bytes] | None, width: int) -> tuple[list[bytes], int, list]:
+def _kept(text: str | None, hits: bytes | None, width: int) -> tuple[list[bytes], int, list]:
     words = byte_words(text)
-    parse = factors(read_hits(blobs), width) if blobs else []
+    parse = factors(read_hits(hits), width) if hits else []
     if not parse:
         return words, len(words), parse
     keep = np.ones(len(words), bool)
