@@ -35,6 +35,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows from now on: texts and token sets are
+    wide, and a Python worker holds a whole batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def plus(df: DataFrame, ddl: str) -> T.StructType:
     """The schema of df with more fields."""
     return T.StructType(df.schema.fields + T.StructType.fromDDL(ddl).fields)

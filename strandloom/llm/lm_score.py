@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import byte_words, crc_mod5, hash_words, mix, stored
+from strandloom.llm.common import byte_words, crc_mod5, hash_words, mix, small_batches, stored
 from strandloom.llm.substring_dedup import _planes, _unplanes, keyed
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word has a line feed
@@ -219,6 +219,7 @@ COMPARED = "histogram binary, keys binary, c2 binary, of binary, doc binary, doc
 def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_bytes: int = 96 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
+    small_batches(spark)
     ranges = ranges or max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = keyed(docs.select("doc_id", "text")).withColumn("held_out", (crc_mod5() == held).cast("int")).select("doc_id", "__id", "__th", "held_out", "text")
     counted = word_counts(rows, ranges)

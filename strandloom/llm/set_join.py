@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import byte_words, hash_words, mix, shingle_hashes, stored
+from strandloom.llm.common import byte_words, hash_words, mix, shingle_hashes, small_batches, stored
 from strandloom.llm.components import components
 from strandloom.llm.substring_dedup import _planes, _unplanes
 
@@ -44,14 +44,22 @@ SETS = "doc_id bigint, th bigint, s1 bigint, s2 bigint, n int, bands array<bigin
 
 
 def token_set(text: str | None, k: int) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
+    """The sorted distinct shingle hashes (56 bits) of a text."""
     words = byte_words(text, lower=True)
     if not words:
         return np.empty(0, np.uint64)
     h = hash_words(words)
     if len(h) < k:
-        return mix(np.array([xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h))], np.uint64))
-    return np.unique(shingle_hashes(h, k))
+        return np.array([xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h))], np.uint64) >> np.uint64(8)
+    return np.unique(shingle_hashes(h, k) >> np.uint64(8))
+
+
+def pack_set(tokens: np.ndarray) -> bytes:
+    return _planes(np.diff(tokens, prepend=np.uint64(0))) if len(tokens) else b""
+
+
+def unpack_set(b: bytes) -> np.ndarray:
+    return np.cumsum(_unplanes(b, "<u8"), dtype=np.uint64) if b else np.empty(0, np.uint64)
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
@@ -131,7 +139,7 @@ def set_rows(ids, hashes, sets: list[np.ndarray], seed: int) -> pa.RecordBatch:
     maps = np.stack([parity(x) for x in sets]) if sets else np.empty((0, WORDS), np.int64)
     cols = [ids, hashes, pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array([len(x) for x in sets], pa.int32())]
     cols += [pa.array([band_keys(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))]
-    cols += [pa.array(maps[:, i]) for i in range(WORDS)] + [pa.array([x.tobytes() for x in sets], pa.binary())]
+    cols += [pa.array(maps[:, i]) for i in range(WORDS)] + [pa.array([pack_set(x) for x in sets], pa.binary())]
     return pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "s1", "s2", "n", "bands", *[f"w{i}" for i in range(WORDS)], "tokens"])
 
 
@@ -141,49 +149,50 @@ def _sized(df: DataFrame, width: int, limit: int) -> DataFrame:
 
 
 def _leaders(rows: DataFrame, percent: int) -> DataFrame:
-    """x, leader (itself for a leader) and band of each set in rows(band, salt, s1,
+    """x, leader (itself for a leader) and group of each set in rows(group, salt, s1,
     tokens); streams over sorted rows and holds LEADERS sets."""
 
     def run(batches):
         key, held = None, []
         for b in batches:
             out = []
-            for band, salt, s1, tokens in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if key != (band, salt):
-                    key, held = (band, salt), []
-                x = np.frombuffer(tokens, np.uint64)
+            for group, salt, s1, tokens in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if key != (group, salt):
+                    key, held = (group, salt), []
+                x = unpack_set(tokens)
                 lead = next((s for s, y in held if s == s1 or linked(x, y, percent)), None)
                 if lead is None and len(held) < LEADERS:
                     held.append((s1, x))
                     lead = s1
                 if lead is not None:
-                    out.append((s1, lead, band))
+                    out.append((s1, lead, group))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["x", "leader", "band"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["x", "leader", "group"])
 
-    dealt = rows.select("band", "salt", "s1", "tokens").repartition("band", "salt").sortWithinPartitions("band", "salt", "s1")
-    return dealt.mapInArrow(run, "x bigint, leader bigint, band bigint")
+    dealt = rows.select("group", "salt", "s1", "tokens").repartition("group", "salt").sortWithinPartitions("group", "salt", "s1")
+    return dealt.mapInArrow(run, "x bigint, leader bigint, group bigint")
 
 
 def near_groups(sets: DataFrame, nodes: DataFrame, percent: int, limit: int) -> DataFrame:
-    """Exact links x - leader among sets that share a band."""
+    """Exact links x - leader among sets that share a band. Bands whose smallest set
+    is the same are one group, so a set is sent once for most of its bands."""
     bands = nodes.where("n > 0").select("s1", "rep", F.explode("bands").alias("band"))
-    sizes = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    bands = stored(bands.join(sizes, "band").select("band", "s1", "rep", "size"), "bands")
-    wanted = bands.select("s1", "rep").distinct()
-    held = stored(_fetch(sets, wanted, limit).dropDuplicates(["s1"]), "members")
-    salted = F.when(F.col("size") > BAND_ROWS, F.pmod(F.xxhash64("s1", "band"), F.ceil(F.col("size") / BAND_ROWS))).otherwise(0).cast("int")
-    first = stored(_leaders(bands.withColumn("salt", salted).join(held, "s1"), percent), "leaders")
-    again = first.where("x = leader").select(F.col("x").alias("s1"), "band").join(bands.where(F.col("size") > BAND_ROWS).select("band").distinct(), "band")
-    second = _leaders(again.withColumn("salt", F.lit(0)).join(held, "s1"), percent)
-    return first.union(second).where("x != leader").select(F.col("x").alias("u"), F.col("leader").alias("v"))
+    heads = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("s1").alias("group")).where("size > 1")
+    members = bands.join(heads, "band").groupBy("group", "s1").agg(F.min("rep").alias("rep"))
+    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / BAND_ROWS).cast("int").alias("salts"))
+    members = stored(members.join(sizes, "group").withColumn("salt", F.pmod(F.xxhash64("s1", "group"), F.col("salts")).cast("int")), "bands")
+    first = stored(_leaders(_fetch(sets, members, limit, "group", "salt"), percent), "leaders")
+    wide = members.where("salts > 1")
+    again = first.where("x = leader").select(F.col("x").alias("s1"), "group").distinct().join(wide.select("group", "s1", "rep"), ["group", "s1"])
+    second = _leaders(_fetch(sets, again.withColumn("salt", F.lit(0)), limit, "group", "salt"), percent)
+    return first.union(second).where("x != leader").select(F.col("x").alias("u"), F.col("leader").alias("v")).distinct()
 
 
-def _fetch(sets: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
-    """s1, tokens of the representatives in wanted(s1, rep)."""
-    w = wanted.select(F.col("s1").alias("f1"), F.col("rep").alias("f_rep"))
-    w = _sized(w, 24, limit)
-    return sets.join(w, (F.col("s1") == F.col("f1")) & (F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("f_rep"))).select("s1", "tokens")
+def _fetch(sets: DataFrame, wanted: DataFrame, limit: int, *more: str) -> DataFrame:
+    """s1, tokens of the representatives in wanted(s1, rep), and its more columns."""
+    w = wanted.select(F.col("s1").alias("f1"), F.col("rep").alias("f_rep"), *more)
+    w = _sized(w, 40, limit)
+    return sets.join(w, (F.col("s1") == F.col("f1")) & (F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("f_rep"))).select("s1", "tokens", *more)
 
 
 def hot_tokens(sets: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +208,7 @@ def hot_tokens(sets: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                held.append(np.frombuffer(t, np.uint64))
+                held.append(unpack_set(t))
                 n += len(held[-1])
                 if n >= CHUNK_TOKENS:
                     yield send()
@@ -244,8 +253,8 @@ def _send_short_lists(rarity_state, ranges: int, percent: int):
                 if s1 in seen:
                     continue
                 seen.add(s1)
-                x = np.frombuffer(t, np.uint64)
-                held.append((s1, label, len(x), rarity.order(x)[: prefix_length(len(x), percent)]))
+                x = unpack_set(t)
+                held.append((s1, label, len(x), rarity.order(x)[: prefix_length(len(x), percent)].copy()))
                 n += len(held[-1][3])
                 if n >= CHUNK_TOKENS // 4:
                     yield from send()
@@ -323,24 +332,31 @@ def exact_links(sets: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: in
     most = F.floor((F.col("a_n") + F.col("b_n") - apart) / 2)
     left = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * most >= percent * (F.col("a_n") + F.col("b_n") - most)).select("a", "a_rep", "b", "b_rep")
     left = stored(left, "candidates")
-    wanted = left.select(F.col("a").alias("s1"), F.col("a_rep").alias("rep")).union(left.select("b", "b_rep")).distinct()
-    held = stored(_fetch(sets, wanted, limit).dropDuplicates(["s1"]), "probed")
-    both = left.join(held.select(F.col("s1").alias("a"), F.col("tokens").alias("ta")), "a").join(held.select(F.col("s1").alias("b"), F.col("tokens").alias("tb")), "b")
+    # each partner's set goes to its pair's first set, which is sent once
+    first = _fetch(sets, left.select(F.col("a").alias("s1"), F.col("a_rep").alias("rep")).distinct(), limit).select(F.col("s1").alias("a"), F.lit(None).cast("bigint").alias("b"), "tokens")
+    partners = _fetch(sets, left.select(F.col("b").alias("s1"), F.col("b_rep").alias("rep"), "a"), limit, "a").select("a", F.col("s1").alias("b"), "tokens")
 
     def probe(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, SLICE_ROWS):
-                s = b.slice(at, SLICE_ROWS)
-                ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(s.column(2).to_pylist(), s.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([s.column(i).filter(pa.array(ok, pa.bool_())) for i in range(2)], ["u", "v"])
+        key, x = None, None
+        for batch in batches:
+            out = []
+            for a, b, tokens in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if b is None:
+                    key, x = a, unpack_set(tokens)
+                elif key == a and linked(x, unpack_set(tokens), percent):
+                    out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["u", "v"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(probe, "u bigint, v bigint")
+    both = first.union(partners).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    return both.mapInArrow(probe, "u bigint, v bigint").distinct()
 
 
 def join_sets(sets: DataFrame, percent: int, hot: int = 1 << 20, ranges: int | None = None, limit: int = 32 << 20) -> DataFrame | None:
     """doc_id, th, n_shingles, label, component_id of every row of sets; None if
     two different sets share s1."""
     spark = sets.sparkSession
+    small_batches(spark)
     ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rep = F.coalesce("doc_id", F.lit(2**63 - 1))
     firsts = [F.first(c).alias(c) for c in ("n", "bands", *[f"w{i}" for i in range(WORDS)])]
@@ -360,6 +376,7 @@ def join_sets(sets: DataFrame, percent: int, hot: int = 1 << 20, ranges: int | N
 
 def grouped(docs: DataFrame, k: int, percent: int, **how) -> DataFrame:
     """doc_id, hash of the text, n_shingles, label of its group, component_id."""
+    small_batches(docs.sparkSession)
     for seed in range(8):
         out = join_sets(text_sets(docs, k, seed), percent, **how)
         if out is not None:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type as pa_type
 
-from strandloom.llm.common import byte_words, hash_words, mix, plus
+from strandloom.llm.common import byte_words, hash_words, mix, plus, small_batches
 
 BASE = 0x9E3779B97F4A7C15
 CHUNK_WORDS, SLICE_ROWS = 2_000_000, 256
@@ -205,6 +205,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame, width: int = 20, ranges: int | None = None) -> DataFrame:
     """s_id, s_th, hits: the repeated windows of each document that has any."""
     spark = docs.sparkSession
+    small_batches(spark)
     ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def send(batches):
