@@ -34,7 +34,7 @@ from strandloom.llm.substring_dedup import _planes, _unplanes, keyed
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word has a line feed
 BUCKETS, CELLS = 40, 256  # cells of log2 of the ratio, a quarter each; cell 0: ratio 0
-CHUNK_WORDS, SLICE_ROWS = 1_500_000, 256
+CHUNK_WORDS, SLICE_ROWS = 500_000, 256
 
 
 class Vocabulary:
