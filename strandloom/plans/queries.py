@@ -359,3 +359,179 @@ def seq_orfs(spark, d):
 def seq_iupac_hamming(spark, d):
     s = views.sequences(spark, d)
     return s.select("doc_id", Q.iupac_hamming(F.substring("seq", 1, 40), F.substring("seq", 41, 40)).alias("distance"))
+
+
+# --- formats: what is written and read again ------------------------------------------------
+
+
+def _full_reads(spark, d) -> DataFrame:
+    rows = views.reads(spark, d)
+    blank = F.expr("cast(array() as array<boolean>)")
+    return rows.withColumns({"chrom": F.col("chrom").cast("string"), "source": F.col("source").cast("string"), "splice": blank, "condensed": F.lit(False), "s_weight": F.lit(0.0), "e_weight": F.lit(0.0)})
+
+
+_READ_ROWS = f"""WITH {views.READS} SELECT CAST(chrom AS VARCHAR) AS chrom, CAST("left" AS BIGINT) AS "left", CAST("right" AS BIGINT) AS "right", CAST(strand AS BIGINT) AS strand, s_tag, e_tag, capped, CAST(source AS VARCHAR) AS source, weight FROM v_reads"""
+
+
+def _read_rows(df: DataFrame) -> DataFrame:
+    return longs(df.select("chrom", "left", "right", "strand", "s_tag", "e_tag", "capped", "source", "weight"), "left", "right", "strand")
+
+
+@query(_READ_ROWS)
+def elr_round_trip(spark, d):
+    from strandloom.sources import elr
+
+    return _read_rows(elr.parse(elr.lines(_full_reads(spark, d))))
+
+
+@query(_READ_ROWS)
+def bed_round_trip(spark, d):
+    from strandloom.sources import tables
+
+    return _read_rows(tables.parse_bed(tables.bed_lines(_full_reads(spark, d))))
+
+
+@query(f"""WITH {views.READS} SELECT CAST(chrom AS VARCHAR) AS chrom, CAST("left" AS BIGINT) AS "left", CAST("right" AS BIGINT) AS "right", weight FROM v_reads WHERE chrom = 7 AND "left" < 30000 AND "right" > 10000""")
+def elr_subset(spark, d):
+    from strandloom.sources import elr
+
+    return longs(elr.subset(_full_reads(spark, d), "7:10000-30000").select("chrom", "left", "right", "weight"), "left", "right")
+
+
+@query(f"""WITH {views.MULTI} SELECT CAST("row" AS VARCHAR) AS transcript_id, CAST(gene_id AS VARCHAR) AS gene_id, CAST(chrom AS VARCHAR) AS chrom, CAST(strand AS BIGINT) AS strand, CAST("left" AS BIGINT) AS "left", CAST("right" AS BIGINT) AS "right", CAST(bases AS BIGINT) AS bases, n_blocks FROM v_multi""")
+def gtf_round_trip(spark, d):
+    from strandloom.sources import tables
+
+    rows = views.multi(spark, d)
+    tr = rows.select(F.col("row").cast("string").alias("transcript_id"), F.col("gene_id").cast("string"), F.col("chrom").cast("string"), "strand", "ranges", "left", "right", F.expr("cast(map() as map<string,string>)").alias("attributes"))
+    back = tables.transcripts(tables.parse_annotation(tables.annotation_lines(tr).select("value")))
+    r = F.col("ranges")
+    return longs(back.select("transcript_id", "gene_id", "chrom", "strand", "left", "right", intervals.covered_length(r).alias("bases"), F.size(r).alias("n_blocks")), "strand", "left", "right", "bases", "n_blocks")
+
+
+@query(f"""WITH {_MERGED} SELECT {_SJ} FROM m""")
+def junction_round_trip(spark, d):
+    from strandloom.sources import tables
+
+    sj = collapse.merge_junctions(views.junctions(spark, d))
+    star = sj.withColumns({"chrom": F.col("chrom").cast("string"), "strand": F.when(F.col("strand") == 1, "+").when(F.col("strand") == -1, "-").otherwise("."), "motif": F.lit(0), "annotated": F.lit(False)})
+    back = tables.parse_junctions(tables.junction_lines(star)).select(F.col("chrom").cast("bigint").alias("chrom"), "start", "end", F.when(F.col("strand") == "+", 1).when(F.col("strand") == "-", -1).otherwise(0).alias("strand"), "uniq", "multi", "overhang")
+    out = back.join(sj.select("chrom", "start", "end", "strand", "reps"), ["chrom", "start", "end", "strand"])
+    return longs(out, "start", "end", "strand", "overhang")
+
+
+@query(f"""WITH {views.MULTI}, w AS (SELECT *, least(50, greatest(40, ranges[1].r - ranges[1].l)) AS a, least(50, greatest(40, ranges[-1].r - ranges[-1].l)) AS z FROM v_multi WHERE strand <> 0)
+SELECT CAST("row" AS VARCHAR) AS name, kind, CAST(l AS BIGINT) AS "left", CAST(r AS BIGINT) AS "right", CAST(peak AS BIGINT) AS peak FROM (
+SELECT "row", CASE strand WHEN 1 THEN 'S' ELSE 'E' END AS kind, "left" - 50 AS l, "left" + a AS r, "left" AS peak FROM w
+UNION ALL SELECT "row", CASE strand WHEN 1 THEN 'E' ELSE 'S' END, "right" - z, "right" + 50, "right" - 1 FROM w)""")
+def end_windows(spark, d):
+    from strandloom.operators import classify
+
+    return longs(classify.end_windows(views.multi(spark, d)).select("name", "kind", "left", "right", "peak"), "left", "right", "peak")
+
+
+# --- classification, assembly, merging --------------------------------------------------------
+
+
+def _query_and_reference(spark, d):
+    rows = views.multi(spark, d)
+    return rows.where("not is_reference"), rows.where("is_reference")
+
+
+@query(f"""WITH {_PAIRS},
+g AS (SELECT "row", r AS gl, lead(l) OVER (PARTITION BY "row" ORDER BY l) AS gr FROM v_blocks QUALIFY gr IS NOT NULL),
+k AS (SELECT "row", list(gl || '-' || gr ORDER BY gl) AS chain, list(struct_pack(gl := gl, gr := gr)) AS gaps FROM g GROUP BY 1),
+s AS (SELECT p.a, p.b, sum(greatest(0, least(u.r, v.r) - greatest(u.l, v.l))) AS shared FROM p JOIN v_blocks u ON u."row" = p.a JOIN v_blocks v ON v."row" = p.b GROUP BY 1, 2),
+q AS (SELECT p.*, shared, coalesce(u.chain, []) AS c1, coalesce(v.chain, []) AS c2, s1 = s2 AND s1 <> 0 AS same, n1 < 0.6 * n2 AS short, coalesce(len(list_filter(v.gaps, lambda e: e.gl <= l1 AND e.gr >= r1)) > 0, FALSE) AS inside
+  FROM p JOIN s ON s.a = p.a AND s.b = p.b LEFT JOIN k u ON u."row" = p.a LEFT JOIN k v ON v."row" = p.b),
+c AS (SELECT a, b, shared, CASE
+  WHEN same AND c1 = c2 AND abs(l1 - l2) <= 100 AND abs(r1 - r2) <= 100 THEN 8 WHEN same AND c1 = c2 THEN CASE WHEN short THEN 6 ELSE 5 END
+  WHEN same AND len(c1) > 0 AND list_has_all(c2, c1) THEN 6 WHEN same AND list_has_any(c1, c2) THEN 7 WHEN s1 = 0 AND shared > 0 THEN 4 WHEN s1 = -s2 AND shared > 0 THEN 1 WHEN same AND shared > 0 THEN 3
+  WHEN shared = 0 AND inside THEN 2 ELSE 0 END AS code FROM q),
+best AS (SELECT * FROM c WHERE code > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY code DESC, shared DESC, b) = 1)
+SELECT m."row", CAST(coalesce(code, 0) AS BIGINT) AS code, b AS ref, CAST(coalesce(shared, 0) AS BIGINT) AS shared FROM v_multi m LEFT JOIN best ON a = m."row" WHERE NOT is_reference""")
+def classify_transcripts(spark, d):
+    from strandloom.operators import classify
+
+    q, r = _query_and_reference(spark, d)
+    return longs(classify.classify(q, r).select("row", "code", "ref", "shared"), "code", "shared")
+
+
+@query()
+def classify_fusions(spark, d):
+    from strandloom.operators import classify
+
+    return classify.report(classify.classify_with_fusions(*_query_and_reference(spark, d)))
+
+
+@query()
+def assemble_transcripts(spark, d):
+    from strandloom.operators import assembly
+
+    return assembly.assemble(_full_reads(spark, d), options=assembly.Options(min_length=10))
+
+
+@query(f"""WITH {views.READS} SELECT CAST(chrom AS VARCHAR) AS chrom, sum(weight) AS weight FROM v_reads GROUP BY 1""")
+def condense_weight(spark, d):
+    from strandloom.operators import assembly
+
+    return assembly.condense(_full_reads(spark, d)).groupBy("chrom").agg(F.sum("weight").alias("weight"))
+
+
+@query()
+def condense_reads(spark, d):
+    from strandloom.operators import assembly
+
+    return assembly.condense(_full_reads(spark, d))
+
+
+@query()
+def quantify_transcripts(spark, d):
+    from strandloom.operators import assembly
+
+    q, r = _query_and_reference(spark, d)
+    return assembly.quantify(q.withColumn("weight", F.lit(1.0)), r.withColumn("transcript_id", F.col("row").cast("string")))
+
+
+@query()
+def merge_annotations(spark, d):
+    from strandloom.operators import merge
+
+    q, r = _query_and_reference(spark, d)
+    a = q.where("strand != 0").select("chrom", "strand", "ranges", F.lit(1.0).alias("weight"), F.lit(2.0).alias("TPM"), F.concat(F.lit("s"), "gene_id").alias("source"), F.col("row").cast("string").alias("transcript_id"))
+    b = r.select("chrom", "strand", "ranges", F.concat(F.lit("g"), "gene_id").alias("gene_id"), F.col("row").cast("string").alias("transcript_id"))
+    return merge.merge(a, b, merge.Options(min_length=10))
+
+
+@query()
+def simulate_reads(spark, d):
+    from strandloom.operators import merge
+
+    return merge.simulate(views.multi(spark, d).withColumn("weight", F.lit(1.0)), 1000).select("row", "ranges")
+
+
+@query(_summary_sql(50).replace(",\n  (max(CASE", ", FALSE AND (\n  (max(CASE").replace("END) = 1) AS has_ends", "END) = 1)) AS has_ends"))
+def session_loci(spark, d):
+    from strandloom.streaming import loci as streaming
+
+    rows = views.reads(spark, d)
+    out = streaming.session_loci(rows, 50)
+    from pyspark.sql import Window
+
+    number = F.row_number().over(Window.partitionBy("chrom").orderBy("left"))
+    return longs(out.withColumn("locus", number), "left", "right", "locus").withColumn("has_ends", F.lit(False))
+
+
+@query(f"""WITH {views.READS} SELECT chrom, CAST(floor("left" / 1000) AS BIGINT) AS bin, sum(weight) AS weight FROM v_reads GROUP BY 1, 2""")
+def binned_coverage(spark, d):
+    from strandloom.streaming import loci as streaming
+
+    return streaming.binned_coverage(views.reads(spark, d), 1000)
+
+
+@query()
+def label_sequences(spark, d):
+    from strandloom.functions import adapters
+
+    s = views.sequences(spark, d).select(F.col("doc_id").cast("string").alias("name"), F.substring("seq", 1, 300).alias("seq1"))
+    return adapters.label(s.withColumn("qual1", F.repeat(F.lit("I"), F.length("seq1"))), "ACATGGG", "CCATTTTTT+", rate=0.2).drop("qual1")
