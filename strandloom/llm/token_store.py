@@ -29,6 +29,7 @@ an empty table gives no shards and no rows.
 import re
 import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +45,13 @@ HASH_BITS = 20
 
 
 class Pieces(dict):
-    """ids (as uint32 bytes) of the pieces seen so far; one per worker process."""
+    """ids (as uint32 bytes) of the pieces seen lately; one per worker process. When
+    it is full its content becomes the older half, from which pieces come back."""
 
-    def __init__(self, vocabulary: str, most: int = 500_000):
+    def __init__(self, vocabulary: str, most: int = 350_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_str(vocabulary), most
+        self.tokenizer, self.most, self.older = Tokenizer.from_str(vocabulary), most, {}
         self.base = max(self.tokenizer.get_vocab_size(), 3)
 
     @staticmethod
@@ -76,10 +78,15 @@ class Pieces(dict):
             p[1:] = [" " + x for x in p[1:]]
             cut.append(p)
         if len(self) > self.most:
+            self.older = dict(self)
             self.clear()
-        new = list(set().union(*[p for p in cut if p]) - self.keys())
+        new = set().union(*[p for p in cut if p]) - self.keys()
+        back = new & self.older.keys()
+        for x in back:
+            self[x] = self.older[x]
+        new = list(new - back)
         for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[x] = np.array(e.ids, np.uint32).tobytes()
+            self[x] = array("I", e.ids).tobytes()
         get = self.__getitem__
         return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, cut, strict=True)]
 
