@@ -337,11 +337,11 @@ def seq_quality(spark, d):
     return q.select("doc_id", Q.mean_quality(F.col("q")).alias("quality"))
 
 
-@query(f"""WITH {views.SEQUENCES}, m AS (SELECT doc_id, substr(seq, 1, 2) || substr(seq, 3, 2) AS m FROM v_seq)
+@query(f"""WITH {views.SEQUENCES}, m AS (SELECT doc_id, substr(seq, 1, 2) || right(seq, 2) AS m FROM v_seq)
 SELECT doc_id, m, CASE m {" ".join(f"WHEN '{k}' THEN {v}" for k, v in Q.MOTIFS.items())} ELSE 0 END AS code,
 CASE WHEN m IN {Q.PLUS_MOTIFS} THEN 1 WHEN m IN {Q.MINUS_MOTIFS} THEN -1 ELSE 0 END AS strand FROM m""")
 def seq_motif(spark, d):
-    s = views.sequences(spark, d).select("doc_id", F.substring("seq", 1, 2).alias("a"), F.substring("seq", 3, 2).alias("b"))
+    s = views.sequences(spark, d).select("doc_id", F.substring("seq", 1, 2).alias("a"), F.right("seq", F.lit(2)).alias("b"))
     return s.select("doc_id", F.concat("a", "b").alias("m"), Q.motif_code(F.col("a"), F.col("b")).alias("code"), Q.motif_strand(F.col("a"), F.col("b")).alias("strand"))
 
 
@@ -357,8 +357,9 @@ def seq_orfs(spark, d):
 
 @query()
 def seq_iupac_hamming(spark, d):
-    s = views.sequences(spark, d)
-    return s.select("doc_id", Q.iupac_hamming(F.substring("seq", 1, 40), F.substring("seq", 41, 40)).alias("distance"))
+    """The first half of each sequence against its second half."""
+    n = F.floor(F.length("seq") / 2).cast("int")
+    return views.sequences(spark, d).select("doc_id", Q.iupac_hamming(F.substring(F.col("seq"), F.lit(1), n), F.substring(F.col("seq"), n + 1, n)).alias("distance"))
 
 
 # --- formats: what is written and read again ------------------------------------------------
@@ -533,5 +534,5 @@ def binned_coverage(spark, d):
 def label_sequences(spark, d):
     from strandloom.functions import adapters
 
-    s = views.sequences(spark, d).select(F.col("doc_id").cast("string").alias("name"), F.substring("seq", 1, 300).alias("seq1"))
+    s = views.sequences(spark, d).select(F.col("doc_id").cast("string").alias("name"), F.col("seq").alias("seq1"))
     return adapters.label(s.withColumn("qual1", F.repeat(F.lit("I"), F.length("seq1"))), "ACATGGG", "CCATTTTTT+", rate=0.2).drop("qual1")
