@@ -16,9 +16,12 @@ the order of reads.
 from collections import defaultdict
 from dataclasses import dataclass, field
 
+from types import SimpleNamespace
+
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from strandloom.operators.grouped import per_group
 from strandloom.operators.islands import assemblable
 
 
@@ -180,12 +183,12 @@ def remove_bad(paths: list[Path], o: Options) -> list[Path]:
     return [p for p in kept if p.weight >= o.min_proportion * sum(q.weight for q in kept if min(p.walk.right, q.walk.right) - max(p.walk.left, q.walk.left) >= 0.5 * (p.walk.right - p.walk.left))]
 
 
-def assemble_locus(reads: pd.DataFrame, o: Options = Options()) -> list[dict]:
-    """Transcripts of a locus' reads (strand, ranges as [(l, r)], splice, s_tag, e_tag,
+def assemble_locus(reads: list, o: Options = Options()) -> list[dict]:
+    """Transcripts of a locus' reads (objects with strand, ranges as [(l, r)], splice, s_tag, e_tag,
     capped, weight)."""
     out = []
     for strand in (1, -1):
-        mine = [r for r in reads.itertuples() if r.strand == strand or r.strand == 0]
+        mine = [r for r in reads if r.strand == strand or r.strand == 0]
         if not any(r.strand == strand for r in mine):
             continue
         junction, starts, ends, deltas = defaultdict(float), defaultdict(float), defaultdict(float), defaultdict(float)
@@ -250,13 +253,13 @@ def assemble_locus(reads: pd.DataFrame, o: Options = Options()) -> list[dict]:
 SCHEMA = "chrom string, locus bigint, transcript_id string, strand int, left int, right int, ranges array<struct<l:int,r:int>>, cov double, s_reads double, s_capped double, e_reads double, complete boolean"
 
 
-def as_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """ranges as tuples, and splices for rows without them."""
-    pdf = pdf.copy()
-    pdf["ranges"] = [[(x["l"], x["r"]) for x in r] for r in pdf["ranges"]]
-    if "splice" not in pdf:
-        pdf["splice"] = [[True] * (len(r) - 1) for r in pdf["ranges"]]
-    return pdf
+def as_reads(rows: list[dict]) -> list[SimpleNamespace]:
+    """Blocks as tuples, and splices for rows without them."""
+    out = []
+    for r in rows:
+        blocks = [(x["l"], x["r"]) for x in r["ranges"]]
+        out.append(SimpleNamespace(**(r | {"ranges": blocks, "splice": r.get("splice") or [True] * (len(blocks) - 1)})))
+    return out
 
 
 def assemble(reads: DataFrame, max_gap: int = 50, options: Options = Options()) -> DataFrame:
@@ -264,12 +267,12 @@ def assemble(reads: DataFrame, max_gap: int = 50, options: Options = Options())
     columns = [c for c in ("chrom", "locus", "strand", "ranges", "splice", "s_tag", "e_tag", "capped", "weight") if c in reads.columns or c == "locus"]
     kept = assemblable(reads, max_gap, options.require_cap).select(*columns)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = assemble_locus(as_rows(pdf), options)
-        rows = [{"chrom": str(key[0]), "locus": key[1], "transcript_id": f"t.{key[0]}.{key[1]}.{'+' if t['strand'] == 1 else '-'}{t['number']}", **{k: t[k] for k in ("strand", "left", "right", "cov", "s_reads", "s_capped", "e_reads", "complete")}, "ranges": [{"l": a, "r": b} for a, b in t["ranges"]]} for t in found]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.replace("struct<l:int,r:int>", "x").split(", ")])
+    def run(key, rows):
+        found = assemble_locus(as_reads(rows), options)
+        same = ("strand", "left", "right", "cov", "s_reads", "s_capped", "e_reads", "complete")
+        return [{"chrom": str(key[0]), "locus": key[1], "transcript_id": f"t.{key[0]}.{key[1]}.{'+' if t['strand'] == 1 else '-'}{t['number']}", **{k: t[k] for k in same}, "ranges": [{"l": a, "r": b} for a, b in t["ranges"]]} for t in found]
 
-    return kept.groupBy("chrom", "locus").applyInPandas(run, SCHEMA)
+    return per_group(kept, ["chrom", "locus"], run, SCHEMA)
 
 
 def condense(reads: DataFrame, max_gap: int = 0, options: Options = Options(end_cluster=50, cap_filter=0.1, min_cov=1, min_length=20)) -> DataFrame:
@@ -277,11 +280,11 @@ def condense(reads: DataFrame, max_gap: int = 0, options: Options = Options(end_
     columns = [c for c in ("chrom", "locus", "strand", "ranges", "splice", "s_tag", "e_tag", "capped", "weight") if c in reads.columns or c == "locus"]
     from strandloom.operators.islands import loci
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, group):
         rows: dict = defaultdict(float)
-        pdf = as_rows(pdf)
+        group = as_reads(group)
         signal = {k: defaultdict(float) for k in ((1, "s"), (1, "e"), (-1, "s"), (-1, "e"))}
-        for r in pdf.itertuples():
+        for r in group:
             if r.strand:
                 l, e = r.ranges[0][0], r.ranges[-1][1]
                 if r.s_tag:
@@ -289,7 +292,7 @@ def condense(reads: DataFrame, max_gap: int = 0, options: Options = Options(end_
                 if r.e_tag:
                     signal[r.strand, "e"][e if r.strand == 1 else l] += r.weight
         sites = {k: cluster_ends(v, options) for k, v in signal.items()}
-        for r in pdf.itertuples():
+        for r in group:
             blocks = list(r.ranges)
             if r.strand:
                 at = ("s", "e") if r.strand == 1 else ("e", "s")
@@ -300,10 +303,9 @@ def condense(reads: DataFrame, max_gap: int = 0, options: Options = Options(end_
                     blocks[0] = (l, blocks[0][1]) if len(blocks) > 1 else (l, e)
                     blocks[-1] = (blocks[-1][0], e) if len(blocks) > 1 else (l, e)
             rows[r.strand, tuple(blocks), bool(r.s_tag), bool(r.e_tag)] += r.weight
-        data = [(str(key[0]), int(s), [{"l": a, "r": b} for a, b in bl], st, en, w) for (s, bl, st, en), w in sorted(rows.items())]
-        return pd.DataFrame(data, columns=["chrom", "strand", "ranges", "s_tag", "e_tag", "weight"])
+        return [{"chrom": str(key[0]), "strand": int(s), "ranges": [{"l": a, "r": b} for a, b in bl], "s_tag": st, "e_tag": en, "weight": w} for (s, bl, st, en), w in sorted(rows.items())]
 
-    return loci(reads, max_gap).select(*columns).groupBy("chrom", "locus").applyInPandas(run, "chrom string, strand int, ranges array<struct<l:int,r:int>>, s_tag boolean, e_tag boolean, weight double")
+    return per_group(loci(reads, max_gap).select(*columns), ["chrom", "locus"], run, "chrom string, strand int, ranges array<struct<l:int,r:int>>, s_tag boolean, e_tag boolean, weight double")
 
 
 def quantify(reads: DataFrame, transcripts: DataFrame, rounds: int = 20) -> DataFrame:

@@ -3,10 +3,10 @@ reference where they match one. Within a locus the fold is by falling support.""
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators.grouped import per_group
 from strandloom.operators.islands import annotation_loci
 
 
@@ -102,17 +102,20 @@ def merge(assemblies: DataFrame, reference: DataFrame, options: Options = Option
     both = a.unionByName(b).withColumns({"left": F.col("ranges")[0]["l"], "right": F.element_at("ranges", -1)["r"], "chrom": F.col("chrom").cast("string")})
     chunks = annotation_loci(both)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.to_dict("records")
+    def run(key, rows):
         for r in rows:
             r["ranges"] = [(x["l"], x["r"]) for x in r["ranges"]]
         refs = sorted((r for r in rows if r["is_reference"]), key=lambda r: (r["ranges"], r["transcript_id"]))
         found = named(fold([r for r in rows if not r["is_reference"]], options), refs, options)
         if options.keep_best:
             found = found[:1]
-        return pd.DataFrame([(str(key[0]), key[1], t.get("name"), t["gene_id"], t["class"], int(t["strand"]), [{"l": l, "r": r} for l, r in t["ranges"]], t["weight"], t["TPM"], len(t["sources"]), t["members"], reject(t, options)) for t in found], columns=["chrom", "locus", "name", "gene_id", "class", "strand", "ranges", "weight", "TPM", "reps", "members", "reject_reason"])
+        return [
+            {"chrom": str(key[0]), "locus": key[1], "name": t.get("name"), "gene_id": t["gene_id"], "class": t["class"], "strand": int(t["strand"]), "ranges": [{"l": l, "r": r} for l, r in t["ranges"]],
+             "weight": t["weight"], "TPM": t["TPM"], "reps": len(t["sources"]), "members": t["members"], "reject_reason": reject(t, options)}
+            for t in found
+        ]
 
-    out = chunks.groupBy("chrom", "locus").applyInPandas(run, SCHEMA)
+    out = per_group(chunks, ["chrom", "locus"], run, SCHEMA)
     # new genes: numbered within chroms, after those of the chroms before
     fresh = out.where("gene_id is null").select("chrom", "locus").distinct()
     before = fresh.groupBy("chrom").count().select("chrom", (F.sum("count").over(Window.orderBy("chrom")) - F.col("count")).alias("o"))

@@ -144,7 +144,7 @@ def test_alignments(spark):
 
 
 def reads_frame(rows):
-    return pd.DataFrame(rows, columns=["strand", "ranges", "splice", "s_tag", "e_tag", "capped", "weight"])
+    return list(pd.DataFrame(rows, columns=["strand", "ranges", "splice", "s_tag", "e_tag", "capped", "weight"]).itertuples())
 
 
 def two_isoforms(seed=0):
@@ -168,20 +168,20 @@ def test_assembly_joins_partial_reads():
     rows = reads_frame([(-1, [(100, 300), (500, 600)], [True], False, True, False, 5.0), (-1, [(250, 300), (500, 800)], [True], True, False, True, 5.0)])
     out = assembly.assemble_locus(rows)
     assert [t["ranges"] for t in out] == [[(100, 300), (500, 800)]] and out[0]["strand"] == -1
-    total = sum(r.weight * sum(b - a for a, b in r.ranges) for r in rows.itertuples())
+    total = sum(r.weight * sum(b - a for a, b in r.ranges) for r in rows)
     assert out[0]["cov"] * 500 == pytest.approx(total)
 
 
 def test_assembly_in_spark(spark):
     pdf = two_isoforms()
-    rows = [("c", r.ranges[0][0], r.ranges[-1][1], r.strand, r.ranges, r.splice, r.s_tag, r.e_tag, r.capped, float(r.weight)) for r in pdf.itertuples()]
+    rows = [("c", r.ranges[0][0], r.ranges[-1][1], r.strand, r.ranges, r.splice, r.s_tag, r.e_tag, r.capped, float(r.weight)) for r in pdf]
     reads = spark.createDataFrame(rows, f"chrom string, left int, right int, strand int, ranges {B}, splice array<boolean>, s_tag boolean, e_tag boolean, capped boolean, weight double")
     tr = assembly.assemble(reads)
     assert tr.count() == 2
     q = {r.transcript_id: r.weight for r in assembly.quantify(reads, tr).collect()}
     assert sum(q.values()) == pytest.approx(28.0) and len(q) == 2
     c = assembly.condense(reads)
-    assert c.agg(F.sum("weight")).first()[0] == pytest.approx(pdf["weight"].sum())
+    assert c.agg(F.sum("weight")).first()[0] == pytest.approx(sum(r.weight for r in pdf))
     assert merge.simulate(tr.withColumn("weight", F.col("cov")), 100).where("size(ranges) = 0").count() == 0
 
 
