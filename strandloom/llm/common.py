@@ -27,14 +27,24 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, kept: list[str] | None = None) -> DataFrame:
     """df written as a table in the shared folder and read back: its lineage
-    ends there, so lost executors cost no recomputation of what came before."""
+    ends there, so lost executors cost no recomputation of what came before. Its
+    path is added to kept, for discard()."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if kept is not None:
+        kept.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most so many rows from now on: texts and token sets are
     wide, and a Python worker holds a whole batch."""

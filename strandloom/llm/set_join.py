@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import byte_words, hash_words, mix, shingle_hashes, small_batches, stored
+from strandloom.llm.common import byte_words, discard, hash_words, mix, shingle_hashes, small_batches, stored
 from strandloom.llm.components import components
 from strandloom.llm.substring_dedup import _planes, _unplanes
 
@@ -119,7 +119,7 @@ class Rarity:
         return tokens[np.argsort(count, kind="stable")]
 
 
-def text_sets(docs: DataFrame, k: int, seed: int) -> DataFrame:
+def text_sets(docs: DataFrame, k: int, seed: int, kept: list[str] | None = None) -> DataFrame:
     """Stored: the token set of every row with its hashes, bands and bitmap."""
 
     def run(batches):
@@ -129,7 +129,7 @@ def text_sets(docs: DataFrame, k: int, seed: int) -> DataFrame:
                 sets = [token_set(t, k) for t in s.column(2).to_pylist()]
                 yield set_rows(s.column(0), s.column(1), sets, seed)
 
-    return stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, SETS), "sets")
+    return stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, SETS), "sets", kept)
 
 
 def set_rows(ids, hashes, sets: list[np.ndarray], seed: int) -> pa.RecordBatch:
@@ -173,15 +173,15 @@ def _leaders(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "x bigint, leader bigint, group bigint")
 
 
-def near_groups(sets: DataFrame, nodes: DataFrame, percent: int, limit: int) -> DataFrame:
+def near_groups(sets: DataFrame, nodes: DataFrame, percent: int, limit: int, kept: list[str]) -> DataFrame:
     """Exact links x - leader among sets that share a band. Bands whose smallest set
     is the same are one group, so a set is sent once for most of its bands."""
     bands = nodes.where("n > 0").select("s1", "rep", F.explode("bands").alias("band"))
     heads = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("s1").alias("group")).where("size > 1")
     members = bands.join(heads, "band").groupBy("group", "s1").agg(F.min("rep").alias("rep"))
     sizes = members.groupBy("group").agg(F.ceil(F.count("*") / BAND_ROWS).cast("int").alias("salts"))
-    members = stored(members.join(sizes, "group").withColumn("salt", F.pmod(F.xxhash64("s1", "group"), F.col("salts")).cast("int")), "bands")
-    first = stored(_leaders(_fetch(sets, members, limit, "group", "salt"), percent), "leaders")
+    members = stored(members.join(sizes, "group").withColumn("salt", F.pmod(F.xxhash64("s1", "group"), F.col("salts")).cast("int")), "bands", kept)
+    first = stored(_leaders(_fetch(sets, members, limit, "group", "salt"), percent), "leaders", kept)
     wide = members.where("salts > 1")
     again = first.where("x = leader").select(F.col("x").alias("s1"), "group").distinct().join(wide.select("group", "s1", "rep"), ["group", "s1"])
     second = _leaders(_fetch(sets, again.withColumn("salt", F.lit(0)), limit, "group", "salt"), percent)
@@ -319,19 +319,33 @@ def candidates(sets: DataFrame, labels: DataFrame, percent: int, hot: int, range
 
     def merge(t: pa.Table) -> pa.Table:
         pairs = merge_short_lists(t.column("blob").to_pylist(), percent)
+        at = (mix(np.ascontiguousarray(pairs[:, 0]).view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+        out = [(r, np.ascontiguousarray(pairs[i]).tobytes()) for r, i in _parts(at, ranges)]
+        return pa.table([pa.array([r for r, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["bucket", "pairs"])
+
+    def once(t: pa.Table) -> pa.Table:
+        pairs = np.unique(np.concatenate([np.frombuffer(b, "<i8").reshape(-1, 2) for b in t.column("pairs").to_pylist()]), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return lists.groupBy("range").applyInArrow(merge, "a bigint, b bigint").distinct()
+    # a pair shares many tokens: its copies from all ranges meet, packed, in its bucket
+    packed = lists.groupBy("range").applyInArrow(merge, "bucket int, pairs binary")
+    return packed.groupBy("bucket").applyInArrow(once, "a bigint, b bigint")
+
 
+def _parts(at: np.ndarray, n: int):
+    by = np.argsort(at, kind="stable")
+    cuts = np.searchsorted(at[by], np.arange(n + 1))
+    return [(r, by[cuts[r] : cuts[r + 1]]) for r in range(n) if cuts[r + 1] > cuts[r]]
 
-def exact_links(sets: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, limit: int) -> DataFrame:
+
+def exact_links(sets: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, limit: int, kept: list[str]) -> DataFrame:
     """u, v of the candidate pairs whose similarity holds."""
     maps = [f"w{i}" for i in range(WORDS)]
     side = lambda x: nodes.select(F.col("s1").alias(x), F.col("n").alias(f"{x}_n"), F.col("rep").alias(f"{x}_rep"), *[F.col(w).alias(f"{x}_{w}") for w in maps])
     apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in maps), F.lit(0))
     most = F.floor((F.col("a_n") + F.col("b_n") - apart) / 2)
     left = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * most >= percent * (F.col("a_n") + F.col("b_n") - most)).select("a", "a_rep", "b", "b_rep")
-    left = stored(left, "candidates")
+    left = stored(left, "candidates", kept)
     # each partner's set goes to its pair's first set, which is sent once
     first = _fetch(sets, left.select(F.col("a").alias("s1"), F.col("a_rep").alias("rep")).distinct(), limit).select(F.col("s1").alias("a"), F.lit(None).cast("bigint").alias("b"), "tokens")
     partners = _fetch(sets, left.select(F.col("b").alias("s1"), F.col("b_rep").alias("rep"), "a"), limit, "a").select("a", F.col("s1").alias("b"), "tokens")
@@ -352,20 +366,20 @@ def exact_links(sets: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: in
     return both.mapInArrow(probe, "u bigint, v bigint").distinct()
 
 
-def join_sets(sets: DataFrame, percent: int, hot: int = 1 << 20, ranges: int | None = None, limit: int = 32 << 20) -> DataFrame | None:
+def join_sets(sets: DataFrame, percent: int, hot: int = 1 << 20, ranges: int | None = None, limit: int = 32 << 20, kept: list[str] | None = None) -> DataFrame | None:
     """doc_id, th, n_shingles, label, component_id of every row of sets; None if
     two different sets share s1."""
     spark = sets.sparkSession
-    small_batches(spark)
+    kept = [] if kept is None else kept
     ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rep = F.coalesce("doc_id", F.lit(2**63 - 1))
     firsts = [F.first(c).alias(c) for c in ("n", "bands", *[f"w{i}" for i in range(WORDS)])]
-    nodes = stored(sets.groupBy("s1").agg(F.min(rep).alias("rep"), F.min("s2").alias("low"), F.max("s2").alias("high"), *firsts), "nodes")
+    nodes = stored(sets.groupBy("s1").agg(F.min(rep).alias("rep"), F.min("s2").alias("low"), F.max("s2").alias("high"), *firsts), "nodes", kept)
     if not nodes.where("low != high").isEmpty():
         return None
-    near = stored(near_groups(sets, nodes, percent, limit), "near")
-    links = stored(exact_links(sets, nodes, candidates(sets, components(near), percent, hot, ranges, limit), percent, limit), "far")
-    labels = components(near.union(links))
+    near = stored(near_groups(sets, nodes, percent, limit, kept), "near", kept)
+    links = stored(exact_links(sets, nodes, candidates(sets, components(near, kept), percent, hot, ranges, limit), percent, limit, kept), "far", kept)
+    labels = components(near.union(links), kept)
     smallest = labels.join(nodes.select(F.col("s1").alias("node"), "rep"), "node").groupBy("label").agg(F.min("rep").alias("least"))
     of_node = labels.join(smallest, "label").select(F.col("node").alias("s1"), "label", "least")
     known = nodes.select("s1", "rep").join(of_node, "s1", "left").select("s1", F.coalesce("label", "s1").alias("label"), F.coalesce("least", "rep").alias("least"))
@@ -378,7 +392,11 @@ def grouped(docs: DataFrame, k: int, percent: int, **how) -> DataFrame:
     """doc_id, hash of the text, n_shingles, label of its group, component_id."""
     small_batches(docs.sparkSession)
     for seed in range(8):
-        out = join_sets(text_sets(docs, k, seed), percent, **how)
+        kept: list[str] = []
+        out = join_sets(text_sets(docs, k, seed, kept), percent, kept=kept, **how)
+        if out is not None:
+            out = stored(out, "groups")
+        discard(docs.sparkSession, kept)
         if out is not None:
             return out
     raise ArithmeticError("sets collide under every seed")
