@@ -1,33 +1,28 @@
 """Benchmark decontamination: near matches of benchmark items in documents.
 
-A document is contaminated by an item if some run of its words, as long as the item
-(and a few edits), is within edit distance ``share`` * item length of it, on
-lower-cased text with single spaces.
+A document is contaminated by an item if some run of its words is within edit
+distance ``share`` * item length of it, on lower-cased text with single spaces. The
+run may have any number of words: that is bounded by the distance alone.
 
-Windows of the item's number of words, give or take SLACK, are taken around every
-place where a document and an item share ``anchor`` words in a row. Fewer than
-n / (anchor + 1) edits to an item of n words always leave such a run, so up to that
-many nothing is missed; more edits are found as long as one run is whole.
-
-Item and window are embedded by CGK random walks (a random bit for each step and
-character says whether the walk moves on), which turn edit distance into Hamming
-distance; rounds of bit sampling compare a few places of the embedding, and a window
-meets an item if one round agrees in all of them. The number of rounds follows from
-the target recall at the largest distance allowed. Every meeting is verified by exact
-banded edit distance, and the result says which item, where, and how far.
+The search misses nothing. An item of L characters that allows k edits is cut into
+k + 1 pieces; k edits leave at least one of them whole, so every match holds a piece
+at its place, give or take k characters. All runs of a text's characters are looked
+up among the pieces' beginnings (``SEED`` characters at most). Of the places found,
+those go on whose surroundings share at least L - GRAM + 1 - GRAM k runs of GRAM
+characters with the item, as every match does. The nearest run of whole words there
+is found by exact edit distance from all word starts to all word ends at once, and
+the result says which item, where, and how far.
 
 Benchmark items are broadcast while they are within ``broadcast_bytes``; larger sets
 are dealt into blocks of that size, each a pass over the documents.
 
-Defined cases: null or empty texts and items match nothing; items of fewer words
-than an anchor are found only whole; repeated items and rows each count; an item
-longer than a document can still match the whole document; equal distances are
-broken by the earlier place.
+Defined cases: null or empty texts and items match nothing; items too short for one
+edit are found only whole; repeated items and rows each count; an item longer than a
+document can still match the whole document; equal distances are broken by the
+earlier place, then by the shorter window.
 """
 
-import math
 from collections.abc import Iterable
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type as pa_type
 
-from strandloom.llm.common import mix
-
 SLICE_ROWS = 10_000
-SLACK = 2  # words by which a window may start or end elsewhere
-SAMPLE = 8  # characters of a round's sample
-WALKS = 3  # independent embeddings
+SEED = 12  # most characters of a piece that are looked up
+GRAM = 5
+CHARACTERS = 500_000  # looked through at a time
+FACTOR, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def normal_words(text: str | None) -> list[str]:
@@ -74,151 +68,158 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return int(row[m - n + most])
 
 
-class Walks:
-    """Sampled CGK embeddings of texts of at least ``size`` characters: walks of
-    2 * size steps, and rounds of SAMPLE places in them."""
+def distances(item: np.ndarray, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each place in text the least distance of item to a run that ends there
+    and begins at one of the starts."""
+    ramp = np.arange(len(text) + 1)
+    first = np.full(len(text) + 1, -(len(text) + len(item) + 1))
+    first[starts] = starts
+    row = ramp - np.maximum.accumulate(first)
+    for i, c in enumerate(item.tolist(), 1):
+        new = row + 1
+        np.minimum(new[1:], row[:-1] + (text != c), out=new[1:])
+        row = np.minimum.accumulate(new - ramp) + ramp
+    return row
+
+
+def characters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
-    def __init__(self, size: int, share: float, recall: float, seed: int = 7):
-        rng = np.random.default_rng(seed + size)
-        self.steps = 2 * size
-        # An edit displaces a walk for a few steps only; a place then agrees with
-        # about this probability at the largest distance.
-        agree = 1 - 2 * share
-        self.rounds = min(64, max(4, math.ceil(math.log(1 - recall) / math.log(1 - agree**SAMPLE))))
-        self.walk = rng.integers(0, WALKS, self.rounds)
-        self.at = rng.integers(0, self.steps, (self.rounds, SAMPLE))
-        self.salt = [np.uint64(x) for x in rng.integers(1, 2**62, WALKS)]
 
-    def keys(self, texts: list[str]) -> np.ndarray:
-        """One key per text and round."""
-        chars = np.zeros((len(texts), self.steps + 1), np.uint32)
-        for i, t in enumerate(texts):
-            c = np.frombuffer(t[: self.steps].encode("utf-32-le", "surrogatepass"), np.uint32)
-            chars[i, : len(c)] = c
-        rows = np.arange(len(texts))
-        out = np.zeros((len(texts), self.rounds), np.uint64)
-        for w in range(WALKS):
-            by_step: dict[int, list[int]] = {}
-            for r in np.flatnonzero(self.walk == w).tolist():
-                for s in self.at[r].tolist():
-                    by_step.setdefault(s, []).append(r)
-            place = np.zeros(len(texts), np.int64)
-            for s in range(max(by_step, default=-1) + 1):
-                c = chars[rows, place].astype(np.uint64)
-                with np.errstate(over="ignore"):
-                    for r in by_step.get(s, ()):
-                        out[:, r] = mix(out[:, r] * np.uint64(31) + c + np.uint64(1))
-                    coin = mix(c * np.uint64(0x9E3779B97F4A7C15) + self.salt[w] + np.uint64(s)) >> np.uint64(63)
-                place += coin.astype(np.int64)
-        return out
+def rolling(chars: np.ndarray, sizes: Iterable[int]) -> Iterable[tuple[int, np.ndarray]]:
+    """The hashes of all runs of each size."""
+    wanted = set(sizes)
+    h = np.zeros(len(chars), np.uint64)
+    c = chars.astype(np.uint64)
+    for n in range(1, max(wanted, default=0) + 1):
+        if n > len(chars):
+            return
+        h = h[: len(chars) - n + 1] * FACTOR + c[n - 1 :]
+        if n in wanted:
+            yield n, h
 
 
 class Items:
-    """A block of benchmark items, ready to be searched."""
+    """A block of benchmark items, ready to be searched. The search is complete:
+    ``anchor`` and ``recall`` bounded an earlier one and change no result."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float, anchor: int, recall: float):
-        self.share, self.anchor = share, anchor
+    def __init__(self, items: list[tuple[int, str]], share: float, anchor: int = 3, recall: float = 1.0):
+        if not 0 <= share <= 0.5:
+            raise ValueError("share must be within 0 and 0.5")
         self.rows = []
+        seeds: dict[int, list[tuple[int, int, int]]] = {}
         for i, t in items:
-            words = normal_words(t)
-            if words:
-                self.rows.append((i, words, " ".join(words)))
-        self.sizes = [1 << (len(r[2]).bit_length() - 1) for r in self.rows]  # the power of two below
-        self.walks = {z: Walks(z, share, recall) for z in set(self.sizes)}
-        self.keys: list = [None] * len(self.rows)
-        for z, walks in self.walks.items():
-            mine = [j for j, size in enumerate(self.sizes) if size == z]
-            for j, k in zip(mine, walks.keys([self.rows[j][2] for j in mine]), strict=True):
-                self.keys[j] = k
-        self.number: dict[str, int] = {}
-        for _, words, _ in self.rows:
-            for w in words:
-                self.number.setdefault(w, len(self.number) + 1)
-        grams: dict[int, list[tuple[int, int]]] = {}
-        for j, (_, words, _) in enumerate(self.rows):
-            ids = np.array([self.number[w] for w in words], np.int64)
-            n = min(anchor, len(ids))
-            for p, g in enumerate(self.hashes(ids, n).tolist()):
-                grams.setdefault(g, []).append((j, p))
-        self.grams = grams
-        self.known = np.sort(np.array(list(grams), np.int64))
-        self.short = sorted({min(anchor, len(r[1])) for r in self.rows})
+            text = " ".join(normal_words(t))
+            if not text:
+                continue
+            chars = characters(text)
+            most = int(share * len(chars))
+            size = min(SEED, len(chars) // (most + 1))
+            hashes = dict(rolling(chars, {size, GRAM}))
+            for piece in range(most + 1):
+                q = piece * len(chars) // (most + 1)
+                seeds.setdefault(size, []).append((int(hashes[size][q]), len(self.rows), q))
+            grams = self.slots(hashes.get(GRAM, np.empty(0, np.uint64)))
+            self.rows.append((i, text, chars, most, grams, len(chars) - GRAM + 1 - GRAM * most))
+        self.seeds = {}
+        for size, found in seeds.items():
+            found.sort()
+            h = np.array([f[0] for f in found], np.uint64)
+            bits = min(27, max(18, (64 * len(h)).bit_length()))
+            flags = np.zeros(1 << bits, bool)
+            flags[(h * SPREAD) >> np.uint64(64 - bits)] = True
+            self.seeds[size] = (flags, np.uint64(64 - bits), h, np.array([f[1] for f in found]), np.array([f[2] for f in found]))
+        self.lengths = np.array([len(r[2]) for r in self.rows], np.int64)
+        self.most = np.array([r[3] for r in self.rows], np.int64)
+        self.seen = np.zeros(1 << 16, bool)
 
     @staticmethod
-    def hashes(ids: np.ndarray, n: int) -> np.ndarray:
-        m = len(ids) - n + 1
-        if m <= 0:
-            return np.empty(0, np.int64)
-        with np.errstate(over="ignore"):
-            h = np.full(m, n, np.uint64)
-            for k in range(n):
-                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + m].astype(np.uint64))
-        return h.view(np.int64)
+    def slots(hashes: np.ndarray) -> np.ndarray:
+        return ((hashes * SPREAD) >> np.uint64(48)).astype(np.int64)
 
-    def places(self, words: list[str]) -> dict[int, set[int]]:
-        """Where each item would start that shares an anchor with the words."""
-        get = self.number.get
-        ids = np.array(list(map(get, words, repeat(0))), np.int64)
-        out: dict[int, set[int]] = {}
-        for n in self.short:
-            m = len(ids) - n + 1
-            if m <= 0:
-                continue
-            full = ids[:m] > 0
-            for k in range(1, n):
-                full &= ids[k : k + m] > 0
-            where = np.flatnonzero(full)
-            if not len(where):
+    def regions(self, chars: np.ndarray, offsets: np.ndarray) -> tuple[Iterable[tuple[int, int, int, int]], np.ndarray]:
+        """(text, item, first, last character) that hold every window within the
+        distance, and the slots of the texts' runs of GRAM characters."""
+        where, items, shifts, grams = [], [], [], np.empty(0, np.int64)
+        for size, h in rolling(chars, {*self.seeds, GRAM}):
+            if size == GRAM:
+                grams = self.slots(h)
+            if size not in self.seeds:
                 continue
-            with np.errstate(over="ignore"):
-                h = np.full(len(where), n, np.uint64)
-                for k in range(n):
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + ids[where + k].astype(np.uint64))
-            h = h.view(np.int64)
-            at = np.searchsorted(self.known, h)
-            at[at == len(self.known)] = 0
-            hit = self.known[at] == h
-            for p, g in zip(where[hit].tolist(), h[hit].tolist(), strict=True):
-                for j, q in self.grams[g]:
-                    out.setdefault(j, set()).add(p - q)
-        return out
+            flags, shift, known, js, qs = self.seeds[size]
+            at = np.flatnonzero(flags[(h * SPREAD) >> shift])
+            lo, hi = np.searchsorted(known, h[at], "left"), np.searchsorted(known, h[at], "right")
+            count = hi - lo
+            k = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            where.append(np.repeat(at, count))
+            items.append(js[k])
+            shifts.append(qs[k])
+        if not where:
+            return [], grams
+        p, j, q = (np.concatenate(x) for x in (where, items, shifts))
+        d = np.searchsorted(offsets, p, "right") - 1
+        first = np.maximum(p - q - self.most[j], offsets[d])
+        last = np.minimum(p - q + self.lengths[j] + self.most[j], offsets[d + 1] - 1)
+        out: list[list[int]] = []
+        order = np.lexsort((first, j, d))
+        for row in zip(*(x[order].tolist() for x in (d, j, first, last)), strict=True):
+            if out and out[-1][0] == row[0] and out[-1][1] == row[1] and row[2] <= out[-1][3]:
+                out[-1][3] = max(out[-1][3], row[3])
+            else:
+                out.append(list(row))
+        return out, grams
+
+    def near(self, j: int, text: str, a: int, z: int, edge: int, end: int) -> tuple[int, int, int] | None:
+        """(distance, first, last character) of the nearest run of words in a..z."""
+        _, item, chars, most, _, _ = self.rows[j]
+        part = characters(text[a:z])
+        gap = part == 32
+        starts = np.flatnonzero(np.r_[a == edge or text[a - 1] == " ", gap])
+        ends = np.flatnonzero(np.r_[gap, z == end or text[z] == " "])
+        if not len(starts) or not len(ends):
+            return None
+        e = int(distances(chars, part, starts)[ends].min())
+        if e > most:
+            return None
+        back = distances(chars[::-1], part[::-1], len(part) - ends[::-1])[len(part) - starts]
+        s = int(starts[back == e][0])
+        for last in ends[(ends >= s + len(chars) - e) & (ends > s)].tolist():
+            if edit_distance(text[a + s : a + last], item, e) <= e:
+                return e, a + s, a + last
+        return None
 
     def search(self, texts: Iterable[list[str]]) -> list[list[tuple[int, int, int, int]]]:
         """For each text (item, first word, words, distance) of the nearest window
         of each item that it holds."""
-        best: list[dict[int, tuple[int, int, int]]] = []
-        windows: dict[int, list[tuple[int, int, int, int, str]]] = {}
-        for d, words in enumerate(texts):
-            best.append({})
-            for j, starts in self.places(words).items() if self.rows else ():
-                _, iw, it = self.rows[j]
-                n = len(iw)
-                whole = [s for s in starts if s >= 0 and words[s : s + n] == iw]
-                if whole:
-                    best[d][j] = (0, min(whole), n)
+        out: list[list[tuple[int, int, int, int]]] = []
+        some: list[str] = []
+        size = 0
+        for words in texts:
+            some.append(" ".join(words))
+            size += len(some[-1])
+            if size >= CHARACTERS:
+                out += self.search_some(some)
+                some, size = [], 0
+        return out + self.search_some(some)
+
+    def search_some(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
+        offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])  # a line break parts two texts
+        best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
+        text = "\n".join(texts)
+        regions, grams = self.regions(characters(text), offsets)
+        for d, j, a, z in regions:
+            _, _, _, _, wanted, least = self.rows[j]
+            if least > 0:  # an edit breaks at most GRAM runs of GRAM characters
+                here = grams[a : max(a, z - GRAM + 1)]
+                self.seen[here] = True
+                shared = np.count_nonzero(self.seen[wanted])
+                self.seen[here] = False
+                if shared < least:
                     continue
-                most = int(self.share * len(it))
-                spans = {(max(0, s + a), min(len(words), s + n + z)) for s in starts for a in range(-SLACK, SLACK + 1) for z in range(-SLACK, SLACK + 1)}
-                for a, z in spans:
-                    t = " ".join(words[a:z])
-                    if a < z and abs(len(t) - len(it)) <= most:
-                        windows.setdefault(self.sizes[j], []).append((d, j, a, z, t))
-        for size, rows in windows.items():
-            rows.sort(key=lambda w: w[:4])
-            for at in range(0, len(rows), 4096):
-                some = rows[at : at + 4096]
-                keys = self.walks[size].keys([w[4] for w in some])
-                met = (keys == np.stack([self.keys[w[1]] for w in some])).any(axis=1)
-                for d, j, a, z, t in (some[i] for i in np.flatnonzero(met)):
-                    _, _, it = self.rows[j]
-                    old = best[d].get(j)
-                    most = int(self.share * len(it)) if old is None else old[0] - 1
-                    if most < 0:
-                        continue
-                    e = edit_distance(t, it, most)
-                    if e <= most:
-                        best[d][j] = (e, a, z - a)
-        return [[(self.rows[j][0], a, n, e) for j, (e, a, n) in b.items()] for b in best]
+            found = self.near(j, text, a, z, int(offsets[d]), int(offsets[d + 1]) - 1)
+            if found and (j not in best[d] or found < best[d][j]):
+                best[d][j] = found
+        return [[(self.rows[j][0], text.count(" ", offsets[d], a), text.count(" ", a, z) + 1, e) for j, (e, a, z) in b.items()] for d, b in enumerate(best)]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), share: float = 0.1, anchor: int = 3, recall: float = 0.99, broadcast_bytes: int = 16 << 20, prefix: str = "") -> DataFrame:

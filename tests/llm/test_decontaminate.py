@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -65,3 +66,55 @@ def test_odd_rows(spark):
     kept = D.clean(docs, items)
     assert kept.columns == docs.columns and kept.where("doc_id = 2").count() == 0 and kept.where("doc_id = 0").count() == 1
     assert D.clean(docs, items.limit(0)).count() == docs.count() and D.contaminated(docs.limit(0), items).count() == 0
+
+
+def random_item(words, r):
+    return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(words))
+
+
+def nearest_window(doc, item, most):
+    """(distance, first word, words) of the nearest run of words, over every window."""
+    doc = " ".join(doc.split())
+    starts = [0, *[i + 1 for i, c in enumerate(doc) if c == " "]]
+    width = len(item) + most
+    text = np.zeros((len(starts), width), np.uint32)
+    for row, a in zip(text, starts, strict=True):
+        row[: len(doc[a : a + width])] = [ord(c) for c in doc[a : a + width]]
+    ramp = np.arange(width + 1)
+    table = np.tile(ramp, (len(starts), 1))
+    for c in item:
+        new = table + 1
+        new[:, 1:] = np.minimum(new[:, 1:], table[:, :-1] + (text != ord(c)))
+        table = np.minimum.accumulate(new - ramp, axis=1) + ramp
+    ends = [*[a - 1 for a in starts[1:]], len(doc)]
+    least = min((int(table[i, z - a]), i, k + 1) for i, a in enumerate(starts) for k, z in enumerate(ends[i:]) if z - a <= width)
+    return least if least[0] <= most else None
+
+
+def check_found(items, docs, must=True):
+    got = D.Items(list(enumerate(items)), 0.1, 3, 0.99).search([D.normal_words(d) for d in docs])
+    found = 0
+    for i, (item, doc, hits) in enumerate(zip(items, docs, got, strict=True)):
+        want = nearest_window(doc, item, int(0.1 * len(item)))
+        assert want or not must
+        have = next(((e, p, n) for j, p, n, e in hits if j == i), None)
+        assert have in (None, want)
+        found += have == want
+    return found
+
+
+AROUND = "some words before it and after it "
+
+
+def test_typos_leave_no_three_words_whole():
+    r = random.Random(1)
+    items = [random_item(40, r) for _ in range(25)]
+    docs = []
+    for t in items:
+        w = t.split()
+        for p in range(0, 40, 3):
+            w[p] = "z" + w[p][1:]
+        if sum(len(x) for x in w) + 39 >= 140:
+            docs.append(AROUND + " ".join(w) + " " + AROUND)
+    items = items[: len(docs)]
+    assert check_found(items, docs) == len(items) == 25
