@@ -118,3 +118,23 @@ def test_typos_leave_no_three_words_whole():
             docs.append(AROUND + " ".join(w) + " " + AROUND)
     items = items[: len(docs)]
     assert check_found(items, docs) == len(items) == 25
+
+
+def test_runs_of_inserted_and_missing_words():
+    r = random.Random(2)
+    items, docs = [], []
+    while len(items) < 40:
+        t = random_item(r.choice([40, 55, 100]), r)
+        w, p, room = t.split(), r.randrange(5, 30), int(0.1 * len(t))
+        run = []
+        if len(items) % 2:
+            while len(" ".join([*run, "zyzy"])) + 1 <= room:
+                run.append("zyzy")
+            w[p:p] = run
+        else:
+            while len(" ".join(w[p : p + len(run) + 1])) + 1 <= room:
+                run.append(w[p + len(run)])
+            del w[p : p + len(run)]
+        items.append(t)
+        docs.append(AROUND + " ".join(w) + " " + AROUND)
+    assert check_found(items, docs) == len(items)
