@@ -138,3 +138,24 @@ def test_runs_of_inserted_and_missing_words():
         items.append(t)
         docs.append(AROUND + " ".join(w) + " " + AROUND)
     assert check_found(items, docs) == len(items)
+
+
+def test_recall_up_to_the_full_distance():
+    """Against every window, with edits of words and characters up to the limit."""
+    r = random.Random(3)
+    items, docs = [], []
+    for k in range(200):
+        t = random_item(r.choice([3, 8, 20, 40]), r)
+        w, room = t.split(), int(0.1 * len(t))
+        while k % 2 and room > 0:  # words replaced, left out or added
+            p, new = r.randrange(len(w)), random_item(r.randrange(0, 3), r).split()
+            room -= max(len(w[p]), len(" ".join(new))) + 1
+            if room >= 0 and len(w) > 1:
+                w[p : p + 1] = new
+        text = " ".join(w)
+        items.append(t)
+        docs.append(AROUND + (text if k % 2 else changed(text, room, r)) + " " + AROUND)
+    want = sum(nearest_window(d, t, int(0.1 * len(t))) is not None for t, d in zip(items, docs, strict=True))
+    found = check_found(items, docs, must=False)
+    assert want > 150
+    assert found == len(items)  # a text without a window counts where none is reported
