@@ -4,8 +4,9 @@ Terms are lower-cased letter words and their prefixes of 4 to 6 letters (so
 inflected forms share a term); a second term, with '#', says that at least 1 % of
 a text's words have it. A bounded sample of labelled rows (``sample``,
 a documented parameter: the rows with the smallest hash of their id) fits the
-classifier: terms that the labels depend on, their IDF, the TF-IDF vectors of
-the examples, and an inverted index whose examples are dealt into blocks of
+classifier: terms that the labels depend on (all that pass the cutoffs of ``CUTS``
+that do best on held-out folds of the labels), their IDF, the TF-IDF vectors of the
+examples, and an inverted index whose examples are dealt into blocks of
 ``BLOCK`` with the largest weight of each term in each block.
 
 A query gets its exact ``k`` nearest examples by cosine: blocks are taken in
@@ -36,8 +37,9 @@ from strandloom.llm.common import crc_mod5, plus
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 BLOCK = 512
-MAX_TERMS = 1024
-MIN_SUPPORT, MIN_CHI2, MIN_ODDS = 6, 40.0, 2.0
+FOLDS, GAIN = 3, 0.02
+# Least support, chi2 and log odds of a term, the strictest first; the last takes all terms.
+CUTS = ((6, 40.0, 2.0), (4, 20.0, 2.0), (3, 12.0, 2.0), (2, 8.0, 1.5), (1, 4.0, 1.0), (1, 0.0, 0.0))
 CACHED_WORDS = 300_000
 
 
@@ -59,6 +61,65 @@ def term_counts(text: str | None) -> dict[str, int]:
     return out | {t + "#": 1 for t, c in out.items() if dense(c, len(words))}
 
 
+def informative(counts: list[dict[str, int]], labels: list[int], cut: tuple[int, float, float]) -> dict[str, int]:
+    """The terms that pass the cutoffs, the most informative first, with their document counts."""
+    support, least_chi2, least_odds = cut
+    n, n1 = len(counts), int(sum(labels))
+    df1: Counter = Counter()
+    df0: Counter = Counter()
+    for c, y in zip(counts, labels, strict=True):
+        (df1 if y else df0).update(c.keys())
+    chosen: dict[tuple, tuple] = {}
+    for t in df1.keys() | df0.keys():
+        a, b = df1[t], df0[t]
+        if a + b < support or a + b == n or not n1 or n1 == n:
+            continue
+        odds = abs(math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n - n1 + 1)))
+        expected = (a + b) * n1 / n
+        chi2 = n * (a - expected) ** 2 / max(1e-9, (a + b) * n1 / n * (n - a - b) * (n - n1) / n)
+        if odds >= least_odds and chi2 >= least_chi2:
+            # prefixes of one word on the same rows say the same: the longest stays
+            same = (t.lstrip("=")[: PREFIXES[0]], t[-1] == "#", a, b)
+            chosen[same] = max(chosen.get(same, (0, "", 0.0)), (len(t), t, chi2))
+    return {t: df1[t] + df0[t] for _, t, _ in sorted(chosen.values(), key=lambda x: (-x[2], x[1]))}
+
+
+def held_out_loss(counts: list[dict[str, int]], labels: list[int], k: int, cut: tuple[int, float, float]) -> float:
+    """The log loss of each fold's labels by an index of the other folds."""
+    seen = [0, 0]
+    fold = []
+    for y in labels:
+        fold.append(seen[y] % FOLDS)
+        seen[y] += 1
+    loss = 0.0
+    for f in range(FOLDS):
+        kept = [i for i, x in enumerate(fold) if x != f]
+        index = Index.__new__(Index)
+        index._build([counts[i] for i in kept], [labels[i] for i in kept], kept, k, cut)
+        for i, x in enumerate(fold):
+            if x == f:
+                p = min(max(index.score(index.nearest(*index.vector(counts[i]))), 1e-6), 1 - 1e-6)
+                loss -= math.log(p if labels[i] else 1 - p)
+    return loss
+
+
+def chosen_cut(counts: list[dict[str, int]], labels: list[int], k: int) -> tuple[int, float, float]:
+    """The cutoffs of the least loss on held-out folds. Looser ones must lower the loss
+    by GAIN, and two in a row that do not end the search."""
+    if min(sum(labels), len(labels) - sum(labels)) < FOLDS:
+        return CUTS[0]
+    best, cut, failed = held_out_loss(counts, labels, k, CUTS[0]), CUTS[0], 0
+    for c in CUTS[1:]:
+        loss = held_out_loss(counts, labels, k, c)
+        if loss < (1 - GAIN) * best:
+            best, cut, failed = loss, c, 0
+        elif failed:
+            break
+        else:
+            failed = 1
+    return cut
+
+
 class Index:
     """Selected terms, example vectors and the block-max inverted index."""
 
@@ -68,27 +129,15 @@ class Index:
             j = first.setdefault(t, i)
             labels[j] = max(labels[j], labels[i])
         texts, labels, ids = ([x[i] for i in first.values()] for x in (texts, labels, ids))
-        self.k, self.ids, self.labels = k, ids, np.array(labels, np.float64)
         counts = [term_counts(t) for t in texts]
-        n, n1 = len(texts), int(sum(labels))
-        df1: Counter = Counter()
-        df0: Counter = Counter()
-        for c, y in zip(counts, labels, strict=True):
-            (df1 if y else df0).update(c.keys())
-        chosen: dict[tuple, tuple] = {}
-        for t in df1.keys() | df0.keys():
-            a, b = df1[t], df0[t]
-            if a + b < MIN_SUPPORT or a + b == n or not n1 or n1 == n:
-                continue
-            odds = abs(math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n - n1 + 1)))
-            expected = (a + b) * n1 / n
-            chi2 = n * (a - expected) ** 2 / max(1e-9, (a + b) * n1 / n * (n - a - b) * (n - n1) / n)
-            if odds >= MIN_ODDS and chi2 >= MIN_CHI2:
-                # prefixes of one word on the same rows say the same: the longest stays
-                same = (t.lstrip("=")[: PREFIXES[0]], t[-1] == "#", a, b)
-                chosen[same] = max(chosen.get(same, (0, "", 0.0)), (len(t), t, chi2))
-        self.terms = {t: i for i, (_, t, _) in enumerate(sorted(chosen.values(), key=lambda x: (-x[2], x[1]))[:MAX_TERMS])}
-        self.idf = np.array([math.log((1 + n) / (1 + df1[t] + df0[t])) + 1 for t in self.terms])
+        self._build(counts, labels, ids, k, chosen_cut(counts, labels, k))
+
+    def _build(self, counts: list[dict[str, int]], labels: list[int], ids: list[int], k: int, cut: tuple[int, float, float]) -> None:
+        self.k, self.ids, self.labels, self.cut = k, ids, np.array(labels, np.float64), cut
+        n = len(counts)
+        df = informative(counts, labels, cut)
+        self.terms = {t: i for i, t in enumerate(df)}
+        self.idf = np.array([math.log((1 + n) / (1 + x)) + 1 for x in df.values()])
         self.blocks = max(1, -(-n // BLOCK))
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         self.vectors = [self.vector(c) for c in counts]

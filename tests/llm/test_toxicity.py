@@ -63,3 +63,23 @@ def test_odd_rows(spark):
     assert toxicity.clean(docs, labels.limit(0)).count() == docs.count()
     assert {r.score for r in toxicity.query(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity.query(docs.limit(0), labels).count() == 0
+
+
+def test_few_labels_still_catch():
+    """Terms are chosen at 60 to 80 labels too, and then caught are more than left."""
+    test = corpus(400, seed=9)
+    for n in (60, 80):
+        rows = corpus(n, seed=1)
+        index = toxicity.Index([t for _, t, _ in rows], [y for *_, y in rows], [i for i, *_ in rows])
+        assert index.terms
+        got = [(index.score(index.nearest(*index.vector(toxicity.term_counts(t)))) >= 0.5, y) for _, t, y in test]
+        caught, toxic = sum(p and y for p, y in got), sum(y for _, y in got)
+        assert caught > 0.5 * toxic and sum(p and not y for p, y in got) < 0.1 * len(got)
+
+
+def test_number_of_terms_has_no_cap():
+    words = [chr(97 + i // 26 % 26) + chr(97 + i % 26) + chr(97 + i // 676) for i in range(1500)]
+    rows = [(" ".join(words) if i % 2 else "good day", i % 2) for i in range(200)]
+    rows = [(f"{t} {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}", y) for i, (t, y) in enumerate(rows)]
+    index = toxicity.Index([t for t, _ in rows], [y for _, y in rows], list(range(200)))
+    assert len(index.terms) >= 1500
