@@ -14,7 +14,7 @@ the order of reads.
 """
 
 from collections import defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from types import SimpleNamespace
 
@@ -32,7 +32,6 @@ class Options:
     truncation_filter: float = 0.5
     end_cluster: int = 100
     cap_bonus: float = 5.0
-    cap_filter: float = 0.02
     min_intron: int = 50
     min_overhang: int = 3
     min_cov: float = 2.0
@@ -63,7 +62,6 @@ class Walk:
 class Path:
     walk: Walk
     weight: float = 0.0
-    sources: dict = field(default_factory=dict)
 
 
 def prune_junctions(weights: dict, coverage, o: Options) -> set:
@@ -275,7 +273,7 @@ def assemble(reads: DataFrame, max_gap: int = 50, options: Options = Options())
     return per_group(kept, ["chrom", "locus"], run, SCHEMA)
 
 
-def condense(reads: DataFrame, max_gap: int = 0, options: Options = Options(end_cluster=50, cap_filter=0.1, min_cov=1, min_length=20)) -> DataFrame:
+def condense(reads: DataFrame, max_gap: int = 0, options: Options = Options(end_cluster=50, min_cov=1, min_length=20)) -> DataFrame:
     """Loci as their sums of equal walks, ends snapped to sites: chrom, strand, ranges, s_tag, e_tag, weight."""
     columns = [c for c in ("chrom", "locus", "strand", "ranges", "splice", "s_tag", "e_tag", "capped", "weight") if c in reads.columns or c == "locus"]
     from strandloom.operators.islands import loci
