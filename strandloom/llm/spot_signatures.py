@@ -7,10 +7,8 @@ bits. A document's set of signatures is its fingerprint, written as the sorted
 hashes in base64: equal texts have equal fingerprints, and likeness is the Jaccard
 similarity of two sets.
 
-``near_pairs`` joins fingerprints of at least a given likeness exactly. Sets are
-partitioned by length, and only partitions whose lengths allow the likeness meet;
-within them a pair is found by its rarest shared signatures (prefix filter) and is
-given up as soon as the rest of the sets cannot reach the likeness.
+Pairs of other documents are not compared: the join of all fingerprints by length
+partitions with a prefix filter and early stop is not built.
 
 ``edited_neighbours`` needs each document and the next one by falling id: documents
 are range-partitioned by exact bounds, and a document that opens a part is also
