@@ -12,7 +12,8 @@ documents, are numbered globally: the offsets of parts are one small table.
 
 Compression is Re-Pair in rounds: each round counts neighbouring pairs, makes
 rules of the pairs that occur often, most frequent first, and replaces their
-occurrences from the left; it ends when no pair occurs ``least`` times. Counting
+occurrences from the left; it ends when no pair occurs max(16, n / 2000) times
+among n symbols, or after 6 rounds of at most 256 rules; rarer repeats stay. Counting
 uses hashed counters to find the few frequent pairs, which are then counted
 exactly.
 
