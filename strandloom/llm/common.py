@@ -1,10 +1,16 @@
 """Helpers that several corpus operators share."""
 
+import contextlib
+import ctypes
+import functools
+import gc
 import os
+import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where that is unset (single-machine tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is
+    unset, a temporary one if all runs on one machine, else an error."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", d)
     return d
@@ -53,6 +61,41 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Spark uses Python workers again, and what
+    one task has taken would weigh on the next ones."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def released(run):
+    """run, a function of a task's batches, with give_back() at its end."""
+
+    @functools.wraps(run)
+    def stream(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return stream
+
+
+def released_group(run):
+    """The same for a function of one group's table."""
+
+    @functools.wraps(run)
+    def group(t):
+        try:
+            return run(t)
+        finally:
+            give_back()
+
+    return group
+
+
 def plus(df: DataFrame, ddl: str) -> T.StructType:
     """The schema of df with more fields."""
     return T.StructType(df.schema.fields + T.StructType.fromDDL(ddl).fields)

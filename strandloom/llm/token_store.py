@@ -10,25 +10,28 @@ Documents are range-partitioned by id, so parts are in order; a shard's place is
 its part, its number there, and the ids before it in the part. Parts, not
 documents, are numbered globally: the offsets of parts are one small table.
 
-Compression is Re-Pair in rounds: each round counts neighbouring pairs, makes
-rules of the pairs that occur often, most frequent first, and replaces their
-occurrences from the left; it ends when no pair occurs max(16, n / 2000) times
-among n symbols, or after 6 rounds of at most 256 rules; rarer repeats stay. Counting
-uses hashed counters to find the few frequent pairs, which are then counted
-exactly.
-
-Tokenizing goes by pieces between single spaces, whose ids are remembered: the
-byte-level pre-tokenizer always starts a new token at a space before a letter,
-so equal pieces have equal ids. Texts with other runs of white space next to a
-space are encoded whole.
+Compression is Re-Pair: the most frequent neighbouring pairs become rules and their
+occurrences are replaced, again and again, until no pair occurs ``least`` times in the
+shard, whatever its size. Pairs are taken many at a time: a round takes those that occur
+at least 1 / ``SPREAD`` as often as the most frequent one, and of two that overlap the
+more frequent one wins. A pair that occurs less than ``least`` times can't become
+frequent later, so a round looks only at places that have changed or are still frequent.
+
+Tokenizing goes by pieces between single spaces, whose ids are remembered by task: the
+byte-level pre-tokenizer always starts a new token at a space before a letter, so equal
+pieces have equal ids. A new piece of letters and then punctuation is cut as the
+pre-tokenizer cuts it, and its letters are looked up by themselves, so that only unseen
+runs of letters pay for their merges. Texts with other runs of white space next to a
+space, and all texts if the tokenizer is not byte-level, are encoded whole.
 
 Defined cases: null text is empty (the end id alone); null doc_ids come first;
-repeated ids keep a row each; a document longer than a shard has its own shard;
+rows that repeat an id keep a row each, in
+the order of their texts' hashes; a document longer than a shard has its own shard;
 an empty table gives no shards and no rows.
 """
 
+import json
 import re
-import sys
 import zlib
 from array import array
 
@@ -38,121 +41,166 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import stored
+from strandloom.llm.common import released, stored
 
 ODD_SPACE = re.compile(r"\s(?:\s|\Z)|\A\s")
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation without the apostrophe, which starts contractions
+START = "\0"  # stands before the first piece, which has no space before it
 SHARDS = "part int, seq int, first_token bigint, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<int>, base int, rules binary, lengths binary, symbols binary"
-HASH_BITS = 20
+SPREAD, HALF = 32, np.uint64(32)
+
+
+def byte_alphabet() -> dict[int, int]:
+    """The characters by which byte-level tokenizers write bytes: printable Latin-1
+    ones stand for themselves, the others follow from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
 
 
 class Pieces(dict):
-    """ids (as uint32 bytes) of the pieces seen lately; one per worker process. When
-    it is full its content becomes the older half, from which pieces come back."""
+    """ids (as uint32 bytes) of pieces, None for a piece with odd white space; unseen ones
+    are encoded when they are asked for. When it is full its content becomes the older
+    half, from which pieces come back."""
 
-    def __init__(self, vocabulary: str, most: int = 350_000):
+    def __init__(self, vocabulary: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.older = Tokenizer.from_str(vocabulary), most, {}
         self.base = max(self.tokenizer.get_vocab_size(), 3)
-
-    @staticmethod
-    def of(vocabulary: str) -> "Pieces":
-        import tokenizers
-
-        held = sys.modules[tokenizers.__name__].__dict__.setdefault("_piece_caches", {})
-        key = zlib.crc32(vocabulary.encode())
-        if key not in held:
-            held[key] = Pieces(vocabulary)
-        return held[key]
+        self.runs: dict[str, bytes] = {}
+        self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
+        kind = json.loads(vocabulary)
+        cut = kind.get("pre_tokenizer") or {}
+        self.bytes_only = not kind.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
+    def run(self, s: str) -> bytes:
+        """The ids of one pre-token."""
+        found = self.runs.get(s)
+        if found is None:
+            spelled = s.encode().decode("latin-1").translate(self.alphabet)
+            found = self.runs[s] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return found
+
+    def marked(self, x: str) -> bytes | None:
+        """The ids of letters, or of letters and then punctuation."""
+        y = x.rstrip(MARKS)
+        if not y.lstrip(" ").isalpha():
+            return None
+        return self.run(y) + self.run(x[len(y) :]) if len(y) < len(x) else self.run(x)
+
+    def __missing__(self, piece: str) -> bytes | None:
+        x = piece[1:] if piece.startswith(START) else " " + piece
+        if piece in self.older:
+            ids = self.older[piece]
+        elif (ids := self.marked(x)) is None:
+            if not piece or ODD_SPACE.search(piece):
+                ids = None
+            else:
+                lines = x.split("\n")
+                parts = [self.marked(y) for y in lines]
+                ids = self.whole(x) if len(lines) == 1 or None in parts else self.run("\n").join(parts)
+        self[piece] = ids
+        return ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the tokenizer gives them for the whole text."""
-        cut: list[list[str] | None] = []
+        if not self.bytes_only:
+            return [self.whole(t) for t in texts]
+        out = []
         for t in texts:
-            if ODD_SPACE.search(t):
-                cut.append(None)
-                continue
-            p = t.split(" ")
-            p[1:] = [" " + x for x in p[1:]]
-            cut.append(p)
-        if len(self) > self.most:
-            self.older = dict(self)
-            self.clear()
-        new = set().union(*[p for p in cut if p]) - self.keys()
-        back = new & self.older.keys()
-        for x in back:
-            self[x] = self.older[x]
-        new = list(new - back)
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[x] = array("I", e.ids).tobytes()
-        get = self.__getitem__
-        return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, cut, strict=True)]
-
-
-def frequent_pairs(seq: np.ndarray, least: int, most: int) -> np.ndarray:
-    """Keys a << 32 | b of neighbouring pairs that occur ``least`` times, most frequent first."""
-    a, b = seq[:-1].astype(np.uint64), seq[1:].astype(np.uint64)
-    key = a << np.uint64(32) | b
-    with np.errstate(over="ignore"):
-        cell = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
-    hot = np.bincount(cell, minlength=1 << HASH_BITS) >= least
-    keys, counts = np.unique(key[hot[cell]], return_counts=True)
-    keys, counts = keys[counts >= least], counts[counts >= least]
-    return keys[np.lexsort((keys, -counts))][:most]
-
-
-def compress(ids: np.ndarray, base: int, share: int = 2000, rounds: int = 6, per_round: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            pieces = t.split(" ")
+            pieces[0] = START + pieces[0]
+            try:
+                out.append(self.whole(t) if START in t else b"".join(map(self.__getitem__, pieces)))
+            except TypeError:  # a piece has None
+                out.append(self.whole(t))
+            if len(self) > self.most:
+                self.older = dict(self)
+                self.clear()
+            if len(self.runs) > self.most:
+                self.runs.clear()
+        return out
+
+
+def compress(ids: np.ndarray, base: int, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules as pairs, expansion lengths)."""
-    seq = ids.astype(np.uint32)
-    rules: list[tuple[int, int]] = []
-    lengths: list[int] = []
-    size = lambda s: 1 if s < base else lengths[s - base]
-    for _ in range(rounds):
-        least = max(16, len(seq) // share)
-        if len(seq) < 2 * least:
-            break
-        pairs = frequent_pairs(seq, least, per_round)
-        if not len(pairs):
-            break
-        order = np.argsort(pairs)
-        ranked = pairs[order]
-        key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64)
-        at = np.searchsorted(ranked, key)
-        at[at == len(ranked)] = 0
-        hit = np.flatnonzero(ranked[at] == key)
-        if not len(hit):
-            break
-        # of overlapping occurrences every second one is replaced, from the left
-        starts = np.r_[True, np.diff(hit) > 1]
-        run_start = np.maximum.accumulate(np.where(starts, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - run_start) % 2 == 0]
-        for k in pairs.tolist():
-            x, y = k >> 32, k & 0xFFFFFFFF
-            rules.append((x, y))
-            lengths.append(size(x) + size(y))
-        first = base + len(rules) - len(pairs)
-        symbol = np.empty(len(pairs), np.uint32)
-        symbol[np.arange(len(order))] = first + order
-        seq = seq.copy()
-        seq[hit] = symbol[at[hit]]
-        keep = np.ones(len(seq), bool)
-        keep[hit + 1] = False
-        seq = seq[keep]
-    return seq, np.array(rules, np.uint32).reshape(-1, 2), np.array(lengths, np.uint32)
-
-
-def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    seq, lengths, rules = ids.astype(np.uint32), np.ones(0, np.uint32), []
+    live = np.ones(len(seq), bool)  # places whose pair may be frequent
+    live[-1:] = False
+    odd = 0x9E3779B97F4A7C15
+    while np.count_nonzero(live) >= least:
+        at = np.flatnonzero(live)
+        key = seq[at].astype(np.uint64) << HALF | seq[at + 1]
+        bits = min(20, max(10, len(at).bit_length()))
+        cell = (key * np.uint64(odd) >> np.uint64(64 - bits)).astype(np.int32)
+        odd = (odd * 0xD6E8FEB86659FD93 + 2) % (1 << 64) | 1  # other pairs share a cell next time
+        hot = (np.bincount(cell, minlength=1 << bits) >= least)[cell]
+        live[at[~hot]] = False
+        at, key, cell = at[hot], key[hot], cell[hot]
+        owner = np.zeros(1 << bits, np.uint64)
+        owner[cell] = key
+        mine = owner[cell] == key
+        at, key, cell = at[mine], key[mine], cell[mine]
+        count = np.bincount(cell, minlength=1 << bits)[cell]
+        live[at[count < least]] = False
+        top = int(count.max(initial=0))
+        if top < least:
+            continue  # the cells' owners are settled; other pairs own them next time
+        taken = count >= max(least, top // SPREAD)
+        at, key, cell = at[taken], key[taken], cell[taken]
+        rank = count[taken].astype(np.uint64) << HALF | cell.astype(np.uint64)
+        around = np.zeros(len(seq) + 2, np.uint64)
+        around[at + 1] = rank
+        best = (rank >= around[at]) & (rank >= around[at + 2])
+        at, key, cell = at[best], key[best], cell[best]
+        # of overlapping occurrences of one pair every second one is replaced, from the left
+        first = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, np.arange(len(at)), 0))
+        each = (np.arange(len(at)) - first) % 2 == 0
+        at, key, cell = at[each], key[each], cell[each]
+        used = np.bincount(cell, minlength=1 << bits) >= 2
+        each = used[cell]
+        at, key, cell = at[each], key[each], cell[each]
+        name = np.cumsum(used) - 1
+        pairs = np.empty(np.count_nonzero(used), np.uint64)
+        pairs[name[cell]] = key
+        seq[at] = base + len(lengths) + name[cell]
+        sides = (pairs >> HALF).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        sizes = np.r_[np.uint32(1), lengths]
+        lengths = np.r_[lengths, sum(sizes[np.maximum(x - base + 1, 0)] for x in sides)].astype(np.uint32)
+        rules.append(pairs)
+        live[at] = True
+        live[np.maximum(at - 1, 0)] = True
+        stay = np.ones(len(seq), bool)
+        stay[at + 1] = False
+        seq, live = seq[stay], live[stay]
+        live[-1:] = False
+    flat = np.concatenate([np.empty(0, np.uint64), *rules])
+    return seq, np.stack([flat >> HALF, flat & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32), lengths
+
+
+def expansions(rules: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """All rules' expansions in one array after the tokens 0..base-1, and where
     each symbol's expansion starts."""
-    parts: list[np.ndarray] = []
-    get = lambda s: np.array([s], np.uint32) if s < base else parts[s - base]
-    for x, y in rules.tolist():
-        parts.append(np.concatenate([get(x), get(y)]))
-    starts = np.cumsum([base, *map(len, parts)])[:-1] if parts else np.empty(0, np.int64)
-    return np.concatenate([np.arange(base, dtype=np.uint32), *parts]), np.concatenate([np.arange(base), starts]).astype(np.int64)
+    size = np.r_[np.ones(base, np.int64), lengths.astype(np.int64)]
+    starts = np.cumsum(size) - size
+    flat = np.empty(int(size.sum()), np.uint32)
+    flat[:base] = np.arange(base)
+    done = base
+    while done < len(size):
+        # the rules up to the first that needs one of them
+        part = rules[done - base :]
+        later = np.flatnonzero((part >= done).any(1))
+        n = int(later[0]) if len(later) else len(part)
+        for side, shift in ((part[:n, 0], 0), (part[:n, 1], size[part[:n, 0]])):
+            long, to = size[side], starts[done : done + n] + shift
+            inner = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
+            flat[np.repeat(to, long) + inner] = flat[np.repeat(starts[side], long) + inner]
+        done += n
+    return flat, starts
 
 
 def decode(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int, start: int = 0, stop: int | None = None) -> np.ndarray:
@@ -164,19 +212,19 @@ def decode(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: in
     if start >= stop:
         return np.empty(0, np.uint32)
     i, j = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop, side="left") + 1
-    flat, begins = expansions(rules, base)
+    flat, begins = expansions(rules, lengths, base)
     length, before = length[i:j], int(ends[i] - length[i])
     shift = begins[symbols[i:j]] - (np.cumsum(length) - length)
     out = flat[np.repeat(shift, length) + np.arange(int(length.sum()))]
     return out[start - before : stop - before]
 
 
-def write(docs: DataFrame, vocabulary: str, end_id: int = 2, shard_tokens: int = 1 << 20, batch: int = 256) -> DataFrame:
+def write(docs: DataFrame, vocabulary: str, end_id: int = 2, shard_tokens: int = 1 << 18, batch: int = 256) -> DataFrame:
     """The shards of docs, stored."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        pieces = Pieces.of(sent.value)
+        pieces = Pieces(sent.value)
         end = np.array([end_id], np.uint32).tobytes()
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         ids: list = []
@@ -210,8 +258,9 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, shard_tokens: int =
         if n:
             yield shard()
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return stored(rows.mapInArrow(run, SHARDS), "tokens")
+    keys = F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h")  # rows of one id may be parted by their texts
+    rows = docs.select(*keys, "text").repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    return stored(rows.mapInArrow(released(run), SHARDS), "tokens")
 
 
 def read(shards: DataFrame) -> DataFrame:
@@ -231,6 +280,6 @@ def read(shards: DataFrame) -> DataFrame:
                 cols = [pa.array(r["doc_ids"], pa.int64()), pa.array(starts + r["first_token"]), pa.array(r["doc_tokens"], pa.int64()), pa.array(crc, pa.int64()), pa.array([r["part"]] * len(crc), pa.int32())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "in_part", "n_tokens", "ids_crc32", "part"])
 
-    docs = shards.mapInArrow(run, "doc_id bigint, in_part bigint, n_tokens bigint, ids_crc32 bigint, part int")
+    docs = shards.mapInArrow(released(run), "doc_id bigint, in_part bigint, n_tokens bigint, ids_crc32 bigint, part int")
     # one row for each part of the writing job
     return docs.join(F.broadcast(offsets), F.col("part") == F.col("p")).select("doc_id", (F.col("offset") + F.col("in_part")).alias("start"), "n_tokens", "ids_crc32")

@@ -69,13 +69,31 @@ def test_rewrite_keeps_columns_and_clean_texts(spark):
 @given(st.lists(st.integers(0, 6), min_size=0, max_size=400))
 def test_re_pair_round_trip(ids):
     a = np.array(ids, np.uint32)
-    symbols, rules, lengths = token_store.compress(np.tile(a, 8), 10, share=10)
+    symbols, rules, lengths = token_store.compress(np.tile(a, 8), 10)
     whole = token_store.decode(symbols, rules, lengths, 10)
     assert (whole == np.tile(a, 8)).all() and len(symbols) <= 8 * len(ids)
     for s, e in ((0, 5), (len(ids), 3 * len(ids)), (7, 7)):
         assert (token_store.decode(symbols, rules, lengths, 10, s, e) == np.tile(a, 8)[s:e]).all()
 
 
+def test_re_pair_ends_when_no_pair_is_frequent():
+    words = np.random.default_rng(3).integers(0, 40, (30, 6))
+    ids = words[np.random.default_rng(4).integers(0, 30, 4000)].ravel().astype(np.uint32)
+    symbols, rules, lengths = token_store.compress(ids, 40)
+    keys, counts = np.unique(symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:], return_counts=True)
+    a, b = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
+    assert counts[a != b].max() < 4 and len(symbols) < len(ids) / 6
+    assert (token_store.decode(symbols, rules, lengths, 40) == ids).all() and lengths.max() > 6
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab é\u00e9\n\t.,'!|_5ß\x00", max_size=30))
+def test_pieces_equal_whole_texts(text):
+    global PIECES
+    PIECES = globals().get("PIECES") or token_store.Pieces(vocabulary(), most=50)
+    assert PIECES.encode([text]) == [PIECES.whole(text)]
+
+
 def vocabulary():
     P = pytest.importorskip("public_tokenizers")
     with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
