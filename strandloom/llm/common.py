@@ -96,6 +96,13 @@ def released_group(run):
     return group
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1, ... by place, and the new name of each (of the
+    first, where names repeat): operators add columns of their own beside them."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(reversed(list(zip(df.columns, names, strict=True))))
+
+
 def plus(df: DataFrame, ddl: str) -> T.StructType:
     """The schema of df with more fields."""
     return T.StructType(df.schema.fields + T.StructType.fromDDL(ddl).fields)

@@ -19,19 +19,31 @@ def corpus(n=600, seed=3):
     return rows
 
 
+def examples(rows):
+    terms = [toxicity.term_counts(t, {}) for t, _ in rows]
+    return toxicity.Examples(terms, [y for _, y in rows])
+
+
+def vector(index, text):
+    h, _, c = toxicity.term_counts(text, {})
+    known = [(index.terms[k], n) for k, n in zip(h.tolist(), c.tolist(), strict=True) if k in index.terms]
+    return index.weigh(np.array([k for k, _ in known], np.int64), np.array([n for _, n in known], np.int64))
+
+
 def test_nearest_is_exact():
     rows = corpus(300)
-    index = toxicity.Index([t for _, t, _ in rows], [y for *_, y in rows], [i for i, *_ in rows], k=7)
+    index = toxicity.Index(examples([r[1:] for r in rows]), [i for i, *_ in rows], k=7)
     dense = np.zeros((len(rows), len(index.terms)))
     for d, (_, t, _) in enumerate(rows):
-        tid, w = index.vector(toxicity.term_counts(t))
+        tid, w = vector(index, t)
         dense[d, tid] = w
     for d in range(0, 300, 3):
-        tid, w = index.vector(toxicity.term_counts(rows[d][1]))
+        tid, w = vector(index, rows[d][1])
         sims = dense[:, tid] @ w if len(tid) else np.zeros(len(rows))
         want = sorted(((round(float(s), 9), -i) for i, s in enumerate(sims) if s > 0), reverse=True)[:7]
         got = [(round(s, 9), -i) for s, i in index.nearest(tid, w)]
-        assert [s for s, _ in got] == [s for s, _ in want]
+        assert np.allclose([s for s, _ in got], [s for s, _ in want], atol=1e-8, rtol=0)
+        assert np.allclose([s for s, _ in index.all_similar(tid, w)], [s for s, _ in want], atol=1e-8, rtol=0)
 
 
 def test_held_out_accuracy(spark):
@@ -65,14 +77,21 @@ def test_odd_rows(spark):
     assert toxicity.query(docs.limit(0), labels).count() == 0
 
 
+def test_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, 8), (1, None, 7, 8)], "doc_id bigint, text string, score int, c0 int").withColumnRenamed("c0", "predicted")
+    labels = spark.createDataFrame([(1, 0)], "doc_id bigint, toxic int")
+    out = toxicity.clean(docs, labels)
+    assert out.columns == docs.columns and sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
+
+
 def test_few_labels_still_catch():
     """Terms are chosen at 60 to 80 labels too, and then caught are more than left."""
     test = corpus(400, seed=9)
     for n in (60, 80):
         rows = corpus(n, seed=1)
-        index = toxicity.Index([t for _, t, _ in rows], [y for *_, y in rows], [i for i, *_ in rows])
+        index = toxicity.Index(examples([r[1:] for r in rows]), [i for i, *_ in rows])
         assert index.terms
-        got = [(index.score(index.nearest(*index.vector(toxicity.term_counts(t)))) >= 0.5, y) for _, t, y in test]
+        got = [(index.score(index.nearest(*vector(index, t))) >= 0.5, y) for _, t, y in test]
         caught, toxic = sum(p and y for p, y in got), sum(y for _, y in got)
         assert caught > 0.5 * toxic and sum(p and not y for p, y in got) < 0.1 * len(got)
 
@@ -81,5 +100,5 @@ def test_number_of_terms_has_no_cap():
     words = [chr(97 + i // 26 % 26) + chr(97 + i % 26) + chr(97 + i // 676) for i in range(1500)]
     rows = [(" ".join(words) if i % 2 else "good day", i % 2) for i in range(200)]
     rows = [(f"{t} {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}", y) for i, (t, y) in enumerate(rows)]
-    index = toxicity.Index([t for t, _ in rows], [y for _, y in rows], list(range(200)))
+    index = toxicity.Index(examples(rows), list(range(200)))
     assert len(index.terms) >= 1500
