@@ -2,8 +2,6 @@
 
 import contextlib
 import ctypes
-import functools
-import gc
 import os
 import re
 import tempfile
@@ -64,7 +62,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def give_back() -> None:
     """Returns freed memory to the system: Spark uses Python workers again, and what
     one task has taken would weigh on the next ones."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not glibc
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -73,7 +70,6 @@ def give_back() -> None:
 def released(run):
     """run, a function of a task's batches, with give_back() at its end."""
 
-    @functools.wraps(run)
     def stream(batches):
         try:
             yield from run(batches)
@@ -86,7 +82,6 @@ def released(run):
 def released_group(run):
     """The same for a function of one group's table."""
 
-    @functools.wraps(run)
     def group(t):
         try:
             return run(t)
@@ -96,6 +91,18 @@ def released_group(run):
     return group
 
 
+def released_pair(run):
+    """The same for a function of two groups' tables."""
+
+    def pair(t, u):
+        try:
+            return run(t, u)
+        finally:
+            give_back()
+
+    return pair
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """df with its columns named c0, c1, ... by place, and the new name of each (of the
     first, where names repeat): operators add columns of their own beside them."""

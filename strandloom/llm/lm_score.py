@@ -2,18 +2,21 @@
 
 P(w | h) = l(b) * c(h, w) / c(h) + (1 - l(b)) * base(w), where base is the unigram
 estimate (c + 0.5) / (N + 0.5 (V + 1)) and b the bucket of the context's count
-c(h), by powers of two. Each bucket's weight l is learned by expectation-
-maximisation on deleted counts: every training bigram is predicted from the counts
-without itself, and the ratios of the two estimates, as a histogram per bucket,
-are all that EM needs. A document starts in a context of its own and ends with an
-end token.
-
-Flow, over all documents: word counts by hash range; each task then sends its
-bigrams as pairs of word numbers, packed in one binary row per task and hash range,
-to the range of the pair, where they are counted and compared; what counts above
-the document's own occurrence is stored. After EM a last scan sums what a document
+c(h), by powers of two. Each bucket's weight l is learned by expectation-maximisation
+on held-out counts: one training document in five (by the next remainder of its id's
+checksum) is set aside, the estimates for its bigrams are taken from the counts of the
+others, and the ratios of the two estimates, as a histogram per bucket (``PER_OCTAVE``
+cells for each doubling), are all that EM needs. The final estimates count all training
+documents. A document starts in a context of its own and ends with an end token. The
+order is two: contexts are single words.
+
+Flow, over all documents: word counts by hash range; each task then sums each document's
+equal bigrams and sends them as pairs of word numbers, packed in one binary row per task
+and hash range, to the range of the pair, where they are counted and compared; what counts
+above the document's own occurrence is stored. After EM a last scan sums what a document
 can know of itself, and the stored counts add their corrections, summed per task's
-documents before they become rows.
+documents before they become rows. Ranges are as many as their words need
+(``RANGE_WORDS`` each).
 
 Word counts are sent to all tasks only if they fit ``broadcast_bytes``; beyond it
 the same model is computed by joins (``_by_joins``).
@@ -29,35 +32,43 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import byte_words, crc_mod5, hash_words, mix, small_batches, stored
+from strandloom.llm.common import byte_words, hash_words, mix, released, released_group, small_batches, stored
 from strandloom.llm.substring_dedup import _planes, _unplanes, keyed
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word has a line feed
-BUCKETS, CELLS = 40, 256  # cells of log2 of the ratio, a quarter each; cell 0: ratio 0
-CHUNK_WORDS, SLICE_ROWS = 500_000, 256
+BUCKETS, CELLS, PER_OCTAVE = 40, 4096, 32  # cells of log2 of the ratio; cell 0: ratio 0
+CHUNK_WORDS, RANGE_WORDS, SLICE_ROWS = 400_000, 1_000_000, 256
+
+
+KEPT, HELD, ASIDE = 0, 1, 2  # of documents: training, scored only, training set aside for the weights
 
 
 class Vocabulary:
     """Word numbers, by falling count, and counts; number V is any other word and
     V + 1 the start of a document."""
 
-    def __init__(self, hashes: np.ndarray, number: np.ndarray, counts: np.ndarray):
-        """hashes: sorted, with their numbers; counts: by number, with V and V + 1."""
-        self.hashes, self.number, self.counts = hashes, number, counts
+    def __init__(self, hashes: np.ndarray, number: np.ndarray, counts: np.ndarray, kept: np.ndarray):
+        """hashes: sorted, with their numbers; counts of all training documents and of
+        those kept when weights are learned: by number, with V and V + 1."""
+        self.hashes, self.number, self.counts, self.kept = hashes, number, counts, kept
         self.v, self.n = len(hashes), int(counts[: len(hashes)].sum(dtype=np.int64))
+        self.n_kept = int(kept[: len(hashes)].sum(dtype=np.int64))
         self.bits = max(1, min(24, int(self.v).bit_length() - 2))
         self.first = np.r_[np.searchsorted(hashes, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)), self.v].astype(np.int32)
 
     @staticmethod
-    def arrays(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def arrays(hashes: np.ndarray, counts: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, ...]:
         """What __init__ takes, from words and their counts in any order."""
         number = np.empty(len(hashes), np.uint32)
         number[np.lexsort((hashes, -counts))] = np.arange(len(hashes), dtype=np.uint32)
-        by_number = np.zeros(len(hashes) + 2, np.int64)
-        by_number[number] = counts
-        by_number[len(hashes) + 1] = counts[hashes == END].sum()  # documents
+        by_number = []
+        for c in (counts, kept):
+            out = np.zeros(len(hashes) + 2, np.int64)
+            out[number] = c
+            out[len(hashes) + 1] = c[hashes == END].sum()  # documents
+            by_number.append(out.astype(np.uint32) if out.max() < 1 << 32 else out)
         order = np.argsort(hashes)
-        return hashes[order], number[order], by_number.astype(np.uint32) if by_number.max() < 1 << 32 else by_number
+        return hashes[order], number[order], *by_number
 
     def find(self, h: np.ndarray) -> np.ndarray:
         cell = (h >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -84,12 +95,12 @@ def bucket(count: np.ndarray) -> np.ndarray:
 
 def cell(ratio: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
-        return np.where(ratio > 0, np.clip(np.round(4 * np.log2(np.maximum(ratio, 1e-300))) + CELLS // 2, 1, CELLS - 1), 0).astype(np.int64)
+        return np.where(ratio > 0, np.clip(np.round(PER_OCTAVE * np.log2(np.maximum(ratio, 1e-300))) + CELLS // 2, 1, CELLS - 1), 0).astype(np.int64)
 
 
 def learn(histogram: np.ndarray, rounds: int = 60) -> np.ndarray:
     """EM for each bucket's weight; histogram: BUCKETS x CELLS counts of ratios."""
-    ratio = np.r_[0.0, 2.0 ** ((np.arange(1, CELLS) - CELLS // 2) / 4)]
+    ratio = np.r_[0.0, 2.0 ** ((np.arange(1, CELLS) - CELLS // 2) / PER_OCTAVE)]
     weight = np.where(histogram.sum(1) > 0, 0.5, 0.0)
     total = np.maximum(1, histogram.sum(1))
     for _ in range(rounds):
@@ -112,14 +123,14 @@ def _tokens(batch: pa.RecordBatch):
 
 
 def _chunks(batches):
-    """(ids, text hashes, held-out flags, token hashes, token counts) of about
+    """(ids, text hashes, roles, token hashes, token counts) of about
     CHUNK_WORDS words at a time."""
     held, words = [], 0
     for b in batches:
         for at in range(0, b.num_rows, SLICE_ROWS):
             s = b.slice(at, SLICE_ROWS)
             h, n = _tokens(s)
-            held.append((*(np.array(s.column(c)) for c in ("__id", "__th", "held_out")), h, n))
+            held.append((*(np.array(s.column(c)) for c in ("__id", "__th", "role")), h, n))
             words += len(h)
             if words >= CHUNK_WORDS:
                 yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
@@ -129,7 +140,7 @@ def _chunks(batches):
 
 
 def _pack_docs(ids: np.ndarray, ths: np.ndarray, out: np.ndarray) -> bytes:
-    """13 bytes for each document: id, text hash, held-out flag."""
+    """13 bytes for each document: id, text hash, role (KEPT, HELD or ASIDE)."""
     return _planes(np.diff(ids, prepend=0).astype("<i8")) + ths.astype("<i4").tobytes() + out.astype("<u1").tobytes()
 
 
@@ -144,25 +155,30 @@ def _by_range(part: np.ndarray, ranges: int):
     return [(r, by[cuts[r] : cuts[r + 1]]) for r in range(ranges) if cuts[r + 1] > cuts[r]]
 
 
-def word_counts(rows: DataFrame, ranges: int) -> DataFrame:
-    """Stored: for each hash range the words of training rows and their counts."""
+def word_counts(rows: DataFrame, ranges: int, kept: list[str] | None = None) -> DataFrame:
+    """Stored: for each hash range the words of training rows, their counts, and those
+    of rows that are not set aside."""
 
     def send(batches):
-        for _, _, out, h, n in _chunks(batches):
-            words, counts = np.unique(h[np.repeat(~out.astype(bool), n)], return_counts=True)
-            part = (words & np.uint64(0xFFFFFFFF)).astype(np.int64) % ranges
-            for r, i in _by_range(part, ranges):
-                yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "words": pa.array([words[i].tobytes()], pa.binary()), "counts": pa.array([counts[i].astype("<u4").tobytes()], pa.binary())})
+        for _, _, role, h, n in _chunks(batches):
+            of = np.repeat(role, n)
+            for kind in (KEPT, ASIDE):
+                words, counts = np.unique(h[of == kind], return_counts=True)
+                part = (words & np.uint64(0xFFFFFFFF)).astype(np.int64) % ranges
+                for r, i in _by_range(part, ranges):
+                    yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "kind": pa.array([kind], pa.int32()), "words": pa.array([words[i].tobytes()], pa.binary()), "counts": pa.array([counts[i].astype("<u4").tobytes()], pa.binary())})
 
     def add(t: pa.Table) -> pa.Table:
-        words = np.concatenate([np.frombuffer(b, "<u8") for b in t.column("words").to_pylist()])
+        words = [np.frombuffer(b, "<u8") for b in t.column("words").to_pylist()]
         counts = np.concatenate([np.frombuffer(b, "<u4") for b in t.column("counts").to_pylist()])
-        keys, at = np.unique(words, return_inverse=True)
-        sums = np.bincount(at, counts).astype("<i8")
-        return pa.table({"words": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([sums.tobytes()], pa.binary()), "v": pa.array([len(keys)], pa.int64()), "n": pa.array([int(sums.sum())], pa.int64())})
+        kind = np.repeat(np.array(t.column("kind")), [len(w) for w in words])
+        keys, at = np.unique(np.concatenate(words), return_inverse=True)
+        sums = np.bincount(at, counts, len(keys)).astype("<i8")
+        some = np.bincount(at, counts * (kind == KEPT), len(keys)).astype("<i8")
+        return pa.table({"words": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([sums.tobytes()], pa.binary()), "kept": pa.array([some.tobytes()], pa.binary()), "v": pa.array([len(keys)], pa.int64()), "n": pa.array([int(sums.sum())], pa.int64()), "n_kept": pa.array([int(some.sum())], pa.int64())})
 
-    sent = rows.mapInArrow(send, "range int, words binary, counts binary")
-    return stored(sent.groupBy("range").applyInArrow(add, "words binary, counts binary, v bigint, n bigint"), "words")
+    sent = rows.mapInArrow(released(send), "range int, kind int, words binary, counts binary")
+    return stored(sent.groupBy("range").applyInArrow(released_group(add), "words binary, counts binary, kept binary, v bigint, n bigint, n_kept bigint"), "words", kept)
 
 
 def _bigrams(ids: np.ndarray, n: np.ndarray, start: int) -> np.ndarray:
@@ -173,64 +189,86 @@ def _bigrams(ids: np.ndarray, n: np.ndarray, start: int) -> np.ndarray:
     return h
 
 
-def _compare(sent, t: pa.Table) -> pa.Table:
+def _once(doc: np.ndarray, c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A document's equal bigrams as one: doc, context, word, how often; by document."""
+    key = c.astype(np.uint64) << np.uint64(32) | w
+    order = np.argsort(key, kind="stable")
+    order = order[np.argsort(doc[order], kind="stable")]
+    key, doc = key[order], doc[order]
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]) if len(key) else np.empty(0, np.int64)
+    times = np.diff(np.r_[first, len(key)]).astype(np.uint32)
+    key = key[first]
+    return doc[first], (key >> np.uint64(32)).astype(np.uint32), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), times
+
+
+def _compare(vocab: Vocabulary, t: pa.Table) -> pa.Table:
     """Counts of a range's bigrams: the histogram for EM and, per task's documents,
     the occurrences that have others."""
-    vocab: Vocabulary = sent
-    hs, ws, docs, packed, out, at = [], [], [], [], [], 0
+    hs, ws, ks, docs, packed, roles, at = [], [], [], [], [], [], 0
     for b in t.column("blob").to_pylist():
         n, k = np.frombuffer(b, "<i8", 2).tolist()
         packed.append(b[16 : 16 + 13 * k])
-        out.append(_unpack_docs(packed[-1])[2])
+        roles.append(_unpack_docs(packed[-1])[2])
         counts = _unplanes(b[16 + 13 * k : 16 + 17 * k], "<u4")
         off = 16 + 17 * k
-        hs.append(_unplanes(b[off : off + 4 * n], "<u4"))
-        ws.append(_unplanes(b[off + 4 * n : off + 8 * n], "<u4"))
+        for i, x in enumerate((hs, ws, ks)):
+            x.append(_unplanes(b[off + 4 * n * i : off + 4 * n * (i + 1)], "<u4"))
         docs.append(np.repeat(np.arange(at, at + k, dtype=np.uint32), counts))
         at += k
-    h, w, doc, held = (np.concatenate(x) for x in (hs, ws, docs, out))
-    train = held[doc] == 0
-    del hs, ws, docs
+    h, w, times, doc, role = (np.concatenate(x) for x in (hs, ws, ks, docs, roles))
+    del hs, ws, ks, docs
+    role = role.astype(np.uint8)[doc]
     key = h.astype(np.uint64) << np.uint64(32) | w
     del h, w
     keys, of = np.unique(key, return_inverse=True)
-    c2 = np.bincount(of, train, len(keys)).astype(np.int64)
+    del key
+    of = of.astype(np.uint32)
+    c2 = np.bincount(of, times * (role != HELD), len(keys)).astype(np.int64)
+    aside = np.bincount(of, times * (role == ASIDE), len(keys)).astype(np.int64)
     kh, kw = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    ch, cw = vocab.counts[kh].astype(np.int64), vocab.counts[kw].astype(np.int64)
-    seen = c2 > 0
-    p2 = (c2[seen] - 1) / np.maximum(1, ch[seen] - 1)
-    p1 = (cw[seen] - 0.5) / (vocab.n - 1 + 0.5 * (vocab.v + 1))
-    histogram = np.bincount(bucket(ch[seen]) * CELLS + cell(p2 / p1), c2[seen], BUCKETS * CELLS)
-    more = c2[of] - train >= 1
+    ch = vocab.kept[kh].astype(np.int64)
+    seen = (aside > 0) & (ch > 0)
+    p2 = (c2 - aside)[seen] / ch[seen]
+    p1 = (vocab.kept[kw[seen]] + 0.5) / (vocab.n_kept + 0.5 * (vocab.v + 1))
+    histogram = np.bincount(bucket(ch[seen]) * CELLS + cell(p2 / p1), aside[seen], BUCKETS * CELLS)
+    filled = np.flatnonzero(histogram)
+    more = np.flatnonzero(c2[of] - (role != HELD) >= 1)
     used, of = np.unique(of[more], return_inverse=True)
+    planes = lambda x: _planes(x.astype("<u4")) if len(x) else b""
     return pa.table({
-        "histogram": pa.array([histogram.tobytes()], pa.binary()),
+        "cells": pa.array([filled.astype("<u4").tobytes()], pa.binary()),
+        "sums": pa.array([histogram[filled].tobytes()], pa.binary()),
         "keys": pa.array([_planes(keys[used]) if len(used) else b""], pa.binary()),
         "c2": pa.array([c2[used].astype("<u4").tobytes()], pa.binary()),
-        "of": pa.array([_planes(of.astype("<u4")) if len(of) else b""], pa.binary()),
-        "doc": pa.array([_planes(doc[more].astype("<u4")) if len(of) else b""], pa.binary()),
+        "of": pa.array([planes(of)], pa.binary()),
+        "times": pa.array([planes(times[more])], pa.binary()),
+        "doc": pa.array([planes(doc[more])], pa.binary()),
         "docs": pa.array([packed], pa.list_(pa.binary())),
     })
 
 
-COMPARED = "histogram binary, keys binary, c2 binary, of binary, doc binary, docs array<binary>"
+COMPARED = "cells binary, sums binary, keys binary, c2 binary, of binary, times binary, doc binary, docs array<binary>"
 
 
-def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_bytes: int = 96 << 20) -> DataFrame:
+def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_bytes: int = 128 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     small_batches(spark)
-    ranges = ranges or max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = keyed(docs.select("doc_id", "text")).withColumn("held_out", (crc_mod5() == held).cast("int")).select("doc_id", "__id", "__th", "held_out", "text")
-    counted = word_counts(rows, ranges)
-    size = counted.agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    if 16 * size.v > broadcast_bytes:
-        return _by_joins(rows, counted, size.v, size.n)
-    parts = counted.select("words", "counts").collect()  # at most broadcast_bytes
-    words = np.concatenate([np.frombuffer(p.words, "<u8") for p in parts] or [np.empty(0, np.uint64)])
-    counts = np.concatenate([np.frombuffer(p.counts, "<i8") for p in parts] or [np.empty(0, np.int64)])
-    sent = spark.sparkContext.broadcast(Vocabulary.arrays(words, counts))
-    del parts, words, counts
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    checksum = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    role = F.when(checksum % 5 == held, F.lit(HELD)).when(F.floor(checksum / 5) % 5 == 0, F.lit(ASIDE)).otherwise(F.lit(KEPT))
+    rows = keyed(docs.select("doc_id", "text")).withColumn("role", role).select("doc_id", "__id", "__th", "role", "text")
+    counted = word_counts(rows, ranges or max(8, partitions))
+    size = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v", "n", "n_kept")]).first()
+    ranges = ranges or max(8, partitions, -(-size.n // RANGE_WORDS))
+    if 20 * size.v > broadcast_bytes:
+        return _by_joins(rows, counted, size.v, size.n, size.n_kept)
+    parts = counted.select("words", "counts", "kept").collect()  # at most broadcast_bytes
+    flat = lambda c, t: np.concatenate([np.empty(0, t), *[np.frombuffer(p[c], t) for p in parts]])
+    arrays = Vocabulary.arrays(flat("words", np.uint64), flat("counts", np.int64), flat("kept", np.int64))
+    del parts
+    sent = spark.sparkContext.broadcast(arrays)
+    del arrays
     vocabulary = lambda: Vocabulary(*sent.value)
 
     def send(batches):
@@ -242,18 +280,18 @@ def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_b
             del h
             docs = _pack_docs(ids, ths, out)
             known = np.flatnonzero((w != vocab.v) & (c != vocab.v))
-            part = (mix(c[known].astype(np.uint64) << np.uint64(32) | w[known]) >> np.uint64(33)).astype(np.int64) % ranges
+            doc, c, w, times = _once(doc[known], c[known], w[known])
+            part = (mix(c.astype(np.uint64) << np.uint64(32) | w) >> np.uint64(33)).astype(np.int64) % ranges
             for r, i in _by_range(part, ranges):
-                i = known[i]
                 count = np.bincount(doc[i], minlength=len(n))
                 head = np.array([len(i), len(n)], "<i8").tobytes()
-                blob = head + docs + _planes(count.astype("<u4")) + _planes(c[i]) + _planes(w[i])
+                blob = head + docs + _planes(count.astype("<u4")) + _planes(c[i]) + _planes(w[i]) + _planes(times[i])
                 yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "blob": pa.array([blob], pa.binary())})
 
-    compared = stored(rows.mapInArrow(send, "range int, blob binary").groupBy("range").applyInArrow(lambda t: _compare(vocabulary(), t), COMPARED), "bigrams")
+    compared = stored(rows.mapInArrow(released(send), "range int, blob binary").groupBy("range").applyInArrow(released_group(lambda t: _compare(vocabulary(), t)), COMPARED), "bigrams")
     histogram = np.zeros(BUCKETS * CELLS)
-    for r in compared.select("histogram").toLocalIterator():  # 80 kB for each range
-        histogram += np.frombuffer(r.histogram, "<f8")
+    for r in compared.select("cells", "sums").toLocalIterator():  # the cells that a range fills
+        histogram[np.frombuffer(r.cells, "<u4")] += np.frombuffer(r.sums, "<f8")
     weights = learn(histogram.reshape(BUCKETS, CELLS))
 
     def mixed(vocab, h, w, c2):
@@ -265,7 +303,7 @@ def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_b
         vocab = vocabulary()
         for b in batches:
             for r in b.to_pylist():
-                held = np.concatenate([_unpack_docs(x)[2] for x in r["docs"]])
+                held = (np.concatenate([_unpack_docs(x)[2] for x in r["docs"]]) == HELD).astype(np.int64)
                 total = np.zeros(len(held))
                 if r["of"]:
                     keys = _unplanes(r["keys"], "<u8")
@@ -273,7 +311,7 @@ def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_b
                     full = np.log10(mixed(vocab, h, w, np.frombuffer(r["c2"], "<u4")))
                     own = np.stack([full - np.log10(mixed(vocab, h, w, 1)), full - np.log10(mixed(vocab, h, w, 0))])
                     doc = _unplanes(r["doc"], "<u4")
-                    total = np.bincount(doc, own[held[doc], _unplanes(r["of"], "<u4")], len(held))
+                    total = np.bincount(doc, own[held[doc], _unplanes(r["of"], "<u4")] * _unplanes(r["times"], "<u4"), len(held))
                 at = 0
                 for x in r["docs"]:
                     k = len(x) // 13
@@ -287,10 +325,10 @@ def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_b
         return pa.table({"c_id": ids, "c_th": ths, "more": sums})
 
     corrections = (
-        compared.select("keys", "c2", "of", "doc", "docs")
-        .mapInArrow(correct, "task bigint, docs binary, sums binary")
+        compared.select("keys", "c2", "of", "times", "doc", "docs")
+        .mapInArrow(released(correct), "task bigint, docs binary, sums binary")
         .groupBy("task")
-        .applyInArrow(add, "c_id bigint, c_th bigint, more double")
+        .applyInArrow(released_group(add), "c_id bigint, c_th bigint, more double")
         .groupBy("c_id", "c_th")
         .agg(F.avg("more").alias("more"))  # repeated rows have equal sums
     )
@@ -303,21 +341,21 @@ def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_b
                 h, n = _tokens(s)
                 w = vocab.find(h)
                 c = _bigrams(w, n, vocab.v + 1)
-                train = np.repeat(np.array(s.column("held_out")) == 0, n)
+                train = np.repeat(np.array(s.column("role")) != HELD, n)
                 p = np.log10(mixed(vocab, c.astype(np.int64), w.astype(np.int64), train.astype(np.float64)))
                 first = np.cumsum(n) - n
                 sums = [np.add.reduceat(x, first) for x in ((vocab.counts[w] > 0).astype(np.int64), np.log10(vocab.base(w)), p)]
                 yield pa.RecordBatch.from_arrays(
-                    [s.column("doc_id"), s.column("__id"), s.column("__th"), pa.array(np.array(s.column("held_out")) == 1), pa.array(n), pa.array(sums[0]), pa.array([vocab.n] * len(n), pa.int64()), pa.array(sums[1]), pa.array(sums[2])],
+                    [s.column("doc_id"), s.column("__id"), s.column("__th"), pa.array(np.array(s.column("role")) == HELD), pa.array(n), pa.array(sums[0]), pa.array([vocab.n] * len(n), pa.int64()), pa.array(sums[1]), pa.array(sums[2])],
                     ["doc_id", "__id", "__th", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "own"],
                 )
 
     ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __id bigint, __th bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, own double"
-    out = rows.mapInArrow(own, ddl).join(corrections, (F.col("__id") == F.col("c_id")) & (F.col("__th") == F.col("c_th")), "left")
+    out = rows.mapInArrow(released(own), ddl).join(corrections, (F.col("__id") == F.col("c_id")) & (F.col("__th") == F.col("c_th")), "left")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", (F.col("own") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
-def _by_joins(rows: DataFrame, counted: DataFrame, v: int, n: int) -> DataFrame:
+def _by_joins(rows: DataFrame, counted: DataFrame, v: int, n: int, n_kept: int) -> DataFrame:
     """The same model by shuffled joins of distinct (document, context, word)."""
 
     def spread(batches):
@@ -329,31 +367,33 @@ def _by_joins(rows: DataFrame, counted: DataFrame, v: int, n: int) -> DataFrame:
                 c = np.r_[np.uint64(0), h[:-1]]
                 c[first] = 0
                 i = np.repeat(np.arange(len(k)), k)
-                yield pa.RecordBatch.from_arrays([*(s.column(x).take(pa.array(i)) for x in ("__id", "__th", "held_out")), pa.array(c.view(np.int64)), pa.array(h.view(np.int64))], ["d_id", "d_th", "held", "h", "w"])
+                yield pa.RecordBatch.from_arrays([*(s.column(x).take(pa.array(i)) for x in ("__id", "__th", "role")), pa.array(c.view(np.int64)), pa.array(h.view(np.int64))], ["d_id", "d_th", "role", "h", "w"])
 
     def unpack(batches):
         for b in batches:
             for r in b.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["words"], "<i8")), pa.array(np.frombuffer(r["counts"], "<i8"))], ["word", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r[c], "<i8")) for c in ("words", "counts", "kept")], ["word", "c", "kept"])
 
-    words = counted.mapInArrow(unpack, "word bigint, c bigint")
+    words = counted.mapInArrow(released(unpack), "word bigint, c bigint, kept bigint")
     end = int(END.view(np.int64)) if hasattr(END, "view") else int(END)
-    contexts = words.union(words.where(F.col("word") == end).select(F.lit(0).cast("bigint"), "c"))
+    contexts = words.union(words.where(F.col("word") == end).select(F.lit(0).cast("bigint"), "c", "kept"))
     copies = rows.groupBy("__id", "__th").agg(F.count("*").alias("copies"))
-    tokens = rows.mapInArrow(spread, "d_id bigint, d_th bigint, held int, h bigint, w bigint").groupBy("d_id", "d_th", "held", "h", "w").agg(F.count("*").alias("k"))
-    pairs = tokens.where("held = 0").groupBy(F.col("h").alias("p_h"), F.col("w").alias("p_w")).agg(F.sum("k").alias("c2"))
+    tokens = rows.mapInArrow(released(spread), "d_id bigint, d_th bigint, role int, h bigint, w bigint").groupBy("d_id", "d_th", "role", "h", "w").agg(F.count("*").alias("k"))
+    aside = F.coalesce(F.sum(F.when(F.col("role") == ASIDE, F.col("k"))), F.lit(0))
+    pairs = tokens.where(F.col("role") != HELD).groupBy(F.col("h").alias("p_h"), F.col("w").alias("p_w")).agg(F.sum("k").alias("c2"), aside.alias("aside"))
     t = (
-        tokens.join(words.select(F.col("word").alias("w"), F.col("c").alias("cw")), "w", "left")
-        .join(contexts.select(F.col("word").alias("h"), F.col("c").alias("ch")), "h", "left")
+        tokens.join(words.select(F.col("word").alias("w"), F.col("c").alias("cw"), F.col("kept").alias("kw")), "w", "left")
+        .join(contexts.select(F.col("word").alias("h"), F.col("c").alias("ch"), F.col("kept").alias("kh")), "h", "left")
         .join(pairs, (F.col("h") == F.col("p_h")) & (F.col("w") == F.col("p_w")), "left")
-        .select("d_id", "d_th", "held", "k", "h", "w", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("cw", "ch", "c2")])
+        .select("d_id", "d_th", "role", "k", "h", "w", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("cw", "kw", "ch", "kh", "c2", "aside")])
     )
     den = n + 0.5 * (v + 1)
-    b = F.least(F.lit(BUCKETS - 1), F.floor(F.log2(F.greatest("ch", F.lit(1)).cast("double")))).cast("int")
-    ratio = ((F.col("c2") - 1) / F.greatest(F.lit(1), F.col("ch") - 1)) / ((F.col("cw") - 0.5) / (den - 1))
-    cells = F.when(ratio > 0, F.greatest(F.lit(1), F.least(F.lit(CELLS - 1), F.rint(4 * F.log2(ratio)) + CELLS // 2))).otherwise(0).cast("int")
+    of = lambda c: F.least(F.lit(BUCKETS - 1), F.floor(F.log2(F.greatest(c, F.lit(1)).cast("double")))).cast("int")
+    b = of("ch")
+    ratio = (F.col("c2") - F.col("aside")) / F.col("kh") / ((F.col("kw") + 0.5) / (n_kept + 0.5 * (v + 1)))
+    cells = F.when(ratio > 0, F.greatest(F.lit(1), F.least(F.lit(CELLS - 1), F.rint(PER_OCTAVE * F.log2(ratio)) + CELLS // 2))).otherwise(0).cast("int")
     histogram = np.zeros((BUCKETS, CELLS))
-    for r in t.where("held = 0").groupBy(b.alias("b"), cells.alias("x")).agg(F.sum("k").alias("k")).collect():
+    for r in t.where((F.col("role") == ASIDE) & (F.col("kh") > 0)).groupBy(of("kh").alias("b"), cells.alias("x")).agg(F.sum("k").alias("k")).collect():
         histogram[r.b, r.x] = r.k
     weights = learn(histogram)
     lam = F.when(F.col("ch") > 0, F.element_at(F.array(*[F.lit(float(x)) for x in weights]), b + 1)).otherwise(0.0)
@@ -362,6 +402,6 @@ def _by_joins(rows: DataFrame, counted: DataFrame, v: int, n: int) -> DataFrame:
     sums = t.groupBy("d_id", "d_th").agg(F.sum("k").alias("n_tokens"), F.sum(F.when(F.col("cw") > 0, F.col("k")).otherwise(0)).alias("n_known"), F.sum(F.col("k") * F.log10(base)).alias("base_score"), F.sum(F.col("k") * F.log10(p)).alias("score"))
     out = rows.join(sums.join(copies, (F.col("d_id") == F.col("__id")) & (F.col("d_th") == F.col("__th"))).drop("__id", "__th"), (F.col("__id") == F.col("d_id")) & (F.col("__th") == F.col("d_th")))
     per = lambda c: (F.col(c) / F.col("copies")).cast("bigint").alias(c)
-    return out.select("doc_id", (F.col("held_out") == 1).alias("held_out"), per("n_tokens"), per("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), (F.col("base_score") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"))
+    return out.select("doc_id", (F.col("role") == HELD).alias("held_out"), per("n_tokens"), per("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), (F.col("base_score") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"))
 
 
