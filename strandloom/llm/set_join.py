@@ -3,12 +3,16 @@
 Two sets link when their Jaccard similarity reaches ``percent`` / 100. Equal sets
 are one node. The overlap T that a partner must reach divides a set's inverted
 lists as DivideSkip does: all but the rarest p = n - ceil(percent n / 100) + 1
-tokens are long lists, which are never merged, since a partner that reaches T must
-occur in a short one. Short lists are merged per set; partners that pass the size
-and position bounds are candidates, the bound of their parity bitmaps (overlap is
-at most half of both sizes minus the bitmaps' difference) drops most of them, and
-the long lists are then probed by binary search in the partner's sorted tokens,
-which gives the exact overlap.
+tokens are long lists, which are never merged. The short lists of a hash range are
+merged in order of size, and each pair of sets counts its occurrences among the first
+n - T + l tokens of both: sets that overlap in T tokens share l of these, so pairs with
+fewer than l occurrences over all ranges are dropped (l is at most ``OCCURRENCES``, and
+as large as the p tokens allow). The bound of their parity bitmaps (overlap is at most
+half of both sizes minus the bitmaps' difference) drops most of the others, and the long
+lists are then probed by binary search in the partner's sorted tokens, which gives the
+exact overlap: first for one pair of each two groups, then for the pairs whose groups
+are still apart. Pairs travel packed, by bucket of a set, and meet its size and
+bitmap there; only those left become rows.
 
 Rare first: a table of the ``hot`` most frequent tokens is counted over all sets;
 tokens not in it come first, by hash, then hot ones by count. The order decides
@@ -33,11 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import byte_words, discard, hash_words, mix, shingle_hashes, small_batches, stored
+from strandloom.llm.common import byte_words, discard, hash_words, mix, numbered, released, released_group, released_pair, shingle_hashes, small_batches, stored
 from strandloom.llm.components import components
 from strandloom.llm.substring_dedup import _planes, _unplanes
 
 BANDS, LEADERS, BAND_ROWS = 4, 8, 1000
+OCCURRENCES = 8
 SLICE_ROWS, CHUNK_TOKENS = 256, 2_000_000
 WORDS = 8  # of a parity bitmap
 SETS = "doc_id bigint, th bigint, s1 bigint, s2 bigint, n int, bands array<bigint>, " + ", ".join(f"w{i} bigint" for i in range(WORDS)) + ", tokens binary"
@@ -129,7 +134,7 @@ def text_sets(docs: DataFrame, k: int, seed: int, kept: list[str] | None = None)
                 sets = [token_set(t, k) for t in s.column(2).to_pylist()]
                 yield set_rows(s.column(0), s.column(1), sets, seed)
 
-    return stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, SETS), "sets", kept)
+    return stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(released(run), SETS), "sets", kept)
 
 
 def set_rows(ids, hashes, sets: list[np.ndarray], seed: int) -> pa.RecordBatch:
@@ -170,7 +175,7 @@ def _leaders(rows: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["x", "leader", "group"])
 
     dealt = rows.select("group", "salt", "s1", "tokens").repartition("group", "salt").sortWithinPartitions("group", "salt", "s1")
-    return dealt.mapInArrow(run, "x bigint, leader bigint, group bigint")
+    return dealt.mapInArrow(released(run), "x bigint, leader bigint, group bigint")
 
 
 def near_groups(sets: DataFrame, nodes: DataFrame, percent: int, limit: int, kept: list[str]) -> DataFrame:
@@ -216,7 +221,7 @@ def hot_tokens(sets: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield send()
 
-    rows = sets.where("n > 0").select("tokens").mapInArrow(count, "token bigint, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
+    rows = sets.where("n > 0").select("tokens").mapInArrow(released(count), "token bigint, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
     got = rows.orderBy(F.desc("c"), "token").limit(most).toArrow()
     return np.array(got.column("token")).astype(np.int64).view(np.uint64), np.array(got.column("c")).astype(np.int64)
 
@@ -266,8 +271,23 @@ def _send_short_lists(rarity_state, ranges: int, percent: int):
     return run
 
 
+PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("least", "u1"), ("count", "u1")])
+
+
+def summed(pairs: np.ndarray) -> np.ndarray:
+    """Equal pairs as one, with the sum of their counts (up to 255)."""
+    order = np.lexsort((pairs["b"], pairs["a"]))
+    s = pairs[order]
+    first = np.flatnonzero(np.r_[True, (s["a"][1:] != s["a"][:-1]) | (s["b"][1:] != s["b"][:-1])]) if len(s) else np.empty(0, np.int64)
+    out = s[first]
+    if len(s):
+        out["count"] = np.minimum(np.add.reduceat(s["count"].astype(np.int64), first), 255)
+    return out
+
+
 def merge_short_lists(blobs: list[bytes], percent: int) -> np.ndarray:
-    """Candidate pairs (a < b) of sets of different groups in a range's lists."""
+    """PAIRs (a < b) of sets of different groups that occur together in a range's
+    lists, with their occurrences and the least that all ranges must give."""
     tables, tokens, nodes, places, at = [], [], [], [], 0
     for b in blobs:
         n, k = np.frombuffer(b, "<i8", 2).tolist()
@@ -279,57 +299,90 @@ def merge_short_lists(blobs: list[bytes], percent: int) -> np.ndarray:
         at += k
     s1, label, size = np.concatenate(tables, axis=1)
     token, node, place = (np.concatenate(x) for x in (tokens, nodes, places))
-    # only lists with two groups
     order = np.lexsort((size[node], token))
     token, node, place = token[order], node[order], place[order]
-    new = np.r_[True, token[1:] != token[:-1]]
-    start = np.flatnonzero(new)
-    length = np.diff(np.r_[start, len(token)])
+    start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    # only lists with two groups
     lab = label[node]
     mixed = np.minimum.reduceat(lab, start) != np.maximum.reduceat(lab, start) if len(start) else np.empty(0, bool)
-    out: list[np.ndarray] = []
-    gathered = 0
-    for a, n in zip(start[mixed].tolist(), length[mixed].tolist(), strict=True):
-        i = slice(a, a + n)
-        sz, pl, lb, nd = size[node[i]], place[i], lab[i], s1[node[i]]
-        ends = np.searchsorted(sz, sz * 100 // percent, side="right")
-        for x in range(n - 1):
-            e = int(ends[x])
-            if e <= x + 1:
-                continue
-            y = slice(x + 1, e)
-            need = -(-percent * (sz[x] + sz[y]) // (100 + percent))
-            ok = (lb[y] != lb[x]) & (np.minimum(sz[x] - pl[x], sz[y] - pl[y]) >= need)
-            if ok.any():
-                p = nd[y][ok]
-                out.append(np.stack([np.minimum(p, nd[x]), np.maximum(p, nd[x])], axis=1))
-                gathered += len(p)
-        if gathered > 2_000_000:
-            out = [np.unique(np.concatenate(out), axis=0)]
-            gathered = len(out[0])
-    return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-
-
-def candidates(sets: DataFrame, labels: DataFrame, percent: int, hot: int, ranges: int, limit: int) -> DataFrame:
-    """Pairs a, b of sets of different groups that share a short list."""
+    stop = np.r_[start[1:], len(token)]
+    x = np.concatenate([np.empty(0, np.int64), *[np.arange(i, j) for i, j in zip(start[mixed].tolist(), stop[mixed].tolist(), strict=True)]])
+    end = np.repeat(stop[mixed], (stop - start)[mixed])
+    prefix = size - -(-percent * size // 100) + 1
+    out, gathered, step = [], 0, 0
+    while len(x):  # each entry with the one ``step`` places after it in its list
+        step += 1
+        on = x + step < end
+        x, end = x[on], end[on]
+        i, j = node[x], node[x + step]
+        near = 100 * size[i] >= percent * size[j]
+        x, end = x[near], end[near]  # those after are larger still
+        i, j, p, q = i[near], j[near], place[x], place[x + step]
+        apart = label[i] != label[j]
+        i, j, p, q = i[apart], j[apart], p[apart], q[apart]
+        need = -(-percent * (size[i] + size[j]) // (100 + percent))
+        least = np.clip(np.minimum(prefix[i] - size[i], prefix[j] - size[j]) + need, 1, OCCURRENCES)
+        ok = (p < size[i] - need + least) & (q < size[j] - need + least)
+        found = np.empty(np.count_nonzero(ok), PAIR)
+        u, v = s1[i[ok]], s1[j[ok]]
+        found["a"], found["b"], found["least"], found["count"] = np.minimum(u, v), np.maximum(u, v), least[ok], 1
+        out.append(found)
+        gathered += len(found)
+        if gathered > 1_000_000:
+            out = [summed(np.concatenate(out))]
+            gathered = len(out[0]) // 2
+    return summed(np.concatenate([np.empty(0, PAIR), *out]))
+
+
+MAP = np.dtype([("s1", "<i8"), ("n", "<i8"), ("bits", "<u8", WORDS)])
+HALF_MET = np.dtype([("a", "<i8"), ("b", "<i8"), ("n", "<i8"), ("bits", "<u8", WORDS)])
+
+
+def _maps(t: pa.Table) -> np.ndarray:
+    """MAPs of a bucket's sets, by s1."""
+    out = np.empty(t.num_rows, MAP)
+    for c in ("s1", "n"):
+        out[c] = np.array(t.column(c))
+    for i in range(WORDS):
+        out["bits"][:, i] = np.array(t.column(f"w{i}")).astype(np.int64).view(np.uint64)
+    return out[np.argsort(out["s1"])]
+
+
+def candidates(sets: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, hot: int, ranges: int, limit: int) -> DataFrame:
+    """Pairs a, b of sets of different groups that share enough short lists and
+    whose bitmaps leave enough overlap."""
     sent = sets.sparkSession.sparkContext.broadcast(hot_tokens(sets, hot))
     marks = _sized(labels.select(F.col("node").alias("m"), "label"), 24, limit)
     rows = sets.where("n > 0").join(marks, F.col("s1") == F.col("m"), "left").select("s1", F.coalesce("label", "s1").alias("label"), "tokens")
-    lists = rows.mapInArrow(_send_short_lists(sent, ranges, percent), "range int, blob binary")
+    lists = rows.mapInArrow(released(_send_short_lists(sent, ranges, percent)), "range int, blob binary")
+    maps = nodes.where("n > 0").select(F.pmod("s1", F.lit(ranges)).cast("int").alias("bucket"), "s1", F.col("n").cast("bigint").alias("n"), *[f"w{i}" for i in range(WORDS)])
 
-    def merge(t: pa.Table) -> pa.Table:
-        pairs = merge_short_lists(t.column("blob").to_pylist(), percent)
-        at = (mix(np.ascontiguousarray(pairs[:, 0]).view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
-        out = [(r, np.ascontiguousarray(pairs[i]).tobytes()) for r, i in _parts(at, ranges)]
+    def dealt(pairs: np.ndarray, side: str) -> pa.Table:
+        out = [(r, np.ascontiguousarray(pairs[i]).tobytes()) for r, i in _parts(pairs[side] % ranges, ranges)]
         return pa.table([pa.array([r for r, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["bucket", "pairs"])
 
-    def once(t: pa.Table) -> pa.Table:
-        pairs = np.unique(np.concatenate([np.frombuffer(b, "<i8").reshape(-1, 2) for b in t.column("pairs").to_pylist()]), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    def merge(t: pa.Table) -> pa.Table:
+        return dealt(merge_short_lists(t.column("blob").to_pylist(), percent), "a")
+
+    def first(t: pa.Table, of: pa.Table) -> pa.Table:
+        pairs = summed(np.concatenate([np.empty(0, PAIR), *[np.frombuffer(b, PAIR) for b in t.column("pairs").to_pylist()]]))
+        pairs, m = pairs[pairs["count"] >= pairs["least"]], _maps(of)
+        mine = m[np.searchsorted(m["s1"], pairs["a"])]
+        out = np.empty(len(pairs), HALF_MET)
+        out["a"], out["b"], out["n"], out["bits"] = pairs["a"], pairs["b"], mine["n"], mine["bits"]
+        return dealt(out, "b")
 
-    # a pair shares many tokens: its copies from all ranges meet, packed, in its bucket
-    packed = lists.groupBy("range").applyInArrow(merge, "bucket int, pairs binary")
-    return packed.groupBy("bucket").applyInArrow(once, "a bigint, b bigint")
+    def second(t: pa.Table, of: pa.Table) -> pa.Table:
+        pairs, m = np.concatenate([np.empty(0, HALF_MET), *[np.frombuffer(b, HALF_MET) for b in t.column("pairs").to_pylist()]]), _maps(of)
+        mine = m[np.searchsorted(m["s1"], pairs["b"])]
+        both = pairs["n"] + mine["n"]
+        most = (both - np.bitwise_count(pairs["bits"] ^ mine["bits"]).sum(1, dtype=np.int64)) // 2
+        left = pairs[100 * most >= percent * (both - most)]
+        return pa.table({"a": pa.array(left["a"]), "b": pa.array(left["b"])})
+
+    by_range = lists.groupBy("range").applyInArrow(released_group(merge), "bucket int, pairs binary")
+    half = by_range.groupBy("bucket").cogroup(maps.groupBy("bucket")).applyInArrow(released_pair(first), "bucket int, pairs binary")
+    return half.groupBy("bucket").cogroup(maps.groupBy("bucket")).applyInArrow(released_pair(second), "a bigint, b bigint")
 
 
 def _parts(at: np.ndarray, n: int):
@@ -338,17 +391,11 @@ def _parts(at: np.ndarray, n: int):
     return [(r, by[cuts[r] : cuts[r + 1]]) for r in range(n) if cuts[r + 1] > cuts[r]]
 
 
-def exact_links(sets: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, limit: int, kept: list[str]) -> DataFrame:
-    """u, v of the candidate pairs whose similarity holds."""
-    maps = [f"w{i}" for i in range(WORDS)]
-    side = lambda x: nodes.select(F.col("s1").alias(x), F.col("n").alias(f"{x}_n"), F.col("rep").alias(f"{x}_rep"), *[F.col(w).alias(f"{x}_{w}") for w in maps])
-    apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in maps), F.lit(0))
-    most = F.floor((F.col("a_n") + F.col("b_n") - apart) / 2)
-    left = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * most >= percent * (F.col("a_n") + F.col("b_n") - most)).select("a", "a_rep", "b", "b_rep")
-    left = stored(left, "candidates", kept)
+def exact_links(sets: DataFrame, pairs: DataFrame, percent: int, limit: int) -> DataFrame:
+    """u, v of the pairs (a, a_rep, b, b_rep) whose similarity holds."""
     # each partner's set goes to its pair's first set, which is sent once
-    first = _fetch(sets, left.select(F.col("a").alias("s1"), F.col("a_rep").alias("rep")).distinct(), limit).select(F.col("s1").alias("a"), F.lit(None).cast("bigint").alias("b"), "tokens")
-    partners = _fetch(sets, left.select(F.col("b").alias("s1"), F.col("b_rep").alias("rep"), "a"), limit, "a").select("a", F.col("s1").alias("b"), "tokens")
+    first = _fetch(sets, pairs.select(F.col("a").alias("s1"), F.col("a_rep").alias("rep")).distinct(), limit).select(F.col("s1").alias("a"), F.lit(None).cast("bigint").alias("b"), "tokens")
+    partners = _fetch(sets, pairs.select(F.col("b").alias("s1"), F.col("b_rep").alias("rep"), "a"), limit, "a").select("a", F.col("s1").alias("b"), "tokens")
 
     def probe(batches):
         key, x = None, None
@@ -363,7 +410,26 @@ def exact_links(sets: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: in
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["u", "v"])
 
     both = first.union(partners).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
-    return both.mapInArrow(probe, "u bigint, v bigint").distinct()
+    return both.mapInArrow(released(probe), "u bigint, v bigint").distinct()
+
+
+def links_between(sets: DataFrame, nodes: DataFrame, near: DataFrame, labels: DataFrame, pairs: DataFrame, percent: int, limit: int, kept: list[str]) -> DataFrame:
+    """Exact links among the pairs that, with near, connect all that they connect."""
+    reps = lambda x: nodes.select(F.col("s1").alias(x), F.col("rep").alias(f"{x}_rep"))
+    pairs = stored(pairs.join(_sized(reps("a"), 24, limit), "a").join(_sized(reps("b"), 24, limit), "b").select("a", "a_rep", "b", "b_rep"), "candidates", kept)
+
+    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """pairs of different labels x < y."""
+        mark = lambda c: _sized(labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), 24, limit)
+        both = pairs.join(mark("a"), "a", "left").join(mark("b"), "b", "left")
+        p, q = F.coalesce("a_label", "a"), F.coalesce("b_label", "b")
+        return both.where(p != q).select("a", "a_rep", "b", "b_rep", F.least(p, q).alias("x"), F.greatest(p, q).alias("y"))
+
+    one = apart(pairs, labels).groupBy("x", "y").agg(F.min(F.struct("a", "a_rep", "b", "b_rep")).alias("p")).select("p.*")
+    one = stored(one, "first", kept)
+    found = stored(exact_links(sets, one, percent, limit), "far", kept)
+    rest = stored(apart(pairs, components(near.union(found), kept)).drop("x", "y").join(one, ["a", "b"], "left_anti"), "rest", kept)
+    return found.union(stored(exact_links(sets, rest, percent, limit), "far", kept))
 
 
 def join_sets(sets: DataFrame, percent: int, hot: int = 1 << 20, ranges: int | None = None, limit: int = 32 << 20, kept: list[str] | None = None) -> DataFrame | None:
@@ -378,7 +444,8 @@ def join_sets(sets: DataFrame, percent: int, hot: int = 1 << 20, ranges: int | N
     if not nodes.where("low != high").isEmpty():
         return None
     near = stored(near_groups(sets, nodes, percent, limit, kept), "near", kept)
-    links = stored(exact_links(sets, nodes, candidates(sets, components(near, kept), percent, hot, ranges, limit), percent, limit, kept), "far", kept)
+    labels = components(near, kept)
+    links = links_between(sets, nodes, near, labels, candidates(sets, nodes, labels, percent, hot, ranges, limit), percent, limit, kept)
     labels = components(near.union(links), kept)
     smallest = labels.join(nodes.select(F.col("s1").alias("node"), "rep"), "node").groupBy("label").agg(F.min("rep").alias("least"))
     of_node = labels.join(smallest, "label").select(F.col("node").alias("s1"), "label", "least")
@@ -393,12 +460,12 @@ def grouped(docs: DataFrame, k: int, percent: int, **how) -> DataFrame:
     small_batches(docs.sparkSession)
     for seed in range(8):
         kept: list[str] = []
-        out = join_sets(text_sets(docs, k, seed, kept), percent, kept=kept, **how)
-        if out is not None:
-            out = stored(out, "groups")
-        discard(docs.sparkSession, kept)
-        if out is not None:
-            return out
+        try:
+            out = join_sets(text_sets(docs, k, seed, kept), percent, kept=kept, **how)
+            if out is not None:
+                return stored(out, "groups")
+        finally:
+            discard(docs.sparkSession, kept)
     raise ArithmeticError("sets collide under every seed")
 
 
@@ -411,10 +478,11 @@ def first_of_groups(docs: DataFrame, k: int = 5, percent: int = 80, **how) -> Da
     """docs with one document of each group: that of the smallest id (null ids
     last), then text hash. Documents without words all stay."""
     rows = grouped(docs, k, percent, **how)
-    key = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("__k"), F.col("th").alias("__t"))
-    first = rows.where("n_shingles > 0").groupBy("label").agg(F.min(key).alias("x")).select("x.*", F.lit(False).alias("__all"))
-    empty = rows.where("n_shingles = 0").select(key.alias("x")).distinct().select("x.*", F.lit(True).alias("__all"))
-    same = (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)) == F.col("__k")) & (F.xxhash64("text") == F.col("__t"))
-    kept = docs.join(first.union(empty), same)
-    place = F.row_number().over(Window.partitionBy("__k", "__t").orderBy("__all"))
-    return kept.withColumn("__i", place).where("__i = 1 or __all").select(*docs.columns)
+    key = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("k"), F.col("th").alias("t"))
+    first = rows.where("n_shingles > 0").groupBy("label").agg(F.min(key).alias("x")).select("x.*", F.lit(False).alias("every"))
+    empty = rows.where("n_shingles = 0").select(key.alias("x")).distinct().select("x.*", F.lit(True).alias("every"))
+    base, place = numbered(docs)
+    same = (F.coalesce(F.col(place["doc_id"]).cast("bigint"), F.lit(2**63 - 1)) == F.col("k")) & (F.xxhash64(place["text"]) == F.col("t"))
+    kept = base.join(first.union(empty), same)
+    nth = F.row_number().over(Window.partitionBy("k", "t").orderBy("every"))
+    return kept.withColumn("i", nth).where("i = 1 or every").select(*base.columns).toDF(*docs.columns)
