@@ -17,7 +17,7 @@ at least 1 / ``SPREAD`` as often as the most frequent one, and of two that overl
 more frequent one wins. A pair that occurs less than ``least`` times can't become
 frequent later, so a round looks only at places that have changed or are still frequent.
 
-Tokenizing goes by pieces between single spaces, whose ids are remembered by task: the
+Tokenizing goes by pieces between single spaces, whose ids a worker remembers: the
 byte-level pre-tokenizer always starts a new token at a space before a letter, so equal
 pieces have equal ids. A new piece of letters and then punctuation is cut as the
 pre-tokenizer cuts it, and its letters are looked up by themselves, so that only unseen
@@ -47,7 +47,7 @@ ODD_SPACE = re.compile(r"\s(?:\s|\Z)|\A\s")
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation without the apostrophe, which starts contractions
 START = "\0"  # stands before the first piece, which has no space before it
 SHARDS = "part int, seq int, first_token bigint, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<int>, base int, rules binary, lengths binary, symbols binary"
-SPREAD, HALF = 32, np.uint64(32)
+SPREAD, HALF = 128, np.uint64(32)
 
 
 def byte_alphabet() -> dict[int, int]:
@@ -58,51 +58,75 @@ def byte_alphabet() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
 
 
+KEPT: dict[int, "Pieces"] = {}  # of a worker process, at most one
+
+
 class Pieces(dict):
     """ids (as uint32 bytes) of pieces, None for a piece with odd white space; unseen ones
     are encoded when they are asked for. When it is full its content becomes the older
     half, from which pieces come back."""
 
-    def __init__(self, vocabulary: str, most: int = 300_000):
+    def __init__(self, vocabulary: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.older = Tokenizer.from_str(vocabulary), most, {}
         self.base = max(self.tokenizer.get_vocab_size(), 3)
-        self.runs: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}
         self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
+        self.space = chr(self.alphabet[32])
         kind = json.loads(vocabulary)
         cut = kind.get("pre_tokenizer") or {}
         self.bytes_only = not kind.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
 
+    @staticmethod
+    def of(vocabulary: str) -> "Pieces":
+        """The worker's own, which its next tasks of write() find filled; read() drops it."""
+        key = zlib.crc32(vocabulary.encode())
+        if key not in KEPT:
+            KEPT.clear()
+            KEPT[key] = Pieces(vocabulary)
+        return KEPT[key]
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def run(self, s: str) -> bytes:
         """The ids of one pre-token."""
-        found = self.runs.get(s)
-        if found is None:
-            spelled = s.encode().decode("latin-1").translate(self.alphabet)
-            found = self.runs[s] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        return found
+        spelled = (self.space + s[1:] if s[0] == " " else s) if s.isascii() and s.isprintable() else s.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def marked(self, x: str) -> bytes | None:
-        """The ids of letters, or of letters and then punctuation."""
+        """The ids of letters, or of letters and then punctuation, that follow a line
+        feed or nothing."""
         y = x.rstrip(MARKS)
-        if not y.lstrip(" ").isalpha():
-            return None
-        return self.run(y) + self.run(x[len(y) :]) if len(y) < len(x) else self.run(x)
+        return self.rest(y) + self.rest(x[len(y) :]) if y.isalpha() else None
+
+    def rest(self, x: str) -> bytes:
+        """The ids of a pre-token without a space before it."""
+        if x not in self.inner:
+            self.inner[x] = self.run(x) if x else b""
+        return self.inner[x]
 
     def __missing__(self, piece: str) -> bytes | None:
-        x = piece[1:] if piece.startswith(START) else " " + piece
         if piece in self.older:
             ids = self.older[piece]
-        elif (ids := self.marked(x)) is None:
-            if not piece or ODD_SPACE.search(piece):
-                ids = None
+        elif piece.isalpha():
+            ids = self.run(" " + piece)
+        elif not piece or ODD_SPACE.search(piece):
+            ids = None
+        elif (x := piece.rstrip(MARKS)).isalpha():
+            ids = self[x] + self.rest(piece[len(x) :])
+        else:
+            first, *lines = piece.split("\n")
+            parts = [self.marked(y) for y in lines]
+            if piece.startswith(START):
+                head = self.marked(first[1:])
+            else:
+                head = self[first] if lines and first else None
+            if head is None or None in parts:
+                ids = self.whole(piece[1:] if piece.startswith(START) else " " + piece)
             else:
-                lines = x.split("\n")
-                parts = [self.marked(y) for y in lines]
-                ids = self.whole(x) if len(lines) == 1 or None in parts else self.run("\n").join(parts)
+                ids = self.rest("\n").join([head, *parts])
         self[piece] = ids
         return ids
 
@@ -121,8 +145,8 @@ class Pieces(dict):
             if len(self) > self.most:
                 self.older = dict(self)
                 self.clear()
-            if len(self.runs) > self.most:
-                self.runs.clear()
+            if len(self.inner) > self.most // 8:
+                self.inner.clear()
         return out
 
 
@@ -135,8 +159,8 @@ def compress(ids: np.ndarray, base: int, least: int = 4) -> tuple[np.ndarray, np
     while np.count_nonzero(live) >= least:
         at = np.flatnonzero(live)
         key = seq[at].astype(np.uint64) << HALF | seq[at + 1]
-        bits = min(20, max(10, len(at).bit_length()))
-        cell = (key * np.uint64(odd) >> np.uint64(64 - bits)).astype(np.int32)
+        bits = min(20, max(10, len(at).bit_length() - 1))
+        cell = (key * np.uint64(odd) >> np.uint64(64 - bits)).view(np.int64)
         odd = (odd * 0xD6E8FEB86659FD93 + 2) % (1 << 64) | 1  # other pairs share a cell next time
         hot = (np.bincount(cell, minlength=1 << bits) >= least)[cell]
         live[at[~hot]] = False
@@ -152,7 +176,7 @@ def compress(ids: np.ndarray, base: int, least: int = 4) -> tuple[np.ndarray, np
             continue  # the cells' owners are settled; other pairs own them next time
         taken = count >= max(least, top // SPREAD)
         at, key, cell = at[taken], key[taken], cell[taken]
-        rank = count[taken].astype(np.uint64) << HALF | cell.astype(np.uint64)
+        rank = count[taken].view(np.uint64) << HALF | cell.view(np.uint64)
         around = np.zeros(len(seq) + 2, np.uint64)
         around[at + 1] = rank
         best = (rank >= around[at]) & (rank >= around[at + 2])
@@ -224,7 +248,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, shard_tokens: int =
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        pieces = Pieces(sent.value)
+        pieces = Pieces.of(sent.value)
         end = np.array([end_id], np.uint32).tobytes()
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         ids: list = []
@@ -270,6 +294,7 @@ def read(shards: DataFrame) -> DataFrame:
     offsets = parts.select(F.col("part").alias("p"), F.coalesce(before, F.lit(0)).alias("offset"))
 
     def run(batches):
+        KEPT.clear()
         for b in batches:
             for r in b.to_pylist():
                 a = lambda k: np.frombuffer(r[k], np.uint32)  # noqa: B023, E731
