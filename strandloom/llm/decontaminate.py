@@ -4,20 +4,28 @@ A document is contaminated by an item if some run of its words is within edit
 distance ``share`` * item length of it, on lower-cased text with single spaces. The
 run may have any number of words: that is bounded by the distance alone.
 
-The search misses nothing. An item of L characters that allows k edits is cut into
-k + 1 pieces; k edits leave at least one of them whole, so every match holds a piece
-at its place, give or take k characters. All runs of a text's characters are looked
-up among the pieces' beginnings (``SEED`` characters at most). Of the places found,
-those go on whose surroundings share at least L - GRAM + 1 - GRAM k runs of GRAM
-characters with the item, as every match does. The nearest run of whole words there
-is found by exact edit distance from all word starts to all word ends at once, and
-the result says which item, where, and how far.
+Candidates come from CGK embeddings and bit sampling. A CGK walk copies characters of a
+string to its output and moves on, or not, by a random bit of the step and the character;
+strings within a small edit distance come out within a small Hamming distance. Items are
+dealt into classes by length, doubling; a class has windows of ``PART`` of its least
+length, and every word start of an item with that much left after it begins one. A
+document's windows begin at the first word start of every cell, whose width is what the
+class's windows leave of an item, so any occurrence holds the start of a window that an
+item's window begins with. ``WALKS`` walks embed each window, a round samples steps of one
+of them (two of its ``GROUPS`` groups of ``BITS`` sampled steps, so that groups serve many
+rounds), and windows that agree in a round are candidates. Rounds are added until ``recall``
+of copies of the items with random edits at the limit are found (``MOST_ROUNDS`` at most).
+
+Of the candidates those go on whose surroundings share at least L - GRAM + 1 - GRAM k runs
+of GRAM characters with the item, as every match with k edits does. The nearest run of whole
+words there is found by exact edit distance from all word starts to all word ends at once,
+and the result says which item, where, and how far.
 
 Benchmark items are broadcast while they are within ``broadcast_bytes``; larger sets
 are dealt into blocks of that size, each a pass over the documents.
 
 Defined cases: null or empty texts and items match nothing; items too short for one
-edit are found only whole; repeated items and rows each count; an item longer than a
+edit are found only whole; columns are carried by place, whatever their names; repeated items and rows each count; an item longer than a
 document can still match the whole document; equal distances are broken by the
 earlier place, then by the shorter window.
 """
@@ -30,10 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type as pa_type
 
-SLICE_ROWS = 10_000
-SEED = 12  # most characters of a piece that are looked up
+from strandloom.llm.common import numbered, released, small_batches
+
+SLICE_ROWS = 256
+WALKS, GROUPS, BITS, PART = 4, 16, 4, 0.5
+FEWEST_ROUNDS, MOST_ROUNDS = 64, 256
 GRAM = 5
-CHARACTERS = 500_000  # looked through at a time
+CHARACTERS = 250_000  # looked through at a time
 FACTOR, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -99,36 +110,147 @@ def rolling(chars: np.ndarray, sizes: Iterable[int]) -> Iterable[tuple[int, np.n
             yield n, h
 
 
+def letters(chars: np.ndarray) -> np.ndarray:
+    """What the walks see of characters: numbers below 256."""
+    return (chars.astype(np.int64) * 0x9E3779B1 >> 16) & 255
+
+
+class Walks:
+    """CGK walks for windows of ``width`` characters, and rounds of sampled steps."""
+
+    def __init__(self, width: int):
+        g = np.random.default_rng(width)
+        self.steps = max(2, int(1.8 * width))
+        self.bits = g.integers(0, 2, (self.steps, WALKS, 256))
+        self.groups_at: list[list[tuple[int, int]]] = [[] for _ in range(self.steps)]  # (walk, group) that sample a step
+        for w in range(WALKS):
+            for k in range(GROUPS):
+                for j in g.choice(self.steps, min(BITS, self.steps), replace=False):
+                    self.groups_at[j].append((w, k))
+        pairs = [(a, b) for b in range(GROUPS) for a in range(b)]
+        self.rounds = [(w, *pairs[k]) for k in g.permutation(len(pairs)) for w in range(WALKS)][:MOST_ROUNDS]
+
+    def keys(self, text: np.ndarray, starts: np.ndarray) -> Iterable[np.ndarray]:
+        """For each round the keys of the windows of text that begin at the starts."""
+        n = len(starts)
+        groups = np.zeros((WALKS, GROUPS, n), np.uint64)
+        at = np.tile(starts.astype(np.int64), (WALKS, 1))
+        here, move = np.empty(n, np.int64), np.empty(n, np.int64)
+        for bits, sampled in zip(self.bits if n else (), self.groups_at, strict=False):
+            for w in range(WALKS):
+                text.take(at[w], out=here, mode="clip")
+                for v, k in sampled:
+                    if v == w:
+                        groups[w, k] *= FACTOR
+                        groups[w, k] += here.view(np.uint64)
+                bits[w].take(here, out=move, mode="clip")
+                at[w] += move
+        for w, a, b in self.rounds:
+            yield groups[w, a] * SPREAD + groups[w, b]
+
+
+class Class:
+    """Items of like length with the keys of their windows."""
+
+    def __init__(self, least: int, items: list[tuple[int, np.ndarray]], share: float, recall: float):
+        self.width = max(min(least, 12), int(PART * least))
+        self.cell = max(1, least - self.width - 12)  # a word start lies within 12 characters, mostly
+        text, starts, self.item, self.shift = self._windows([c for _, c in items])
+        self.walks = Walks(self.width)
+        self.walks.rounds = self.walks.rounds[: self._rounds(items, share, recall, text, starts)]
+        self.item = np.array([n for n, _ in items])[self.item]
+        keys = list(self.walks.keys(text, starts))
+        self.bits = np.uint64(64 - min(24, max(12, (16 * len(starts)).bit_length())))
+        self.flags = np.zeros((len(keys), 1 << 64 - int(self.bits)), bool)
+        for flags, h in zip(self.flags, keys, strict=True):
+            flags[h * SPREAD >> self.bits] = True
+        flat = np.concatenate([h + named for h, named in zip(keys, self.names(len(keys)), strict=True)])
+        self.order = np.argsort(flat, kind="stable")
+        self.known = flat[self.order]
+
+    @staticmethod
+    def names(rounds: int) -> np.ndarray:
+        """Added to a round's keys, so that all rounds share one sorted list."""
+        return np.arange(rounds, dtype=np.uint64) * FACTOR
+
+    def _windows(self, texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """One text of all, with gaps, and start, text and place of each window."""
+        parts, starts, item, shift, at = [], [], [], [], 0
+        gap = np.zeros(2 * self.width, np.uint32)
+        for i, chars in enumerate(texts):
+            words = np.flatnonzero(np.r_[True, chars[:-1] == 32])
+            words = words[words + self.width <= len(chars)]
+            starts.append(words + at)
+            item.append(np.full(len(words), i))
+            shift.append(words)
+            parts += [chars, gap]
+            at += len(chars) + len(gap)
+        return letters(np.concatenate(parts)), *(np.concatenate(x) for x in (starts, item, shift))
+
+    def _rounds(self, items: list[tuple[int, np.ndarray]], share: float, recall: float, text: np.ndarray, starts: np.ndarray) -> int:
+        """How many rounds find edited copies of some of the items."""
+        g = np.random.default_rng(5)
+        which = [i for _ in range(-(-64 // len(items))) for i in range(len(items))][:256]
+        copies = []
+        for i in which:
+            chars = items[i][1]
+            copy = chars.tolist()
+            for q in g.integers(0, len(copy), int(share * len(copy))).tolist():
+                other = int(chars[g.integers(len(chars))])
+                copy[q : q + 1] = ([], [other], [*copy[q : q + 1], other])[g.integers(3)]
+            copies.append(np.array(copy, np.uint32))
+        copied, begin, copy_of, place = self._windows(copies)
+        begin, copy_of = (x[self._first(place, copy_of)] for x in (begin, copy_of))
+        found = np.zeros(len(which), bool)
+        for r, (x, y) in enumerate(zip(self.walks.keys(text, starts), self.walks.keys(copied, begin), strict=True), 1):
+            mark = lambda keys, item: keys ^ (item.astype(np.uint64) + np.uint64(1)) * FACTOR
+            found[copy_of[np.isin(mark(y, np.array(which)[copy_of]), mark(x, self.item))]] = True
+            if r >= FEWEST_ROUNDS and found.mean() >= recall:
+                return r
+        return MOST_ROUNDS
+
+    def _first(self, place: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Which word starts come first in their cell of their text."""
+        cell = place // self.cell
+        return np.r_[True, (np.diff(cell) != 0) | (np.diff(text) != 0)] if len(place) else np.empty(0, bool)
+
+    def candidates(self, text: np.ndarray, starts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in text, item, place in the item) of windows that agree; starts: of words."""
+        doc = np.searchsorted(offsets, starts, "right") - 1
+        starts = starts[self._first(starts - offsets[doc], doc)]
+        where, keys = [], []
+        for h, flags, named in zip(self.walks.keys(text, starts), self.flags, self.names(len(self.flags)), strict=True):
+            at = np.flatnonzero(flags.take((h * SPREAD >> self.bits).view(np.int64)))
+            where.append(at)
+            keys.append(h[at] + named)
+        where, keys = np.concatenate(where), np.concatenate(keys)
+        lo = np.searchsorted(self.known, keys, "left")
+        hit = np.flatnonzero(self.known.take(lo, mode="clip") == keys)
+        where, lo = where[hit], lo[hit]
+        count = np.searchsorted(self.known, keys[hit], "right") - lo
+        rows = self.order[np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())] % len(self.item)
+        where, rows = np.divmod(np.unique(np.repeat(where, count) * len(self.item) + rows), len(self.item))
+        return starts[where], self.item[rows], self.shift[rows]
+
+
 class Items:
-    """A block of benchmark items, ready to be searched. The search is complete:
-    ``anchor`` and ``recall`` bounded an earlier one and change no result."""
+    """A block of benchmark items, ready to be searched."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float, anchor: int = 3, recall: float = 1.0):
+    def __init__(self, items: list[tuple[int, str]], share: float, recall: float = 0.97):
         if not 0 <= share <= 0.5:
             raise ValueError("share must be within 0 and 0.5")
         self.rows = []
-        seeds: dict[int, list[tuple[int, int, int]]] = {}
+        classes: dict[int, list[tuple[int, np.ndarray]]] = {}
         for i, t in items:
             text = " ".join(normal_words(t))
             if not text:
                 continue
             chars = characters(text)
             most = int(share * len(chars))
-            size = min(SEED, len(chars) // (most + 1))
-            hashes = dict(rolling(chars, {size, GRAM}))
-            for piece in range(most + 1):
-                q = piece * len(chars) // (most + 1)
-                seeds.setdefault(size, []).append((int(hashes[size][q]), len(self.rows), q))
-            grams = self.slots(hashes.get(GRAM, np.empty(0, np.uint64)))
+            grams = next((self.slots(h) for _, h in rolling(chars, {GRAM})), np.empty(0, np.int64))
+            classes.setdefault(1 << len(chars).bit_length() - 1, []).append((len(self.rows), chars))
             self.rows.append((i, text, chars, most, grams, len(chars) - GRAM + 1 - GRAM * most))
-        self.seeds = {}
-        for size, found in seeds.items():
-            found.sort()
-            h = np.array([f[0] for f in found], np.uint64)
-            bits = min(27, max(18, (64 * len(h)).bit_length()))
-            flags = np.zeros(1 << bits, bool)
-            flags[(h * SPREAD) >> np.uint64(64 - bits)] = True
-            self.seeds[size] = (flags, np.uint64(64 - bits), h, np.array([f[1] for f in found]), np.array([f[2] for f in found]))
+        self.classes = [Class(least, some, share, recall) for least, some in sorted(classes.items())]
         self.lengths = np.array([len(r[2]) for r in self.rows], np.int64)
         self.most = np.array([r[3] for r in self.rows], np.int64)
         self.seen = np.zeros(1 << 16, bool)
@@ -138,25 +260,15 @@ class Items:
         return ((hashes * SPREAD) >> np.uint64(48)).astype(np.int64)
 
     def regions(self, chars: np.ndarray, offsets: np.ndarray) -> tuple[Iterable[tuple[int, int, int, int]], np.ndarray]:
-        """(text, item, first, last character) that hold every window within the
-        distance, and the slots of the texts' runs of GRAM characters."""
-        where, items, shifts, grams = [], [], [], np.empty(0, np.int64)
-        for size, h in rolling(chars, {*self.seeds, GRAM}):
-            if size == GRAM:
-                grams = self.slots(h)
-            if size not in self.seeds:
-                continue
-            flags, shift, known, js, qs = self.seeds[size]
-            at = np.flatnonzero(flags[(h * SPREAD) >> shift])
-            lo, hi = np.searchsorted(known, h[at], "left"), np.searchsorted(known, h[at], "right")
-            count = hi - lo
-            k = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            where.append(np.repeat(at, count))
-            items.append(js[k])
-            shifts.append(qs[k])
-        if not where:
+        """(text, item, first, last character) around the candidates that holds every
+        window within the distance, and the slots of the texts' runs of GRAM characters."""
+        grams = next((self.slots(h) for _, h in rolling(chars, {GRAM})), np.empty(0, np.int64))
+        text = letters(chars)
+        words = np.flatnonzero(np.r_[True, (chars[:-1] == 32) | (chars[:-1] == 10)]) if len(chars) else np.empty(0, np.int64)
+        found = [c.candidates(text, words, offsets) for c in self.classes]
+        if not found:
             return [], grams
-        p, j, q = (np.concatenate(x) for x in (where, items, shifts))
+        p, j, q = (np.concatenate(x) for x in zip(*found, strict=True))
         d = np.searchsorted(offsets, p, "right") - 1
         first = np.maximum(p - q - self.most[j], offsets[d])
         last = np.minimum(p - q + self.lengths[j] + self.most[j], offsets[d + 1] - 1)
@@ -172,6 +284,9 @@ class Items:
     def near(self, j: int, text: str, a: int, z: int, edge: int, end: int) -> tuple[int, int, int] | None:
         """(distance, first, last character) of the nearest run of words in a..z."""
         _, item, chars, most, _, _ = self.rows[j]
+        whole = a if text.startswith(item, a, z) else text.find(" " + item, a, z) + 1
+        if (whole > a or text.startswith(item, a, z)) and (whole == edge or text[whole - 1] == " ") and (whole + len(item) == end or text[whole + len(item)] == " "):
+            return 0, whole, whole + len(item)
         part = characters(text[a:z])
         gap = part == 32
         starts = np.flatnonzero(np.r_[a == edge or text[a - 1] == " ", gap])
@@ -222,36 +337,46 @@ class Items:
         return [[(self.rows[j][0], text.count(" ", offsets[d], a), text.count(" ", a, z) + 1, e) for j, (e, a, z) in b.items()] for d, b in enumerate(best)]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), share: float = 0.1, anchor: int = 3, recall: float = 0.99, broadcast_bytes: int = 16 << 20, prefix: str = "") -> DataFrame:
-    """keep columns and ``matches``: an array of (item_id, first_word, n_words,
-    distance), empty for clean documents. share: edits per character allowed."""
-    spark = docs.sparkSession
+MATCHES = "array<struct<item_id:bigint,first_word:int,n_words:int,distance:int>>"
+
+
+def matched(rows: DataFrame, text: str, benchmark: DataFrame, share: float, recall: float, broadcast_bytes: int) -> DataFrame:
+    """rows with ``matches`` of the column text as a last column."""
+    spark = rows.sparkSession
+    small_batches(spark)
     items = benchmark.where("text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("b")).first().b
     blocks = max(1, -(-total // broadcast_bytes))
-    name = prefix + "matches"
-    out, columns = docs.select(*keep, F.col("text").alias("__text"), F.expr("cast(array() as array<struct<item_id:bigint,first_word:int,n_words:int,distance:int>>)").alias(name)), [*keep, "__text", name]
+    place = rows.columns.index(text)
+    out = rows.withColumn("matches", F.expr(f"cast(array() as {MATCHES})"))
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         sent = spark.sparkContext.broadcast([(r.item_id, r.text) for r in block.orderBy("item_id", "text").collect()])
 
-        def run(batches, sent=sent, columns=columns, schema=out.schema):
-            found = Items(sent.value, share, anchor, recall)
+        def run(batches, sent=sent, schema=out.schema):
+            found = Items(sent.value, share, recall)
             kind = pa_type(schema[-1].dataType)
             for b in batches:
                 for at in range(0, b.num_rows, SLICE_ROWS):
                     s = b.slice(at, SLICE_ROWS)
                     new = []
-                    texts, before = s.column(len(columns) - 2), s.column(len(columns) - 1).to_pylist()
-                    for hits, old in zip(found.search(normal_words(t.as_py()) for t in texts), before, strict=True):
+                    for hits, old in zip(found.search(normal_words(t) for t in s.column(place).to_pylist()), s.column(s.num_columns - 1).to_pylist(), strict=True):
                         hits = sorted(hits, key=lambda h: (h[1], h[0] is None, h[0]))
                         new.append(old + [{"item_id": i, "first_word": p, "n_words": n, "distance": d} for i, p, n, d in hits])
-                    yield pa.RecordBatch.from_arrays([*s.columns[:-1], pa.array(new, kind)], columns)
+                    yield pa.RecordBatch.from_arrays([*s.columns[:-1], pa.array(new, kind)], schema.names)
+
+        out = out.mapInArrow(released(run), out.schema)
+    return out
+
 
-        out = out.mapInArrow(run, out.schema)
-    return out.drop("__text")
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.1, recall: float = 0.97, broadcast_bytes: int = 16 << 20) -> DataFrame:
+    """doc_id and ``matches``: an array of (item_id, first_word, n_words, distance),
+    empty for clean documents. share: edits per character allowed."""
+    return matched(docs.select("doc_id", "text"), "text", benchmark, share, recall, broadcast_bytes).drop("text")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.1, recall: float = 0.97, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """The documents that hold no benchmark item, with their own columns."""
-    return contaminated(docs, benchmark, tuple(docs.columns), prefix="__", **how).where(F.size("__matches") == 0).select(*docs.columns)
+    rows, place = numbered(docs)
+    kept = matched(rows, place["text"], benchmark, share, recall, broadcast_bytes).where(F.size("matches") == 0)
+    return kept.select(*rows.columns).toDF(*docs.columns)
