@@ -1,5 +1,10 @@
 """Nucleotide sequence functions as JVM expressions."""
 
+import re
+from functools import cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +31,27 @@ def translate_codon(codon: str) -> str:
     return found.pop() if len(found) == 1 else "X"
 
 
-def _codon_table() -> dict[str, str]:
-    codes = "ACGTMRWSYKVHDBN"
-    return {x + y + z: aa for x in codes for y in codes for z in codes if (aa := translate_codon(x + y + z)) != "X"}
+CODES = "ACGTMRWSYKVHDBN"
+
+
+@cache
+def _codon_table() -> tuple[np.ndarray, np.ndarray]:
+    """The place of each byte among CODES (0 for other letters), and the amino acids of
+    all triples of places."""
+    place = np.zeros(256, np.int64)
+    for i, c in enumerate(CODES, 1):
+        place[[ord(c), ord(c.lower())]] = i
+    place[[ord("U"), ord("u")]] = place[ord("T")]
+    letters = " " + CODES
+    return place, np.frombuffer("".join(translate_codon(a + b + c) for a in letters for b in letters for c in letters).encode(), np.uint8)
+
+
+def translate_text(s: str) -> str:
+    """The amino acids of the codons of a sequence; X for what can't be read."""
+    place, acids = _codon_table()
+    n = len(s) // 3
+    p = place[np.frombuffer(s[: 3 * n].encode("latin-1", "replace"), np.uint8)].reshape(n, 3)
+    return acids[(p[:, 0] * 16 + p[:, 1]) * 16 + p[:, 2]].tobytes().decode()
 
 
 def complement(s: Column) -> Column:
@@ -79,12 +102,13 @@ def iupac_hamming(a: Column, b: Column) -> Column:
 
 
 def translate(s: Column) -> Column:
-    """The amino acids of the codons of a sequence; X for what can't be read."""
-    code = F.create_map(*[F.lit(x) for kv in _codon_table().items() for x in kv])
-    n = F.floor(F.length(s) / 3).cast("int")
-    dna = F.translate(F.upper(s), "U", "T")
-    codons = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.try_element_at(code, F.substring(dna, i * 3 + 1, F.lit(3))), F.lit("X"))))
-    return F.coalesce(F.array_join(codons, ""), F.lit(""))
+    """translate_text of a column, by Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(translate_text, na_action="ignore")
+
+    return run(s)
 
 
 def motif_code(donor: Column, acceptor: Column) -> Column:
@@ -105,38 +129,41 @@ def read_tag(name: Column) -> Column:
     return F.struct(part("S").alias("s"), part("E").alias("e"), part("C").alias("c"))
 
 
+def reading_frames(s: str, startless: bool = False, stopless: bool = False, min_aa: int = 10) -> list[tuple]:
+    """(frame, start, end, aa, has_start, has_stop) of each open reading frame of more
+    than min_aa amino acids in three forward frames; the span holds the stop codon."""
+    out = []
+    for frame in range(3):
+        protein = translate_text(s[frame:])
+        for m in re.finditer(r"[^*]+", protein):
+            first = m.start() if startless and not m.start() else protein.find("M", m.start(), m.end())
+            stop = m.end() < len(protein)
+            if first < 0 or m.end() - first <= min_aa or not (stop or stopless):
+                continue
+            aa = protein[first : m.end()]
+            out.append((frame, frame + 3 * first, frame + 3 * (m.end() + stop), aa, aa[0] == "M", stop))
+    return out
+
+
 def orfs(df: DataFrame, seq: str = "seq", startless: bool = False, stopless: bool = False, min_aa: int = 10) -> DataFrame:
-    """df with orf: (frame, start, end, aa, has_start, has_stop) of each open reading
-    frame of more than min_aa amino acids in three forward frames; the span holds the
-    stop codon."""
-    s = F.col(seq)
-    rows = df.withColumn("__f", F.explode(F.array(*[F.lit(i) for i in range(3)])))
-    rows = rows.withColumn("__p", translate(F.substring(s, F.col("__f") + 1, F.length(s))))
-    parts = rows.withColumn("__a", F.split("__p", r"\*"))
-    # where each stretch between stops begins, in amino acids
-    begin = F.aggregate(F.col("__a"), F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("all")), lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))["all"]
-    parts = parts.withColumn("__b", begin).select("*", F.posexplode(F.arrays_zip("__a", "__b")).alias("__i", "__x"))
-    met = F.locate("M", F.col("__x.__a"))
-    first = F.when(met > 0, met - 1).otherwise(F.lit(0) if startless else F.lit(None))
-    if startless:
-        first = F.when(F.col("__i") == 0, 0).otherwise(F.when(met > 0, met - 1))
-    stop = F.col("__i") < F.size("__a") - 1
-    aa = F.substring(F.col("__x.__a"), first + 1, F.length(F.col("__x.__a")))
-    start = F.col("__f") + 3 * (F.col("__x.__b") + first)
-    out = parts.withColumn("orf", F.struct(F.col("__f").alias("frame"), start.cast("int").alias("start"), (start + 3 * F.length(aa) + F.when(stop, 3).otherwise(0)).cast("int").alias("end"), aa.alias("aa"), (F.substring(aa, 1, F.lit(1)) == "M").alias("has_start"), stop.alias("has_stop")))
-    kept = out.where(first.isNotNull() & (F.length("orf.aa") > min_aa))
-    if not stopless:
-        kept = kept.where("orf.has_stop")
-    return kept.drop("__f", "__p", "__a", "__b", "__i", "__x")
+    """df without seq and with orf, the fields of ``reading_frames``."""
+    fields = "frame int, start int, end int, aa string, has_start boolean, has_stop boolean"
+
+    def find(x: pd.Series) -> pd.Series:
+        names = [f.split()[0] for f in fields.split(", ")]
+        return x.map(lambda s: [dict(zip(names, r, strict=True)) for r in reading_frames(s or "", startless, stopless, min_aa)])
+
+    found = F.pandas_udf(find, "array<struct<" + fields.replace(" ", ":").replace(",:", ",") + ">>")
+    return df.select(*[c for c in df.columns if c != seq], F.explode(found(F.col(seq))).alias("orf"))
 
 
 def longest_orf(df: DataFrame, key: str, **how) -> DataFrame:
-    found = orfs(df, **how)
+    found = orfs(df.select(key, how.get("seq", "seq")), **how)
     return found.groupBy(key).agg(F.max_by("orf", F.struct(F.length("orf.aa"), -F.col("orf.start"))).alias("orf"))
 
 
 def first_orf(df: DataFrame, key: str, **how) -> DataFrame:
-    found = orfs(df, **how)
+    found = orfs(df.select(key, how.get("seq", "seq")), **how)
     return found.groupBy(key).agg(F.min_by("orf", F.col("orf.start")).alias("orf"))
 
 

@@ -13,7 +13,7 @@ from strandloom.operators import intervals as I
 from strandloom.operators.joins import range_join
 
 # The classes and their codes.
-CLASSES = {0: "intergenic", 1: "antisense", 2: "intronic", 3: "isoform", 4: "ambiguous", 5: "exon_match", 6: "fragment", 7: "splice_variant", 8: "full_match", 9: "fusion"}
+CLASSES = {0.0: "intergenic", 1.0: "ambiguous", 2.0: "antisense", 3.0: "intronic", 4.0: "splice_variant", 4.1: "alt_tss", 4.2: "alt_pas", 4.3: "retained_intron", 5.0: "fragment", 6.0: "fusion", 7.0: "exon_match", 8.0: "full_match"}
 
 
 def pairs(query: DataFrame, reference: DataFrame, bin_size: int = 2000) -> DataFrame:
@@ -26,76 +26,79 @@ def pairs(query: DataFrame, reference: DataFrame, bin_size: int = 2000) -> DataF
     return out.withColumns({"shared": I.shared_bases(F.col("ranges"), F.col("ref_ranges")), "n": I.covered_length(F.col("ranges")), "ref_n": I.covered_length(F.col("ref_ranges"))})
 
 
-def match_code(end_buffer: int = 100, fragment: float = 0.6) -> Column:
-    """The class of a pair: 8 full match, 7 shares junctions, 6 fragment, 5 exon match,
-    4 ambiguous (no strand), 3 shares bases, 2 intronic, 1 antisense, 0 none."""
-    same = (F.col("strand") == F.col("ref_strand")) & (F.col("strand") != 0)
-    chain, ref_chain = I.gaps(F.col("ranges")), I.gaps(F.col("ref_ranges"))
+def end_differences() -> tuple[Column, Column]:
+    """How far the 5' and the 3' end of a pair lie apart, by the query's strand."""
+    low, high, plus = F.col("left") - F.col("b_left"), F.col("right") - F.col("b_right"), F.col("strand") == 1
+    return F.when(plus, low).otherwise(high), F.when(plus, high).otherwise(low)
+
+
+def match_code(end_buffer: int = 100, fragment: float = 0.6, match_unstranded: bool = False) -> Column:
+    """The class of a pair. Equal junctions on one strand: full_match, fragment or
+    exon_match by ends and length; compatible: fragment of a longer reference, else
+    splice_variant; otherwise by strand, shared bases, and how the chains differ."""
+    a, b, strand = F.col("ranges"), F.col("ref_ranges"), F.col("strand")
+    kin = {"strand1": strand, "strand2": F.col("ref_strand")}
+    five, three = end_differences()
     close = (F.abs(F.col("left") - F.col("b_left")) <= end_buffer) & (F.abs(F.col("right") - F.col("b_right")) <= end_buffer)
-    short = F.col("n") < fragment * F.col("ref_n")
-    some = F.arrays_overlap(chain, ref_chain)
-    inside = F.size(F.array_except(chain, ref_chain)) == 0
-    return (
-        F.when(same & (chain == ref_chain) & close, 8)
-        .when(same & (chain == ref_chain), F.when(short, 6).otherwise(5))
-        .when(same & inside & (F.size(chain) > 0), 6)
-        .when(same & F.coalesce(some, F.lit(False)), 7)
-        .when((F.col("strand") == 0) & (F.col("shared") > 0), 4)
-        .when((F.col("strand") == -F.col("ref_strand")) & (F.col("shared") > 0), 1)
-        .when(same & (F.col("shared") > 0), 3)
-        .when(F.col("shared") == 0, F.when(F.exists(ref_chain, lambda g: (g["l"] <= F.col("left")) & (g["r"] >= F.col("right"))), 2).otherwise(0))
-        .otherwise(0)
-    )
+    whole = F.when(close, 8.0).when(F.col("n") < fragment * F.col("ref_n"), 5.0).otherwise(7.0)
+    first, last, ref_first, ref_last = a[0], F.element_at(a, -1), b[0], F.element_at(b, -1)
+    low = (ref_first["r"] < first["l"]) | (first["r"] < ref_first["l"])
+    high = (ref_last["l"] > last["r"]) | (last["l"] > ref_last["r"])
+    tss, pas = F.when(strand == 1, low).otherwise(high), F.when(strand == 1, high).otherwise(low)
+    ends = F.when(pas & ~(tss & (F.abs(five) > F.abs(three))), 4.2).when(tss, 4.1).otherwise(0.0)
+    spans = (first["l"] < ref_first["r"]) & (last["r"] > ref_last["l"])
+    chains = F.when(I.compatible(a, b, **kin, ignore_overhang=True), ends).when(I.compatible(a, b, **kin, allow_retention=True), F.when(spans, 4.3).otherwise(5.0)).otherwise(4.0)
+    apart = F.when(strand == 0, 1.0).when(strand != F.col("ref_strand"), 2.0).when(F.col("shared") == 0, 3.0).otherwise(chains)
+    code = F.when(I.splice_match(a, b) & (strand == F.col("ref_strand")), whole).when(I.compatible(a, b, **kin), F.when(F.col("ref_n") > F.col("n"), 5.0).otherwise(4.0)).otherwise(apart)
+    return code if match_unstranded else F.when((strand == 0) & F.floor(code).isin(4, 7, 8), 1.0).otherwise(code)
 
 
 def classify(query: DataFrame, reference: DataFrame, end_buffer: int = 100, bin_size: int = 2000) -> DataFrame:
     """row, code, ref, ref_gene, shared: the best reference of every query row."""
-    rated = pairs(query, reference, bin_size).withColumn("code", match_code(end_buffer)).where("code > 0")
+    rated = pairs(query, reference, bin_size).withColumn("code", match_code(end_buffer)).where("code > 0 or shared > 0")
     best = rated.groupBy("row").agg(F.max(F.struct("code", "shared", (-F.col("ref")).alias("neg"), F.col("ref"), F.col("ref_gene"))).alias("x"))
     out = query.select("row").join(best, "row", "left")
-    return out.select("row", F.coalesce("x.code", F.lit(0)).alias("code"), "x.ref", "x.ref_gene", F.coalesce("x.shared", F.lit(0)).alias("shared"))
-
-
-def fold_fusions(refs: list[tuple], n: int, covered: float = 0.9) -> tuple[int, str, str]:
-    """(code, refs, genes) of references (left, right, id, gene, code, shared, ref_n) of
-    one transcript, taken in order. Another gene's reference joins as a fusion if each
-    is nearly all shared or matches by structure, and they hardly overlap."""
-    best: list[tuple] = []
-    for r in sorted(refs, key=lambda r: (r[0], r[1], r[2])):
-        if r[4] <= 1:
-            continue
-        if not best:
-            best = [r]
-            continue
-        if max(b[4] for b in best) == 8:
-            break
-        last = best[-1]
-        overlap = max(0, min(last[1], r[1]) - max(last[0], r[0]))
-        strong = all(x[5] >= covered * x[6] or x[4] in (4, 6, 7) for x in (last, r))
-        if r[4] == 8:
-            best = [r]
-        elif r[3] != last[3] and strong and overlap < covered * min(last[1] - last[0], r[1] - r[0]):
-            best.append(r)
-        elif (r[4], r[5]) > (last[4], last[5]):
-            best[-1] = r
-    if not best:
-        return (max((r[4] for r in refs), default=0), *(("", "") if not refs else (str(refs[0][2]), str(refs[0][3]))))
-    code = 9 if len(best) > 1 else best[0][4]
-    return code, "|".join(str(b[2]) for b in best), "|".join(str(b[3]) for b in best)
+    return out.select("row", F.coalesce("x.code", F.lit(0.0)).alias("code"), "x.ref", "x.ref_gene", F.coalesce("x.shared", F.lit(0)).alias("shared"))
+
+
+def _shared(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> int:
+    return sum(max(0, min(r1, r2) - max(l1, l2)) for l1, r1 in a for l2, r2 in b)
+
+
+def fold_fusions(refs: list[tuple], covered: float = 0.9) -> tuple[float, str, str]:
+    """(code, refs, genes) of references (id, gene, code, shared, ref_n, blocks) of one
+    transcript, taken in order of place and id. A full match stays but for one that
+    shares more; another gene's reference joins as a fusion if neither is antisense, each
+    is nearly all shared or matches by structure, and they share little; otherwise the
+    higher code, then the larger share, stays."""
+    best: tuple | None = None
+    structure = lambda x: x[3] >= covered * x[4] or int(x[2]) in (4, 6, 7)
+    for new in sorted(refs, key=lambda r: (r[5][0][0], r[5][-1][1], r[0])):
+        new = (str(new[0]), str(new[1]), *new[2:])
+        if best is None:
+            best = new if new[2] > 0 or new[3] > 0 else None
+        elif best[2] == 8 or new[2] == 8:
+            if new[2] == 8 and (best[2] != 8 or new[3] > best[3]):
+                best = new
+        elif new[1] != best[1] and 2 not in (new[2], best[2]) and structure(new) and structure(best) and _shared(best[5], new[5]) < covered * min(best[4], new[4]):
+            best = (f"{best[0]}|{new[0]}", f"{best[1]}|{new[1]}", 6.0, max(best[3], new[3]), max(best[4], new[4]), best[5] if best[3] > new[3] else new[5])
+        elif (new[2], new[3]) > (best[2], best[3]):
+            best = new
+    return (best[2], best[0], best[1]) if best else (0.0, "", "")
 
 
 def classify_with_fusions(query: DataFrame, reference: DataFrame, end_buffer: int = 100, bin_size: int = 2000) -> DataFrame:
     """row, code, refs, genes with fusions; one small group per transcript."""
     rated = pairs(query, reference, bin_size).withColumn("code", match_code(end_buffer))
-    entry = F.struct(F.col("b_left").alias("l"), F.col("b_right").alias("r"), F.col("ref").alias("i"), F.col("ref_gene").cast("string").alias("g"), F.col("code").alias("c"), F.col("shared").alias("s"), F.col("ref_n").alias("m"))
-    lists = rated.groupBy("row", "n").agg(F.collect_list(entry).alias("refs"))
+    entry = F.struct(F.col("ref").alias("i"), F.col("ref_gene").cast("string").alias("g"), F.col("code").alias("c"), F.col("shared").alias("s"), F.col("ref_n").alias("m"), F.col("ref_ranges").alias("b"))
+    lists = rated.groupBy("row").agg(F.collect_list(entry).alias("refs"))
 
-    @F.pandas_udf("code int, refs string, genes string")
-    def fold(refs: pd.Series, n: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([fold_fusions([(x["l"], x["r"], x["i"], x["g"], x["c"], x["s"], x["m"]) for x in r], k) for r, k in zip(refs, n, strict=True)], columns=["code", "refs", "genes"])
+    @F.pandas_udf("code double, refs string, genes string")
+    def fold(refs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([fold_fusions([(x["i"], x["g"], x["c"], x["s"], x["m"], [(y["l"], y["r"]) for y in x["b"]]) for x in r]) for r in refs], columns=["code", "refs", "genes"])
 
-    found = lists.select("row", fold("refs", "n").alias("x")).select("row", "x.*")
-    return query.select("row").join(found, "row", "left").withColumn("code", F.coalesce("code", F.lit(0)))
+    found = lists.select("row", fold("refs").alias("x")).select("row", "x.*")
+    return query.select("row").join(found, "row", "left").withColumn("code", F.coalesce("code", F.lit(0.0)))
 
 
 def report(classified: DataFrame) -> DataFrame:

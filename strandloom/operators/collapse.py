@@ -34,8 +34,10 @@ def combine(files: list[DataFrame], scale: list[float] | None = None, source: li
 
 def tpm(df: DataFrame, weight: str = "weight", by: tuple[str, ...] = ("source",)) -> DataFrame:
     """df with TPM: a million times the share of its source's weight (0 of nothing)."""
-    total = F.sum(weight).over(Window.partitionBy(*by))
-    return df.withColumn("TPM", F.when(total != 0, F.col(weight) / total * 1e6).otherwise(0.0))
+    totals = df.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.sum(weight).alias("__total"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    share = F.when(F.col("__total") != 0, F.col(weight) / F.col("__total") * 1e6).otherwise(0.0)
+    return df.join(totals, same).withColumn("TPM", share).drop("__total", *[f"__{c}" for c in by])
 
 
 def multimap_weight(df: DataFrame, name: str = "qname") -> DataFrame:

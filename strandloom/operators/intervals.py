@@ -80,10 +80,13 @@ def shorten_to(ranges: Column, length: Column, strand: Column) -> Column:
 
 
 def shift_by(ranges: Column, offset: Column, strand: Column) -> Column:
-    """All blocks moved downstream by offset (upstream if negative); unstranded
-    rows move to the right. Blocks keep their gaps."""
-    d = F.when(strand == -1, -offset).otherwise(offset).cast("int")
-    return F.transform(ranges, lambda x: F.struct((x["l"] + d).alias("l"), (x["r"] + d).alias("r")))
+    """The two ends moved downstream by offset (upstream if negative) along the blocks:
+    inner junctions stay, the end that moves inwards skips gaps and drops the blocks it
+    passes, and the other grows. Unstranded rows stay."""
+    d = (offset * strand).cast("int")
+    n = F.size(ranges)
+    grown = F.transform(ranges, lambda x, i: F.struct((x["l"] + F.when(i == 0, F.least(d, F.lit(0))).otherwise(0)).cast("int").alias("l"), (x["r"] + F.when(i == n - 1, F.greatest(d, F.lit(0))).otherwise(0)).cast("int").alias("r")))
+    return shorten_to(grown, covered_length(ranges), F.when(d > 0, -1).otherwise(1))
 
 
 def array_runs(values: Column) -> Column:
@@ -113,9 +116,9 @@ def overlap_range(l1: Column, r1: Column, l2: Column, r2: Column) -> Column:
 
 
 def overlap_type(l1: Column, r1: Column, l2: Column, r2: Column) -> Column:
-    """0 apart, 1 within, 2 around, 3 left, 4 right, 5 equal."""
-    apart = (r1 < l2) | (l1 > r2)
-    return F.when(apart, 0).when((l1 == l2) & (r1 == r2), 5).when((l1 >= l2) & (r1 <= r2), 1).when((l1 <= l2) & (r1 >= r2), 2).when(l1 < l2, 3).otherwise(4)
+    """Whether the left edge is at or beyond the other's left (ll) and right (lr), and
+    the right edge at or beyond them (rl, rr)."""
+    return F.struct((l1 >= l2).alias("ll"), (l1 >= r2).alias("lr"), (r1 >= l2).alias("rl"), (r1 >= r2).alias("rr"))
 
 
 def shared_bases(a: Column, b: Column) -> Column:
@@ -124,35 +127,55 @@ def shared_bases(a: Column, b: Column) -> Column:
     return F.aggregate(a, F.lit(0), lambda s, x: s + one(x))
 
 
-def splice_match(a: Column, b: Column) -> Column:
-    """Equal lists of gaps."""
-    return gaps(a) == gaps(b)
+def splice_match(a: Column, b: Column, splice_a: Column | None = None, splice_b: Column | None = None, ignore_ends: bool = True) -> Column:
+    """Equal lists of junctions (of gaps, where splice is not given); without
+    ignore_ends equal blocks."""
+    if not ignore_ends:
+        return a == b
+    return _spliced(a, splice_a) == _spliced(b, splice_b)
 
 
-def sense_match(strand1: Column, strand2: Column, shared: Column, least: int, n1: Column, n2: Column) -> Column:
-    return (strand1 == strand2) & (shared >= F.least(F.lit(least), n1, n2))
+def _spliced(ranges: Column, splice: Column | None) -> Column:
+    return gaps(ranges) if splice is None else junctions(ranges, splice)
 
 
-def antisense_match(strand1: Column, strand2: Column, shared: Column, least: int, n1: Column, n2: Column) -> Column:
-    return (strand1 == -strand2) & (strand1 != 0) & (shared >= F.least(F.lit(least), n1, n2))
+def _reach(l1: Column, r1: Column, l2: Column, r2: Column, least: int) -> Column:
+    """The spans overlap by least bases, or by as many as the shorter one has."""
+    shared = F.least(r1, r2) - F.greatest(l1, l2)
+    return overlaps(l1, r1, l2, r2) & (shared >= F.least(F.lit(least), r1 - l1, r2 - l2))
 
 
-def compatible(a: Column, b: Column) -> Column:
-    """Within the spans' overlap both rows have the same gaps and no block of one
-    crosses a gap of the other."""
-    l, r = F.greatest(left(a), left(b)), F.least(right(a), right(b))
-    inside = lambda x: F.filter(gaps(x), lambda g: (g["l"] >= l) & (g["r"] <= r))
-    crosses = lambda x, y: F.exists(gaps(x), lambda g: F.exists(y, lambda e: (e["l"] < g["r"]) & (e["r"] > g["l"])))
-    return overlaps(left(a), right(a), left(b), right(b)) & (inside(a) == inside(b)) & ~crosses(a, b) & ~crosses(b, a)
+def sense_match(strand1: Column, strand2: Column, l1: Column, r1: Column, l2: Column, r2: Column, least: int) -> Column:
+    return (strand1 == strand2) & _reach(l1, r1, l2, r2, least)
+
+
+def antisense_match(strand1: Column, strand2: Column, l1: Column, r1: Column, l2: Column, r2: Column, least: int) -> Column:
+    """Opposite strands; two rows without a strand are opposite too."""
+    return (strand1 == -strand2) & _reach(l1, r1, l2, r2, least)
 
 
 def ends_clash(strand1, s1, e1, l1, r1, strand2, s2, e2, l2, r2) -> Column:
-    """An end label of one row stands strictly inside the other's span on the side
-    that the other row's label closes."""
-    start = lambda strand, l, r: F.when(strand == -1, r).otherwise(l)
-    end = lambda strand, l, r: F.when(strand == -1, l).otherwise(r)
-    beyond = lambda strand, a, b: F.when(strand == -1, a > b).otherwise(a < b)
-    same = (strand1 == strand2) & (strand1 != 0)
-    after = beyond(strand1, end(strand1, l1, r1), start(strand2, l2, r2)) & e1 & s2
-    before = beyond(strand1, end(strand2, l2, r2), start(strand1, l1, r1)) & e2 & s1
-    return ((strand1 != strand2) & (strand1 != 0) & (strand2 != 0)) | (same & (after | before))
+    """One row reaches beyond the other's start or end label: both plus, or one minus
+    and the other not plus. Opposite strands clash."""
+    left_closed, right_closed = lambda s, e, minus: e if minus else s, lambda s, e, minus: s if minus else e
+
+    def beyond(minus: bool) -> Column:
+        return (left_closed(s1, e1, minus) & (l1 > l2)) | (left_closed(s2, e2, minus) & (l2 > l1)) | (right_closed(s1, e1, minus) & (r1 < r2)) | (right_closed(s2, e2, minus) & (r2 < r1))
+
+    low = F.least(strand1, strand2)
+    return F.when(strand1 * strand2 == -1, True).when(low == 1, beyond(False)).when(low == -1, beyond(True)).otherwise(False)
+
+
+def compatible(a: Column, b: Column, strand1: Column | None = None, strand2: Column | None = None, splice_a: Column | None = None, splice_b: Column | None = None, clash: Column | None = None, ignore_overhang: bool = False, allow_retention: bool = False) -> Column:
+    """Nothing shows that both rows can't be parts of one molecule: strands do not
+    oppose, ends do not clash (``ends_clash``, where given), and the junctions that
+    reach into the spans' overlap (ignore_overhang: that lie inside it) are equal, or
+    with allow_retention a's are among b's. Spans that do not overlap are compatible."""
+    l, r = F.greatest(left(a), left(b)), F.least(right(a), right(b))
+    inside = (lambda g: (g["l"] > l) & (g["r"] < r)) if ignore_overhang else (lambda g: (g["r"] > l) & (g["l"] < r))
+    j1, j2 = F.filter(_spliced(a, splice_a), inside), F.filter(_spliced(b, splice_b), inside)
+    same = (j1 == j2) | (F.size(F.array_except(j1, j2)) == 0) if allow_retention else j1 == j2
+    out = ~overlaps(left(a), right(a), left(b), right(b)) | same
+    if strand1 is not None and strand2 is not None:
+        out = out & (strand1 * strand2 != -1)
+    return out if clash is None else out & ~clash

@@ -26,7 +26,8 @@ def _opens(left: str, before: str, max_gap: int, touch: bool) -> Column:
 
 
 def _numbered(df: DataFrame, order, left: str, max_gap: int, touch: bool, name: str) -> DataFrame:
-    number = F.sum(F.when(_opens(left, "__b", max_gap, touch), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # of rows that tie only one can open an island, and a range frame counts it for all of them
+    number = F.sum(F.when(_opens(left, "__b", max_gap, touch), 1).otherwise(0)).over(order.rangeBetween(Window.unboundedPreceding, 0))
     return df.withColumn(name, number.cast("long")).drop("__b")
 
 
@@ -41,7 +42,7 @@ def _striped(df: DataFrame, keys: list[str], left: str, right: str, max_gap: int
     held = df.join(ends, [*keys, "__s"]).withColumn("__b", F.greatest(F.max(right).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("__p")))
     held = held.withColumn("__o", F.when(_opens(left, "__b", max_gap, touch), 1).otherwise(0))
     first = held.groupBy(*keys, "__s").agg(F.sum("__o").alias("__n")).withColumn("__n0", F.coalesce(F.sum("__n").over(over), F.lit(0))).drop("__n")
-    out = held.join(first, [*keys, "__s"]).withColumn(name, (F.col("__n0") + F.sum("__o").over(order.rowsBetween(Window.unboundedPreceding, 0))).cast("long"))
+    out = held.join(first, [*keys, "__s"]).withColumn(name, (F.col("__n0") + F.sum("__o").over(order.rangeBetween(Window.unboundedPreceding, 0))).cast("long"))
     return out.drop("__s", "__p", "__b", "__o", "__n0")
 
 

@@ -59,7 +59,7 @@ def coverage_minus(spark, d):
     return longs(coverage.coverage(views.reads(spark, d), -1), "start", "end")
 
 
-@query(_coverage_sql("TRUE", "CASE strand WHEN -1 THEN -7 ELSE 7 END"))
+@query(_coverage_sql("TRUE", "7 * strand"))
 def coverage_offset(spark, d):
     return longs(coverage.bedgraph(views.reads(spark, d), offset=7), "start", "end")
 
@@ -89,9 +89,12 @@ def depth_features(spark, d):
     return longs(coverage.depth_features(views.reads(spark, d)), "pos")
 
 
-@query()
+@query(f"""WITH cov AS ({_coverage_sql()}),
+c AS (SELECT chrom, "start", (value - last) / greatest(value, last) AS change FROM (
+  SELECT *, CASE WHEN lag("end") OVER w = "start" THEN lag(value) OVER w ELSE 0 END AS last FROM cov WINDOW w AS (PARTITION BY chrom ORDER BY "start")))
+SELECT chrom, arg_max("start", change * 1e9 - "start" / 1e3) AS rise, arg_min("start", change * 1e9 + "start" / 1e3) AS fall FROM c GROUP BY 1""")
 def sharpest_change(spark, d):
-    return coverage.sharpest_change(coverage.coverage(views.reads(spark, d)))
+    return longs(coverage.sharpest_change(coverage.coverage(views.reads(spark, d))), "rise", "fall")
 
 
 # --- collapse, sort, normalise ---------------------------------------------------
@@ -160,7 +163,7 @@ def _island_sql(opens: str, extra: str = "") -> str:
     return f"""{views.READS},
 o AS (SELECT *, CASE WHEN m IS NULL OR "left" {opens} THEN 1 ELSE 0 END AS opens FROM (
   SELECT *, max("right") OVER (PARTITION BY chrom ORDER BY "left", "right" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM v_reads)),
-i AS (SELECT *, sum(opens) OVER (PARTITION BY chrom ORDER BY "left", "right" ROWS UNBOUNDED PRECEDING) AS locus FROM o)"""
+i AS (SELECT *, sum(opens) OVER (PARTITION BY chrom ORDER BY "left", "right" RANGE UNBOUNDED PRECEDING) AS locus FROM o)"""
 
 
 def _summary_sql(gap: int) -> str:
@@ -195,7 +198,7 @@ def assemblable_reads(spark, d):
 @query(f"""WITH {views.JUNCTIONS},
 o AS (SELECT *, CASE WHEN m IS NULL OR "start" > m THEN 1 ELSE 0 END AS opens FROM (
   SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM v_sj)),
-i AS (SELECT *, sum(opens) OVER (PARTITION BY chrom ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS chunk FROM o)
+i AS (SELECT *, sum(opens) OVER (PARTITION BY chrom ORDER BY "start", "end" RANGE UNBOUNDED PRECEDING) AS chunk FROM o)
 SELECT chrom, CAST(chunk AS BIGINT) AS chunk, count(*) AS n, CAST(min("start") AS BIGINT) AS "start", CAST(max("end") AS BIGINT) AS "end" FROM i GROUP BY 1, 2""")
 def junction_chunks(spark, d):
     return longs(islands.junction_chunks(views.junctions(spark, d)).groupBy("chrom", "chunk").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end")), "start", "end")
@@ -203,7 +206,7 @@ def junction_chunks(spark, d):
 
 @query("""WITH s AS (SELECT user_id, epoch_us(CAST(ts AS TIMESTAMP)) AS t FROM events),
 o AS (SELECT *, CASE WHEN t >= lag(t) OVER (PARTITION BY user_id ORDER BY t) + 3600000000 OR lag(t) OVER (PARTITION BY user_id ORDER BY t) IS NULL THEN 1 ELSE 0 END AS o FROM s),
-i AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS session FROM o)
+i AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY t RANGE UNBOUNDED PRECEDING) AS session FROM o)
 SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n FROM i GROUP BY 1, 2""")
 def event_sessions(spark, d):
     return islands.sessions(views.table(spark, d, "events"), "user_id", "ts", 3600).groupBy("user_id", "session").agg(F.count("*").alias("n"))
@@ -240,16 +243,15 @@ def overlap_join(spark, d):
 
 @query(f"""WITH {_PAIRS},
 s AS (SELECT p.a, p.b, sum(greatest(0, least(u.r, v.r) - greatest(u.l, v.l))) AS shared FROM p JOIN v_blocks u ON u."row" = p.a JOIN v_blocks v ON v."row" = p.b GROUP BY 1, 2)
-SELECT p.a, p.b, CAST(shared AS BIGINT) AS shared,
-  CASE WHEN l1 = l2 AND r1 = r2 THEN 5 WHEN l1 >= l2 AND r1 <= r2 THEN 1 WHEN l1 <= l2 AND r1 >= r2 THEN 2 WHEN l1 < l2 THEN 3 ELSE 4 END AS kind,
-  s1 = s2 AND shared >= least(20, n1, n2) AS sense, s1 = -s2 AND s1 <> 0 AND shared >= least(20, n1, n2) AS antisense
+SELECT p.a, p.b, CAST(shared AS BIGINT) AS shared, l1 >= l2 AS ll, l1 >= r2 AS lr, r1 >= l2 AS rl, r1 >= r2 AS rr,
+  s1 = s2 AND least(r1, r2) - greatest(l1, l2) >= least(20, r1 - l1, r2 - l2) AS sense, s1 = -s2 AND least(r1, r2) - greatest(l1, l2) >= least(20, r1 - l1, r2 - l2) AS antisense
 FROM p JOIN s ON s.a = p.a AND s.b = p.b""")
 def pair_predicates(spark, d):
     x, y = F.col("x"), F.col("y")
-    rows = _pairs(spark, d).withColumns({"shared": intervals.shared_bases(x, y), "n1": intervals.covered_length(x), "n2": intervals.covered_length(y)})
-    kind = intervals.overlap_type(F.col("left"), F.col("right"), F.col("b_left"), F.col("b_right"))
-    args = (F.col("s1"), F.col("s2"), F.col("shared"), 20, F.col("n1"), F.col("n2"))
-    return longs(rows.select("a", "b", "shared", kind.alias("kind"), intervals.sense_match(*args).alias("sense"), intervals.antisense_match(*args).alias("antisense")), "shared")
+    spans = [F.col(c) for c in ("left", "right", "b_left", "b_right")]
+    sense = lambda f: f(F.col("s1"), F.col("s2"), *spans, 20)
+    rows = _pairs(spark, d).select("a", "b", intervals.shared_bases(x, y).alias("shared"), intervals.overlap_type(*spans).alias("k"), sense(intervals.sense_match).alias("sense"), sense(intervals.antisense_match).alias("antisense"))
+    return longs(rows.select("a", "b", "shared", "k.*", "sense", "antisense"), "shared")
 
 
 @query(f"""WITH {_PAIRS},
@@ -260,9 +262,17 @@ def splice_match(spark, d):
     return _pairs(spark, d).select("a", "b", intervals.splice_match(F.col("x"), F.col("y")).alias("same"))
 
 
-@query()
+_CHAINS = """g AS (SELECT "row", r AS gl, lead(l) OVER (PARTITION BY "row" ORDER BY l) AS gr FROM v_blocks QUALIFY gr IS NOT NULL),
+k AS (SELECT "row", list({'l': gl, 'r': gr} ORDER BY gl) AS gaps FROM g GROUP BY 1),
+q AS (SELECT p.*, coalesce(u.gaps, []) AS g1, coalesce(v.gaps, []) AS g2, greatest(l1, l2) AS l0, least(r1, r2) AS r0 FROM p LEFT JOIN k u ON u."row" = a LEFT JOIN k v ON v."row" = b),
+j AS (SELECT *, list_filter(g1, lambda e: e.r > l0 AND e.l < r0) AS j1, list_filter(g2, lambda e: e.r > l0 AND e.l < r0) AS j2,
+  list_filter(g1, lambda e: e.l > l0 AND e.r < r0) AS i1, list_filter(g2, lambda e: e.l > l0 AND e.r < r0) AS i2, s1 * s2 <> -1 AS kin FROM q)"""
+
+
+@query(f"""WITH {_PAIRS}, {_CHAINS} SELECT a, b, kin AND j1 = j2 AS compatible, kin AND i1 = i2 AS inner_compatible, kin AND len(list_filter(j1, lambda e: NOT list_contains(j2, e))) = 0 AS retained FROM j""")
 def compatible_pairs(spark, d):
-    return _pairs(spark, d).select("a", "b", intervals.compatible(F.col("x"), F.col("y")).alias("compatible"))
+    args = [F.col(c) for c in ("x", "y", "s1", "s2")]
+    return _pairs(spark, d).select("a", "b", intervals.compatible(*args).alias("compatible"), intervals.compatible(*args, ignore_overhang=True).alias("inner_compatible"), intervals.compatible(*args, allow_retention=True).alias("retained"))
 
 
 # --- junctions ---------------------------------------------------------------------------
@@ -345,21 +355,42 @@ def seq_motif(spark, d):
     return s.select("doc_id", F.concat("a", "b").alias("m"), Q.motif_code(F.col("a"), F.col("b")).alias("code"), Q.motif_strand(F.col("a"), F.col("b")).alias("strand"))
 
 
-@query()
+_ACIDS = Q._codon_table()[1].tobytes().decode()
+
+
+def _translate_sql(seq: str) -> str:
+    place = lambda k: f"strpos('{Q.CODES}', substr(z, 3 * i + {k}, 1))"
+    return f"array_to_string(list_transform(range(0, length({seq}) // 3), lambda i: substr('{_ACIDS}', ({place(1)} * 16 + {place(2)}) * 16 + {place(3)} + 1, 1)), '')".replace("substr(z,", f"substr({seq},")
+
+
+@query(f"WITH {views.SEQUENCES}, u AS (SELECT doc_id, replace(seq, 'U', 'T') AS z FROM v_seq) SELECT doc_id, {_translate_sql('z')} AS aa FROM u")
 def seq_translate(spark, d):
     return views.sequences(spark, d).select("doc_id", Q.translate(F.col("seq")).alias("aa"))
 
 
-@query()
+@query(f"""WITH {views.SEQUENCES},
+u AS (SELECT doc_id, frame, substr(replace(seq, 'U', 'T'), frame + 1) AS z FROM v_seq, (SELECT unnest([0, 1, 2]) AS frame)),
+f AS (SELECT doc_id, frame, string_split({_translate_sql('z')}, '*') AS a FROM u),
+t AS (SELECT doc_id, frame, unnest(a) AS a, generate_subscripts(a, 1) AS i, len(a) AS n FROM f),
+b AS (SELECT *, sum(length(a) + 1) OVER (PARTITION BY doc_id, frame ORDER BY i) - length(a) - 1 + strpos(a, 'M') - 1 AS first FROM t),
+o AS (SELECT doc_id, frame, frame + 3 * first AS "start", substr(a, strpos(a, 'M')) AS aa FROM b WHERE strpos(a, 'M') > 0 AND i < n)
+SELECT doc_id, CAST(frame AS BIGINT) AS frame, CAST("start" AS BIGINT) AS "start", CAST("start" + 3 * length(aa) + 3 AS BIGINT) AS "end", aa, TRUE AS has_start, TRUE AS has_stop
+FROM o WHERE length(aa) > 5 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(aa) DESC, "start") = 1""")
 def seq_orfs(spark, d):
-    return Q.longest_orf(views.sequences(spark, d), "doc_id", min_aa=5).select("doc_id", "orf.*")
+    return longs(Q.longest_orf(views.sequences(spark, d), "doc_id", min_aa=5).select("doc_id", "orf.*"), "frame", "start", "end")
 
 
-@query()
+_MASKS = {c: sum(1 << "ACGT".index(x) for x in b) for c, b in Q.BASES.items()}
+
+
+@query(f"""WITH {views.SEQUENCES}, h AS (SELECT doc_id, substr(seq, 1, length(seq) // 2) AS x, substr(seq, length(seq) // 2 + 1, length(seq) // 2) AS y FROM v_seq),
+m AS (SELECT *, {list(_MASKS.values())} AS masks FROM h)
+SELECT doc_id, CAST(CASE WHEN x = y THEN -1 ELSE len(list_filter(range(1, length(x) + 1), lambda i: (masks[strpos('{"".join(_MASKS)}', substr(x, i, 1))] & masks[strpos('{"".join(_MASKS)}', substr(y, i, 1))]) = 0)) END AS BIGINT) AS distance FROM m""")
 def seq_iupac_hamming(spark, d):
     """The first half of each sequence against its second half."""
     n = F.floor(F.length("seq") / 2).cast("int")
-    return views.sequences(spark, d).select("doc_id", Q.iupac_hamming(F.substring(F.col("seq"), F.lit(1), n), F.substring(F.col("seq"), n + 1, n)).alias("distance"))
+    rows = views.sequences(spark, d).select("doc_id", Q.iupac_hamming(F.substring(F.col("seq"), F.lit(1), n), F.substring(F.col("seq"), n + 1, n)).alias("distance"))
+    return longs(rows, "distance")
 
 
 # --- formats: what is written and read again ------------------------------------------------
@@ -439,23 +470,24 @@ def _query_and_reference(spark, d):
     return rows.where("not is_reference"), rows.where("is_reference")
 
 
-@query(f"""WITH {_PAIRS},
-g AS (SELECT "row", r AS gl, lead(l) OVER (PARTITION BY "row" ORDER BY l) AS gr FROM v_blocks QUALIFY gr IS NOT NULL),
-k AS (SELECT "row", list(gl || '-' || gr ORDER BY gl) AS chain, list(struct_pack(gl := gl, gr := gr)) AS gaps FROM g GROUP BY 1),
+@query(f"""WITH {_PAIRS}, {_CHAINS},
 s AS (SELECT p.a, p.b, sum(greatest(0, least(u.r, v.r) - greatest(u.l, v.l))) AS shared FROM p JOIN v_blocks u ON u."row" = p.a JOIN v_blocks v ON v."row" = p.b GROUP BY 1, 2),
-q AS (SELECT p.*, shared, coalesce(u.chain, []) AS c1, coalesce(v.chain, []) AS c2, s1 = s2 AND s1 <> 0 AS same, n1 < 0.6 * n2 AS short, coalesce(len(list_filter(v.gaps, lambda e: e.gl <= l1 AND e.gr >= r1)) > 0, FALSE) AS inside
-  FROM p JOIN s ON s.a = p.a AND s.b = p.b LEFT JOIN k u ON u."row" = p.a LEFT JOIN k v ON v."row" = p.b),
-c AS (SELECT a, b, shared, CASE
-  WHEN same AND c1 = c2 AND abs(l1 - l2) <= 100 AND abs(r1 - r2) <= 100 THEN 8 WHEN same AND c1 = c2 THEN CASE WHEN short THEN 6 ELSE 5 END
-  WHEN same AND len(c1) > 0 AND list_has_all(c2, c1) THEN 6 WHEN same AND list_has_any(c1, c2) THEN 7 WHEN s1 = 0 AND shared > 0 THEN 4 WHEN s1 = -s2 AND shared > 0 THEN 1 WHEN same AND shared > 0 THEN 3
-  WHEN shared = 0 AND inside THEN 2 ELSE 0 END AS code FROM q),
-best AS (SELECT * FROM c WHERE code > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY code DESC, shared DESC, b) = 1)
-SELECT m."row", CAST(coalesce(code, 0) AS BIGINT) AS code, b AS ref, CAST(coalesce(shared, 0) AS BIGINT) AS shared FROM v_multi m LEFT JOIN best ON a = m."row" WHERE NOT is_reference""")
+e AS (SELECT j.*, shared, y[1].r < x[1].l OR x[1].r < y[1].l AS low, y[-1].l > x[-1].r OR x[-1].l > y[-1].r AS high, abs(l1 - l2) AS dl, abs(r1 - r2) AS dr FROM j JOIN s ON s.a = j.a AND s.b = j.b),
+f AS (SELECT *, CASE s1 WHEN 1 THEN low ELSE high END AS tss, CASE s1 WHEN 1 THEN high ELSE low END AS pas, CASE s1 WHEN 1 THEN dl ELSE dr END AS d5, CASE s1 WHEN 1 THEN dr ELSE dl END AS d3 FROM e),
+c AS (SELECT a, b, s1, shared, CASE
+  WHEN g1 = g2 AND s1 = s2 THEN CASE WHEN dl <= 100 AND dr <= 100 THEN 8 WHEN n1 < 0.6 * n2 THEN 5 ELSE 7 END
+  WHEN kin AND j1 = j2 THEN CASE WHEN n2 > n1 THEN 5 ELSE 4 END
+  WHEN s1 = 0 THEN 1 WHEN s1 <> s2 THEN 2 WHEN shared = 0 THEN 3
+  WHEN i1 = i2 THEN CASE WHEN pas AND NOT (tss AND d5 > d3) THEN 4.2 WHEN tss THEN 4.1 ELSE 0 END
+  WHEN len(list_filter(j1, lambda e: NOT list_contains(j2, e))) = 0 THEN CASE WHEN x[1].l < y[1].r AND x[-1].r > y[-1].l THEN 4.3 ELSE 5 END
+  ELSE 4 END AS kind FROM f),
+best AS (SELECT a, b, shared, CASE WHEN s1 = 0 AND floor(kind) IN (4, 7, 8) THEN 1 ELSE kind END AS code FROM c WHERE kind > 0 OR shared > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY code DESC, shared DESC, b) = 1)
+SELECT m."row", CAST(coalesce(code, 0) AS DOUBLE) AS code, b AS ref, CAST(coalesce(shared, 0) AS BIGINT) AS shared FROM v_multi m LEFT JOIN best ON a = m."row" WHERE NOT is_reference""")
 def classify_transcripts(spark, d):
     from strandloom.operators import classify
 
     q, r = _query_and_reference(spark, d)
-    return longs(classify.classify(q, r).select("row", "code", "ref", "shared"), "code", "shared")
+    return longs(classify.classify(q, r).select("row", "code", "ref", "shared"), "shared")
 
 
 @query()

@@ -33,10 +33,35 @@ def test_intervals(spark):
     )
     t = lambda x: [tuple(y) for y in x]
     assert t(r.gaps) == [(20, 30), (40, 60)] and r.none == [] and r.n == 30 and t(r.u) == [(1, 4), (5, 12)] and t(r.apart) == [(1, 3), (3, 4)]
-    assert t(r.plus) == [(10, 20), (30, 35)] and t(r.minus) == [(35, 40), (60, 70)] and t(r.sh)[0] == (5, 15) and t(r.runs) == [(1, 3), (7, 7), (9, 10)]
+    assert t(r.plus) == [(10, 20), (30, 35)] and t(r.minus) == [(35, 40), (60, 70)] and t(r.sh) == [(5, 20), (30, 40), (60, 65)] and t(r.runs) == [(1, 3), (7, 7), (9, 10)]
     assert t(r.j) == [(20, 30)] and r.bad and r.closed and r.sb == 10 and r.ok and not r.clash and r.sm and r.lab == "ec"
 
 
+def test_shift_by_moves_the_ends_along_the_blocks(spark):
+    r = random.Random(4)
+    for _ in range(12):
+        edges = sorted(r.sample(range(400), 2 * r.randrange(1, 5)))
+        pairs = list(zip(edges[::2], edges[1::2], strict=True))
+        bases = [p for a, b in pairs for p in range(a, b)]
+        for d in (-r.randrange(1, len(bases) + 1), 0, r.randrange(1, len(bases) + 1)):
+            grown = bases + [bases[-1] + 1 + i for i in range(d)] if d >= 0 else [bases[0] - 1 - i for i in range(-d)][::-1] + bases
+            want = grown[d:] if d >= 0 else grown[: len(bases)]
+            got = one(spark, x=intervals.shift_by(blocks(*pairs), F.lit(d), F.lit(1)), y=intervals.shift_by(blocks(*pairs), F.lit(-d), F.lit(-1)), z=intervals.shift_by(blocks(*pairs), F.lit(d), F.lit(0)))
+            assert [p for a, b in got.x for p in range(a, b)] == want and got.x == got.y and [tuple(p) for p in got.z] == pairs
+
+
+def test_ends_clash(spark):
+    no, yes = F.lit(False), F.lit(True)
+    span = lambda l, r: (F.lit(l), F.lit(r))
+    clash = lambda s, a, b: one(spark, x=intervals.ends_clash(F.lit(s), *a, F.lit(s), *b)).x
+    start, end, none = (yes, no), (no, yes), (no, no)
+    assert clash(1, (*start, *span(5, 9)), (*none, *span(3, 9))) and not clash(1, (*start, *span(3, 9)), (*none, *span(5, 12)))
+    assert clash(1, (*none, *span(5, 12)), (*end, *span(3, 9))) and not clash(1, (*end, *span(5, 12)), (*start, *span(3, 9)))
+    assert clash(-1, (*start, *span(3, 9)), (*none, *span(3, 10))) and clash(-1, (*end, *span(5, 9)), (*none, *span(3, 9)))
+    assert not clash(0, (*start, *span(5, 9)), (*none, *span(3, 9)))
+    assert one(spark, x=intervals.ends_clash(F.lit(1), *none, *span(1, 2), F.lit(-1), *none, *span(1, 2))).x
+
+
 def test_breaks_at_the_gap(spark):
     rows = spark.createDataFrame([("c", 0, 10), ("c", 60, 70), ("c", 119, 130), ("d", 5, 6)], "chrom string, left int, right int")
     for stripe in (None, 25):
@@ -190,12 +215,13 @@ REF = f"row bigint, chrom string, strand int, ranges {B}, gene_id string"
 
 def test_classification(spark):
     refs = spark.createDataFrame([(1, "c", 1, [(0, 100), (200, 300)], "g1"), (2, "c", 1, [(1000, 1100), (1200, 1300)], "g2")], REF)
-    cases = {10: (1, [(20, 100), (200, 290)], 8), 11: (1, [(0, 100), (200, 900)], 5), 12: (1, [(50, 100), (200, 205)], 8), 13: (-1, [(10, 90)], 1), 14: (0, [(10, 90)], 4), 15: (1, [(120, 180)], 2), 16: (1, [(5000, 5100)], 0), 17: (1, [(0, 80), (250, 300)], 3)}
+    cases = {10: (1, [(20, 100), (200, 290)], 8), 11: (1, [(0, 100), (200, 900)], 7), 12: (1, [(50, 100), (200, 205)], 8), 13: (-1, [(10, 90)], 2), 14: (0, [(10, 90)], 5), 15: (1, [(120, 180)], 3), 16: (1, [(5000, 5100)], 0), 17: (1, [(0, 80), (250, 300)], 4),
+        18: (1, [(-200, -150), (50, 100), (200, 300)], 4.1), 19: (1, [(0, 100), (200, 250), (350, 400)], 4.2), 20: (1, [(0, 300)], 4.3), 21: (1, [(10, 60)], 5), 22: (0, [(0, 100), (200, 300)], 1)}
     q = spark.createDataFrame([(k, "c", s, r, "x") for k, (s, r, _) in cases.items()], REF)
     assert {r.row: r.code for r in classify.classify(q, refs).collect()} == {k: v[2] for k, v in cases.items()}
     fused = spark.createDataFrame([(1, "c", 1, [(0, 100), (200, 300), (1000, 1100), (1200, 1300)], "x")], REF)
     f = classify.classify_with_fusions(fused, refs).first()
-    assert f.code == 9 and f.genes == "g1|g2"
+    assert f.code == 6 and f.genes == "g1|g2"
     w = {(r.kind, r.left, r.right) for r in classify.end_windows(refs.where("row = 1"), 50).collect()}
     assert w == {("S", -50, 50), ("E", 250, 350)}
     genome = spark.createDataFrame([("c", "A" * 100 + "GT" + "A" * 96 + "AG" + "A" * 2000)], "chrom string, seq string")
