@@ -3,23 +3,28 @@
 Pages are parsed into light DOM trees. A host's pages are dealt into chunks of
 about ``chunk`` pages, so a hot host is many groups. Within a chunk the trees
 are aligned by simple tree matching (dynamic programming over the children of
-nodes with equal tags) against a wrapper tree, the chunk's first page. A text
-node whose aligned counterparts read alike on nearly all distinct pages is
-template; nodes that vary are slots.
+nodes with equal tags) against a wrapper tree, which starts as the first page and
+grows by the nodes of later pages that it lacks. A text node whose aligned counterparts
+read alike on nearly all distinct pages is template, inside <article> and <main> too
+(there on ``INNER_PAGES`` at least: a few articles may share a line); nodes that vary are
+slots. Only texts that occur on so many distinct pages can become
+template, so subtrees without any are left out of the alignment, which changes nothing.
+Pages that read alike count once: copies of an article do not make it a template.
 
 Content is what stands in slots, without the parts that HTML itself or common
 class names mark as page furniture (menus, footers, forms, adverts, notices,
-comments). Where a page names its content with <article> or <main>, that subtree
-is one slot: it is kept whole, since copies of an article on one host also read
-alike on all pages.
+comments). Where a page marks its content by <article> or <main>, the outermost of these
+hold it; of several, those that are mostly links are left out.
 
 Defined cases: null or empty html gives empty text; unclosed tags, comments and
-truncated markup are read to the end of the page; repeated pages each get their
+truncated markup are read to the end of the page; nesting may be of any depth; of
+attributes only those of exactly the names looked for count (not data-class); repeated pages each get their
 row; null or odd URLs share the empty host.
 """
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +34,7 @@ from strandloom.llm.common import plus
 from strandloom.llm.url_filter import host_of
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']*(?:\"[^\"]*\"|'[^']*'))*[^>\"']*|[^>]*)(?:>|\Z)", re.S)
-ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 # Fixed values of HTML: elements without content, with raw text, and those that end an open <p>.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp noscript".split())
@@ -42,14 +47,14 @@ DROP = frozenset("head nav footer aside form script style noscript template svg
 DROP_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form tablist".split())
 DROP_WORD = frozenset("ad ads adv advert adverts advertisement advertising adbox adslot banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pagination paywall pager popup promo promos promotion related recommended replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split())
 SPLIT_WORDS = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
-FURNITURE_SHARE, LEAST_PAGES = 0.8, 4
+FURNITURE_SHARE, LEAST_PAGES, INNER_PAGES, LINKS = 0.8, 4, 16, 0.5
 
 
 class Node:
-    __slots__ = ("drop", "kids", "sign", "tag", "text")
+    __slots__ = ("drop", "kids", "of", "tag", "text")
 
-    def __init__(self, tag: str, text: str = "", drop: bool = False):
-        self.tag, self.text, self.drop, self.kids = tag, text, drop, []
+    def __init__(self, tag: str, text: str = "", drop: bool = False, of: "Node | None" = None):
+        self.tag, self.text, self.drop, self.of, self.kids = tag, text, drop, of, []
 
 
 def _furniture(tag: str, attrs: str) -> bool:
@@ -126,118 +131,142 @@ def parse(page: str) -> Node:
     return root
 
 
-def content_roots(root: Node) -> list[Node]:
-    """The outermost <article>s, else <main>s, outside page furniture."""
-    for name in ("article", "main"):
-        found, todo = [], [root]
-        while todo:
-            x = todo.pop()
-            if x.drop:
-                continue
-            if x.tag == name:
-                found.append(x)
-            else:
-                todo += reversed(x.kids)
-        if found:
-            return found
-    return []
+def walk(root: Node, inner: bool = True):
+    """The nodes of a tree in order; without inner, not what is inside furniture."""
+    todo = [root]
+    while todo:
+        x = todo.pop()
+        yield x
+        if inner or not x.drop:
+            todo += reversed(x.kids)
 
 
-def squeeze(s: str) -> str:
-    return " ".join(entities.unescape(s).split())
+def link_share(root: Node) -> float:
+    """The share of a subtree's text that stands in links."""
+    size = lambda x: sum(len(y.text.strip()) for y in walk(x) if y.tag == "#")
+    return sum(size(x) for x in walk(root) if x.tag == "a") / max(1, size(root))
 
 
-def _align(a: Node, b: Node, pairs: dict, memo: dict) -> int:
-    """Simple tree matching: the size of the largest matching of a and b with
-    their order kept; memo: matched child pairs of each compared pair."""
-    if a.tag != b.tag:
-        return 0
-    key = (id(a), id(b))
-    if key in memo:
-        return memo[key][0]
-    rows, cols = a.kids, b.kids
-    table = [[0] * (len(cols) + 1) for _ in range(len(rows) + 1)]
-    for i, x in enumerate(rows, 1):
-        for j, y in enumerate(cols, 1):
-            s = _align(x, y, pairs, memo) if x.tag == y.tag else 0
-            table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + s)
-    chosen, i, j = [], len(rows), len(cols)
-    while i and j:
-        if table[i][j] == table[i - 1][j]:
-            i -= 1
-        elif table[i][j] == table[i][j - 1]:
-            j -= 1
+def content_roots(root: Node) -> list[Node]:
+    """The outermost <article>s and <main>s outside page furniture; of several, those
+    that are not mostly links."""
+    found, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if x.drop:
+            continue
+        if x.tag in ("article", "main"):
+            found.append(x)
         else:
-            chosen.append((rows[i - 1], cols[j - 1]))
-            i, j = i - 1, j - 1
-    memo[key] = (table[-1][-1] + 1, chosen)
-    return memo[key][0]
+            todo += reversed(x.kids)
+    if len(found) > 1:
+        return [x for x in found if link_share(x) <= LINKS] or found
+    return found
+
+
+def squeeze(s: str) -> str:
+    return " ".join(entities.unescape(s).split())
 
 
 def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """The matched nodes of the trees a and b."""
-    memo: dict = {}
-    if not _align(a, b, {}, memo):
+    """Simple tree matching: the pairs of the largest matching of the trees a and b that
+    keeps their order, parents first."""
+    if a.tag != b.tag:
         return []
-    out, todo = [], [(a, b)]
-    while todo:
-        x, y = todo.pop()
-        out.append((x, y))
-        todo += memo[id(x), id(y)][1]
+    pairs = [(a, b)]
+    for x, y in pairs:  # grows: every pair of children with equal tags
+        pairs += [(i, j) for i in x.kids for j in y.kids if i.tag == j.tag]
+    memo: dict[tuple[int, int], tuple[int, list]] = {}
+    for x, y in reversed(pairs):
+        rows, cols = x.kids, y.kids
+        table = [[0] * (len(cols) + 1) for _ in range(len(rows) + 1)]
+        for i, p in enumerate(rows, 1):
+            for j, q in enumerate(cols, 1):
+                s = memo[id(p), id(q)][0] if p.tag == q.tag else 0
+                table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + s)
+        chosen, i, j = [], len(rows), len(cols)
+        while i and j:
+            if table[i][j] == table[i - 1][j]:
+                i -= 1
+            elif table[i][j] == table[i][j - 1]:
+                j -= 1
+            else:
+                chosen.append((rows[i - 1], cols[j - 1]))
+                i, j = i - 1, j - 1
+        memo[id(x), id(y)] = (table[-1][-1] + 1, chosen[::-1])
+    out = [(a, b)]
+    for x, y in out:
+        out += memo[id(x), id(y)][1]
     return out
 
 
-def outline(root: Node) -> Node:
-    """The tree with content roots and furniture as leaves: what is aligned."""
-    roots = {id(r) for r in content_roots(root)}
-
-    def copy(x: Node) -> Node:
-        y = Node(x.tag, x.text)
-        y.sign = x
-        if id(x) not in roots and not x.drop:
-            y.kids = [copy(k) for k in x.kids if k.tag != "#" or k.text.strip()]
-        return y
-
-    return copy(root)
+def outline(root: Node, texts: dict[int, str], common: set[str]) -> Node:
+    """A copy of the tree's paths to common texts, whose nodes refer to their originals."""
+    order, parents, todo = [], [], [(root, -1)]
+    while todo:
+        x, parent = todo.pop()
+        order.append(x)
+        parents.append(parent)
+        if not x.drop:
+            at = len(order) - 1
+            todo += [(k, at) for k in reversed(x.kids)]
+    keep = [x.tag == "#" and texts.get(id(x)) in common for x in order]
+    for i in range(len(order) - 1, 0, -1):
+        keep[parents[i]] |= keep[i]
+    copies: list[Node | None] = [None] * len(order)
+    for i, x in enumerate(order):
+        if keep[i] or not i:
+            copies[i] = Node(x.tag, texts.get(id(x), ""), of=x)
+            if i:
+                copies[parents[i]].kids.append(copies[i])
+    return copies[0]
+
+
+def grow(wrapper: Node, page: Node) -> list[tuple[Node, Node]]:
+    """Aligns a page's outline with the wrapper, adds what the wrapper lacks, and gives
+    (wrapper's, page's) text nodes."""
+    pairs = align(wrapper, page)
+    at = {id(y): x for x, y in pairs}
+    out = []
+    for x, y in pairs:
+        if y.tag == "#":
+            out.append((x, y))
+        place = 0
+        for kid in y.kids:
+            if id(kid) in at:
+                place = next(i for i, k in enumerate(x.kids) if k is at[id(kid)]) + 1
+            else:
+                x.kids.insert(place, kid)
+                place += 1
+                out += [(z, z) for z in walk(kid) if z.tag == "#"]
+    return out
 
 
 def template_nodes(trees: list[Node]) -> set[int]:
-    """ids of text nodes that read alike on nearly all pages of a chunk."""
-    outs, seen = [], set()
-    for t in trees:
-        o = outline(t)
-        shape = tuple(squeeze(x.text) for x in _texts(o))
-        if shape and shape not in seen:
-            seen.add(shape)
-        outs.append((o, shape))
-    if len(seen) < LEAST_PAGES:
+    """ids of text nodes that read alike on nearly all distinct pages of a chunk."""
+    texts = [{id(x): t for x in walk(tree, inner=False) if x.tag == "#" and (t := squeeze(x.text))} for tree in trees]
+    shapes = [hash(tuple(t.values())) for t in texts]
+    distinct = {s: t for s, t in zip(shapes, texts, strict=True) if t}
+    least = max(LEAST_PAGES, FURNITURE_SHARE * len(distinct))
+    if len(distinct) < LEAST_PAGES:
+        return set()
+    pages = Counter(x for t in distinct.values() for x in set(t.values()))
+    common = {x for x, n in pages.items() if n >= least}
+    if not common:
         return set()
-    wrapper = outs[0][0]
+    wrapper = None
     slots: dict[int, dict[str, set]] = {}
     held: dict[int, list[tuple[str, Node]]] = {}
-    for o, shape in outs:
-        for w, x in align(wrapper, o):
-            if w.tag == "#":
-                s = squeeze(x.text)
-                slots.setdefault(id(w), {}).setdefault(s, set()).add(shape)
-                held.setdefault(id(w), []).append((s, x.sign))
-    out = set()
-    for w, texts in slots.items():
-        for s, shapes in texts.items():
-            if len(shapes) >= LEAST_PAGES and len(shapes) >= FURNITURE_SHARE * len(seen):
-                out.update(id(x) for t, x in held[w] if t == s)
-    return out
-
-
-def _texts(x: Node) -> list[Node]:
-    out, todo = [], [x]
-    while todo:
-        y = todo.pop()
-        if y.tag == "#":
-            out.append(y)
-        else:
-            todo += reversed(y.kids)
-    return out
+    for tree, text, shape in zip(trees, texts, shapes, strict=True):
+        page = outline(tree, text, common)
+        if wrapper is None:
+            wrapper = Node(page.tag)
+        for w, x in grow(wrapper, page):
+            slots.setdefault(id(w), {}).setdefault(x.text, set()).add(shape)
+            held.setdefault(id(w), []).append((x.text, x.of))
+    inner = {id(x) for tree in trees for r in content_roots(tree) for x in walk(r) if x.tag == "#"}
+    enough = lambda x, seen: len(seen) >= (max(least, INNER_PAGES) if id(x) in inner else least)
+    return {id(x) for w, found in slots.items() for s, seen in found.items() for t, x in held[w] if t == s and enough(x, seen)}
 
 
 def main_text(root: Node, template: set[int]) -> str:
@@ -276,24 +305,25 @@ def main_text(root: Node, template: set[int]) -> str:
 def extract_group(pages: list[str | None]) -> list[str]:
     """The main texts of pages of one host."""
     trees = [parse(p or "") for p in pages]
-    first = next((i for i, p in enumerate(pages) if p), 0)
-    template = template_nodes([*trees[first:], *trees[:first]]) if len(trees) >= LEAST_PAGES else set()
+    template = template_nodes(trees) if len(trees) >= LEAST_PAGES else set()
     return [main_text(t, template) for t in trees]
 
 
 def extract(pages: DataFrame, chunk: int = 64, keep: tuple[str, ...] = ("page_id", "url"), broadcast_bytes: int = 32 << 20) -> DataFrame:
     """keep columns, text and n_chars for every row of pages."""
-    rows = pages.select(*keep, F.col("html").alias("__html"), host_of(F.col("url")).alias("__host"))
-    hot = rows.groupBy("__host").count().where(F.col("count") > chunk).select(F.col("__host").alias("__h"), F.ceil(F.col("count") / chunk).cast("int").alias("__chunks"))
-    size = hot.agg(F.coalesce(F.sum(F.length("__h") + 24), F.lit(0)).alias("b")).first().b
-    dealt = rows.join(F.broadcast(hot) if size <= broadcast_bytes else hot, F.col("__host") == F.col("__h"), "left")
-    dealt = dealt.withColumn("__chunk", F.pmod(F.xxhash64(keep[0], F.length("__html")), F.coalesce("__chunks", F.lit(1))))
-    dealt = dealt.withColumn("__group", F.xxhash64("__host", "__chunk")).drop("__h", "__chunks", "__chunk")
-    schema = plus(pages.select(*keep), "text string, n_chars bigint")
+    base = pages.select(*keep, "html", host_of(F.col("url")).alias("host"))
+    fields = [f"c{i}" for i in range(len(keep))]
+    rows = base.toDF(*fields, "html", "host")
+    hot = rows.groupBy("host").count().where(F.col("count") > chunk).select(F.col("host").alias("h"), F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
+    size = hot.agg(F.coalesce(F.sum(F.length("h") + 24), F.lit(0)).alias("b")).first().b
+    dealt = rows.join(F.broadcast(hot) if size <= broadcast_bytes else hot, F.col("host") == F.col("h"), "left")
+    number = F.pmod(F.xxhash64(fields[0], F.length("html")), F.coalesce("chunks", F.lit(1)))
+    dealt = dealt.withColumn("part", F.xxhash64("host", number)).select(*fields, "html", "host", "part")
+    schema = plus(rows.select(*fields), "text string, n_chars bigint")
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by(keep[0])
-        texts = extract_group(t.column("__html").to_pylist())
-        return pa.table([*[t.column(c) for c in keep], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[*keep, "text", "n_chars"])
+        t = t.sort_by(fields[0])
+        texts = extract_group(t.column("html").to_pylist())
+        return pa.table([*[t.column(c) for c in fields], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=schema.names)
 
-    return dealt.groupBy("__group", "__host").applyInArrow(run, schema)
+    return dealt.groupBy("part", "host").applyInArrow(run, schema).toDF(*keep, "text", "n_chars")

@@ -25,6 +25,31 @@ def test_copies_of_an_article_stay():
     assert set(H.extract_group(pages)) == {"same words"}
 
 
+def test_template_inside_articles_and_marks_outside():
+    note = "<p>Thank you for reading our paper</p>"
+    pages = [page(f"<main><h2>Column</h2><article><p>story {i}</p>{note}<p>end {i * i}</p></article><p>see also {i}</p></main>") for i in range(20)]
+    assert H.extract_group(pages) == [f"story {i}\nend {i * i}\nsee also {i}" for i in range(20)]
+    links = "<article>" + "".join(f"<a href=/{k}>related story {k}</a>" for k in range(5)) + "</article>"
+    assert H.extract_group([page(f"<article><p>the text</p></article>{links}")]) == ["the text"]
+
+
+def test_wrapper_grows():
+    """What the first page lacks is still seen to repeat on the others."""
+    pages = [page("<div>only me</div>")] + [page(f"<div><p>story {i}</p></div><div><span>Imprint and terms</span></div>") for i in range(9)]
+    assert H.extract_group(pages) == ["only me"] + [f"story {i}" for i in range(9)]
+
+
+def test_other_attributes_do_not_count():
+    assert H.extract_group([page('<article><p data-hidden="false" data-class="ad">kept</p><p class="ad">gone</p><p hidden>gone</p></article>')]) == ["kept"]
+
+
+def test_deep_pages_among_others():
+    deep = page("<div>" * 3000 + "<p>deep text</p>")
+    pages = [page(f"<div><p>Welcome here</p><p>story {i}</p></div>") for i in range(6)] + [deep]
+    got = H.extract_group(pages)
+    assert got[:6] == [f"story {i}" for i in range(6)] and got[6] == "deep text"
+
+
 def test_odd_html():
     assert H.extract_group([None, "", "plain &am", "<p", "a < b <p>c", "<article><p>cut <b>of", "<!-- never ends", "<script>x", "<div hidden>h</div>v"]) == ["", "", "plain &am", "", "a < b\nc", "cut of", "", "", "v"]
     assert H.extract_group(["<p>" + "deep <div>" * 3000 + "x"])[0].endswith("x")
