@@ -137,7 +137,10 @@ def text_sets(docs: DataFrame, k: int, seed: int, kept: list[str] | None = None)
     return stored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(released(run), SETS), "sets", kept)
 
 
-def set_rows(ids, hashes, sets: list[np.ndarray], seed: int) -> pa.RecordBatch:
+def set_rows(ids, hashes, sets: list[np.ndarray], seed: int, spread: bool = False) -> pa.RecordBatch:
+    """Rows of SETS; spread: tokens are small numbers, which become 56-bit hashes."""
+    if spread:
+        sets = [np.unique(mix(x + np.uint64(1)) >> np.uint64(8)) for x in sets]
     h = [xxhash.xxh3_128_intdigest(x.tobytes(), seed=seed) for x in sets]
     high = [(x >> 64) - (1 << 63) for x in h]
     low = [(x & (2**64 - 1)) - (1 << 63) for x in h]

@@ -7,8 +7,12 @@ bits. A document's set of signatures is its fingerprint, written as the sorted
 hashes in base64: equal texts have equal fingerprints, and likeness is the Jaccard
 similarity of two sets.
 
-Pairs of other documents are not compared: the join of all fingerprints by length
-partitions with a prefix filter and early stop is not built.
+``near_classes`` finds the near copies among all documents. Equal fingerprints are one
+node. Nodes meet in the lists of their rarest signatures, partitioned by length: a set of n
+signatures is only held against those of n to n / ``percent`` % signatures, which follow it
+in its list. Pairs that pass go on through the bounds of set_join (shared rare signatures,
+bitmaps), and ``likeness``, which stops as soon as the threshold is out of reach, decides.
+``edited_neighbours`` gets its numbers from the same pruned comparison, with no threshold.
 
 ``edited_neighbours`` needs each document and the next one by falling id: documents
 are range-partitioned by exact bounds, and a document that opens a part is also
@@ -32,7 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import mix
+from strandloom.llm import set_join
+from strandloom.llm.common import discard, mix, released, small_batches, stored
 
 # Common words of English, Spanish, French and German.
 ANCHORS = """
@@ -81,13 +86,51 @@ def read_fingerprint(s: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(s), "<u4")
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def likeness(a: np.ndarray, b: np.ndarray, percent: int = 0) -> float:
+    """The Jaccard similarity of two sorted sets, or 0 if it is below percent / 100: that
+    shows by their lengths, or as soon as too few signatures are left to reach it."""
     if not len(a) and not len(b):
         return 1.0
-    common = len(np.intersect1d(a, b, assume_unique=True))
+    a, b = sorted((a, b), key=len)
+    if not len(a) or 100 * len(a) < percent * len(b):
+        return 0.0
+    need = -(-percent * (len(a) + len(b)) // (100 + percent))
+    common, step = 0, max(64, len(a) // 8)
+    for at in range(0, len(a), step):
+        some = a[at : at + step]
+        place = np.searchsorted(b, some)
+        common += int(np.count_nonzero(b.take(place, mode="clip") == some))
+        if common + len(a) - at - len(some) < need:
+            return 0.0
     return common / (len(a) + len(b) - common)
 
 
+def near_classes(docs: DataFrame, percent: int = 80, **how) -> DataFrame:
+    """doc_id, n_signatures, class_id (the smallest doc_id reachable by links between
+    fingerprints of likeness percent / 100 or more; itself for an empty one)."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    for seed in range(8):
+        kept: list[str] = []
+
+        def run(batches, seed=seed):
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    s = b.slice(at, 256)
+                    sets = [signatures_of(text_words(t or "")).astype(np.uint64) for t in s.column(2).to_pylist()]
+                    yield set_join.set_rows(s.column(0), s.column(1), sets, seed, spread=True)
+
+        try:
+            rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+            sets = stored(rows.mapInArrow(released(run), set_join.SETS), "spots", kept)
+            out = set_join.join_sets(sets, percent, kept=kept, **how)
+            if out is not None:
+                return stored(out.select("doc_id", F.col("n_shingles").alias("n_signatures"), F.col("component_id").alias("class_id")), "classes")
+        finally:
+            discard(spark, kept)
+    raise ArithmeticError("sets collide under every seed")
+
+
 def edited(text: str, after: str) -> str:
     """text, with its last third replaced by the start of the text after it."""
     n = len(text) // 3
@@ -97,6 +140,7 @@ def edited(text: str, after: str) -> str:
 def edited_neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("k"))
     steps = [i / parts for i in range(1, parts)]
@@ -139,4 +183,4 @@ def edited_neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
                 types = [b.schema.field(2).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-    return sorted_rows.mapInArrow(run, schema)
+    return sorted_rows.mapInArrow(released(run), schema)

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 
 from strandloom.llm import spot_signatures as S
@@ -48,3 +49,36 @@ def test_fingerprints():
     a = S.signatures_of(S.text_words("The cat sat on the mat, and the dog of the house was near it."))
     assert (S.read_fingerprint(S.write_fingerprint(a)) == a).all() and len(a) > 1
     assert S.likeness(a, a) == 1.0 and S.likeness(a, a[:0]) == 0.0 and S.likeness(a[:0], a[:0]) == 1.0
+
+
+def test_pruned_likeness():
+    r = np.random.default_rng(2)
+    for _ in range(300):
+        a, b = (np.unique(r.integers(0, 300, r.integers(0, 200))).astype(np.uint32) for _ in range(2))
+        whole = len(set(a) & set(b)) / max(1, len(set(a) | set(b))) if len(a) or len(b) else 1.0
+        assert S.likeness(a, b) == S.likeness(b, a) == whole
+        for p in (10, 30, 80):
+            assert S.likeness(a, b, p) == (whole if whole * 100 >= p - 1e-9 else 0.0)
+
+
+def test_near_classes_are_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    extra = [(10**6 + i, " ".join(f"w{(k * 7 + i // 4) % 90 if k < 80 else i} the" for k in range(90))) for i in range(24)] + [(10**7, None), (10**7 + 1, "")]
+    rows = [tuple(r) for r in docs.collect()] + extra
+    sets = {i: frozenset(S.signatures_of(S.text_words(t or "")).tolist()) for i, t in rows}
+    top = {i: i for i in sets}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    ids = sorted(i for i in sets if sets[i])
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                top[y] = x
+    got = S.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string"), ranges=4).collect()
+    assert {g.doc_id: (g.n_signatures, g.class_id) for g in got} == {i: (len(x), find(i)) for i, x in sets.items()}
+    assert len({g.class_id for g in got}) < len(got) - 5
