@@ -184,6 +184,21 @@ def transcript_sequence(transcripts: DataFrame, genome: DataFrame) -> DataFrame:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions of the same meaning: rc(s) and complement_dna(s)."""
+    """SQL functions of the same meaning: rc(s), complement_dna(s), translate_dna(s),
+    orfs(s) (rows), elcigar_parse(s) (label and length pairs of a label string), and
+    interval_union(blocks)."""
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION complement_dna(s STRING) RETURNS STRING RETURN translate(s, '{IUPAC}', '{COMPLEMENT}')")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION rc(s STRING) RETURNS STRING RETURN reverse(translate(s, '{IUPAC}', '{COMPLEMENT}'))")
+    spark.udf.register("translate_dna", F.pandas_udf(lambda x: x.map(translate_text, na_action="ignore"), "string", F.PandasUDFType.SCALAR))
+
+    @F.udtf(returnType="frame: int, start: int, end: int, aa: string, has_start: boolean, has_stop: boolean")
+    class Orfs:
+        def eval(self, s: str):
+            yield from reading_frames(s or "")
+
+    spark.udtf.register("orfs", Orfs)
+    spark.sql(r"""CREATE OR REPLACE TEMPORARY FUNCTION elcigar_parse(s STRING) RETURNS ARRAY<STRUCT<label: STRING, length: INT>>
+      RETURN transform(regexp_extract_all(s, '([A-Za-z.<>])(-?\\d+)?', 0), x -> named_struct('label', left(x, 1), 'length', try_cast(substr(x, 2) AS INT)))""")
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION interval_union(b ARRAY<STRUCT<l: INT, r: INT>>) RETURNS ARRAY<STRUCT<l: INT, r: INT>>
+      RETURN aggregate(array_sort(b), cast(array() AS ARRAY<STRUCT<l: INT, r: INT>>), (a, x) -> CASE WHEN size(a) = 0 THEN array(x)
+        WHEN x.l <= element_at(a, -1).r THEN concat(slice(a, 1, size(a) - 1), array(named_struct('l', element_at(a, -1).l, 'r', greatest(element_at(a, -1).r, x.r)))) ELSE concat(a, array(x)) END)""")

@@ -9,7 +9,26 @@ from strandloom.operators.intervals import collapse_blocks, covered_length, gaps
 
 # SAM flag bits.
 PAIRED, UNMAPPED, REVERSE, SECOND, SECONDARY, FAILED, DUPLICATE, SUPPLEMENTARY = 0x1, 0x4, 0x10, 0x80, 0x100, 0x200, 0x400, 0x800
-PRESETS = {"ONT": {"stranded": False, "error_rate": 0.2}, "PACBIO": {"stranded": False, "error_rate": 0.1}, "DIRECT_RNA": {"stranded": True, "error_rate": 0.2}, "SMART": {"stranded": False, "error_rate": 0.1}}
+# Settings by kind of data; untrimmed long reads are not oriented yet.
+PRESETS = {
+    "ONT": {"stranded": True, "s_tag": True, "e_tag": True, "max_headclip": 10, "error_rate": 0.2},
+    "ONT untrimmed": {"stranded": False, "s_tag": False, "e_tag": False, "max_headclip": 120, "error_rate": 0.2},
+    "PACBIO": {"stranded": True, "s_tag": True, "e_tag": True, "max_headclip": 4},
+    "DIRECT_RNA": {"stranded": True},
+    "SMART": {"stranded": False},
+}
+NAMES = {"NANOPORE": "ONT", "OXFORD": "ONT", "ISOSEQ": "PACBIO", "ISOSEQ3": "PACBIO", "FLNC": "PACBIO", "ONT-RNA": "DIRECT_RNA", "ONT_RNA": "DIRECT_RNA", "DIRECT-RNA": "DIRECT_RNA", "SMARTER": "SMART", "SMARTSEQ": "SMART", "SMART-SEQ": "SMART"}
+
+
+def preset(kind: str, untrimmed: bool = False) -> dict:
+    """The arguments of reads_of for a kind of data."""
+    name = kind.upper()
+    name = NAMES.get(name, name)
+    if name not in PRESETS:  # protocol versions are numbered
+        name = NAMES.get(name.strip("0123456789"), name.strip("0123456789"))
+    if name not in PRESETS:
+        raise ValueError(f"{kind}: expected one of {', '.join(k for k in PRESETS if ' ' not in k)}")
+    return PRESETS["ONT untrimmed" if untrimmed and name == "ONT" else name]
 
 
 def flag(bit: int) -> Column:
@@ -44,9 +63,10 @@ def md_mismatches(md: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_replace(md, r"\^[A-Za-z]+", ""), r"\d", ""))
 
 
-def reads_of(sam: DataFrame, source: str = "SAM", stranded: bool = False, secondary: bool = False, error_rate: float = 0.1, minlen: int = 18, max_indel: int = 10, max_intron: int = 100_000, genome: DataFrame | None = None) -> DataFrame:
+def reads_of(sam: DataFrame, source: str = "SAM", stranded: bool = False, secondary: bool = False, error_rate: float = 0.1, minlen: int = 18, max_indel: int = 10, max_intron: int = 100_000, genome: DataFrame | None = None, s_tag: bool = False, e_tag: bool = False, max_headclip: int | None = None) -> DataFrame:
     """Reads with blocks, strands, end labels (from names' tags and clips) and weights
-    1 / number of alignments."""
+    1 / number of alignments. s_tag, e_tag: reads with a strand are whole molecules, whose
+    start counts unless more than max_headclip bases are clipped there."""
     drop = UNMAPPED | FAILED | DUPLICATE | SUPPLEMENTARY | (0 if secondary else SECONDARY)
     rows = sam.where(F.col("flag").bitwiseAND(F.lit(drop)) == 0).where("cigar != '*'")
     rows = rows.withColumn("__b", cigar_blocks(F.col("cigar"), F.col("pos"), max_indel)).select("*", "__b.*").drop("__b")
@@ -62,6 +82,10 @@ def reads_of(sam: DataFrame, source: str = "SAM", stranded: bool = False, second
     labelled = (tag["s"] + tag["e"] + tag["c"]) > 0
     strand = F.coalesce(by_tag, F.when(labelled | F.lit(stranded), own), F.lit(0))
     rows = rows.withColumns({"strand": strand.cast("int"), "s_tag": (tag["s"] + tag["c"]) > 0, "e_tag": tag["e"] > 0})
+    if s_tag or e_tag:
+        clipped = F.when(F.col("strand") == -1, F.col("tail")).otherwise(F.col("head"))
+        near = F.lit(True) if max_headclip is None else clipped <= max_headclip
+        rows = rows.withColumns({"s_tag": F.col("s_tag") | (F.lit(s_tag) & (F.col("strand") != 0) & near), "e_tag": F.col("e_tag") | (F.lit(e_tag) & (F.col("strand") != 0))})
     head = F.when(F.col("strand") == -1, F.reverse(F.translate(F.substring(F.col("seq"), F.length("seq") - F.col("tail") + 1, F.col("tail")), "ACGT", "TGCA"))).otherwise(F.substring(F.col("seq"), F.lit(1), F.col("head")))
     capped = F.col("s_tag") & head.rlike("^.*G{1,4}$")
     rows = rows.withColumn("capped", F.coalesce(capped, F.lit(False)))

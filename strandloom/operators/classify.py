@@ -106,6 +106,28 @@ def report(classified: DataFrame) -> DataFrame:
     return classified.withColumn("class", F.element_at(names, F.col("code")))
 
 
+def classification_table(query: DataFrame, reference: DataFrame, end_buffer: int = 100, bin_size: int = 2000, pass_attributes: bool = False) -> DataFrame:
+    """The classification table (``tables.CLASSIFICATION``): every query transcript, its
+    best reference, lengths, end differences, and cov, S.reads, S.capped and E.reads, which
+    come from the reference with pass_attributes. Those may be missing columns (0)."""
+    from strandloom.sources.tables import CLASSIFICATION
+
+    five, three = end_differences()
+    rated = pairs(query, reference, bin_size).withColumns({"code": match_code(end_buffer), "diff5p": five, "diff3p": three}).where("code > 0 or shared > 0")
+    best = rated.groupBy("row").agg(F.max(F.struct("code", "shared", (-F.col("ref")).alias("neg"), "ref", "ref_gene", "ref_n", "diff5p", "diff3p")).alias("x")).select("row", "x.*")
+    donor, key = (reference, "ref") if pass_attributes else (query, "row")
+    numbers = [(F.col(f"`{c}`").cast("double") if c in donor.columns else F.lit(0.0)).alias(c) for c in CLASSIFICATION[9:]]
+    rows = query.select("row", I.covered_length(F.col("ranges")).alias("assembly_len")).join(best, "row", "left")
+    rows = rows.join(donor.select(F.col("row").alias("__d"), *numbers), F.col(key) == F.col("__d"), "left")
+    names = F.create_map(*[x for k, v in CLASSES.items() for x in (F.lit(k), F.lit(v))])
+    return rows.select(
+        F.col("row").cast("string").alias("assembly_id"), F.element_at(names, F.coalesce("code", F.lit(0.0))).alias("classification"),
+        F.coalesce(F.col("ref").cast("string"), F.lit("NA")).alias("ref_match"), F.coalesce(F.col("ref_gene").cast("string"), F.lit("NA")).alias("ref_gene"),
+        "assembly_len", F.coalesce("ref_n", F.lit(0)).alias("ref_len"), F.coalesce("shared", F.lit(0)).alias("overlap_len"), "diff5p", "diff3p",
+        *[F.coalesce(f"`{c}`", F.lit(0.0)).alias(c) for c in CLASSIFICATION[9:]],
+    )
+
+
 def noncanonical_junctions(transcripts: DataFrame, genome: DataFrame) -> DataFrame:
     """transcripts with noncanonical: some intron is not GT-AG or GC-AG on its strand."""
     from strandloom.functions.sequence import reverse_complement

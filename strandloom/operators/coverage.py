@@ -2,14 +2,16 @@
 
 Depth changes only at block ends, so a chrom's coverage is the running sum of
 weighted end events, pre-aggregated by position before the window's shuffle; zero
-changes are dropped, which joins equal neighbours. ``stripe`` cuts a chrom's axis
-into parts that are summed apart and offset by the totals before them, for chroms
-that hold a large share of the rows.
+changes are dropped, which joins equal neighbours. A chrom's axis is cut into stripes
+(``stripe`` positions) that are summed apart and offset by the totals before them, so a
+window never holds more rows than a stripe has positions.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators.islands import STRIPE
+
 SIGNALS = {"5P": "s_tag", "S": "s_tag and not capped", "C": "capped", "E": "e_tag", "3P": "e_tag"}
 
 
@@ -19,7 +21,7 @@ def block_events(reads: DataFrame) -> DataFrame:
     return ends.groupBy("chrom", "pos").agg(F.sum("delta").alias("delta")).where("delta != 0")
 
 
-def coverage(reads: DataFrame, strand: int | None = None, stripe: int | None = None) -> DataFrame:
+def coverage(reads: DataFrame, strand: int | None = None, stripe: int | None = STRIPE) -> DataFrame:
     """chrom, start, end, value of all segments of nonzero coverage."""
     events = block_events(reads if strand is None else reads.where(F.col("strand") == strand))
     if stripe:

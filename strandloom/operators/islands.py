@@ -1,15 +1,17 @@
 """Gaps and islands: loci, annotation loci, junction chunks, merged ends, sessions.
 
-Each uses one window per partition key over its starts. Where one key holds a large
-share of the rows, ``island_ids(..., stripe=...)`` first numbers islands within
-stripes of the axis and then joins stripes by their running ends, so that no key is
-one task.
+Each uses windows over the starts of a partition key. Loci, junction chunks and unions
+first number islands within stripes of the axis (``STRIPE``) and then join stripes by
+their running ends, so that no chrom is one task.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+STRIPE = 1 << 20  # positions of a chrom that one window gathers
+
+
 def island_ids(df: DataFrame, keys: list[str], left: str, right: str, max_gap: int = 0, touch: bool = False, name: str = "island", stripe: int | None = None) -> DataFrame:
     """df with the number (from 1 within keys) of each row's island. A row starts one
     where its left is >= the largest right before it plus max_gap (touch: only >)."""
@@ -46,27 +48,27 @@ def _striped(df: DataFrame, keys: list[str], left: str, right: str, max_gap: int
     return out.drop("__s", "__p", "__b", "__o", "__n0")
 
 
-def loci(reads: DataFrame, max_gap: int = 50, max_intron: int | None = None, **how) -> DataFrame:
+def loci(reads: DataFrame, max_gap: int = 50, max_intron: int | None = None, stripe: int | None = STRIPE) -> DataFrame:
     """reads with locus: a new one where left >= the largest right so far + max_gap."""
     if max_intron is not None:
         from strandloom.operators.intervals import gaps, malformed
 
         reads = reads.where(~malformed(F.col("ranges")) & ~F.exists(gaps(F.col("ranges")), lambda g: g["r"] - g["l"] > max_intron))
-    return island_ids(reads, ["chrom"], "left", "right", max_gap, name="locus", **how)
+    return island_ids(reads, ["chrom"], "left", "right", max_gap, name="locus", stripe=stripe)
 
 
-def annotation_loci(df: DataFrame, **how) -> DataFrame:
+def annotation_loci(df: DataFrame, stripe: int | None = STRIPE) -> DataFrame:
     """Touching transcripts stay together."""
-    return island_ids(df, ["chrom"], "left", "right", 0, touch=True, name="locus", **how)
+    return island_ids(df, ["chrom"], "left", "right", 0, touch=True, name="locus", stripe=stripe)
 
 
-def junction_chunks(sj: DataFrame, **how) -> DataFrame:
-    return island_ids(sj, ["chrom"], "start", "end", 0, touch=True, name="chunk", **how)
+def junction_chunks(sj: DataFrame, stripe: int | None = STRIPE) -> DataFrame:
+    return island_ids(sj, ["chrom"], "start", "end", 0, touch=True, name="chunk", stripe=stripe)
 
 
 def union_rows(df: DataFrame, keys: list[str], left: str = "left", right: str = "right") -> DataFrame:
     """The union of rows' intervals per keys; touching ones merge."""
-    return island_ids(df, keys, left, right, 0, touch=True).groupBy(*keys, "island").agg(F.min(left).alias(left), F.max(right).alias(right)).drop("island")
+    return island_ids(df, keys, left, right, 0, touch=True, stripe=STRIPE).groupBy(*keys, "island").agg(F.min(left).alias(left), F.max(right).alias(right)).drop("island")
 
 
 def locus_summary(reads: DataFrame, max_gap: int = 50) -> DataFrame:
@@ -132,3 +134,13 @@ def gaps_below(depth: DataFrame, threshold: float, max_gap: int) -> DataFrame:
     runs = island_ids(low, ["chrom"], "start", "end", 0, touch=True).groupBy("chrom", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
     last = depth.groupBy("chrom").agg(F.max("end").alias("__last"))
     return runs.join(last, "chrom").where((F.col("end") - F.col("start") > max_gap) & (F.col("end") < F.col("__last"))).drop("__last")
+
+
+def passes_threshold(depth: DataFrame, threshold: float, max_gap: int) -> DataFrame:
+    """chrom, passes: no run of more than max_gap bases is below the threshold, ends of
+    segments(chrom, start, end, value) included."""
+    low = depth.where(F.col("value") < threshold)
+    runs = island_ids(low, ["chrom"], "start", "end", 0, touch=True, stripe=STRIPE).groupBy("chrom", "island").agg((F.max("end") - F.min("start")).alias("n"))
+    worst = runs.groupBy(F.col("chrom").alias("__c")).agg(F.max("n").alias("__n"))
+    all_ = depth.select("chrom").distinct()
+    return all_.join(worst, F.col("chrom") == F.col("__c"), "left").select("chrom", (F.coalesce("__n", F.lit(0)) <= max_gap).alias("passes"))

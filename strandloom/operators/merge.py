@@ -18,10 +18,18 @@ class Options:
     tpm_filter: float = 1.0
     confidence: float = 3.0
     cap_percent: float = 0.0
+    min_terminal: int = 0
+    min_start: float = 0.0
+    min_end: float = 0.0
+    allow_unstranded: bool = False
     discard: tuple[str, ...] = ("ambiguous",)
     keep_best: bool = False
 
 
+# Counts of a transcript's members that are summed, where assemblies have them.
+COUNTS = ("s_reads", "s_capped", "e_reads")
+
+
 def support(ranges: list, weight: float) -> float:
     """Covered length x weight x exons of 20 bases or more."""
     return sum(r - l for l, r in ranges) * weight * sum(r - l >= 20 for l, r in ranges)
@@ -44,6 +52,9 @@ def fold(rows: list[dict], o: Options) -> list[dict]:
         else:
             mine["weight"] += t["weight"]
             mine["TPM"] += t["TPM"]
+            for c in COUNTS:
+                mine[c] = t[c] if mine[c] is None else mine[c] + (t[c] or 0)
+            mine["robust"] = mine["robust"] or t["robust"]
             mine["sources"].add(t["source"])
             mine["members"].append(t["transcript_id"])
     return out
@@ -74,19 +85,26 @@ def named(found: list[dict], refs: list[dict], o: Options) -> list[dict]:
 
 def reject(t: dict, o: Options) -> str | None:
     """Why a merged transcript does not pass, or None. Structures that assemblers get
-    wrong need more support by the confidence factor."""
-    factor = o.confidence if t["class"] in ("fragment", "fusion", "retained_intron") or t.get("noncanonical") else 1
-    if t["class"] in o.discard:
-        return "class"
-    if sum(r - l for l, r in t["ranges"]) < o.min_length:
-        return "length"
-    if len(t["sources"]) < o.rep_filter:
-        return "reps"
-    if t["TPM"] < o.tpm_filter * factor:
-        return "TPM"
-    if o.cap_percent and t.get("s_capped", 0) < o.cap_percent * t.get("s_reads", 0):
-        return "caps"
-    return None
+    wrong need more support by the confidence factor; counts that are not given pass."""
+    kind = t["class"]
+    factor = o.confidence if kind in ("fragment", "fusion", "retained_intron") or t.get("noncanonical") else 1
+    reps = 1 if t["robust"] else o.rep_filter
+    starts = o.min_start if t["s_reads"] is None else t["s_reads"]
+    ends = o.min_end if t["e_reads"] is None else t["e_reads"]
+    suspect = kind in ("fragment", "alt_tss", "antisense")
+    terminal = min(t["ranges"][0][1] - t["ranges"][0][0], t["ranges"][-1][1] - t["ranges"][-1][0])
+    rules = (
+        ("class", kind in o.discard),
+        ("reps", len(t["sources"]) < reps * factor),
+        ("unstranded", not o.allow_unstranded and t["strand"] == 0),
+        ("length", sum(r - l for l, r in t["ranges"]) < o.min_length),
+        ("terminal exon", terminal < o.min_terminal and len(t["sources"]) < reps * o.confidence),
+        ("TPM", t["TPM"] < o.tpm_filter * factor),
+        ("caps", suspect and (t["s_capped"] or 0) / (1 if t["s_reads"] is None else t["s_reads"] or 1) < o.cap_percent),
+        ("starts", starts < o.min_start * (o.confidence if suspect and t["s_reads"] is not None else 1)),
+        ("ends", ends < o.min_end * (o.confidence if kind == "alt_pas" and t["e_reads"] is not None else 1)),
+    )
+    return next((name for name, fails in rules if fails), None)
 
 
 SCHEMA = "chrom string, locus bigint, name string, gene_id string, class string, strand int, ranges array<struct<l:int,r:int>>, weight double, TPM double, reps int, members array<string>, reject_reason string"
@@ -95,10 +113,14 @@ SCHEMA = "chrom string, locus bigint, name string, gene_id string, class string,
 def merge(assemblies: DataFrame, reference: DataFrame, options: Options = Options()) -> DataFrame:
     """assemblies(chrom, strand, ranges, weight, TPM, source, transcript_id) and
     reference(chrom, strand, ranges, gene_id, transcript_id): merged transcripts with
-    the reason for which a filter rejects them. New genes are numbered at the end."""
+    the reason for which a filter rejects them; assemblies may have s_reads, s_capped,
+    e_reads and robust. New genes are numbered at the end."""
     cols = ["chrom", "strand", "ranges", "transcript_id"]
-    a = assemblies.select(*cols, "weight", "TPM", "source", F.lit(None).cast("string").alias("gene_id"), F.lit(False).alias("is_reference"))
-    b = reference.select(*cols, F.lit(0.0).alias("weight"), F.lit(0.0).alias("TPM"), F.lit("reference").alias("source"), F.col("gene_id").cast("string"), F.lit(True).alias("is_reference"))
+    given = lambda c, kind: (F.col(c) if c in assemblies.columns else F.lit(None)).cast(kind).alias(c)
+    counts = [given(c, "double") for c in COUNTS] + [F.coalesce(given("robust", "boolean"), F.lit(False)).alias("robust")]
+    none = [F.lit(None).cast("double").alias(c) for c in COUNTS] + [F.lit(False).alias("robust")]
+    a = assemblies.select(*cols, "weight", "TPM", "source", *counts, F.lit(None).cast("string").alias("gene_id"), F.lit(False).alias("is_reference"))
+    b = reference.select(*cols, F.lit(0.0).alias("weight"), F.lit(0.0).alias("TPM"), F.lit("reference").alias("source"), *none, F.col("gene_id").cast("string"), F.lit(True).alias("is_reference"))
     both = a.unionByName(b).withColumns({"left": F.col("ranges")[0]["l"], "right": F.element_at("ranges", -1)["r"], "chrom": F.col("chrom").cast("string")})
     chunks = annotation_loci(both)
 

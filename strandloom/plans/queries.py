@@ -490,6 +490,20 @@ def classify_transcripts(spark, d):
     return longs(classify.classify(q, r).select("row", "code", "ref", "shared"), "shared")
 
 
+_MATCHED = SQL["classify_transcripts"][: SQL["classify_transcripts"].index('SELECT m."row", CAST(coalesce')]
+
+
+@query(_MATCHED + """SELECT CAST(m."row" AS VARCHAR) AS assembly_id, CASE coalesce(code, 0) WHEN 0 THEN 'intergenic' WHEN 1 THEN 'ambiguous' WHEN 2 THEN 'antisense' WHEN 3 THEN 'intronic' WHEN 4 THEN 'splice_variant' WHEN 4.1 THEN 'alt_tss' WHEN 4.2 THEN 'alt_pas' WHEN 4.3 THEN 'retained_intron' WHEN 5 THEN 'fragment' WHEN 7 THEN 'exon_match' WHEN 8 THEN 'full_match' END AS classification,
+  coalesce(CAST(b AS VARCHAR), 'NA') AS ref_match, CAST(m.bases AS BIGINT) AS assembly_len, CAST(coalesce(n.bases, 0) AS BIGINT) AS ref_len, CAST(coalesce(shared, 0) AS BIGINT) AS overlap_len,
+  CAST(CASE m.strand WHEN 1 THEN m."left" - n."left" ELSE m."right" - n."right" END AS BIGINT) AS diff5p, CAST(CASE m.strand WHEN 1 THEN m."right" - n."right" ELSE m."left" - n."left" END AS BIGINT) AS diff3p
+FROM v_multi m LEFT JOIN best ON a = m."row" LEFT JOIN v_multi n ON n."row" = b WHERE NOT m.is_reference""")
+def classification_table(spark, d):
+    from strandloom.operators import classify
+
+    q, r = _query_and_reference(spark, d)
+    return longs(classify.classification_table(q, r).select("assembly_id", "classification", "ref_match", "assembly_len", "ref_len", "overlap_len", "diff5p", "diff3p"), "assembly_len", "ref_len", "overlap_len", "diff5p", "diff3p")
+
+
 @query()
 def classify_fusions(spark, d):
     from strandloom.operators import classify

@@ -42,11 +42,23 @@ def parse_bed(lines: DataFrame, source: str = "BED", s_tag: bool = False, e_tag:
     return normal_flags(out.withColumns({"left": F.col("ranges")[0]["l"], "right": F.element_at("ranges", -1)["r"]}))
 
 
+def parse_color_code(lines: DataFrame) -> DataFrame:
+    """key, color of a two-column TSV; of repeated keys the last line's in sort order counts."""
+    p = F.split("value", "\t")
+    return lines.where(F.size(p) >= 2).groupBy(p[0].alias("key")).agg(F.max(p[1]).alias("color"))
+
+
+def with_colors(reads: DataFrame, codes: DataFrame, key: Column) -> DataFrame:
+    """reads with color: that of their key, which bed_lines uses; a small table."""
+    return reads.join(F.broadcast(codes.select(F.col("key").alias("__key"), "color")), key == F.col("__key"), "left").drop("__key")
+
+
 def bed_lines(reads: DataFrame, score: str = "weight") -> DataFrame:
-    """value: BED15 lines; needs name (or an empty one)."""
+    """value: BED15 lines; needs name (or an empty one), and takes color where given."""
     name = F.col("name") if "name" in reads.columns else F.lit(".")
     label = label_string(*[F.col(x) for x in ("ranges", "splice", "s_tag", "e_tag", "capped", "condensed", "strand")])
     color = F.when(F.col("s_tag") & F.col("e_tag"), COLORS["complete"]).when(F.col("s_tag"), COLORS["start"]).when(F.col("e_tag"), COLORS["end"]).otherwise(COLORS["none"])
+    color = F.coalesce("color", color) if "color" in reads.columns else color
     sizes = F.array_join(F.transform("ranges", lambda x: (x["r"] - x["l"]).cast("string")), ",")
     starts = F.array_join(F.transform("ranges", lambda x: (x["l"] - F.col("left")).cast("string")), ",")
     cells = ["chrom", "left", "right", name, weight_text(F.col(score)), strand_sign(F.col("strand")), "left", "right", color, F.size("ranges"), sizes, starts, weight_text(F.col("weight")), "source", label]
@@ -56,17 +68,30 @@ def bed_lines(reads: DataFrame, score: str = "weight") -> DataFrame:
 # --- GTF and GFF3 ----------------------------------------------------------------
 
 
+def _first_of_keys(entries: Column) -> Column:
+    """A map of (k, v) entries; of entries with one key the first counts."""
+    keys = F.transform(entries, lambda e: e["k"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(keys, e["k"]) == i + 1))
+
+
+def _gff_attributes(a: Column) -> Column:
+    pair = lambda t: F.struct(F.trim(F.substring_index(t, "=", 1)).alias("k"), F.substring(t, F.locate("=", t) + 1, F.length(t)).alias("v"))
+    return _first_of_keys(F.transform(F.filter(F.split(a, ";"), lambda t: F.contains(t, F.lit("="))), pair))
+
+
+def _gtf_attributes(a: Column) -> Column:
+    found = F.regexp_extract_all(a, F.lit(r'[^\s;]+\s+(?:"[^"]*"|[^";\s]+)'), F.lit(0))
+    pair = lambda t: F.struct(F.substring_index(t, " ", 1).alias("k"), F.btrim(F.ltrim(F.substring(t, F.locate(" ", t), F.length(t))), F.lit('"')).alias("v"))
+    return _first_of_keys(F.transform(found, pair))
+
+
 def parse_annotation(lines: DataFrame, transcript_types=("transcript", "mRNA"), exon_types=("exon", "CDS"), transcript_keys=("transcript_id", "Parent", "ID"), gene_keys=("gene_id", "Parent")) -> DataFrame:
     """One row per line: kind (transcript, exon, CDS), ids, 0-based bounds, attributes.
     GTF values may lack quotes; GFF3 attributes are k=v."""
     rows = lines.where(~F.col("value").startswith("#")).withColumn("__p", F.split("value", "\t")).where(F.size("__p") >= 9)
     a = _cell(8)
-    gff = F.regexp_extract_all(a, F.lit(r"([^=;\s]+)=([^;]*)"), F.lit(1)), F.regexp_extract_all(a, F.lit(r"([^=;\s]+)=([^;]*)"), F.lit(2))
-    pattern = F.lit(r'([^\s;]+)\s+(?:"([^"]*)"|([^";\s]+))')
-    gtf = F.regexp_extract_all(a, pattern, F.lit(1)), F.zip_with(F.regexp_extract_all(a, pattern, F.lit(2)), F.regexp_extract_all(a, pattern, F.lit(3)), lambda q, u: F.when(u != "", u).otherwise(q))
     is_gff = a.rlike(r"^\s*[^\s;\"]+=")
-    made = lambda kv: F.map_from_entries(F.array_distinct(F.arrays_zip(F.array_distinct(kv[0]).alias("k"), F.transform(F.array_distinct(kv[0]), lambda k: F.get(kv[1], F.array_position(kv[0], k).cast("int") - 1)).alias("v"))))
-    rows = rows.withColumn("attributes", F.when(is_gff, made(gff)).otherwise(made(gtf)))
+    rows = rows.withColumn("attributes", F.when(is_gff, _gff_attributes(a)).otherwise(_gtf_attributes(a)))
     pick = lambda keys: F.coalesce(*[F.try_element_at("attributes", F.lit(k)) for k in keys])
     kind = F.when(_cell(2).isin(*transcript_types), "transcript").when(_cell(2) == "CDS", "CDS").when(_cell(2).isin(*exon_types), "exon")
     own = F.when(kind == "transcript", pick(("transcript_id", "ID"))).otherwise(pick(transcript_keys))
@@ -237,3 +262,30 @@ def abundances(df: DataFrame) -> DataFrame:
 
 def bedgraph_lines(df: DataFrame) -> DataFrame:
     return df.orderBy("chrom", "start").select(F.concat_ws("\t", "chrom", "start", "end", weight_text(F.col("value"))).alias("value"))
+
+
+# --- reports -----------------------------------------------------------------------
+
+
+# The columns of a classification table.
+CLASSIFICATION = "assembly_id classification ref_match ref_gene assembly_len ref_len overlap_len diff5p diff3p cov S.reads S.capped E.reads".split()  # noqa: SIM905
+
+
+def tsv(df: DataFrame, columns: list[str], header: bool = True) -> DataFrame:
+    """place, value: a table's lines, a header (place 0) before them. Numbers that are
+    not whole have one decimal; nulls are NA."""
+    text = lambda c, kind: F.coalesce(F.round(F.col(f"`{c}`"), 1).cast("string") if kind in ("double", "float") else F.col(f"`{c}`").cast("string"), F.lit("NA"))
+    kinds = dict(df.dtypes)
+    lines = df.select(F.lit(1).alias("place"), F.concat_ws("\t", *[text(c, kinds[c]) for c in columns]).alias("value"))
+    if not header:
+        return lines
+    return df.sparkSession.createDataFrame([(0, "\t".join(columns))], "place int, value string").unionByName(lines)
+
+
+def check_extension(path: str, kinds: tuple[str, ...]) -> str:
+    """The extension of an input (without .gz), which must be one of kinds."""
+    name = path.lower().removesuffix(".gz")
+    kind = name.rsplit(".", 1)[-1] if "." in name.rsplit("/", 1)[-1] else ""
+    if kind not in kinds:
+        raise ValueError(f"{path}: expected one of {', '.join(kinds)}")
+    return kind
