@@ -69,27 +69,24 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 1 << 16, group: int =
     """keep columns, n_words, bucket (padded length), batch (bucket, group and
     number), slot in it, and padding."""
     n = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = docs.select(*keep, n.alias("n_words"), F.xxhash64("text").alias("__h"))
-    histogram = sorted((r.b, r["count"]) for r in rows.groupBy(rounded(F.col("n_words")).alias("b")).count().collect())
+    fields = [f"c{i}" for i in range(len(keep))]  # kept by place, whatever their names
+    rows = docs.select(*keep, n, F.xxhash64("text")).toDF(*fields, "n", "h")
+    histogram = sorted((r.b, r["count"]) for r in rows.groupBy(rounded(F.col("n")).alias("b")).count().collect())
     bounds = best_bounds([b for b, _ in histogram], [c for _, c in histogram], buckets)
     sizes, at = [0] * len(bounds), 0
     for b, c in histogram:
         while b > bounds[at]:
             at += 1
         sizes[at] += c
-    of_bucket = lambda values, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in values or [1]]), F.col("__k"))
+    of_bucket = lambda values, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in values or [1]]), F.col("k"))
     k = F.lit(1)
     for b in bounds[:-1]:
-        k = k + (F.col("n_words") > b).cast("int")
-    rows = rows.withColumn("__k", k).withColumn("bucket", of_bucket(bounds, "long"))
-    rows = rows.withColumn("__g", F.pmod(F.xxhash64(keep[0], "__h"), of_bucket([max(1, -(-s // group)) for s in sizes], "long")))
-    place = F.row_number().over(Window.partitionBy("bucket", "__g").orderBy(keep[0], "n_words", "__h")) - 1
+        k = k + (F.col("n") > b).cast("int")
+    rows = rows.withColumn("k", k).withColumn("bucket", of_bucket(bounds, "long"))
+    rows = rows.withColumn("g", F.pmod(F.xxhash64(fields[0], "h"), of_bucket([max(1, -(-s // group)) for s in sizes], "long")))
+    place = F.row_number().over(Window.partitionBy("bucket", "g").orderBy(fields[0], "n", "h")) - 1
     per = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket"), F.lit(1)))).cast("long")
-    rows = rows.withColumn("__i", place).withColumn("__per", per)
-    number = F.floor(F.col("__i") / F.col("__per"))
-    return rows.select(
-        *keep, "n_words", "bucket",
-        F.concat_ws("-", "bucket", "__g", number).alias("batch"),
-        F.pmod(F.col("__i"), F.col("__per")).cast("long").alias("slot"),
-        (F.col("bucket") - F.col("n_words")).alias("padding"),
-    )
+    rows = rows.withColumn("i", place).withColumn("per", per)
+    number = F.floor(F.col("i") / F.col("per"))
+    out = rows.select(*fields, "n", "bucket", F.concat_ws("-", "bucket", "g", number).alias("batch"), F.pmod(F.col("i"), F.col("per")).cast("long").alias("slot"), (F.col("bucket") - F.col("n")).alias("padding"))
+    return out.toDF(*keep, "n_words", "bucket", "batch", "slot", "padding")
