@@ -3,13 +3,20 @@ copies, without repeated passages and benchmark items, packed into batches.
 
 Each stage is (name, function(spark, docs, sf_dir)); all but the last return the
 columns of documents. run() writes each stage's result as Parquet in the shared
-folder and reads it again, so a stage depends on stored rows only.
+folder and reads it again, so a stage depends on stored rows only; a stage's table is
+deleted when the next one is stored.
+
+Odd rows: null and empty texts pass the first four stages (they have no words, no
+copies and no passages) and are packed with length 0; of rows that repeat an id and a text
+one stays; null ids come last where ids decide; null labels do not teach and null items
+match nothing; empty tables give no rows; further columns are kept as they are, whatever
+their names. The last stage keeps doc_id and the assignments, not the text.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.llm import decontaminate, packing, set_join, substring_dedup, toxicity
-from strandloom.llm.common import stored, table
+from strandloom.llm.common import discard, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        kept: list[str] = []
+        docs = stored(stage(spark, docs, sf_dir), name, kept)
+        discard(spark, before)
+        before = kept
     return docs

@@ -177,10 +177,12 @@ def softmasked(genome: DataFrame, least: int = 1, most: int = 1 << 30) -> DataFr
 def transcript_sequence(transcripts: DataFrame, genome: DataFrame) -> DataFrame:
     """transcripts with cdna: joined exons, reverse-complemented on the minus strand,
     lower case without a strand."""
-    joined = transcripts.join(genome, "chrom")
-    exons = F.array_join(F.transform("ranges", lambda x: F.substring(F.col("seq"), x["l"] + 1, x["r"] - x["l"])), "")
+    from strandloom.operators.joins import with_pieces
+
+    joined = with_pieces(transcripts, genome, F.col("ranges"), "__exons")
+    exons = F.array_join("__exons", "")
     cdna = F.when(F.col("strand") == -1, reverse_complement(exons)).when(F.col("strand") == 0, F.lower(exons)).otherwise(exons)
-    return joined.withColumn("cdna", cdna).drop("seq")
+    return joined.withColumn("cdna", cdna).drop("__exons")
 
 
 def register(spark: SparkSession) -> None:

@@ -99,10 +99,15 @@ def reads_of(sam: DataFrame, source: str = "SAM", stranded: bool = False, second
 
 def motif_strands(rows: DataFrame, genome: DataFrame) -> DataFrame:
     """Strands from splice motifs for rows without one."""
-    joined = rows.join(genome.select(F.col("chrom").alias("__c"), F.col("seq").alias("__g")), F.col("rname") == F.col("__c"), "left")
-    votes = F.transform(F.filter(gaps(F.col("ranges")), lambda g: g["r"] - g["l"] >= 4), lambda g: motif_strand(F.substring(F.col("__g"), g["l"] + 1, F.lit(2)), F.substring(F.col("__g"), g["r"] - 1, F.lit(2))))
-    total = F.aggregate(votes, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
-    return joined.withColumn("strand", F.when(F.col("strand") == 0, F.signum(total).cast("int")).otherwise(F.col("strand"))).drop("__c", "__g")
+    from strandloom.operators.joins import span, with_pieces
+
+    introns = F.filter(gaps(F.col("ranges")), lambda g: g["r"] - g["l"] >= 4)
+    ends = F.flatten(F.transform(introns, lambda g: F.array(span(g["l"], g["l"] + 2), span(g["r"] - 2, g["r"]))))
+    out = with_pieces(rows, genome, F.when(F.col("strand") == 0, ends), "__ends", chrom="rname")
+    n = F.size("__ends") / 2
+    votes = F.when(n > 0, F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: motif_strand(F.get("__ends", 2 * i), F.get("__ends", 2 * i + 1))))
+    total = F.coalesce(F.aggregate(votes, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))), F.lit(0))
+    return out.withColumn("strand", F.when(F.col("strand") == 0, F.signum(total).cast("int")).otherwise(F.col("strand"))).drop("__ends")
 
 
 def merge_mates(rows: DataFrame, source: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators import intervals as I
-from strandloom.operators.joins import range_join
+from strandloom.operators.joins import range_join, span, with_pieces
 
 # The classes and their codes.
 CLASSES = {0.0: "intergenic", 1.0: "ambiguous", 2.0: "antisense", 3.0: "intronic", 4.0: "splice_variant", 4.1: "alt_tss", 4.2: "alt_pas", 4.3: "retained_intron", 5.0: "fragment", 6.0: "fusion", 7.0: "exon_match", 8.0: "full_match"}
@@ -18,9 +18,9 @@ CLASSES = {0.0: "intergenic", 1.0: "ambiguous", 2.0: "antisense", 3.0: "intronic
 
 def pairs(query: DataFrame, reference: DataFrame, bin_size: int = 2000) -> DataFrame:
     """query(row, chrom, strand, ranges) x reference(row, gene_id, ...) that overlap."""
-    span = lambda df: df.withColumns({"left": I.left(F.col("ranges")), "right": I.right(F.col("ranges"))})
-    a = span(query.select("row", "chrom", "strand", "ranges"))
-    b = span(reference.select("chrom", F.col("row").alias("ref"), F.col("gene_id").alias("ref_gene"), F.col("strand").alias("ref_strand"), F.col("ranges")))
+    spans = lambda df: df.withColumns({"left": I.left(F.col("ranges")), "right": I.right(F.col("ranges"))})
+    a = spans(query.select("row", "chrom", "strand", "ranges"))
+    b = spans(reference.select("chrom", F.col("row").alias("ref"), F.col("gene_id").alias("ref_gene"), F.col("strand").alias("ref_strand"), F.col("ranges")))
     b = b.withColumnRenamed("ranges", "ref_ranges")
     out = range_join(a, b, ["chrom"], bin_size)
     return out.withColumns({"shared": I.shared_bases(F.col("ranges"), F.col("ref_ranges")), "n": I.covered_length(F.col("ranges")), "ref_n": I.covered_length(F.col("ref_ranges"))})
@@ -132,14 +132,13 @@ def noncanonical_junctions(transcripts: DataFrame, genome: DataFrame) -> DataFra
     """transcripts with noncanonical: some intron is not GT-AG or GC-AG on its strand."""
     from strandloom.functions.sequence import reverse_complement
 
-    joined = transcripts.join(genome, "chrom")
-
-    def odd(g: Column) -> Column:
-        ends = F.concat(F.substring(F.col("seq"), g["l"] + 1, F.lit(2)), F.substring(F.col("seq"), g["r"] - 1, F.lit(2)))
-        text = F.upper(F.when(F.col("strand") == -1, reverse_complement(ends)).otherwise(ends))
-        return ~text.isin("GTAG", "GCAG")
-
-    return joined.withColumn("noncanonical", F.exists(I.gaps(F.col("ranges")), odd)).drop("seq")
+    introns = I.gaps(F.col("ranges"))
+    ends = F.flatten(F.transform(introns, lambda g: F.array(span(g["l"], g["l"] + 2), span(g["r"] - 2, g["r"]))))
+    out = with_pieces(transcripts, genome, ends, "__ends")
+    n = F.size("__ends") / 2
+    pairs_ = F.when(n > 0, F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.upper(F.concat(F.get("__ends", 2 * i), F.get("__ends", 2 * i + 1)))))
+    odd = lambda m: ~F.when(F.col("strand") == -1, reverse_complement(m)).otherwise(m).isin("GTAG", "GCAG")
+    return out.withColumn("noncanonical", F.coalesce(F.exists(pairs_, odd), F.lit(False))).drop("__ends")
 
 
 def end_windows(transcripts: DataFrame, extend: int = 50, min_terminal: int = 40) -> DataFrame:

@@ -50,10 +50,46 @@ def junctions_between(spans: DataFrame, sj: DataFrame, bin_size: int = 1000) ->
     return range_join(spans, j, ["chrom"], bin_size).where("b_left >= left and b_right <= right").withColumnsRenamed({"b_left": "start", "b_right": "end"})
 
 
+TILE = 1 << 16  # bases
+
+
+def tiles(genome: DataFrame, size: int = TILE) -> DataFrame:
+    """tile_chrom, tile, bases: genome(chrom, seq) cut into pieces, so that no join repeats
+    a whole chromosome."""
+    last = F.floor((F.length("seq") - 1) / size)
+    cut = genome.where("length(seq) > 0").select(F.col("chrom").alias("tile_chrom"), "seq", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("tile"))
+    return cut.select("tile_chrom", "tile", F.expr(f"substring(seq, cast(tile * {size} + 1 as int), {size})").alias("bases"))
+
+
+def with_pieces(df: DataFrame, genome: DataFrame, pieces, name: str = "pieces", chrom: str = "chrom", size: int = TILE) -> DataFrame:
+    """df with an array of the genome's text in each of pieces (an array of l, r, 0-based),
+    shorter where a piece leaves the chrom. Rows meet the tiles that their pieces touch;
+    a row's own columns travel once."""
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(chrom).alias("at"), F.transform(pieces, lambda x: F.struct(F.greatest(x["l"].cast("bigint"), F.lit(0)).alias("l"), x["r"].cast("bigint").alias("r"))).alias("all"))
+    row = row.withColumn("id", F.monotonically_increasing_id())
+    each = row.select("id", "row", "at", F.size("all").alias("n"), F.posexplode_outer("all").alias("i", "x"))
+    touched = F.when(F.col("x.r") > F.col("x.l"), F.sequence(F.floor(F.col("x.l") / size), F.floor((F.col("x.r") - 1) / size)))
+    each = each.select("id", F.when(F.coalesce("i", F.lit(0)) == 0, F.col("row")).alias("row"), "at", "n", "i", "x", F.posexplode_outer(touched).alias("k", "tile"))
+    each = each.withColumn("row", F.when(F.coalesce("k", F.lit(0)) == 0, F.col("row")))
+    t = tiles(genome, size).withColumnRenamed("tile", "number")
+    met = each.join(t, (F.col("at") == F.col("tile_chrom")) & (F.col("tile") == F.col("number")), "left")
+    low = F.greatest(F.col("x.l") - F.col("tile") * size, F.lit(0))
+    high = F.least(F.col("x.r") - F.col("tile") * size, F.lit(size))
+    part = F.coalesce(F.substring(F.col("bases"), (low + 1).cast("int"), (high - low).cast("int")), F.lit(""))
+    whole = met.groupBy("id").agg(F.first("row", True).alias("row"), F.max("n").alias("n"), F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "tile", part.alias("part")))).alias("parts"))
+    text = lambda i: F.array_join(F.transform(F.filter(F.array_sort("parts"), lambda y: y["i"] == i), lambda y: y["part"]), "")
+    found = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), F.col("n") - 1), text)).otherwise(F.expr("cast(array() as array<string>)"))
+    return whole.select("row.*", found.alias(name))
+
+
+def span(l, r):
+    return F.struct(l.alias("l"), r.alias("r"))
+
+
 def flanks(positions: DataFrame, genome: DataFrame, before: int, after: int) -> DataFrame:
     """positions with flank: the genome around pos (0-based), shorter at the ends."""
-    start = F.greatest(F.col("pos") - before, F.lit(0))
-    return positions.join(genome, "chrom").withColumn("flank", F.substring(F.col("seq"), start + 1, F.col("pos") + after - start)).drop("seq")
+    out = with_pieces(positions, genome, F.array(span(F.col("pos") - before, F.col("pos") + after)), "flank")
+    return out.withColumn("flank", F.col("flank")[0])
 
 
 def in_loci_of(df: DataFrame, loci: DataFrame) -> DataFrame:

@@ -98,6 +98,15 @@ def test_joins(spark):
     assert joins.flanks(spark.createDataFrame([("c", 1)], "chrom string, pos int"), g, 3, 2).first().flank == "ACG"
 
 
+def test_pieces_of_a_tiled_genome(spark):
+    r = random.Random(8)
+    text = {c: "".join(r.choice("ACGT") for _ in range(n)) for c, n in (("a", 100), ("b", 33), ("c", 0))}
+    genome = spark.createDataFrame(list(text.items()), "chrom string, seq string")
+    rows = [(i, r.choice("abcd"), [tuple(sorted((r.randrange(-3, 110), r.randrange(-3, 110)))) for _ in range(r.randrange(4))]) for i in range(30)]
+    got = joins.with_pieces(spark.createDataFrame(rows, f"n int, chrom string, ranges {B}"), genome, F.col("ranges"), size=16)
+    assert {x.n: list(x.pieces) for x in got.collect()} == {i: [text.get(c, "")[max(0, a) : max(0, z)] for a, z in p] for i, c, p in rows}
+
+
 SEQ = st.text(sequence.IUPAC[:16], max_size=60)
 
 
@@ -117,6 +126,34 @@ def test_sequences(spark):
     assert sequence.transcript_sequence(tr, spark.createDataFrame([("c", "AACCGGTT")], "chrom string, seq string")).first().cdna == "CCTT"
     sequence.register(spark)
     assert spark.sql("select rc('AACG')").first()[0] == "CGTT"
+    assert spark.sql("select translate_dna('ATGTAA')").first()[0] == "M*"
+    assert [x.start for x in spark.sql(f"select * from orfs('CCATG{'GCC' * 12}TAAGG')").collect()] == [2]
+    assert [tuple(x) for x in spark.sql("select elcigar_parse('S50AD-20D30E')").first()[0]] == [("S", 50), ("A", None), ("D", -20), ("D", 30), ("E", None)]
+    assert [tuple(x) for x in spark.sql("select interval_union(array(named_struct('l', 5, 'r', 9), named_struct('l', 1, 'r', 5)))").first()[0]] == [(1, 9)]
+
+
+def test_presets_colours_and_merge_rules(spark):
+    assert alignments.preset("ont")["stranded"] and not alignments.preset("Nanopore", untrimmed=True)["stranded"] and alignments.preset("smartseq2") == {"stranded": False}
+    with pytest.raises(ValueError):
+        alignments.preset("illumina")
+    from strandloom.sources import tables
+
+    codes = tables.parse_color_code(spark.createDataFrame([("SPE\t1,2,3",), ("bad",)], "value string"))
+    assert [(x.key, x.color) for x in codes.collect()] == [("SPE", "1,2,3")]
+    assert tables.with_colors(spark.createDataFrame([("SPE",), ("x",)], "k string"), codes, F.col("k")).where("color is null").count() == 1
+    lines = tables.tsv(spark.createDataFrame([("a", 1.25, None)], "n string, v double, w int"), ["n", "v", "w"])
+    assert sorted((x.place, x.value) for x in lines.collect()) == [(0, "n\tv\tw"), (1, "a\t1.3\tNA")]
+    assert tables.check_extension("/x/a.GTF.gz", ("gtf", "bed")) == "gtf"
+    with pytest.raises(ValueError):
+        tables.check_extension("/x.d/a", ("gtf",))
+    t = {"class": "isoform", "sources": {"a"}, "ranges": [(0, 100), (200, 230)], "TPM": 2.0, "strand": 1, "s_reads": 4.0, "s_capped": 1.0, "e_reads": 5.0, "robust": False}
+    why = lambda change, **o: merge.reject(t | change, merge.Options(**o))
+    assert why({}) is None and why({"strand": 0}) == "unstranded" and why({"strand": 0}, allow_unstranded=True) is None
+    assert why({}, rep_filter=2) == "reps" and why({"robust": True}, rep_filter=2) is None and why({}, min_terminal=40) == "terminal exon"
+    assert why({"class": "alt_tss"}, cap_percent=0.5) == "caps" and why({}, cap_percent=0.5) is None
+    assert why({}, min_start=5) == "starts" and why({"class": "antisense"}, min_start=2) == "starts" and why({"s_reads": None}, min_start=5) is None
+    assert why({"class": "alt_pas"}, min_end=2) == "ends" and why({}, min_end=2) is None
+    assert why({"class": "fragment", "sources": set("abc")}) == "TPM" and why({"class": "fragment", "sources": set("abc"), "TPM": 3.0}) is None
 
 
 def test_adapters(spark):
