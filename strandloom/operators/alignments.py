@@ -11,11 +11,11 @@ from strandloom.operators.intervals import collapse_blocks, covered_length, gaps
 PAIRED, UNMAPPED, REVERSE, SECOND, SECONDARY, FAILED, DUPLICATE, SUPPLEMENTARY = 0x1, 0x4, 0x10, 0x80, 0x100, 0x200, 0x400, 0x800
 # Settings by kind of data; untrimmed long reads are not oriented yet.
 PRESETS = {
-    "ONT": {"stranded": True, "s_tag": True, "e_tag": True, "max_headclip": 10, "error_rate": 0.2},
-    "ONT untrimmed": {"stranded": False, "s_tag": False, "e_tag": False, "max_headclip": 120, "error_rate": 0.2},
-    "PACBIO": {"stranded": True, "s_tag": True, "e_tag": True, "max_headclip": 4},
-    "DIRECT_RNA": {"stranded": True},
-    "SMART": {"stranded": False},
+    "ONT": {"stranded": True, "s_tag": True, "e_tag": True, "max_headclip": 10, "error_rate": 0.2, "trim_gaps": True},
+    "ONT untrimmed": {"stranded": False, "s_tag": False, "e_tag": False, "max_headclip": 120, "error_rate": 0.2, "trim_gaps": True},
+    "PACBIO": {"stranded": True, "s_tag": True, "e_tag": True, "max_headclip": 4, "trim_gaps": True},
+    "DIRECT_RNA": {"stranded": True, "trim_gaps": True},
+    "SMART": {"stranded": False, "trim_gaps": True},
 }
 NAMES = {"NANOPORE": "ONT", "OXFORD": "ONT", "ISOSEQ": "PACBIO", "ISOSEQ3": "PACBIO", "FLNC": "PACBIO", "ONT-RNA": "DIRECT_RNA", "ONT_RNA": "DIRECT_RNA", "DIRECT-RNA": "DIRECT_RNA", "SMARTER": "SMART", "SMARTSEQ": "SMART", "SMART-SEQ": "SMART"}
 
@@ -58,15 +58,32 @@ def cigar_blocks(cigar: Column, pos: Column, max_indel: int = 10) -> Column:
     return F.struct(done["b"].alias("ranges"), done["s"].alias("splice"), clip(r"^(\d+)S").alias("head"), clip(r"(\d+)S$").alias("tail"))
 
 
+def trim_terminal_gaps(ranges: Column, splice: Column) -> Column:
+    """(ranges, splice, left_trim, right_trim) without the outer blocks that gaps part from
+    the rest: what lies from the first splice to the last one. Without any splice one block
+    stays, the middle one or the longer of the two middle ones."""
+    n = F.size(splice)
+    first = F.array_position(splice, True).cast("int")
+    last = n + 1 - F.array_position(F.reverse(splice), True).cast("int")
+    half = F.floor((n + 1) / 2).cast("int")  # of n + 1 blocks
+    a, b = F.get(ranges, half - 1), F.get(ranges, half)
+    middle = F.when((n % 2 == 1) & (a["r"] - a["l"] >= b["r"] - b["l"]), half).otherwise(half + 1)
+    low, high = F.when(first > 0, first).otherwise(middle), F.when(first > 0, last + 1).otherwise(middle)
+    kept = F.struct(F.slice(ranges, low, high - low + 1).alias("ranges"), F.slice(splice, low, high - low).alias("splice"), (low > 1).alias("left_trim"), (high < n + 1).alias("right_trim"))
+    return F.when(n > 0, kept).otherwise(F.struct(ranges.alias("ranges"), splice.alias("splice"), F.lit(False).alias("left_trim"), F.lit(False).alias("right_trim")))
+
+
 def md_mismatches(md: Column) -> Column:
     """Mismatched bases of an MD tag (deletions do not count)."""
     return F.length(F.regexp_replace(F.regexp_replace(md, r"\^[A-Za-z]+", ""), r"\d", ""))
 
 
-def reads_of(sam: DataFrame, source: str = "SAM", stranded: bool = False, secondary: bool = False, error_rate: float = 0.1, minlen: int = 18, max_indel: int = 10, max_intron: int = 100_000, genome: DataFrame | None = None, s_tag: bool = False, e_tag: bool = False, max_headclip: int | None = None) -> DataFrame:
+def reads_of(sam: DataFrame, source: str = "SAM", stranded: bool = False, secondary: bool = False, error_rate: float = 0.1, minlen: int = 18, max_indel: int = 10, max_intron: int = 100_000, genome: DataFrame | None = None, s_tag: bool = False, e_tag: bool = False, max_headclip: int | None = None, trim_gaps: bool = False) -> DataFrame:
     """Reads with blocks, strands, end labels (from names' tags and clips) and weights
     1 / number of alignments. s_tag, e_tag: reads with a strand are whole molecules, whose
-    start counts unless more than max_headclip bases are clipped there."""
+    start counts unless more than max_headclip bases are clipped there. trim_gaps: see
+    ``trim_terminal_gaps``; trimmed ends lose their labels, and so do both ends of a spliced
+    read whose tagged strand is not its labels'."""
     drop = UNMAPPED | FAILED | DUPLICATE | SUPPLEMENTARY | (0 if secondary else SECONDARY)
     rows = sam.where(F.col("flag").bitwiseAND(F.lit(drop)) == 0).where("cigar != '*'")
     rows = rows.withColumn("__b", cigar_blocks(F.col("cigar"), F.col("pos"), max_indel)).select("*", "__b.*").drop("__b")
@@ -89,8 +106,16 @@ def reads_of(sam: DataFrame, source: str = "SAM", stranded: bool = False, second
     head = F.when(F.col("strand") == -1, F.reverse(F.translate(F.substring(F.col("seq"), F.length("seq") - F.col("tail") + 1, F.col("tail")), "ACGT", "TGCA"))).otherwise(F.substring(F.col("seq"), F.lit(1), F.col("head")))
     capped = F.col("s_tag") & head.rlike("^.*G{1,4}$")
     rows = rows.withColumn("capped", F.coalesce(capped, F.lit(False)))
+    against = by_tag.isNotNull() & labelled & (by_tag != own) & F.exists("splice", lambda x: x)
+    rows = rows.withColumns({c: F.col(c) & ~F.coalesce(against, F.lit(False)) for c in ("s_tag", "e_tag", "capped")})
     if genome is not None:
         rows = motif_strands(rows, genome)
+    if trim_gaps:
+        rows = rows.withColumn("__t", trim_terminal_gaps(F.col("ranges"), F.col("splice")))
+        at_start = F.when(F.col("strand") == -1, F.col("__t.right_trim")).otherwise(F.col("__t.left_trim"))
+        at_end = F.when(F.col("strand") == -1, F.col("__t.left_trim")).otherwise(F.col("__t.right_trim"))
+        labels = {"s_tag": F.col("s_tag") & ~at_start, "capped": F.col("capped") & ~at_start, "e_tag": F.col("e_tag") & ~at_end}
+        rows = rows.withColumns(labels | {"ranges": F.col("__t.ranges"), "splice": F.col("__t.splice")}).drop("__t")
     count = F.coalesce(F.try_element_at("tags", F.lit("NH")).try_cast("double"), F.count("*").over(Window.partitionBy("qname", flag(SECOND))).cast("double"))
     rows = rows.withColumn("weight", 1 / count)
     hit = F.coalesce(F.try_element_at("tags", F.lit("HI")), F.concat_ws(":", "rname", F.when(flag(SECOND), F.col("pnext")).otherwise(F.col("pos"))))

@@ -38,6 +38,9 @@ class Options:
     min_length: int = 100
     max_isoforms: int = 10
     require_cap: bool = False
+    cap_filter: float = 0.02
+    min_start: float = 0.0
+    min_end: float = 0.0
     allow_incomplete: bool = False
 
 
@@ -98,6 +101,28 @@ def cluster_ends(signal: dict, o: Options, total: float | None = None) -> dict[i
     return out
 
 
+def capped_sites(site: dict[int, int], signal: dict, caps: dict, plain: dict, bounds: list[int], coverage, strand: int, o: Options) -> dict[int, int]:
+    """Start sites that stay: with min_start of support, and either no splice site upstream
+    of them, or less than intron_filter of their coverage running through from it, or
+    cap_filter of their reads capped."""
+    out = {}
+    for peak in set(site.values()):
+        members = [p for p, q in site.items() if q == peak]
+        left, right = min(members), max(members)
+        if sum(signal[p] for p in members) / o.cap_bonus < o.min_start:
+            continue
+        if strand == 1:
+            near = max((b for b in bounds if b <= left), default=None)
+            through, inside = (near, left), (right, right + 1)
+        else:
+            near = min((b for b in bounds if b >= right), default=None)
+            through, inside = (right, near), (left - 1, left)
+        capped, others = sum(caps.get(p, 0) for p in members), sum(plain.get(p, 0) for p in members)
+        if near is None or through[0] == through[1] or coverage(*through) < o.intron_filter * coverage(*inside) or capped >= o.cap_filter * (capped + others):
+            out.update(dict.fromkeys(members, peak))
+    return out
+
+
 def compatible(a: Walk, b: Walk) -> bool:
     """The walks overlap and agree on introns and sites where both reach."""
     l, r = max(a.left, b.left), min(a.right, b.right)
@@ -189,7 +214,7 @@ def assemble_locus(reads: list, o: Options = Options()) -> list[dict]:
         mine = [r for r in reads if r.strand == strand or r.strand == 0]
         if not any(r.strand == strand for r in mine):
             continue
-        junction, starts, ends, deltas = defaultdict(float), defaultdict(float), defaultdict(float), defaultdict(float)
+        junction, starts, ends, deltas, caps, plain = (defaultdict(float) for _ in range(6))
         for r in mine:
             for (a, b), (c, d), s in zip(r.ranges, r.ranges[1:], r.splice, strict=False):
                 if s and r.strand == strand and b - a >= o.min_overhang and d - c >= o.min_overhang:
@@ -200,6 +225,7 @@ def assemble_locus(reads: list, o: Options = Options()) -> list[dict]:
             left, right = r.ranges[0][0], r.ranges[-1][1]
             if r.strand == strand and r.s_tag and (r.capped or not o.require_cap):
                 starts[left if strand == 1 else right] += r.weight * (o.cap_bonus if r.capped else 1)
+                (caps if r.capped else plain)[left if strand == 1 else right] += r.weight
             if r.strand == strand and r.e_tag:
                 ends[right if strand == 1 else left] += r.weight
         edges = sorted(deltas)
@@ -213,6 +239,8 @@ def assemble_locus(reads: list, o: Options = Options()) -> list[dict]:
 
         good = prune_junctions(junction, coverage, o)
         s_site, e_site = cluster_ends(starts, o), cluster_ends(ends, o)
+        s_site = capped_sites(s_site, starts, caps, plain, sorted({x for j in good for x in j}), coverage, strand, o)
+        e_site = {p: q for p, q in e_site.items() if sum(ends[x] for x, y in e_site.items() if y == q) >= o.min_end}
         left_site, right_site = (s_site, e_site) if strand == 1 else (e_site, s_site)
         weights: dict[Walk, float] = defaultdict(float)
         for r in mine:

@@ -156,3 +156,12 @@ def end_windows(transcripts: DataFrame, extend: int = 50, min_terminal: int = 40
 
     both = F.array(window("S", five, plus), window("E", three, ~plus))
     return transcripts.where("strand != 0").select("chrom", "strand", F.col("row").cast("string").alias("name"), F.inline(both))
+
+
+def end_lines(ends: DataFrame) -> DataFrame:
+    """chrom, left, right, value: BED6 lines of end windows (``end_windows``, or what
+    ``islands.merge_ends`` made of them), named <kind><P or M>:<name>, scored by their peak."""
+    sign = F.when(F.col("strand") == -1, "M").otherwise("P")
+    strand = F.when(F.col("strand") == -1, "-").otherwise("+")
+    line = F.concat_ws("\t", "chrom", "left", "right", F.concat("kind", sign, F.lit(":"), "name"), "peak", strand)
+    return ends.select("chrom", "left", "right", line.alias("value"))

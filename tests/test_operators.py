@@ -133,7 +133,7 @@ def test_sequences(spark):
 
 
 def test_presets_colours_and_merge_rules(spark):
-    assert alignments.preset("ont")["stranded"] and not alignments.preset("Nanopore", untrimmed=True)["stranded"] and alignments.preset("smartseq2") == {"stranded": False}
+    assert alignments.preset("ont")["stranded"] and not alignments.preset("Nanopore", untrimmed=True)["stranded"] and alignments.preset("smartseq2") == {"stranded": False, "trim_gaps": True}
     with pytest.raises(ValueError):
         alignments.preset("illumina")
     from strandloom.sources import tables
@@ -156,6 +156,46 @@ def test_presets_colours_and_merge_rules(spark):
     assert why({"class": "fragment", "sources": set("abc")}) == "TPM" and why({"class": "fragment", "sources": set("abc"), "TPM": 3.0}) is None
 
 
+def gaps_trimmed(ranges, splice):
+    """Round by round: outer blocks go while a gap parts them from the rest."""
+    left = right = False
+    while splice and not (splice[0] and splice[-1]):
+        if len(splice) == 1:
+            best = max(range(2), key=lambda i: (ranges[i][1] - ranges[i][0], -i))
+            return [ranges[best]], [], left or best == 1, right or best == 0
+        if not splice[0]:
+            ranges, splice, left = ranges[1:], splice[1:], True
+        if splice and not splice[-1]:
+            ranges, splice, right = ranges[:-1], splice[:-1], True
+    return ranges, splice, left, right
+
+
+def test_terminal_gaps(spark):
+    r = random.Random(6)
+    rows = []
+    for n in range(60):
+        edges = sorted(r.sample(range(300), 2 * r.randrange(1, 6)))
+        pairs = list(zip(edges[::2], edges[1::2], strict=True))
+        rows.append((n, pairs, [r.random() < 0.4 for _ in pairs[1:]]))
+    got = spark.createDataFrame(rows, f"n int, ranges {B}, splice array<boolean>").select("n", alignments.trim_terminal_gaps(F.col("ranges"), F.col("splice")).alias("t"))
+    assert {x.n: ([tuple(b) for b in x.t.ranges], x.t.splice, x.t.left_trim, x.t.right_trim) for x in got.collect()} == {n: gaps_trimmed(p, s) for n, p, s in rows}
+
+
+def test_end_lines(spark):
+    ends = spark.createDataFrame([("c", -1, "S", 3, 9, 5, "a_b")], "chrom string, strand int, kind string, left int, right int, peak int, name string")
+    assert classify.end_lines(ends).first().value == "c\t3\t9\tSM:a_b\t5\t-"
+
+
+def test_cap_filter():
+    o = assembly.Options(cap_filter=0.1, min_start=0.5)
+    through = lambda l, r: 10.0 if r > 100 else 1.0
+    args = ({150: 150, 160: 150}, {150: 9.0, 160: 1.0}), [100, 140]
+    keep = lambda caps, plain, cover=through, bounds=args[1]: assembly.capped_sites(*args[0], caps, plain, bounds, cover, 1, o)
+    assert keep({}, {150: 9, 160: 1}) == {} and keep({160: 1}, {150: 9}) == args[0][0]
+    assert keep({}, {150: 9}, bounds=[]) == args[0][0] and keep({}, {150: 9}, cover=lambda l, r: 0.0 if l < 150 else 9.0) == args[0][0]
+    assert assembly.capped_sites({150: 150}, {150: 2.0}, {150: 2}, {}, [], through, 1, o) == {}
+
+
 def test_adapters(spark):
     tso, dt = "ACATGGG", "CCATTTTTT+"
     body = "GATTACAGATTACACCGTGC"
