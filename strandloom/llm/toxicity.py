@@ -85,6 +85,7 @@ class Examples:
     def __init__(self, terms: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: list[int]):
         self.labels = np.array(labels, np.int64)
         self.rows = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t[0]) for t in terms])
+        self.edges = np.cumsum([0, *[len(t[0]) for t in terms]])  # where each row's entries start
         hashes, forms, counts = (np.concatenate([np.empty(0, t), *[x[i] for x in terms]]) for i, t in enumerate((np.uint64, np.uint32, np.uint16)))
         terms.clear()
         self.counts, self.cols = counts, np.empty(len(hashes), np.int32)
@@ -192,7 +193,7 @@ class Index:
 
     def row(self, rows: Examples, i: int) -> tuple[np.ndarray, np.ndarray]:
         """The vector of a row of examples."""
-        a, b = np.searchsorted(rows.rows, (i, i + 1))
+        a, b = rows.edges[i : i + 2]
         tid = self.number[rows.cols[a:b]]
         return self.weigh(tid[tid >= 0], rows.counts[a:b][tid >= 0])
 
