@@ -11,11 +11,11 @@ documents. A document starts in a context of its own and ends with an end token.
 order is two: contexts are single words.
 
 Flow, over all documents: word counts by hash range; each task then sums each document's
-equal bigrams and sends them as pairs of word numbers, packed in one binary row per task
+equal bigrams and sends them as pairs of word numbers, packed in one binary row per chunk
 and hash range, to the range of the pair, where they are counted and compared; what counts
 above the document's own occurrence is stored. After EM a last scan sums what a document
-can know of itself, and the stored counts add their corrections, summed per task's
-documents before they become rows. Ranges are as many as their words need
+can know of itself, and the stored counts add their corrections, summed per chunk's
+documents (whose ids travel once) before they become rows. Ranges are as many as their words need
 (``RANGE_WORDS`` each).
 
 Word counts are sent to all tasks only if they fit ``broadcast_bytes``; beyond it
@@ -29,6 +29,7 @@ empty id's remainder says; repeated rows train each and score alike.
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,14 +140,14 @@ def _chunks(batches):
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def _pack_docs(ids: np.ndarray, ths: np.ndarray, out: np.ndarray) -> bytes:
-    """13 bytes for each document: id, text hash, role (KEPT, HELD or ASIDE)."""
-    return _planes(np.diff(ids, prepend=0).astype("<i8")) + ths.astype("<i4").tobytes() + out.astype("<u1").tobytes()
+def _pack_docs(ids: np.ndarray, ths: np.ndarray) -> bytes:
+    """12 bytes for each document: id and text hash."""
+    return _planes(np.diff(ids, prepend=0).astype("<i8")) + ths.astype("<i4").tobytes()
 
 
-def _unpack_docs(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    k = len(b) // 13
-    return np.cumsum(_unplanes(b[: 8 * k], "<i8")), np.frombuffer(b, "<i4", k, 8 * k).astype(np.int64), np.frombuffer(b, "<u1", k, 12 * k).astype(np.int64)
+def _unpack_docs(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    k = len(b) // 12
+    return np.cumsum(_unplanes(b[: 8 * k], "<i8")), np.frombuffer(b, "<i4", k, 8 * k).astype(np.int64)
 
 
 def _by_range(part: np.ndarray, ranges: int):
@@ -204,19 +205,27 @@ def _once(doc: np.ndarray, c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ..
 def _compare(vocab: Vocabulary, t: pa.Table) -> pa.Table:
     """Counts of a range's bigrams: the histogram for EM and, per task's documents,
     the occurrences that have others."""
-    hs, ws, ks, docs, packed, roles, at = [], [], [], [], [], [], 0
-    for b in t.column("blob").to_pylist():
+    hs, ws, ks, docs, roles, at = [], [], [], [], [], 0
+    tables = [(n, d) for n, d in zip(t.column("name").to_pylist(), t.column("docs").to_pylist(), strict=True) if d is not None]
+    names, sizes = [], []
+    for name, b in zip(t.column("name").to_pylist(), t.column("blob").to_pylist(), strict=True):
+        if not b:
+            continue
         n, k = np.frombuffer(b, "<i8", 2).tolist()
-        packed.append(b[16 : 16 + 13 * k])
-        roles.append(_unpack_docs(packed[-1])[2])
-        counts = _unplanes(b[16 + 13 * k : 16 + 17 * k], "<u4")
-        off = 16 + 17 * k
+        names.append(name)
+        sizes.append(k)
+        roles.append(np.frombuffer(b, "<u1", k, 16))
+        counts = _unplanes(b[16 + k : 16 + 5 * k], "<u4")
+        off = 16 + 5 * k
         for i, x in enumerate((hs, ws, ks)):
             x.append(_unplanes(b[off + 4 * n * i : off + 4 * n * (i + 1)], "<u4"))
         docs.append(np.repeat(np.arange(at, at + k, dtype=np.uint32), counts))
         at += k
+    empty = np.empty(0, np.uint32)
+    hs, ws, ks, docs, roles = ([empty, *x] for x in (hs, ws, ks, docs, roles))
     h, w, times, doc, role = (np.concatenate(x) for x in (hs, ws, ks, docs, roles))
     del hs, ws, ks, docs
+    held = np.packbits(role == HELD).tobytes()
     role = role.astype(np.uint8)[doc]
     key = h.astype(np.uint64) << np.uint64(32) | w
     del h, w
@@ -243,11 +252,14 @@ def _compare(vocab: Vocabulary, t: pa.Table) -> pa.Table:
         "of": pa.array([planes(of)], pa.binary()),
         "times": pa.array([planes(times[more])], pa.binary()),
         "doc": pa.array([planes(doc[more])], pa.binary()),
-        "docs": pa.array([packed], pa.list_(pa.binary())),
+        "names": pa.array([names], pa.list_(pa.int64())),
+        "sizes": pa.array([sizes], pa.list_(pa.int32())),
+        "held": pa.array([held], pa.binary()),
+        "tables": pa.array([[{"name": n, "docs": d} for n, d in tables]], pa.list_(pa.struct([("name", pa.int64()), ("docs", pa.binary())]))),
     })
 
 
-COMPARED = "cells binary, sums binary, keys binary, c2 binary, of binary, times binary, doc binary, docs array<binary>"
+COMPARED = "cells binary, sums binary, keys binary, c2 binary, of binary, times binary, doc binary, names array<bigint>, sizes array<int>, held binary, tables array<struct<name:bigint,docs:binary>>"
 
 
 def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_bytes: int = 128 << 20) -> DataFrame:
@@ -271,24 +283,29 @@ def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_b
     del arrays
     vocabulary = lambda: Vocabulary(*sent.value)
 
+    def blob_row(r, name, blob, docs):
+        return pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "name": pa.array([name], pa.int64()), "blob": pa.array([blob], pa.binary()), "docs": pa.array([docs], pa.binary())})
+
     def send(batches):
-        vocab = vocabulary()
-        for ids, ths, out, h, n in _chunks(batches):
+        vocab, part_id = vocabulary(), TaskContext.get().partitionId()
+        for number, (ids, ths, out, h, n) in enumerate(_chunks(batches)):
             w = vocab.find(h)
             c = _bigrams(w, n, vocab.v + 1)
             doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)
             del h
-            docs = _pack_docs(ids, ths, out)
+            docs = _pack_docs(ids, ths)
+            name = xxhash.xxh3_64_intdigest(docs + np.array([part_id, number], "<i8").tobytes()) >> 1  # of these documents
+            roles = out.astype("<u1").tobytes()
+            yield blob_row(name % ranges, name, b"", docs)
             known = np.flatnonzero((w != vocab.v) & (c != vocab.v))
             doc, c, w, times = _once(doc[known], c[known], w[known])
             part = (mix(c.astype(np.uint64) << np.uint64(32) | w) >> np.uint64(33)).astype(np.int64) % ranges
             for r, i in _by_range(part, ranges):
                 count = np.bincount(doc[i], minlength=len(n))
                 head = np.array([len(i), len(n)], "<i8").tobytes()
-                blob = head + docs + _planes(count.astype("<u4")) + _planes(c[i]) + _planes(w[i]) + _planes(times[i])
-                yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "blob": pa.array([blob], pa.binary())})
+                yield blob_row(r, name, head + roles + _planes(count.astype("<u4")) + _planes(c[i]) + _planes(w[i]) + _planes(times[i]), None)
 
-    compared = stored(rows.mapInArrow(released(send), "range int, blob binary").groupBy("range").applyInArrow(released_group(lambda t: _compare(vocabulary(), t)), COMPARED), "bigrams")
+    compared = stored(rows.mapInArrow(released(send), "range int, name bigint, blob binary, docs binary").groupBy("range").applyInArrow(released_group(lambda t: _compare(vocabulary(), t)), COMPARED), "bigrams")
     histogram = np.zeros(BUCKETS * CELLS)
     for r in compared.select("cells", "sums").toLocalIterator():  # the cells that a range fills
         histogram[np.frombuffer(r.cells, "<u4")] += np.frombuffer(r.sums, "<f8")
@@ -301,33 +318,35 @@ def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_b
 
     def correct(batches):
         vocab = vocabulary()
+        row = lambda name, docs, sums: pa.RecordBatch.from_pydict({"name": pa.array([name], pa.int64()), "docs": pa.array([docs], pa.binary()), "sums": pa.array([sums], pa.binary())})
         for b in batches:
             for r in b.to_pylist():
-                held = (np.concatenate([_unpack_docs(x)[2] for x in r["docs"]]) == HELD).astype(np.int64)
-                total = np.zeros(len(held))
-                if r["of"]:
-                    keys = _unplanes(r["keys"], "<u8")
-                    h, w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                    full = np.log10(mixed(vocab, h, w, np.frombuffer(r["c2"], "<u4")))
-                    own = np.stack([full - np.log10(mixed(vocab, h, w, 1)), full - np.log10(mixed(vocab, h, w, 0))])
-                    doc = _unplanes(r["doc"], "<u4")
-                    total = np.bincount(doc, own[held[doc], _unplanes(r["of"], "<u4")] * _unplanes(r["times"], "<u4"), len(held))
+                for x in r["tables"]:
+                    yield row(x["name"], x["docs"], None)
+                if not r["of"]:
+                    continue
+                held = np.unpackbits(np.frombuffer(r["held"], np.uint8))[: sum(r["sizes"])]
+                keys = _unplanes(r["keys"], "<u8")
+                h, w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                full = np.log10(mixed(vocab, h, w, np.frombuffer(r["c2"], "<u4")))
+                own = np.stack([full - np.log10(mixed(vocab, h, w, 1)), full - np.log10(mixed(vocab, h, w, 0))])
+                doc = _unplanes(r["doc"], "<u4")
+                total = np.bincount(doc, own[held[doc], _unplanes(r["of"], "<u4")] * _unplanes(r["times"], "<u4"), len(held))
                 at = 0
-                for x in r["docs"]:
-                    k = len(x) // 13
-                    name = xxhash.xxh3_64_intdigest(x) >> 1
-                    yield pa.RecordBatch.from_pydict({"task": pa.array([name], pa.int64()), "docs": pa.array([x], pa.binary()), "sums": pa.array([total[at : at + k].tobytes()], pa.binary())})
+                for name, k in zip(r["names"], r["sizes"], strict=True):
+                    if total[at : at + k].any():
+                        yield row(name, None, total[at : at + k].tobytes())
                     at += k
 
     def add(t: pa.Table) -> pa.Table:
-        ids, ths, _ = _unpack_docs(t.column("docs")[0].as_py())
-        sums = np.sum([np.frombuffer(b, "<f8") for b in t.column("sums").to_pylist()], axis=0)
+        ids, ths = _unpack_docs(next(d for d in t.column("docs").to_pylist() if d is not None))
+        sums = np.sum([np.zeros(len(ids)), *[np.frombuffer(b, "<f8") for b in t.column("sums").to_pylist() if b is not None]], axis=0)
         return pa.table({"c_id": ids, "c_th": ths, "more": sums})
 
     corrections = (
-        compared.select("keys", "c2", "of", "times", "doc", "docs")
-        .mapInArrow(released(correct), "task bigint, docs binary, sums binary")
-        .groupBy("task")
+        compared.select("keys", "c2", "of", "times", "doc", "names", "sizes", "held", "tables")
+        .mapInArrow(released(correct), "name bigint, docs binary, sums binary")
+        .groupBy("name")
         .applyInArrow(released_group(add), "c_id bigint, c_th bigint, more double")
         .groupBy("c_id", "c_th")
         .agg(F.avg("more").alias("more"))  # repeated rows have equal sums
