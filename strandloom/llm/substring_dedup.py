@@ -17,11 +17,6 @@ goes, packed in one binary row per task and hash range, to the range of its hash
 occurrence of each sequence is found and repeated windows go back to their
 documents as positions with their references.
 
-Hashes decide, and words confirm: a factor of two windows or more rests on as many
-independent 64-bit hashes, and the words of a factor of a single window are compared
-with those of its reference (by 128-bit digests that the two documents send). A window
-whose words differ from its reference's is no repeat.
-
 Defined cases: null and empty texts have no words; texts of fewer than ``width``
 words have no windows; null ids come last; rows that repeat an id and text are
 the same document and do not remove each other's words; rows with one id and
@@ -32,13 +27,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type as pa_type
 
-from strandloom.llm.common import byte_words, discard, hash_words, mix, plus, released, released_group, small_batches, stored
+from strandloom.llm.common import byte_words, hash_words, mix, plus, released, released_group, small_batches
 
 BASE = 0x9E3779B97F4A7C15
 CHUNK_WORDS, SLICE_ROWS = 2_000_000, 256
@@ -253,61 +247,6 @@ def repeated_windows(docs: DataFrame, width: int = 20, ranges: int | None = None
     return settled.groupBy("bucket").applyInArrow(released_group(gather), "s_id bigint, s_th bigint, __hits binary")
 
 
-def _single_windows(hits: DataFrame, width: int) -> DataFrame:
-    """s_id, s_th, pos, source, source_pos of the factors of one window."""
-
-    def run(batches):
-        for b in batches:
-            out = [(i, t, f[0], f[2], f[3]) for i, t, h in zip(*(c.to_pylist() for c in b.columns), strict=True) for f in factors(read_hits(h), width) if f[1] == width]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["s_id", "s_th", "pos", "source", "source_pos"])
-
-    return hits.select("s_id", "s_th", "__hits").mapInArrow(released(run), "s_id bigint, s_th bigint, pos bigint, source bigint, source_pos bigint")
-
-
-def confirmed(docs: DataFrame, hits: DataFrame, width: int, kept: list[str], limit: int = 32 << 20) -> DataFrame:
-    """hits without factors of one window whose words are not their reference's."""
-    one = stored(_single_windows(hits, width), "singles", kept)
-    n = one.count()
-    if not n:
-        return hits
-    wanted = one.select(F.col("s_id").alias("w_id"), "pos").union(one.select("source", "source_pos")).groupBy("w_id").agg(F.collect_set("pos").alias("places"))
-    wanted = F.broadcast(wanted) if 48 * n <= limit else wanted
-
-    def digest(batches):
-        for b in batches:
-            out = []
-            for i, t, text, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = byte_words(text)
-                for p in places:
-                    if len(words) >= p + width:
-                        d = xxhash.xxh3_128_intdigest(b" ".join(words[p : p + width]))
-                        out.append((i, t, p, (d >> 64) - (1 << 63), (d & (2**64 - 1)) - (1 << 63)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["d_id", "d_th", "d_pos", "high", "low"])
-
-    rows = keyed(docs.select("doc_id", "text")).select("__id", "__th", "text").join(wanted, F.col("__id") == F.col("w_id")).select("__id", "__th", "text", "places")
-    words = stored(rows.mapInArrow(released(digest), "d_id bigint, d_th bigint, d_pos bigint, high bigint, low bigint"), "digests", kept)
-    own = words.select(F.col("d_id").alias("s_id"), F.col("d_th").alias("s_th"), F.col("d_pos").alias("pos"), "high", "low").distinct()
-    of = words.select(F.col("d_id").alias("source"), F.col("d_pos").alias("source_pos"), "high", "low").distinct()
-    good = one.join(own, ["s_id", "s_th", "pos"]).join(of, ["source", "source_pos", "high", "low"]).select("s_id", "s_th", "pos")
-    false = stored(one.join(good, ["s_id", "s_th", "pos"], "left_anti").groupBy(F.col("s_id").alias("f_id"), F.col("s_th").alias("f_th")).agg(F.collect_set("pos").alias("false")), "false", kept)
-    if false.isEmpty():
-        discard(docs.sparkSession, kept)
-        return hits
-
-    def drop(batches):
-        for b in batches:
-            blobs = []
-            for h, gone in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                hit = read_hits(h)
-                blobs.append(hit[~np.isin(hit["pos"], gone)].tobytes() if gone else h)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(blobs, pa.binary())], ["s_id", "s_th", "__hits"])
-
-    joined = hits.join(false, (F.col("s_id") == F.col("f_id")) & (F.col("s_th") == F.col("f_th")), "left").select("s_id", "s_th", "__hits", "false")
-    return joined.mapInArrow(released(drop), "s_id bigint, s_th bigint, __hits binary")
-
-
 def _kept(text: str | None, hits: bytes | None, width: int) -> tuple[list[bytes], int, list]:
     words = byte_words(text)
     parse = factors(read_hits(hits), width) if hits else []
@@ -321,8 +260,7 @@ def _kept(text: str | None, hits: bytes | None, width: int) -> tuple[list[bytes]
 
 def _apply(docs: DataFrame, width: int, ranges: int | None, keep: list[str], ddl: str, row) -> DataFrame:
     """docs with their repeated windows, through row(text, hits) -> new columns."""
-    kept: list[str] = []
-    hits = confirmed(docs, stored(repeated_windows(docs, width, ranges), "hits"), width, kept)
+    hits = repeated_windows(docs, width, ranges)
     fields = [f"__{i}" for i in range(len(keep))]  # the columns that stay, by place
     base = keyed(docs).select("__id", "__th", *[F.col(c).alias(f) for c, f in zip(keep, fields, strict=True)], F.col("text").alias("__text"))
 

@@ -57,21 +57,6 @@ def test_substring_dedup_on_table(spark):
     assert got == want and sum(v[1] for v in got.values()) > 0
 
 
-def test_words_confirm_single_windows(spark):
-    """A hash that two windows share by chance is no repeat."""
-    words = lambda a: [f"{a}{i}" for i in range(30)]
-    rows = [(1, " ".join(words("a"))), (2, " ".join(words("b") + words("a")[5:25])), (3, " ".join(words("c")))]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    keys = {r["__id"]: r["__th"] for r in substring_dedup.keyed(docs).collect()}
-
-    def blob(*hits):
-        return np.array(list(hits), substring_dedup.HIT).tobytes()
-
-    data = [(2, keys[2], blob((3, 1, 0), (30, 1, 5))), (3, keys[3], blob((0, 1, 0), (1, 1, 1), (8, 2, 8)))]
-    got = substring_dedup.confirmed(docs, spark.createDataFrame(data, "s_id bigint, s_th bigint, __hits binary"), 20, [])
-    assert {r.s_id: substring_dedup.read_hits(r["__hits"])["pos"].tolist() for r in got.collect()} == {2: [30], 3: [0, 1]}
-
-
 def test_rewrite_keeps_columns_and_clean_texts(spark):
     docs = spark.createDataFrame(odd_documents(), SCHEMA)
     out = substring_dedup.rewrite(docs)
