@@ -19,10 +19,11 @@ tokens not in it come first, by hash, then hot ones by count. The order decides
 only how much work is done.
 
 Groups of near copies are not expanded into pairs: sets that share a min-hash band
-are first compared with the few leaders of their band and linked if the exact
-similarity holds; afterwards only sets of different groups are candidates, so no
-link between components is lost. Bands with many sets are split by a salt, and
-their leaders meet in a second round.
+are first compared with the few leaders of their band, and with the sets just before
+them if no leader is like them, and linked if the exact similarity holds; afterwards
+only sets of different groups are candidates, so no link between components is lost,
+and a list's largest group is never paired with itself. Bands with many sets are split
+by a salt; their leaders and a sample of their sets meet in a second round.
 
 Defined cases: null and empty texts have empty sets and no links; texts of fewer
 than ``k`` words have one shingle, the whole sequence; repeated rows and copies
@@ -31,6 +32,9 @@ table gives no rows. Node numbers are 64-bit hashes of whole sets; a second hash
 detects a collision, and the join is then done anew with another seed.
 """
 
+from collections import deque
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -41,9 +45,9 @@ from strandloom.llm.common import byte_words, discard, hash_words, mix, numbered
 from strandloom.llm.components import components
 from strandloom.llm.substring_dedup import _planes, _unplanes
 
-BANDS, LEADERS, BAND_ROWS = 4, 8, 1000
+BANDS, LEADERS, RECENT, SAMPLED, BAND_ROWS = 4, 8, 64, 32, 1000
 OCCURRENCES = 8
-SLICE_ROWS, CHUNK_TOKENS = 256, 2_000_000
+SLICE_ROWS, CHUNK_TOKENS, CHUNK_PAIRS = 256, 2_000_000, 250_000
 WORDS = 8  # of a parity bitmap
 SETS = "doc_id bigint, th bigint, s1 bigint, s2 bigint, n int, bands array<bigint>, " + ", ".join(f"w{i} bigint" for i in range(WORDS)) + ", tokens binary"
 
@@ -157,23 +161,32 @@ def _sized(df: DataFrame, width: int, limit: int) -> DataFrame:
 
 
 def _leaders(rows: DataFrame, percent: int) -> DataFrame:
-    """x, leader (itself for a leader) and group of each set in rows(group, salt, s1,
-    tokens); streams over sorted rows and holds LEADERS sets."""
+    """Links x - leader and group of each set in rows(group, salt, s1, tokens), to all
+    its leaders or else to one of the sets just before it; a leader and the first
+    SAMPLED sets also with x = leader. Streams over sorted rows and holds LEADERS +
+    RECENT sets."""
 
     def run(batches):
-        key, held = None, []
+        key, held, recent, met = None, [], deque(maxlen=RECENT), 0
         for b in batches:
             out = []
             for group, salt, s1, tokens in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if key != (group, salt):
-                    key, held = (group, salt), []
+                    key, held, met = (group, salt), [], 0
+                    recent.clear()
                 x = unpack_set(tokens)
-                lead = next((s for s, y in held if s == s1 or linked(x, y, percent)), None)
-                if lead is None and len(held) < LEADERS:
-                    held.append((s1, x))
-                    lead = s1
-                if lead is not None:
-                    out.append((s1, lead, group))
+                leads = [s for s, y in held if s == s1 or linked(x, y, percent)]
+                if not leads and LEADERS:
+                    if len(held) < LEADERS:
+                        held.append((s1, x))
+                        leads = [s1]
+                    else:
+                        leads = list(islice((s for s, y in reversed(recent) if linked(x, y, percent)), 1))
+                if met < SAMPLED and s1 not in leads and LEADERS:
+                    leads.append(s1)
+                met += 1
+                recent.append((s1, x))
+                out += [(s1, lead, group) for lead in leads]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["x", "leader", "group"])
 
@@ -229,6 +242,26 @@ def hot_tokens(sets: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(got.column("token")).astype(np.int64).view(np.uint64), np.array(got.column("c")).astype(np.int64)
 
 
+def _pack_lists(s1, label, size, tokens, node, place) -> bytes:
+    """Entries (token, node, place) of the sets numbered by node; only labels that
+    differ from s1 are written."""
+    own = label == s1
+    head = np.array([len(tokens), len(s1), len(s1) - np.count_nonzero(own)], "<i8").tobytes()
+    table = s1.astype("<i8").tobytes() + _planes(size.astype("<u4")) + np.packbits(own).tobytes() + label[~own].astype("<i8").tobytes()
+    return head + table + b"".join(_planes(x) for x in (tokens.astype("<u8"), node.astype("<u4"), place.astype("<u4")))
+
+
+def _unpack_lists(b: bytes) -> tuple[np.ndarray, ...]:
+    n, k, m = np.frombuffer(b, "<i8", 3).tolist()
+    o, flags = 24 + 12 * k, -(-k // 8)
+    s1, size = np.frombuffer(b, "<i8", k, 24), _unplanes(b[24 + 8 * k : o], "<u4").astype(np.int64)
+    label = s1.copy()
+    label[np.unpackbits(np.frombuffer(b, np.uint8, flags, o), count=k) == 0] = np.frombuffer(b, "<i8", m, o + flags)
+    o += flags + 8 * m
+    tokens, node, place = (_unplanes(b[o + i * n : o + j * n], t) for i, j, t in ((0, 8, "<u8"), (8, 12, "<u4"), (12, 16, "<u4")))
+    return s1, label, size, tokens, node.astype(np.int64), place.astype(np.int64)
+
+
 def _send_short_lists(rarity_state, ranges: int, percent: int):
     """Tasks' short-list entries: (range, blob of tokens, nodes, positions)."""
 
@@ -247,14 +280,12 @@ def _send_short_lists(rarity_state, ranges: int, percent: int):
             part = (mix(tokens) >> np.uint64(40)).astype(np.int64) % ranges
             by = np.argsort(part.astype(np.int32), kind="stable")
             cuts = np.searchsorted(part[by], np.arange(ranges + 1))
-            for r in range(ranges):
+            blobs, filled = [], np.flatnonzero(np.diff(cuts))
+            for r in filled.tolist():
                 i = by[cuts[r] : cuts[r + 1]]
-                if len(i):
-                    docs, inner = np.unique(node[i], return_inverse=True)
-                    table = np.stack([s1[docs], label[docs], size[docs]]).astype("<i8")
-                    head = np.array([len(i), len(docs)], "<i8").tobytes()
-                    blob = head + table.tobytes() + tokens[i].tobytes() + _planes(inner.astype("<u4")) + _planes(place[i])
-                    yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "blob": pa.array([blob], pa.binary())})
+                docs, inner = np.unique(node[i], return_inverse=True)
+                blobs.append(_pack_lists(s1[docs], label[docs], size[docs], tokens[i], inner, place[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(blobs, pa.binary())], ["range", "blob"])
 
         for b in batches:
             for s1, label, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -291,38 +322,28 @@ def summed(pairs: np.ndarray) -> np.ndarray:
 def merge_short_lists(blobs: list[bytes], percent: int) -> np.ndarray:
     """PAIRs (a < b) of sets of different groups that occur together in a range's
     lists, with their occurrences and the least that all ranges must give."""
-    tables, tokens, nodes, places, at = [], [], [], [], 0
+    parts, at = [], 0
     for b in blobs:
-        n, k = np.frombuffer(b, "<i8", 2).tolist()
-        tables.append(np.frombuffer(b, "<i8", 3 * k, 16).reshape(3, k))
-        o = 16 + 24 * k
-        tokens.append(np.frombuffer(b, "<u8", n, o))
-        nodes.append(_unplanes(b[o + 8 * n : o + 12 * n], "<u4").astype(np.int64) + at)
-        places.append(_unplanes(b[o + 12 * n : o + 16 * n], "<u4").astype(np.int64))
-        at += k
-    s1, label, size = np.concatenate(tables, axis=1)
-    token, node, place = (np.concatenate(x) for x in (tokens, nodes, places))
+        *table, token, node, place = _unpack_lists(b)
+        parts.append((*table, token, node + at, place))
+        at += len(table[0])
+    s1, label, size, token, node, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     order = np.lexsort((size[node], token))
     token, node, place = token[order], node[order], place[order]
     start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     # only lists with two groups
     lab = label[node]
     mixed = np.minimum.reduceat(lab, start) != np.maximum.reduceat(lab, start) if len(start) else np.empty(0, bool)
-    stop = np.r_[start[1:], len(token)]
-    x = np.concatenate([np.empty(0, np.int64), *[np.arange(i, j) for i, j in zip(start[mixed].tolist(), stop[mixed].tolist(), strict=True)]])
-    end = np.repeat(stop[mixed], (stop - start)[mixed])
+    lengths = np.diff(np.r_[start, len(token)])
+    of = np.repeat(mixed, lengths)
+    node, place, lab = node[of], place[of], lab[of]
+    lists = np.repeat(np.arange(np.count_nonzero(mixed)), lengths[mixed])
+    del token, of
     prefix = size - -(-percent * size // 100) + 1
-    out, gathered, step = [], 0, 0
-    while len(x):  # each entry with the one ``step`` places after it in its list
-        step += 1
-        on = x + step < end
-        x, end = x[on], end[on]
-        i, j = node[x], node[x + step]
-        near = 100 * size[i] >= percent * size[j]
-        x, end = x[near], end[near]  # those after are larger still
-        i, j, p, q = i[near], j[near], place[x], place[x + step]
-        apart = label[i] != label[j]
-        i, j, p, q = i[apart], j[apart], p[apart], q[apart]
+    out, gathered = [], 0
+    for x, y in pairs_apart(lists, size[node], lab, percent):
+        i, j, p, q = node[x], node[y], place[x], place[y]
         need = -(-percent * (size[i] + size[j]) // (100 + percent))
         least = np.clip(np.minimum(prefix[i] - size[i], prefix[j] - size[j]) + need, 1, OCCURRENCES)
         ok = (p < size[i] - need + least) & (q < size[j] - need + least)
@@ -337,6 +358,40 @@ def merge_short_lists(blobs: list[bytes], percent: int) -> np.ndarray:
     return summed(np.concatenate([np.empty(0, PAIR), *out]))
 
 
+def pairs_apart(lists: np.ndarray, size: np.ndarray, label: np.ndarray, percent: int):
+    """Chunks (x, y) of the places x < y of entries of one list whose labels differ and
+    whose sizes allow a link; entries are in order of list and size. The list's most
+    frequent label is met from the others only, so the work is that of the pairs
+    between labels, whatever the size of one group."""
+    if not len(lists):
+        return
+    by = np.lexsort((label, lists))
+    new = np.flatnonzero(np.r_[True, (lists[by][1:] != lists[by][:-1]) | (label[by][1:] != label[by][:-1])])
+    most = np.lexsort((np.diff(np.r_[new, len(by)]), lists[by[new]]))
+    of = lists[by[new[most]]]
+    top = label[by[new[most[np.r_[of[1:] != of[:-1], True]]]]]  # the longest run of each list
+    inside = label == top[lists]
+    others, members = np.flatnonzero(~inside), np.flatnonzero(inside)
+    width = np.int64(size.max()) * 2 + 2
+    key = lists * width + size
+    start = key[others] - size[others]
+    after = np.searchsorted(key, start + np.minimum(100 * size[others] // percent, width - 1), "right")
+    before = np.searchsorted(key[members], start - (-percent * size[others] // 100))
+    until = np.maximum(np.searchsorted(members, others), before)
+    for low, high, left in ((others + 1, after, False), (before, until, True)):
+        ends = np.cumsum(high - low)
+        cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(CHUNK_PAIRS, ends[-1], CHUNK_PAIRS)) + 1, len(ends)]) if len(ends) else []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            n = high[i:j] - low[i:j]
+            met = np.arange(n.sum()) + np.repeat(low[i:j] - (np.cumsum(n) - n), n)
+            one = np.repeat(others[i:j], n)
+            if left:
+                yield members[met], one
+            else:
+                apart = label[one] != label[met]
+                yield one[apart], met[apart]
+
+
 MAP = np.dtype([("s1", "<i8"), ("n", "<i8"), ("bits", "<u8", WORDS)])
 HALF_MET = np.dtype([("a", "<i8"), ("b", "<i8"), ("n", "<i8"), ("bits", "<u8", WORDS)])
 

@@ -1,8 +1,10 @@
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.llm import components, set_join
 from tests.llm.test_text_ops import SCHEMA, odd_documents
@@ -97,6 +99,53 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
+def test_pairs_between_labels():
+    r = np.random.default_rng(1)
+    for _ in range(100):
+        n = r.integers(1, 60)
+        lists = np.unique(np.sort(r.integers(0, 4, n)), return_inverse=True)[1]
+        size, label, percent = r.integers(1, 30, n), r.integers(0, 4, n), int(r.choice([50, 80, 85]))
+        by = np.lexsort((size, lists))
+        size, label = size[by], label[by]
+        got = [(a, b) for x, y in set_join.pairs_apart(lists, size, label, percent) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+        want = [(i, j) for i in range(n) for j in range(i + 1, n) if lists[i] == lists[j] and label[i] != label[j] and 100 * size[i] >= percent * size[j]]
+        assert sorted(got) == want
+
+
+def test_large_group_is_not_paired_with_itself():
+    """200,000 sets of one group and one other share a token: 200,000 pairs are met."""
+    n = 200_000
+    s1, label = np.arange(n + 1), np.r_[np.zeros(n, np.int64), n]
+    assert sum(len(x) for x, _ in set_join.pairs_apart(np.zeros(n + 1, np.int64), np.full(n + 1, 9), label, 85)) == n
+    blob = set_join._pack_lists(s1, label, np.full(n + 1, 9), np.full(n + 1, 7, np.uint64), s1, np.zeros(n + 1, np.int64))
+    got = set_join.merge_short_lists([blob], 85)
+    assert len(got) == n and (got["b"] == n).all()
+
+
+def test_lists_packed():
+    r = np.random.default_rng(2)
+    s1 = r.integers(-(2**63), 2**63, 1000)
+    label = np.where(r.random(1000) < 0.1, s1[0], s1)
+    given = (s1, label, r.integers(1, 9000, 1000), r.integers(0, 2**56, 1000).astype(np.uint64), np.arange(1000), r.integers(0, 99, 1000))
+    packed = set_join._pack_lists(*given)
+    assert all((x == y).all() for x, y in zip(given, set_join._unpack_lists(packed), strict=True))
+    assert len(zlib.compress(packed)) < 24 * 1000  # sent one by one these took 40 bytes an entry
+
+
+def test_leaders_of_a_cluster(spark):
+    """Copies of one text, with up to three words of 150 edited, become one group."""
+    r = random.Random(5)
+    base, rows = [f"v{r.randrange(4000)}" for _ in range(150)], []
+    for i in range(600):
+        w = base.copy()
+        for _ in range(r.randrange(4)):
+            w[r.randrange(150)] = f"e{r.randrange(10**6)}"
+        rows.append((0, 0, i, set_join.pack_set(set_join.token_set(" ".join(w), 4))))
+    links = set_join._leaders(spark.createDataFrame(rows, "group bigint, salt int, s1 bigint, tokens binary"), 85)
+    labels = Counter(x.label for x in components.components(links.select(F.col("x").alias("u"), F.col("leader").alias("v"))).collect())
+    assert max(labels.values()) >= 400  # of 600; with links to the first leader alone 179
+
+
 def test_overlap():
     a, b = np.array([1, 5, 9], np.uint64), np.array([2, 5, 9, 11], np.uint64)
     assert set_join.overlap(a, b) == set_join.overlap(b, a) == 2 and set_join.overlap(a, a[:0]) == 0
