@@ -18,8 +18,11 @@ can know of itself, and the stored counts add their corrections, summed per chun
 documents (whose ids travel once) before they become rows. Ranges are as many as their words need
 (``RANGE_WORDS`` each).
 
-Word counts are sent to all tasks only if they fit ``broadcast_bytes``; beyond it
-the same model is computed by joins (``_by_joins``).
+The words sent to all tasks are those of training documents that occur again there or
+in a scored one. Any other word of a training document is known to occur once, where it
+stands: none of its bigrams has another occurrence, and no other document asks for it.
+Word counts are sent only if they fit ``broadcast_bytes``, at ``WORD_BYTES`` each; beyond
+it the same model is computed by joins (``_by_joins``), which is much slower.
 
 Defined cases: null text is empty: one end token; without training rows every
 count is 0 and both scores are those of the smoothed base; null ids train as the
@@ -39,43 +42,58 @@ from strandloom.llm.substring_dedup import _planes, _unplanes, keyed
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word has a line feed
 BUCKETS, CELLS, PER_OCTAVE = 40, 4096, 32  # cells of log2 of the ratio; cell 0: ratio 0
 CHUNK_WORDS, RANGE_WORDS, SLICE_ROWS = 400_000, 1_000_000, 256
+START, WORD_BYTES = 0, 14  # number of a document's start; hash, number and two small counts
 
 
 KEPT, HELD, ASIDE = 0, 1, 2  # of documents: training, scored only, training set aside for the weights
 
 
 class Vocabulary:
-    """Word numbers, by falling count, and counts; number V is any other word and
-    V + 1 the start of a document."""
+    """Word numbers, by falling count, and counts. Number START is the start of a
+    document, ``unknown`` any word that is not held, ``lone`` such a word where it is
+    known to occur once in training."""
 
-    def __init__(self, hashes: np.ndarray, number: np.ndarray, counts: np.ndarray, kept: np.ndarray):
+    def __init__(self, hashes: np.ndarray, number: np.ndarray, counts: tuple, kept: tuple, v: int, n: int, n_kept: int):
         """hashes: sorted, with their numbers; counts of all training documents and of
-        those kept when weights are learned: by number, with V and V + 1."""
+        those kept when weights are learned, by number: the large ones, then bytes; v:
+        all distinct training words."""
         self.hashes, self.number, self.counts, self.kept = hashes, number, counts, kept
-        self.v, self.n = len(hashes), int(counts[: len(hashes)].sum(dtype=np.int64))
-        self.n_kept = int(kept[: len(hashes)].sum(dtype=np.int64))
-        self.bits = max(1, min(24, int(self.v).bit_length() - 2))
-        self.first = np.r_[np.searchsorted(hashes, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)), self.v].astype(np.int32)
+        self.v, self.n, self.n_kept, self.unknown, self.lone = v, n, n_kept, len(hashes) + 1, len(hashes) + 2
+        self.bits = max(1, min(24, len(hashes).bit_length() - 2))
+        self.first = np.r_[np.searchsorted(hashes, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)), len(hashes)].astype(np.int32)
 
     @staticmethod
-    def arrays(hashes: np.ndarray, counts: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, ...]:
-        """What __init__ takes, from words and their counts in any order."""
+    def arrays(hashes: np.ndarray, counts: np.ndarray, kept: np.ndarray) -> tuple:
+        """What __init__ takes first, from words and their counts in any order."""
+        falling = np.lexsort((hashes, -counts))
         number = np.empty(len(hashes), np.uint32)
-        number[np.lexsort((hashes, -counts))] = np.arange(len(hashes), dtype=np.uint32)
-        by_number = []
-        for c in (counts, kept):
-            out = np.zeros(len(hashes) + 2, np.int64)
-            out[number] = c
-            out[len(hashes) + 1] = c[hashes == END].sum()  # documents
-            by_number.append(out.astype(np.uint32) if out.max() < 1 << 32 else out)
+        number[falling] = np.arange(1, len(hashes) + 1, dtype=np.uint32)
+        large, ends, by_number = int((counts > 255).sum()), hashes == END, []
+        for c, once in ((counts, 1), (kept, 0)):
+            documents, c = c[ends].sum(), c[falling]
+            by_number.append((np.r_[documents, c[:large]].astype(np.int64), np.r_[c[large:], 0, once].astype(np.uint8)))
         order = np.argsort(hashes)
         return hashes[order], number[order], *by_number
 
+    @staticmethod
+    def _of(counts: tuple, w: np.ndarray) -> np.ndarray:
+        large, small = counts
+        out = large[np.minimum(w, len(large) - 1)]
+        rest = np.flatnonzero(w >= len(large))
+        out[rest] = small[w[rest] - len(large)]
+        return out
+
+    def count(self, w: np.ndarray) -> np.ndarray:
+        return self._of(self.counts, w)
+
+    def count_kept(self, w: np.ndarray) -> np.ndarray:
+        return self._of(self.kept, w)
+
     def find(self, h: np.ndarray) -> np.ndarray:
         cell = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         at, stop = self.first[cell], self.first[cell + 1]
         del cell
-        out = np.full(len(h), self.v, np.uint32)
+        out = np.full(len(h), self.unknown, np.uint32)
         todo = np.flatnonzero(at < stop)
         while len(todo):
             same = self.hashes[at[todo]] == h[todo]
@@ -87,7 +105,7 @@ class Vocabulary:
         return out
 
     def base(self, w: np.ndarray) -> np.ndarray:
-        return (self.counts[w] + 0.5) / (self.n + 0.5 * (self.v + 1))
+        return (self.count(w) + 0.5) / (self.n + 0.5 * (self.v + 1))
 
 
 def bucket(count: np.ndarray) -> np.ndarray:
@@ -158,12 +176,12 @@ def _by_range(part: np.ndarray, ranges: int):
 
 def word_counts(rows: DataFrame, ranges: int, kept: list[str] | None = None) -> DataFrame:
     """Stored: for each hash range the words of training rows, their counts, and those
-    of rows that are not set aside."""
+    of rows that are not set aside; words that occur once and in no scored row apart."""
 
     def send(batches):
         for _, _, role, h, n in _chunks(batches):
             of = np.repeat(role, n)
-            for kind in (KEPT, ASIDE):
+            for kind in (KEPT, HELD, ASIDE):
                 words, counts = np.unique(h[of == kind], return_counts=True)
                 part = (words & np.uint64(0xFFFFFFFF)).astype(np.int64) % ranges
                 for r, i in _by_range(part, ranges):
@@ -174,19 +192,23 @@ def word_counts(rows: DataFrame, ranges: int, kept: list[str] | None = None) ->
         counts = np.concatenate([np.frombuffer(b, "<u4") for b in t.column("counts").to_pylist()])
         kind = np.repeat(np.array(t.column("kind")), [len(w) for w in words])
         keys, at = np.unique(np.concatenate(words), return_inverse=True)
-        sums = np.bincount(at, counts, len(keys)).astype("<i8")
+        sums = np.bincount(at, counts * (kind != HELD), len(keys)).astype("<i8")
         some = np.bincount(at, counts * (kind == KEPT), len(keys)).astype("<i8")
-        return pa.table({"words": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([sums.tobytes()], pa.binary()), "kept": pa.array([some.tobytes()], pa.binary()), "v": pa.array([len(keys)], pa.int64()), "n": pa.array([int(sums.sum())], pa.int64()), "n_kept": pa.array([int(some.sum())], pa.int64())})
+        again = (sums > 0) & ((sums + np.bincount(at, kind == HELD, len(keys)) > 1) | (keys == END))
+        lone = (sums > 0) & ~again
+        blobs = {"words": keys[again], "counts": sums[again], "kept": some[again], "lone": keys[lone], "lone_kept": some[lone].astype("<u1")}
+        numbers = {"t": int(again.sum()), "v": int((sums > 0).sum()), "n": int(sums.sum()), "n_kept": int(some.sum())}
+        return pa.table({k: pa.array([x.tobytes()], pa.binary()) for k, x in blobs.items()} | {k: pa.array([x], pa.int64()) for k, x in numbers.items()})
 
     sent = rows.mapInArrow(released(send), "range int, kind int, words binary, counts binary")
-    return stored(sent.groupBy("range").applyInArrow(released_group(add), "words binary, counts binary, kept binary, v bigint, n bigint, n_kept bigint"), "words", kept)
+    return stored(sent.groupBy("range").applyInArrow(released_group(add), "words binary, counts binary, kept binary, lone binary, lone_kept binary, t bigint, v bigint, n bigint, n_kept bigint"), "words", kept)
 
 
-def _bigrams(ids: np.ndarray, n: np.ndarray, start: int) -> np.ndarray:
+def _bigrams(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The context number of each token."""
     h = np.empty(len(ids), np.uint32)
     h[1:] = ids[:-1]
-    h[np.cumsum(n) - n] = start
+    h[np.cumsum(n) - n] = START
     return h
 
 
@@ -235,12 +257,13 @@ def _compare(vocab: Vocabulary, t: pa.Table) -> pa.Table:
     c2 = np.bincount(of, times * (role != HELD), len(keys)).astype(np.int64)
     aside = np.bincount(of, times * (role == ASIDE), len(keys)).astype(np.int64)
     kh, kw = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    ch = vocab.kept[kh].astype(np.int64)
+    ch = vocab.count_kept(kh)
     seen = (aside > 0) & (ch > 0)
     p2 = (c2 - aside)[seen] / ch[seen]
-    p1 = (vocab.kept[kw[seen]] + 0.5) / (vocab.n_kept + 0.5 * (vocab.v + 1))
+    p1 = (vocab.count_kept(kw[seen]) + 0.5) / (vocab.n_kept + 0.5 * (vocab.v + 1))
     histogram = np.bincount(bucket(ch[seen]) * CELLS + cell(p2 / p1), aside[seen], BUCKETS * CELLS)
     filled = np.flatnonzero(histogram)
+    c2[kw == vocab.unknown] = 0  # these are different words
     more = np.flatnonzero(c2[of] - (role != HELD) >= 1)
     used, of = np.unique(of[more], return_inverse=True)
     planes = lambda x: _planes(x.astype("<u4")) if len(x) else b""
@@ -271,16 +294,17 @@ def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_b
     role = F.when(checksum % 5 == held, F.lit(HELD)).when(F.floor(checksum / 5) % 5 == 0, F.lit(ASIDE)).otherwise(F.lit(KEPT))
     rows = keyed(docs.select("doc_id", "text")).withColumn("role", role).select("doc_id", "__id", "__th", "role", "text")
     counted = word_counts(rows, ranges or max(8, partitions))
-    size = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v", "n", "n_kept")]).first()
+    size = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("t", "v", "n", "n_kept")]).first()
     ranges = ranges or max(8, partitions, -(-size.n // RANGE_WORDS))
-    if 20 * size.v > broadcast_bytes:
+    if WORD_BYTES * size.t > broadcast_bytes:
         return _by_joins(rows, counted, size.v, size.n, size.n_kept)
-    parts = counted.select("words", "counts", "kept").collect()  # at most broadcast_bytes
-    flat = lambda c, t: np.concatenate([np.empty(0, t), *[np.frombuffer(p[c], t) for p in parts]])
-    arrays = Vocabulary.arrays(flat("words", np.uint64), flat("counts", np.int64), flat("kept", np.int64))
-    del parts
-    sent = spark.sparkContext.broadcast(arrays)
-    del arrays
+    flat, at = (np.empty(size.t, np.uint64), np.empty(size.t, np.int64), np.empty(size.t, np.int64)), 0
+    for r in counted.select("t", "words", "counts", "kept").toLocalIterator():
+        for x, b in zip(flat, r[1:], strict=True):
+            x[at : at + r.t] = np.frombuffer(b, x.dtype)
+        at += r.t
+    sent = spark.sparkContext.broadcast((*Vocabulary.arrays(*flat), size.v, size.n, size.n_kept))
+    del flat
     vocabulary = lambda: Vocabulary(*sent.value)
 
     def blob_row(r, name, blob, docs):
@@ -290,14 +314,15 @@ def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_b
         vocab, part_id = vocabulary(), TaskContext.get().partitionId()
         for number, (ids, ths, out, h, n) in enumerate(_chunks(batches)):
             w = vocab.find(h)
-            c = _bigrams(w, n, vocab.v + 1)
+            c = _bigrams(w, n)
             doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)
             del h
             docs = _pack_docs(ids, ths)
             name = xxhash.xxh3_64_intdigest(docs + np.array([part_id, number], "<i8").tobytes()) >> 1  # of these documents
             roles = out.astype("<u1").tobytes()
             yield blob_row(name % ranges, name, b"", docs)
-            known = np.flatnonzero((w != vocab.v) & (c != vocab.v))
+            # a word that is not held has no bigrams elsewhere; set aside, it still tells that its context has it
+            known = np.flatnonzero(((w != vocab.unknown) | np.repeat(out == ASIDE, n)) & (c != vocab.unknown))
             doc, c, w, times = _once(doc[known], c[known], w[known])
             part = (mix(c.astype(np.uint64) << np.uint64(32) | w) >> np.uint64(33)).astype(np.int64) % ranges
             for r, i in _by_range(part, ranges):
@@ -312,7 +337,7 @@ def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_b
     weights = learn(histogram.reshape(BUCKETS, CELLS))
 
     def mixed(vocab, h, w, c2):
-        ch, p1 = vocab.counts[h], vocab.base(w)
+        ch, p1 = vocab.count(h), vocab.base(w)
         lam = np.where(ch > 0, weights[bucket(ch)], 0.0)
         return lam * c2 / np.maximum(ch, 1) + (1 - lam) * p1
 
@@ -359,11 +384,12 @@ def score(docs: DataFrame, held: int = 1, ranges: int | None = None, broadcast_b
                 s = b.slice(at, SLICE_ROWS)
                 h, n = _tokens(s)
                 w = vocab.find(h)
-                c = _bigrams(w, n, vocab.v + 1)
                 train = np.repeat(np.array(s.column("role")) != HELD, n)
+                w[train & (w == vocab.unknown)] = vocab.lone
+                c = _bigrams(w, n)
                 p = np.log10(mixed(vocab, c.astype(np.int64), w.astype(np.int64), train.astype(np.float64)))
                 first = np.cumsum(n) - n
-                sums = [np.add.reduceat(x, first) for x in ((vocab.counts[w] > 0).astype(np.int64), np.log10(vocab.base(w)), p)]
+                sums = [np.add.reduceat(x, first) for x in ((vocab.count(w) > 0).astype(np.int64), np.log10(vocab.base(w)), p)]
                 yield pa.RecordBatch.from_arrays(
                     [s.column("doc_id"), s.column("__id"), s.column("__th"), pa.array(np.array(s.column("role")) == HELD), pa.array(n), pa.array(sums[0]), pa.array([vocab.n] * len(n), pa.int64()), pa.array(sums[1]), pa.array(sums[2])],
                     ["doc_id", "__id", "__th", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "own"],
@@ -391,7 +417,9 @@ def _by_joins(rows: DataFrame, counted: DataFrame, v: int, n: int, n_kept: int)
     def unpack(batches):
         for b in batches:
             for r in b.to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r[c], "<i8")) for c in ("words", "counts", "kept")], ["word", "c", "kept"])
+                lone = np.frombuffer(r["lone_kept"], "<u1").astype("<i8")
+                for cols in ([np.frombuffer(r[c], "<i8") for c in ("words", "counts", "kept")], [np.frombuffer(r["lone"], "<i8"), np.ones(len(lone), "<i8"), lone]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["word", "c", "kept"])
 
     words = counted.mapInArrow(released(unpack), "word bigint, c bigint, kept bigint")
     end = int(END.view(np.int64)) if hasattr(END, "view") else int(END)

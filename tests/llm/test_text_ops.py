@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -173,6 +174,19 @@ def test_language_model(spark, small):
     assert lm_score.score(docs.limit(0)).count() == 0
 
 
+def test_language_model_sends_no_lone_words(spark, monkeypatch):
+    """Words that occur once are most words; they don't turn the model to joins, and every score is that of all words."""
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice([f"a{r.randrange(40)}", f"b{r.randrange(400)}", f"once{r.randrange(10**9)}"]) for _ in range(60))) for i in range(150)]
+    words = Counter(w for _, t in rows for w in t.split())
+    again = 1 + sum(n > 1 for n in words.values())
+    monkeypatch.setattr(lm_score, "_by_joins", None)
+    got = lm_score.score(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), broadcast_bytes=14 * again).collect()
+    assert 20 * again < 10 * len(words)
+    key = lambda r: (r[0], *r[1:5], round(r[5], 5), round(r[6], 5))
+    assert sorted(map(key, got)) == sorted(map(key, model_by_brute_force(rows)))
+
+
 def test_language_model_sums_to_one():
     hist = np.zeros((lm_score.BUCKETS, lm_score.CELLS))
     hist[3, 0], hist[3, lm_score.CELLS // 2 + 9 * lm_score.PER_OCTAVE] = 50, 50
