@@ -47,7 +47,7 @@ from strandloom.llm.substring_dedup import _planes, _unplanes
 
 BANDS, LEADERS, RECENT, SAMPLED, BAND_ROWS = 4, 8, 64, 32, 1000
 OCCURRENCES = 8
-SLICE_ROWS, CHUNK_TOKENS, CHUNK_PAIRS = 256, 2_000_000, 250_000
+SLICE_ROWS, CHUNK_TOKENS, CHUNK_PAIRS, BATCH_BYTES = 256, 2_000_000, 250_000, 250_000
 WORDS = 8  # of a parity bitmap
 SETS = "doc_id bigint, th bigint, s1 bigint, s2 bigint, n int, bands array<bigint>, " + ", ".join(f"w{i} bigint" for i in range(WORDS)) + ", tokens binary"
 
@@ -265,6 +265,8 @@ def _unpack_lists(b: bytes) -> tuple[np.ndarray, ...]:
 def _send_short_lists(rarity_state, ranges: int, percent: int):
     """Tasks' short-list entries: (range, blob of tokens, nodes, positions)."""
 
+    lists = lambda of, blobs: pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(blobs, pa.binary())], ["range", "blob"])
+
     def run(batches):
         rarity = Rarity(*rarity_state.value)
         seen: set[int] = set()
@@ -280,12 +282,18 @@ def _send_short_lists(rarity_state, ranges: int, percent: int):
             part = (mix(tokens) >> np.uint64(40)).astype(np.int64) % ranges
             by = np.argsort(part.astype(np.int32), kind="stable")
             cuts = np.searchsorted(part[by], np.arange(ranges + 1))
-            blobs, filled = [], np.flatnonzero(np.diff(cuts))
-            for r in filled.tolist():
+            blobs, of, total = [], [], 0
+            for r in np.flatnonzero(np.diff(cuts)).tolist():
                 i = by[cuts[r] : cuts[r + 1]]
                 docs, inner = np.unique(node[i], return_inverse=True)
                 blobs.append(_pack_lists(s1[docs], label[docs], size[docs], tokens[i], inner, place[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(blobs, pa.binary())], ["range", "blob"])
+                of.append(r)
+                total += len(blobs[-1])
+                if total > BATCH_BYTES:  # small batches: the JVM keeps what the largest one took
+                    yield lists(of, blobs)
+                    blobs, of, total = [], [], 0
+            if blobs:
+                yield lists(of, blobs)
 
         for b in batches:
             for s1, label, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
