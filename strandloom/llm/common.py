@@ -51,9 +51,12 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows from now on: texts and token sets are
-    wide, and a Python worker holds a whole batch."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int | None = None) -> None:
+    """Arrow batches of at most so many rows, and of about so many bytes where size is
+    given, from now on: texts and token sets are wide, and a Python worker holds a whole
+    batch, the JVM up to three times its bytes."""
+    if size:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))

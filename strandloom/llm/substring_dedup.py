@@ -35,7 +35,8 @@ from pyspark.sql.pandas.types import to_arrow_type as pa_type
 from strandloom.llm.common import byte_words, hash_words, mix, plus, released, released_group, small_batches
 
 BASE = 0x9E3779B97F4A7C15
-CHUNK_WORDS, SLICE_ROWS = 2_000_000, 256
+CHUNK_WORDS, CHUNK_HITS, SLICE_ROWS = 2_000_000, 500_000, 256
+BATCH_BYTES = 1 << 20  # between Python and Spark at a time: the JVM keeps what the largest batch took
 HIT = np.dtype([("pos", "<u4"), ("source", "<i8"), ("source_pos", "<u4")])
 
 
@@ -124,9 +125,10 @@ class _Chunk:
 
     def send(self):
         """(range, kind, blob): kind 0 windows, kind 1 settled repeats of documents
-        whose bucket has the range's number."""
+        whose bucket has the range's number. Equal windows are in one range, so ranges
+        are sorted one by one and what that takes is a range's share of the chunk."""
         if not self.rows:
-            return None
+            return
         self.rows.sort(key=lambda r: r[:2])
         ids = np.array([r[0] for r in self.rows], np.int64)
         texts = np.array([r[1] for r in self.rows], np.int64)
@@ -134,60 +136,84 @@ class _Chunk:
         starts = np.r_[0, ends[:-1]]
         h = np.concatenate([r[2] for r in self.rows])
         self.clear()
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        first = np.r_[True, s[1:] != s[:-1]]
-        group = np.cumsum(first) - 1
-        origin = order[first][group]  # the first occurrence, for each sorted window
+        part = (h >> np.uint64(32)) % np.uint64(self.ranges)
+        cuts = np.r_[0, np.cumsum(np.bincount(part.astype(np.int32), minlength=self.ranges))].tolist()
+        by = np.argsort(part.astype(np.min_scalar_type(self.ranges)), kind="stable").astype(np.uint32)
+        del part
         doc = lambda p: np.searchsorted(ends, p, side="right")
-        again, of = order[~first], origin[~first]
-        d, o = doc(again), doc(of)
-        twin = (ids[d] == ids[o]) & (texts[d] == texts[o]) & (again - starts[d] == of - starts[o])
-        again, of, d, o = (a[~twin] for a in (again, of, d, o))
-        out = [(r, 1, b) for r, b in _pack_hits(ids[d], texts[d], again - starts[d], ids[o], of - starts[o], self.ranges)] if len(d) else []
-        sent = np.sort(order[first])
-        part = (h[sent] >> np.uint64(32)).astype(np.int64) % self.ranges
-        by = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[by], np.arange(self.ranges + 1))
+        hits, n_hits = [], 0
         for r in range(self.ranges):
-            p = sent[by[cuts[r] : cuts[r + 1]]]
-            if len(p):
-                d = doc(p)
-                docs, counts = np.unique(d, return_counts=True)
-                gaps = np.diff(p, prepend=0).astype("<u4")
-                head = np.array([len(p), len(docs)], "<i8").tobytes()
-                table = b"".join(_planes(np.diff(c, prepend=0).astype("<i8")) for c in (ids[docs], starts[docs])) + texts[docs].astype("<i4").tobytes() + _planes(counts.astype("<u4"))
-                out.append((r, 0, head + table + _planes(gaps) + h[p].tobytes()))
-        return out
-
-
-def _windows(b: bytes):
-    """hash, id, text hash and position of the windows in a kind-0 blob."""
+            p = by[cuts[r] : cuts[r + 1]]
+            if not len(p):
+                continue
+            order = np.argsort(h[p], kind="stable")
+            s = h[p[order]]
+            first = np.r_[True, s[1:] != s[:-1]]
+            if not first.all():
+                origin = order[first][np.cumsum(first) - 1]  # the first occurrence, for each sorted window
+                again, of = p[order[~first]].astype(np.int64), p[origin[~first]].astype(np.int64)
+                d, o = doc(again), doc(of)
+                twin = (ids[d] == ids[o]) & (texts[d] == texts[o]) & (again - starts[d] == of - starts[o])
+                again, of, d, o = (a[~twin] for a in (again, of, d, o))
+                hits.append((ids[d], texts[d].astype(np.int32), (again - starts[d]).astype(np.uint32), ids[o], (of - starts[o]).astype(np.uint32)))
+                n_hits += len(d)
+                p = p[np.sort(order[first])]
+            docs, counts = np.unique(doc(p), return_counts=True)
+            gaps = np.diff(p, prepend=np.uint32(0)).astype("<u4")
+            head = np.array([len(p), len(docs)], "<i8").tobytes()
+            table = b"".join(_planes(np.diff(c, prepend=0).astype("<i8")) for c in (ids[docs], starts[docs])) + texts[docs].astype("<i4").tobytes() + _planes(counts.astype("<u4"))
+            yield r, 0, head + table + _planes(gaps) + h[p].tobytes()
+            if n_hits >= CHUNK_HITS:
+                yield from self._settled(hits)
+                n_hits = 0
+        yield from self._settled(hits)
+
+    def _settled(self, hits: list):
+        """The blobs of the repeats gathered so far, which are dropped."""
+        if hits:
+            cols = [np.concatenate(c) for c in zip(*hits, strict=True)]
+            hits.clear()
+            for r, b in _pack_hits(*cols, self.ranges) if len(cols[0]) else ():
+                yield r, 1, b
+
+
+def _hashes(b) -> np.ndarray:
+    """The hashes of the windows in a kind-0 blob."""
+    n, k = np.frombuffer(b, "<i8", 2).tolist()
+    return np.frombuffer(b, "<u8", n, 16 + 24 * k + 4 * n)
+
+
+def _places(b, some: np.ndarray):
+    """id, text hash and position of some windows, by number, in a kind-0 blob."""
     n, k = np.frombuffer(b, "<i8", 2).tolist()
     ids, starts = (np.cumsum(_unplanes(b[16 + 8 * k * i : 16 + 8 * k * (i + 1)], "<i8")) for i in (0, 1))
-    texts = np.frombuffer(b, "<i4", k, 16 + 16 * k).astype(np.int64)
+    texts = np.frombuffer(b, "<i4", k, 16 + 16 * k)
     counts = _unplanes(b[16 + 20 * k : 16 + 24 * k], "<u4")
     at = 16 + 24 * k
-    p = np.cumsum(_unplanes(b[at : at + 4 * n], "<u4").astype(np.int64))
-    h = np.frombuffer(b, "<u8", n, at + 4 * n)
-    ids, texts, starts = (np.repeat(x, counts) for x in (ids, texts, starts))
-    return h, ids, texts, p - starts
-
-
-def _repeats(blobs: list[bytes]):
-    """The windows of a hash range that occur earlier, with their references."""
-    parts = [_windows(b) for b in blobs]
-    h = np.concatenate([p[0] for p in parts])
-    s = np.sort(h)
-    twice = np.unique(s[1:][s[1:] == s[:-1]])
+    p = np.cumsum(_unplanes(b[at : at + 4 * n], "<u4"), dtype=np.int64)[some]
+    d = np.searchsorted(np.cumsum(counts, dtype=np.int64), some, side="right")
+    return ids[d], texts[d], (p - starts[d]).astype(np.uint32)
+
+
+def _repeats(blobs: list):
+    """The windows of a hash range that occur earlier, with their references. Places
+    are worked out for windows that occur again only."""
+    s = np.concatenate([_hashes(b) for b in blobs])
+    s.sort()
+    twice = s[1:][s[1:] == s[:-1]]
     del s
     if not len(twice):
         return None
-    at = np.searchsorted(twice, h)
-    at[at == len(twice)] = 0
-    some = np.flatnonzero(twice[at] == h)
-    group = at[some]
-    ids, texts, pos = (np.concatenate([p[i] for p in parts])[some] for i in (1, 2, 3))
+    twice = twice[np.r_[True, twice[1:] != twice[:-1]]]
+    found = []
+    for b in blobs:
+        h = _hashes(b)
+        at = np.searchsorted(twice, h).astype(np.uint32)
+        at[at == len(twice)] = 0
+        some = np.flatnonzero(twice[at] == h)
+        found.append((at[some], *_places(b, some)))
+    group, ids, texts, pos = (np.concatenate(c) for c in zip(*found, strict=True))
+    del found, twice
     order = np.lexsort((pos, texts, ids, group))
     group, ids, texts, pos = group[order], ids[order], texts[order], pos[order]
     lead = np.maximum.accumulate(np.where(np.r_[True, group[1:] != group[:-1]], np.arange(len(group)), 0))
@@ -205,10 +231,21 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame, width: int = 20, ranges: int | None = None) -> DataFrame:
     """s_id, s_th, hits: the repeated windows of each document that has any."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, size=BATCH_BYTES)
     ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def send(batches):
+        def packed(rows):
+            some, size = [], 0
+            for row in rows:
+                some.append(row)
+                size += len(row[2])
+                if size >= BATCH_BYTES:
+                    yield batch(some)
+                    some, size = [], 0
+            if some:
+                yield batch(some)
+
         def batch(rows):
             cols = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["range", "kind", "blob"])
@@ -218,15 +255,16 @@ def repeated_windows(docs: DataFrame, width: int = 20, ranges: int | None = None
             for at in range(0, b.num_rows, SLICE_ROWS):
                 for i, t, x in zip(*(c.to_pylist() for c in b.slice(at, SLICE_ROWS).columns), strict=True):
                     chunk.add(i, t, x)
-                if chunk.words >= CHUNK_WORDS and (rows := chunk.send()):
-                    yield batch(rows)
-        if rows := chunk.send():
-            yield batch(rows)
+                if chunk.words >= CHUNK_WORDS:
+                    yield from packed(chunk.send())
+        yield from packed(chunk.send())
 
     def settle(t: pa.Table) -> pa.Table:
-        r, kind, blobs = t.column("range")[0].as_py(), np.array(t.column("kind")), t.column("blob").to_pylist()
-        out = [(r, b) for b, k in zip(blobs, kind, strict=True) if k == 1]
+        r, kind = t.column("range")[0].as_py(), np.array(t.column("kind"))
+        blobs = [b.as_buffer() for b in t.column("blob")]  # not copied
+        out = [(r, b.to_pybytes()) for b, k in zip(blobs, kind, strict=True) if k == 1]
         found = _repeats([b for b, k in zip(blobs, kind, strict=True) if k == 0]) if (kind == 0).any() else None
+        del blobs
         if found:
             out += _pack_hits(*found, ranges)
         return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])

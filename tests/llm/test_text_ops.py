@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -58,6 +59,35 @@ def test_substring_dedup_on_table(spark):
     assert got == want and sum(v[1] for v in got.values()) > 0
 
 
+def traced_peak(run):
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_substring_dedup_takes_little_memory(monkeypatch):
+    """Of a worker, beside what it is given; what it finds is that of the whole chunk."""
+    monkeypatch.setattr(substring_dedup, "CHUNK_HITS", 1000, raising=False)
+    rng, chunk = np.random.default_rng(7), substring_dedup._Chunk(20, 16)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 1000))) for _ in range(100)]
+    rows = [(i, texts[i % 100] if i < 110 else " ".join(map(str, rng.integers(0, 10**6, 1000)))) for i in range(300)]
+    for i, t in rows:
+        chunk.add(i, 0, t)
+    windows = sum(len(r[2]) for r in chunk.rows)
+    (blobs, size), peak = traced_peak(lambda: ([], 0) if (sent := chunk.send()) is None else (x := list(sent), sum(len(b) for _, _, b in x)))
+    assert peak - size < 30 * windows
+    hits = [substring_dedup._unpack_hits(b) for _, kind, b in blobs if kind == 1]
+    got = {(int(i), int(p), int(o), int(p + d)) for h in hits for i, _, p, o, d in zip(*(c.astype(np.int64) for c in h), strict=True)}
+    assert got == {(i, p, i - 100, p) for i in range(100, 110) for p in range(981)}
+    one = [b for r, kind, b in blobs if kind == 0 and r == 3]
+    given = [bytes(b) for b in one * 3]
+    found, peak = traced_peak(lambda: substring_dedup._repeats(one))
+    assert found is None and peak < 2 * sum(map(len, one))
+    assert not len(substring_dedup._repeats(given)[0])  # each window is a twin of itself
+
+
 def test_rewrite_keeps_columns_and_clean_texts(spark):
     docs = spark.createDataFrame(odd_documents(), SCHEMA)
     out = substring_dedup.rewrite(docs)
