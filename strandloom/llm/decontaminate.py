@@ -16,6 +16,8 @@ of them (two of its ``GROUPS`` groups of ``BITS`` sampled steps, so that groups
 rounds), and windows that agree in a round are candidates. Rounds are added until ``recall``
 of copies of the items with random edits at the limit are found (``MOST_ROUNDS`` at most).
 
+Texts that lack too many of an item's side by side runs of GRAM characters can't match it;
+those that can't match any of a class are not walked for it, which loses nothing.
 Of the candidates those go on whose surroundings share at least L - GRAM + 1 - GRAM k runs
 of GRAM characters with the item, as every match with k edits does. The nearest run of whole
 words there is found by exact edit distance from all word starts to all word ends at once,
@@ -30,6 +32,7 @@ document can still match the whole document; equal distances are broken by the
 earlier place, then by the shorter window.
 """
 
+import functools
 from collections.abc import Iterable
 
 import numpy as np
@@ -40,12 +43,13 @@ from pyspark.sql.pandas.types import to_arrow_type as pa_type
 
 from strandloom.llm.common import numbered, released, small_batches
 
-SLICE_ROWS = 256
+SLICE_ROWS = 1000  # few, and the last of a slice's pieces of CHARACTERS would often be small
 WALKS, GROUPS, BITS, PART = 4, 16, 4, 0.5
 FEWEST_ROUNDS, MOST_ROUNDS = 64, 256
-GRAM = 5
-CHARACTERS = 250_000  # looked through at a time
+GRAM, MOST_APART = 5, 40_000
+CHARACTERS, WINDOWS = 250_000, 5_000  # looked through at a time: what they take stays in a core's cache
 FACTOR, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+ODD, SPREAD32, EIGHT, HALF = np.uint32(0x85EBCA6B), np.uint32(0x9E3779B1), np.uint32(8), np.uint64(32)
 
 
 def normal_words(text: str | None) -> list[str]:
@@ -122,31 +126,46 @@ class Walks:
         g = np.random.default_rng(width)
         self.steps = max(2, int(1.8 * width))
         self.bits = g.integers(0, 2, (self.steps, WALKS, 256))
-        self.groups_at: list[list[tuple[int, int]]] = [[] for _ in range(self.steps)]  # (walk, group) that sample a step
+        self.groups_at: list[list[list[int]]] = [[[] for _ in range(WALKS)] for _ in range(self.steps)]  # by step and walk the groups that sample it
         for w in range(WALKS):
             for k in range(GROUPS):
                 for j in g.choice(self.steps, min(BITS, self.steps), replace=False):
-                    self.groups_at[j].append((w, k))
+                    self.groups_at[j][w].append(k)
         pairs = [(a, b) for b in range(GROUPS) for a in range(b)]
         self.rounds = [(w, *pairs[k]) for k in g.permutation(len(pairs)) for w in range(WALKS)][:MOST_ROUNDS]
 
     def keys(self, text: np.ndarray, starts: np.ndarray) -> Iterable[np.ndarray]:
         """For each round the keys of the windows of text that begin at the starts."""
+        return (a.astype(np.uint64) << HALF | b for a, b in self.sampled(text, starts))
+
+    def sampled(self, text: np.ndarray, starts: np.ndarray) -> Iterable[tuple[np.ndarray, np.ndarray]]:
+        """For each round the letters of its two groups, packed in 32 bits each."""
         n = len(starts)
-        groups = np.zeros((WALKS, GROUPS, n), np.uint64)
+        groups = np.zeros((WALKS, GROUPS, n), np.uint32)  # a sampled step's letter takes BITS * 8 bits of a group in turn
         at = np.tile(starts.astype(np.int64), (WALKS, 1))
-        here, move = np.empty(n, np.int64), np.empty(n, np.int64)
+        here, move, letter = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.uint32)
         for bits, sampled in zip(self.bits if n else (), self.groups_at, strict=False):
             for w in range(WALKS):
                 text.take(at[w], out=here, mode="clip")
-                for v, k in sampled:
-                    if v == w:
-                        groups[w, k] *= FACTOR
-                        groups[w, k] += here.view(np.uint64)
+                if sampled[w]:
+                    letter[:] = here
+                    for k in sampled[w]:
+                        g = groups[w, k]
+                        g <<= EIGHT
+                        g |= letter
                 bits[w].take(here, out=move, mode="clip")
                 at[w] += move
         for w, a, b in self.rounds:
-            yield groups[w, a] * SPREAD + groups[w, b]
+            yield groups[w, a], groups[w, b]
+
+    @staticmethod
+    def cells(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+        """A hash of the two groups of so many bits."""
+        h = a * ODD
+        h += b
+        h *= SPREAD32
+        h >>= np.uint32(32 - bits)
+        return h
 
 
 class Class:
@@ -160,13 +179,16 @@ class Class:
         self.walks.rounds = self.walks.rounds[: self._rounds(items, share, recall, text, starts)]
         self.item = np.array([n for n, _ in items])[self.item]
         keys = list(self.walks.keys(text, starts))
-        self.bits = np.uint64(64 - min(24, max(12, (16 * len(starts)).bit_length())))
-        self.flags = np.zeros((len(keys), 1 << 64 - int(self.bits)), bool)
-        for flags, h in zip(self.flags, keys, strict=True):
-            flags[h * SPREAD >> self.bits] = True
+        self.bits = min(24, max(12, (16 * len(starts)).bit_length()))
+        self.flags = np.zeros((len(keys), 1 << self.bits), bool)
+        for flags, (a, b) in zip(self.flags, self.walks.sampled(text, starts), strict=True):
+            flags[self.walks.cells(a, b, self.bits)] = True
         flat = np.concatenate([h + named for h, named in zip(keys, self.names(len(keys)), strict=True)])
         self.order = np.argsort(flat, kind="stable")
         self.known = flat[self.order]
+        self.rare = np.uint64(64 - min(24, max(12, (8 * len(flat)).bit_length())))
+        self.some = np.zeros(1 << 64 - int(self.rare), bool)
+        self.some[flat * FACTOR >> self.rare] = True
 
     @staticmethod
     def names(rounds: int) -> np.ndarray:
@@ -214,16 +236,19 @@ class Class:
         cell = place // self.cell
         return np.r_[True, (np.diff(cell) != 0) | (np.diff(text) != 0)] if len(place) else np.empty(0, bool)
 
-    def candidates(self, text: np.ndarray, starts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in text, item, place in the item) of windows that agree; starts: of words."""
-        doc = np.searchsorted(offsets, starts, "right") - 1
-        starts = starts[self._first(starts - offsets[doc], doc)]
+    def candidates(self, text: np.ndarray, starts: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in text, item, place in the item) of windows that agree; starts: of words,
+        at their places of documents."""
+        starts = starts[self._first(place, doc)]
         where, keys = [], []
-        for h, flags, named in zip(self.walks.keys(text, starts), self.flags, self.names(len(self.flags)), strict=True):
-            at = np.flatnonzero(flags.take((h * SPREAD >> self.bits).view(np.int64)))
-            where.append(at)
-            keys.append(h[at] + named)
+        for some in np.array_split(np.arange(len(starts)), -(-len(starts) // WINDOWS) or 1):
+            for (a, b), flags, named in zip(self.walks.sampled(text, starts[some]), self.flags, self.names(len(self.flags)), strict=True):
+                at = np.flatnonzero(flags.take(self.walks.cells(a, b, self.bits)))
+                where.append(some[at])
+                keys.append((a.take(at).astype(np.uint64) << HALF | b.take(at)) + named)
         where, keys = np.concatenate(where), np.concatenate(keys)
+        likely = np.flatnonzero(self.some.take((keys * FACTOR >> self.rare).view(np.int64)))
+        where, keys = where[likely], keys[likely]
         lo = np.searchsorted(self.known, keys, "left")
         hit = np.flatnonzero(self.known.take(lo, mode="clip") == keys)
         where, lo = where[hit], lo[hit]
@@ -251,36 +276,83 @@ class Items:
             classes.setdefault(1 << len(chars).bit_length() - 1, []).append((len(self.rows), chars))
             self.rows.append((i, text, chars, most, grams, len(chars) - GRAM + 1 - GRAM * most))
         self.classes = [Class(least, some, share, recall) for least, some in sorted(classes.items())]
+        kinds = {least: k for k, least in enumerate(sorted(classes))}
+        kind = [kinds[1 << len(r[2]).bit_length() - 1] for r in self.rows]
+        by_class = sorted(range(len(kind)), key=kind.__getitem__)
+        apart = [self.rows[i][4][::GRAM] for i in by_class]
+        self.apart = np.concatenate([np.empty(0, np.int64), *apart])
+        self.ends = np.cumsum([0, *map(len, apart)])
+        self.needed = np.array([len(x) - self.rows[i][3] for i, x in zip(by_class, apart, strict=True)], np.int64)
+        self.kinds = np.searchsorted(np.sort(kind), range(len(kinds)))
         self.lengths = np.array([len(r[2]) for r in self.rows], np.int64)
         self.most = np.array([r[3] for r in self.rows], np.int64)
+        self.grams = np.array([len(r[4]) for r in self.rows], np.int64)
+        self.least = np.array([r[5] for r in self.rows], np.int64)
         self.seen = np.zeros(1 << 16, bool)
 
     @staticmethod
     def slots(hashes: np.ndarray) -> np.ndarray:
         return ((hashes * SPREAD) >> np.uint64(48)).astype(np.int64)
 
+    def holding(self, grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """For each class which texts may hold one of its items. Of an item's runs of GRAM
+        characters that lie side by side an edit breaks one at most, so a text that lacks
+        more of them than edits are allowed holds no match, and its windows are not walked.
+        With more than MOST_APART runs that is not asked."""
+        out = np.ones((len(offsets) - 1, len(self.classes)), bool)
+        held = np.zeros(len(self.apart) + 1, np.int32)
+        for i, (a, z) in enumerate(zip(offsets[:-1].tolist(), (offsets[1:] - GRAM).tolist(), strict=True)):
+            if len(self.apart) <= MOST_APART and self.classes:
+                here = grams[a : max(a, z)]
+                self.seen[here] = True
+                np.cumsum(self.seen.take(self.apart), out=held[1:])
+                self.seen[here] = False
+                out[i] = np.logical_or.reduceat(np.diff(held.take(self.ends)) >= self.needed, self.kinds)
+        return out.T
+
     def regions(self, chars: np.ndarray, offsets: np.ndarray) -> tuple[Iterable[tuple[int, int, int, int]], np.ndarray]:
-        """(text, item, first, last character) around the candidates that holds every
-        window within the distance, and the slots of the texts' runs of GRAM characters."""
+        """(text, item, first, last character) around the candidates that may match, which
+        holds every window within the distance, and the slots of the texts' runs of GRAM characters."""
         grams = next((self.slots(h) for _, h in rolling(chars, {GRAM})), np.empty(0, np.int64))
         text = letters(chars)
         words = np.flatnonzero(np.r_[True, (chars[:-1] == 32) | (chars[:-1] == 10)]) if len(chars) else np.empty(0, np.int64)
-        found = [c.candidates(text, words, offsets) for c in self.classes]
+        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(words, offsets)))
+        found = []
+        for c, may in zip(self.classes, self.holding(grams, offsets), strict=True):
+            some = np.flatnonzero(may[doc])
+            found.append(c.candidates(text, words[some], doc[some], (words - offsets[doc])[some]))
         if not found:
             return [], grams
         p, j, q = (np.concatenate(x) for x in zip(*found, strict=True))
         d = np.searchsorted(offsets, p, "right") - 1
         first = np.maximum(p - q - self.most[j], offsets[d])
         last = np.minimum(p - q + self.lengths[j] + self.most[j], offsets[d + 1] - 1)
-        out: list[list[int]] = []
         order = np.lexsort((first, j, d))
-        for row in zip(*(x[order].tolist() for x in (d, j, first, last)), strict=True):
-            if out and out[-1][0] == row[0] and out[-1][1] == row[1] and row[2] <= out[-1][3]:
-                out[-1][3] = max(out[-1][3], row[3])
-            else:
-                out.append(list(row))
+        d, j, first, last = (x[order] for x in (d, j, first, last))
+        # those of a text and an item that overlap are one; pairs are set apart for that
+        apart = np.cumsum(np.r_[0, (np.diff(d) != 0) | (np.diff(j) != 0)][: len(d)]) * (2 * len(chars) + 2)
+        new = np.flatnonzero(np.r_[True, (first + apart)[1:] > np.maximum.accumulate(last + apart)[:-1]][: len(d)])
+        last = np.maximum.reduceat(last, new) if len(new) else last
+        d, j, first = d[new], j[new], first[new]
+        some = self.likely(d, j, grams, offsets)
+        out = zip(*(x[some].tolist() for x in (d, j, first, last)), strict=True)
         return out, grams
 
+    def likely(self, d: np.ndarray, j: np.ndarray, grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts hold enough of the items' runs of GRAM characters, wherever they
+        are: most candidates don't."""
+        cuts = [*np.flatnonzero(np.r_[True, np.diff(d) != 0][: len(d)]).tolist(), len(d)]
+        out = np.empty(len(d), bool)
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            begin, end = int(offsets[d[a]]), int(offsets[d[a] + 1]) - GRAM
+            here, items = grams[begin : max(begin, end)], j[a:z]
+            self.seen[here] = True
+            held = np.cumsum(self.seen.take(np.concatenate([self.rows[x][4] for x in items.tolist()])))
+            self.seen[here] = False
+            ends = np.cumsum(self.grams[items])
+            out[a:z] = np.diff(np.r_[0, held][np.r_[0, ends]]) >= self.least[items]
+        return out
+
     def near(self, j: int, text: str, a: int, z: int, edge: int, end: int) -> tuple[int, int, int] | None:
         """(distance, first, last character) of the nearest run of words in a..z."""
         _, item, chars, most, _, _ = self.rows[j]
@@ -327,7 +399,7 @@ class Items:
             if least > 0:  # an edit breaks at most GRAM runs of GRAM characters
                 here = grams[a : max(a, z - GRAM + 1)]
                 self.seen[here] = True
-                shared = np.count_nonzero(self.seen[wanted])
+                shared = np.count_nonzero(self.seen.take(wanted))
                 self.seen[here] = False
                 if shared < least:
                     continue
@@ -337,6 +409,17 @@ class Items:
         return [[(self.rows[j][0], text.count(" ", offsets[d], a), text.count(" ", a, z) + 1, e) for j, (e, a, z) in b.items()] for d, b in enumerate(best)]
 
 
+class Block:
+    """Benchmark items as they are sent; a worker gets them ready once, for all its tasks."""
+
+    def __init__(self, rows: list[tuple[int, str]], share: float, recall: float):
+        self.rows, self.share, self.recall = rows, share, recall
+
+    @functools.cached_property
+    def items(self) -> Items:
+        return Items(self.rows, self.share, self.recall)
+
+
 MATCHES = "array<struct<item_id:bigint,first_word:int,n_words:int,distance:int>>"
 
 
@@ -351,10 +434,10 @@ def matched(rows: DataFrame, text: str, benchmark: DataFrame, share: float, reca
     out = rows.withColumn("matches", F.expr(f"cast(array() as {MATCHES})"))
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        sent = spark.sparkContext.broadcast([(r.item_id, r.text) for r in block.orderBy("item_id", "text").collect()])
+        sent = spark.sparkContext.broadcast(Block([(r.item_id, r.text) for r in block.orderBy("item_id", "text").collect()], share, recall))
 
         def run(batches, sent=sent, schema=out.schema):
-            found = Items(sent.value, share, recall)
+            found = sent.value.items
             kind = pa_type(schema[-1].dataType)
             for b in batches:
                 for at in range(0, b.num_rows, SLICE_ROWS):

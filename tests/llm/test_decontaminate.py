@@ -159,3 +159,62 @@ def test_recall_up_to_the_full_distance():
     found = check_found(items, docs, must=False)
     assert want > 150
     assert found >= 0.97 * len(items)  # the search's target; a text without a window counts where none is reported
+
+
+def test_few_keys_are_searched_and_none_is_lost(monkeypatch):
+    """The filters before the binary search keep every agreeing window, and little else."""
+    r = random.Random(4)
+    items = [random_item(r.choice([8, 20, 40]), r) for _ in range(60)]
+    docs = [" ".join([random_item(60, r), changed(t, 3, r), random_item(60, r), "", items[-1 - i]]) for i, t in enumerate(items)]
+    found = D.Items(list(enumerate(items)), 0.1)
+    text = "\n".join(" ".join(D.normal_words(d)) for d in ["", *docs, ""])
+    offsets = np.cumsum([0, *[len(t) + 1 for t in text.split("\n")]])
+    chars, searched, plain = D.characters(text), [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *x, **y: searched.append(np.size(v)) or plain(a, v, *x, **y))
+    every = lambda _, o: np.ones((len(found.classes), len(o) - 1), bool)
+    monkeypatch.setattr(found, "holding", every, raising=False)
+    clean = D.characters(" ".join(random_item(60, r) for _ in range(100)))
+    found.regions(clean, np.array([0, len(clean) + 1]))
+    assert sum(searched) < 2 * 6000  # words
+    monkeypatch.undo()
+    monkeypatch.setattr(found, "holding", every, raising=False)
+    monkeypatch.setattr(found, "likely", lambda d, *_: np.ones(len(d), bool), raising=False)
+    regions = list(found.regions(chars, offsets)[0])
+    letters, want = D.letters(chars), []
+    words = np.array([i for i in range(len(text)) if i == 0 or text[i - 1] in " \n"])
+    for c in found.classes:
+        known = {}
+        for k, x in zip(c.known.tolist(), c.order.tolist(), strict=True):
+            known.setdefault(k, []).append(x % len(c.item))
+        doc = np.array([text.count("\n", 0, i) for i in words])
+        first = c._first(words - offsets[doc], doc)
+        agree = {(i, w) for h, named in zip(c.walks.keys(letters, words[first]), c.names(len(c.flags)), strict=True) for i, k in enumerate((h + named).tolist()) for w in known.get(k, ())}
+        for i, w in agree:
+            p, d, j = words[first][i], doc[first][i], c.item[w]
+            begin = p - c.shift[w]
+            want.append((d, j, max(begin - found.most[j], offsets[d]), min(begin + found.lengths[j] + found.most[j], offsets[d + 1] - 1)))
+    merged = []
+    for d, j, a, z in sorted(map(lambda x: tuple(map(int, x)), want)):
+        if merged and merged[-1][:2] == [d, j] and a <= merged[-1][3]:
+            merged[-1][3] = max(merged[-1][3], z)
+        else:
+            merged.append([d, j, a, z])
+    assert [list(x) for x in regions] == merged and len(merged) >= 100
+
+
+def test_texts_that_cannot_match_are_not_walked(monkeypatch):
+    r = random.Random(6)
+    items = [random_item(r.choice([1, 3, 8, 20, 40]), r) for _ in range(60)]
+    docs = [random_item(300, r).translate(str.maketrans("abcd", "wxyz")) for _ in range(30)]
+    docs += [d + " " + changed(t, int(0.1 * len(t)), r) for d, t in zip(docs, items, strict=False)]
+    found, walked = D.Items(list(enumerate(items)), 0.1), []
+    want = [found.search([d.split()]) for d in docs]
+    keys = "sampled" if hasattr(D.Walks, "sampled") else "keys"
+    plain = getattr(D.Walks, keys)
+    monkeypatch.setattr(D.Walks, keys, lambda self, text, starts: walked.append((self.steps, len(starts))) or plain(self, text, starts))
+    assert [found.search([d.split()]) for d in docs[:30]] == want[:30]
+    assert not sum(n for steps, n in walked if steps >= 57)  # shorter items have too few runs
+    walked.clear()
+    monkeypatch.setattr(D, "MOST_APART", -1)
+    assert [found.search([d.split()]) for d in docs] == want and sum(n for _, n in walked) > 0
+    assert sum(map(len, (x for w in want for x in w))) >= 25
