@@ -112,10 +112,10 @@ class Pieces(dict):
             ids = self.older[piece]
         elif piece.isalpha():
             ids = self.run(" " + piece)
-        elif not piece or ODD_SPACE.search(piece):
-            ids = None
         elif (x := piece.rstrip(MARKS)).isalpha():
             ids = self[x] + self.rest(piece[len(x) :])
+        elif not piece or ODD_SPACE.search(piece):
+            ids = None
         else:
             first, *lines = piece.split("\n")
             parts = [self.marked(y) for y in lines]
@@ -150,6 +150,12 @@ class Pieces(dict):
         return out
 
 
+def picked(mask: np.ndarray, *arrays: np.ndarray) -> list[np.ndarray]:
+    """What mask keeps of each array; by numbers, which is faster than by a mask of no pattern."""
+    at = np.flatnonzero(mask)
+    return [a.take(at) for a in arrays]
+
+
 def compress(ids: np.ndarray, base: int, least: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules as pairs, expansion lengths)."""
     seq, lengths, rules = ids.astype(np.uint32), np.ones(0, np.uint32), []
@@ -158,36 +164,35 @@ def compress(ids: np.ndarray, base: int, least: int = 4) -> tuple[np.ndarray, np
     odd = 0x9E3779B97F4A7C15
     while np.count_nonzero(live) >= least:
         at = np.flatnonzero(live)
-        key = seq[at].astype(np.uint64) << HALF | seq[at + 1]
+        key = seq.take(at).astype(np.uint64) << HALF | seq.take(at + 1)
         bits = min(20, max(10, len(at).bit_length() - 1))
         cell = (key * np.uint64(odd) >> np.uint64(64 - bits)).view(np.int64)
         odd = (odd * 0xD6E8FEB86659FD93 + 2) % (1 << 64) | 1  # other pairs share a cell next time
-        hot = (np.bincount(cell, minlength=1 << bits) >= least)[cell]
-        live[at[~hot]] = False
-        at, key, cell = at[hot], key[hot], cell[hot]
+        hot = (np.bincount(cell, minlength=1 << bits) >= least).take(cell)
+        live[at] = hot
+        at, key, cell = picked(hot, at, key, cell)
         owner = np.zeros(1 << bits, np.uint64)
         owner[cell] = key
-        mine = owner[cell] == key
-        at, key, cell = at[mine], key[mine], cell[mine]
-        count = np.bincount(cell, minlength=1 << bits)[cell]
-        live[at[count < least]] = False
+        mine = owner.take(cell) == key
+        at, key, cell = picked(mine, at, key, cell)
+        count = np.bincount(cell, minlength=1 << bits).take(cell)
+        live[at] = count >= least
         top = int(count.max(initial=0))
         if top < least:
             continue  # the cells' owners are settled; other pairs own them next time
         taken = count >= max(least, top // SPREAD)
-        at, key, cell = at[taken], key[taken], cell[taken]
-        rank = count[taken].view(np.uint64) << HALF | cell.view(np.uint64)
+        at, key, cell, count = picked(taken, at, key, cell, count)
+        rank = count.view(np.uint64) << HALF | cell.view(np.uint64)
         around = np.zeros(len(seq) + 2, np.uint64)
         around[at + 1] = rank
-        best = (rank >= around[at]) & (rank >= around[at + 2])
-        at, key, cell = at[best], key[best], cell[best]
+        best = (rank >= around.take(at)) & (rank >= around.take(at + 2))
+        at, key, cell = picked(best, at, key, cell)
         # of overlapping occurrences of one pair every second one is replaced, from the left
         first = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, np.arange(len(at)), 0))
-        each = (np.arange(len(at)) - first) % 2 == 0
-        at, key, cell = at[each], key[each], cell[each]
+        each = (np.arange(len(at)) - first) & 1 == 0
+        at, key, cell = picked(each, at, key, cell)
         used = np.bincount(cell, minlength=1 << bits) >= 2
-        each = used[cell]
-        at, key, cell = at[each], key[each], cell[each]
+        at, key, cell = picked(used.take(cell), at, key, cell)
         name = np.cumsum(used) - 1
         pairs = np.empty(np.count_nonzero(used), np.uint64)
         pairs[name[cell]] = key
@@ -200,7 +205,7 @@ def compress(ids: np.ndarray, base: int, least: int = 4) -> tuple[np.ndarray, np
         live[np.maximum(at - 1, 0)] = True
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        seq, live = seq[stay], live[stay]
+        seq, live = picked(stay, seq, live)
         live[-1:] = False
     flat = np.concatenate([np.empty(0, np.uint64), *rules])
     return seq, np.stack([flat >> HALF, flat & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32), lengths
