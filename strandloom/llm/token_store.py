@@ -17,12 +17,12 @@ at least 1 / ``SPREAD`` as often as the most frequent one, and of two that overl
 more frequent one wins. A pair that occurs less than ``least`` times can't become
 frequent later, so a round looks only at places that have changed or are still frequent.
 
-Tokenizing goes by pieces between single spaces, whose ids a worker remembers: the
-byte-level pre-tokenizer always starts a new token at a space before a letter, so equal
-pieces have equal ids. A new piece of letters and then punctuation is cut as the
-pre-tokenizer cuts it, and its letters are looked up by themselves, so that only unseen
-runs of letters pay for their merges. Texts with other runs of white space next to a
-space, and all texts if the tokenizer is not byte-level, are encoded whole.
+Tokenizing goes by pieces, cut where the byte-level pre-tokenizer always starts a token
+(``cuts``), so equal pieces have equal ids, which a worker remembers. A batch of texts asks
+once for each of its distinct pieces, and its unseen runs of letters go through the
+library's model one after the other. Texts with white space next to a space or a line feed
+or with an added token (``<|endoftext|>``), and all texts if the tokenizer is not byte-level,
+are encoded whole.
 
 Defined cases: null text is empty (the end id alone); null doc_ids come first;
 rows that repeat an id keep a row each, in
@@ -34,9 +34,11 @@ import json
 import re
 import zlib
 from array import array
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,37 +47,55 @@ from strandloom.llm.common import released, stored
 
 ODD_SPACE = re.compile(r"\s(?:\s|\Z)|\A\s")
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation without the apostrophe, which starts contractions
-START = "\0"  # stands before the first piece, which has no space before it
 SHARDS = "part int, seq int, first_token bigint, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<int>, base int, rules binary, lengths binary, symbols binary"
+KIND = np.array([2 if chr(b) in MARKS else b < 128 and chr(b).isalnum() for b in range(256)], np.uint8)
+ID = attrgetter("id")
 SPREAD, HALF = 128, np.uint64(32)
 
 
-def byte_alphabet() -> dict[int, int]:
+def byte_alphabet() -> np.ndarray:
     """The characters by which byte-level tokenizers write bytes: printable Latin-1
     ones stand for themselves, the others follow from 256 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
     others = [b for b in range(256) if b not in set(plain)]
-    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+    out = np.arange(256, dtype="<u4")
+    out[others] = 256 + np.arange(len(others))
+    return out
 
 
 KEPT: dict[int, "Pieces"] = {}  # of a worker process, at most one
 
 
+def cuts(b: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where pieces of joined UTF-8 texts begin, and the end: at each text, each space, each
+    mark after an ASCII letter or digit, and before and after a line feed without ASCII white
+    space or control characters around it. The pre-tokenizer starts a token at each of them,
+    unless other white space is next to it, which leaves an odd piece."""
+    cut = np.zeros(len(b) + 1, bool)
+    cut[:-1] = b == 32
+    kind = KIND.take(b)
+    cut[1:-1] |= (kind[1:] == 2) & (kind[:-1] == 1)
+    line = np.flatnonzero(b == 10)
+    line = line[(b.take(line - 1, mode="clip") > 32) & (b.take(line + 1, mode="clip") > 32)]
+    cut[line] = cut[line + 1] = True
+    cut[ends] = True
+    return np.flatnonzero(cut)
+
+
 class Pieces(dict):
     """ids (as uint32 bytes) of pieces, None for a piece with odd white space; unseen ones
-    are encoded when they are asked for. When it is full its content becomes the older
-    half, from which pieces come back."""
+    are encoded when they are asked for, a batch's words of letters before that. When it is
+    full its content becomes the older half, from which pieces come back."""
 
     def __init__(self, vocabulary: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.older = Tokenizer.from_str(vocabulary), most, {}
         self.base = max(self.tokenizer.get_vocab_size(), 3)
-        self.inner: dict[str, bytes] = {}
         self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
-        self.space = chr(self.alphabet[32])
         kind = json.loads(vocabulary)
         cut = kind.get("pre_tokenizer") or {}
+        self.added = [x["content"] for x in kind.get("added_tokens") or []]
         self.bytes_only = not kind.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
 
     @staticmethod
@@ -90,63 +110,54 @@ class Pieces(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def run(self, s: str) -> bytes:
-        """The ids of one pre-token."""
-        spelled = (self.space + s[1:] if s[0] == " " else s) if s.isascii() and s.isprintable() else s.encode().decode("latin-1").translate(self.alphabet)
-        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-
-    def marked(self, x: str) -> bytes | None:
-        """The ids of letters, or of letters and then punctuation, that follow a line
-        feed or nothing."""
-        y = x.rstrip(MARKS)
-        return self.rest(y) + self.rest(x[len(y) :]) if y.isalpha() else None
+    def spelled(self, s: str) -> str:
+        return self.alphabet[np.frombuffer(s.encode(), np.uint8)].tobytes().decode("utf-32-le")
 
-    def rest(self, x: str) -> bytes:
-        """The ids of a pre-token without a space before it."""
-        if x not in self.inner:
-            self.inner[x] = self.run(x) if x else b""
-        return self.inner[x]
+    def learn(self, words: list[str]) -> None:
+        """The ids of pre-tokens without line feeds, spelled together."""
+        for w, s in zip(words, self.spelled("\n".join(words)).split(self.spelled("\n")), strict=True):
+            self[w] = array("I", map(ID, self.model.tokenize(s))).tobytes()
 
     def __missing__(self, piece: str) -> bytes | None:
+        x = piece.removeprefix(" ")
         if piece in self.older:
             ids = self.older[piece]
-        elif piece.isalpha():
-            ids = self.run(" " + piece)
-        elif (x := piece.rstrip(MARKS)).isalpha():
-            ids = self[x] + self.rest(piece[len(x) :])
-        elif not piece or ODD_SPACE.search(piece):
+        elif piece != "\n" and (not x or ODD_SPACE.search(x)):
             ids = None
+        elif (y := piece.rstrip(MARKS)) != piece and y.removeprefix(" ").isalpha():
+            ids = self[y] + self[piece[len(y) :]]
         else:
-            first, *lines = piece.split("\n")
-            parts = [self.marked(y) for y in lines]
-            if piece.startswith(START):
-                head = self.marked(first[1:])
-            else:
-                head = self[first] if lines and first else None
-            if head is None or None in parts:
-                ids = self.whole(piece[1:] if piece.startswith(START) else " " + piece)
-            else:
-                ids = self.rest("\n").join([head, *parts])
+            ids = self.whole(piece)
         self[piece] = ids
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the tokenizer gives them for the whole text."""
-        if not self.bytes_only:
+        if not self.bytes_only or not any(texts):
             return [self.whole(t) for t in texts]
-        out = []
-        for t in texts:
-            pieces = t.split(" ")
-            pieces[0] = START + pieces[0]
-            try:
-                out.append(self.whole(t) if START in t else b"".join(map(self.__getitem__, pieces)))
-            except TypeError:  # a piece has None
-                out.append(self.whole(t))
-            if len(self) > self.most:
-                self.older = dict(self)
-                self.clear()
-            if len(self.inner) > self.most // 8:
-                self.inner.clear()
+        _, ends, data = pa.array(texts, pa.large_string()).buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(texts) + 1]
+        at = cuts(np.frombuffer(data, np.uint8)[: ends[-1]], ends)
+        coded = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), data).dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # each is asked for once
+        found = list(map(self.get, pieces))
+        unseen = [k for k, ids in enumerate(found) if ids is None]
+        new = [p for p in map(pieces.__getitem__, unseen) if p not in self.older]
+        words = dict.fromkeys(y for p in new if (y := p.rstrip(MARKS)).removeprefix(" ").isalpha())
+        if words := [y for y in words if y not in self and y not in self.older]:
+            self.learn(words)
+        for k in unseen:
+            found[k] = self[pieces[k]]
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        first = np.searchsorted(at, ends)  # each text's first piece
+        nulls = np.r_[0, np.cumsum(ids.is_null().to_numpy(zero_copy_only=False))]
+        odd = (np.diff(nulls.take(first)) > 0).tolist()
+        stops = np.frombuffer(ids.buffers()[1], np.int64).take(first).tolist()
+        flat = (ids.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+        out = [self.whole(t) if o or any(x in t for x in self.added) else flat[i:j] for t, o, i, j in zip(texts, odd, stops, stops[1:], strict=False)]
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
         return out
 
 

@@ -125,6 +125,22 @@ def test_pieces_equal_whole_texts(text):
     assert PIECES.encode([text]) == [PIECES.whole(text)]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([" ", " ", "\n", "\n", "a", "Bc", "é", "5", ",", ".'", "'s", "\u00a0", "\t", "\x1c", "\x00", "÷", "日", "<|endoftext|>"]), max_size=12).map("".join), max_size=4))
+def test_pieces_of_texts_encoded_together(texts):
+    global PIECES
+    PIECES = globals().get("PIECES") or token_store.Pieces(vocabulary(), most=50)
+    assert PIECES.encode(texts) == [PIECES.whole(t) for t in texts]
+
+
+def test_pieces_are_cut_at_line_feeds_and_marks():
+    p = token_store.Pieces(vocabulary())
+    words = ["abra", "Bebra", "cé", "Dodra5", "eh"]
+    texts = [f"x {a}{m}\n{b}{m} {a}" for a in words for b in words for m in ".,;"]
+    assert p.encode(texts) == [p.whole(t) for t in texts]
+    assert len(p) <= 2 * len(words) + 3 * 4 + 3  # and not one of each two words
+
+
 def vocabulary():
     P = pytest.importorskip("public_tokenizers")
     with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
