@@ -89,6 +89,42 @@ def label_read(seq: str, qual: str, start: str, end: str, min_start: int = 7, mi
     return (f"S{a}" if a else "") + (f"E{b}" if b else ""), s[a : len(s) - b], q[a : len(q) - b], -1 if turned else 1
 
 
+def head_masks(seqs: list[str], quals: list[str], width: int, qualmask: int) -> np.ndarray:
+    """The masks of many reads' first bases, a row each; what a read lacks is 0."""
+    grid = lambda texts, fill: np.frombuffer("".join(x[:width].ljust(width, fill) for x in texts).encode("latin-1", "replace"), np.uint8).reshape(len(texts), width)
+    m = MASK[grid(seqs, "\0")]
+    if qualmask >= 0:
+        m[grid(quals, "\xff") <= qualmask + 33] = 15
+    return m
+
+
+def head_matches(heads: np.ndarray, lengths: np.ndarray, adapter: np.ndarray, monomer: bool, least: int, rate: float, longest: int) -> np.ndarray:
+    """The bases of head_match for every row of heads, reads of these lengths."""
+    best, k, least = np.zeros(len(heads), np.int64), len(adapter), max(1, least)
+    if not k:
+        return best
+    for i in range(least, min(k, longest) + 1):
+        d = ((heads[:, :i] & adapter[-i:]) == 0).sum(1)
+        best[(lengths >= i) & (d <= int(rate * i)) & (heads[:, i - 1] & adapter[-1] != 0)] = i
+    if monomer and longest > k:
+        miss = (heads[:, k:longest] & adapter[-1]) == 0
+        i = np.arange(k + 1, longest + 1)
+        d = ((heads[:, :k] & adapter) == 0).sum(1)[:, None] + miss.cumsum(1)
+        fits = (d <= (rate * i).astype(np.int64)) & ~miss & (i >= least) & (i <= lengths[:, None])
+        best = np.where(fits.any(1), longest - fits[:, ::-1].argmax(1), best)
+    return best
+
+
+def cuts(head: pd.Series, tail: pd.Series, qhead: pd.Series, qtail: pd.Series, lengths: pd.Series, start: str, end: str, min_start: int = 7, min_end: int = 9, rate: float = 0.06, longest: int = 120, qualmask: int = 16) -> pd.DataFrame:
+    """What label_read finds in reads of these first and last bases: the start adapter's
+    bases a, the end adapter's bases b, and whether the read is turned."""
+    n = lengths.to_numpy()
+    ways = {False: head_masks(list(head), list(qhead), longest, qualmask), True: head_masks([x.translate(RC)[::-1] for x in tail], [x[::-1] for x in qtail], longest, qualmask)}
+    found = {(kind, turned): head_matches(m, n, masks(text.rstrip("+")), text.endswith("+"), least, rate, longest) for kind, text, least in (("S", start, min_start), ("E", end, min_end)) for turned, m in ways.items()}
+    turned = found["S", True] + found["E", False] > found["S", False] + found["E", True]
+    return pd.DataFrame({"a": np.where(turned, found["S", True], found["S", False]), "b": np.where(turned, found["E", False], found["E", True]), "turned": turned})
+
+
 def collapse_mates(seq1: str, qual1: str, seq2: str, qual2: str, least: int = 16, rate: float = 0.06) -> tuple[str, str] | None:
     """The consensus of mates that overlap (mate 2 reverse-complemented): the widest
     overlap within the rate; better quality wins where they differ."""
@@ -105,13 +141,24 @@ def label(fastq: DataFrame, start: str, end: str, minlen: int = 18, minqual: flo
     """fastq with label, trimmed seq1 and qual1, strand and keep (long, good, not one
     base, trimmed); names get _TAG=<label>."""
 
-    @F.pandas_udf("label string, seq string, qual string, strand int")
-    def cut(seq: pd.Series, qual: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([label_read(s or "", q or "", start, end, **how) for s, q in zip(seq, qual, strict=True)], columns=["label", "seq", "qual", "strand"])
+    from strandloom.functions.sequence import is_homopolymer, mean_quality, reverse_complement
+
+    longest = how.get("longest", 120)
 
-    from strandloom.functions.sequence import is_homopolymer, mean_quality
+    @F.pandas_udf("a int, b int, turned boolean")
+    def find(head: pd.Series, tail: pd.Series, qhead: pd.Series, qtail: pd.Series, lengths: pd.Series) -> pd.DataFrame:
+        return cuts(head, tail, qhead, qtail, lengths, start, end, **how)
 
-    rows = fastq.withColumn("__x", cut("seq1", "qual1")).withColumns({"label": F.col("__x.label"), "seq1": F.col("__x.seq"), "qual1": F.col("__x.qual"), "strand": F.col("__x.strand")}).drop("__x")
+    # only the reads' ends go to Python; adapters are cut off in the JVM
+    seq, qual = (F.coalesce(c, F.lit("")) for c in ("seq1", "qual1"))
+    ends = [f(x, F.lit(longest)) for x in (seq, qual) for f in (F.left, F.right)]
+    a, b, turned = (F.col(f"__x.{c}") for c in ("a", "b", "turned"))
+    inner = lambda s, back: F.when(a + b < F.length(seq), F.substring(F.when(turned, back).otherwise(s), a + 1, F.greatest(F.length(s) - a - b, F.lit(0)))).otherwise(F.when(a + b == 0, s).otherwise(""))
+    tag = lambda c, k: F.when(c > 0, F.concat(F.lit(k), c)).otherwise("")
+    rows = fastq.withColumn("__x", find(*ends, F.length(seq))).withColumns({
+        "label": F.concat(tag(a, "S"), tag(b, "E")), "seq1": inner(seq, reverse_complement(seq)), "qual1": inner(qual, F.reverse(qual)),
+        "strand": F.when(a + b == 0, 0).when(turned, -1).otherwise(1),
+    }).drop("__x")
     good = (F.length("seq1") >= minlen) & (mean_quality(F.col("qual1")) >= minqual) & ~is_homopolymer(F.col("seq1"))
     return rows.withColumns({"keep": F.coalesce(good, F.lit(False)), "name": F.when(F.col("label") != "", F.concat("name", F.lit("_TAG="), "label")).otherwise(F.col("name"))})
 

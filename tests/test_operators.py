@@ -228,6 +228,24 @@ def test_iupac_edit_distance(a, b):
     assert adapters.iupac_edit_distance(a, b, 20) == row[-1]
 
 
+@pytest.mark.parametrize("how", [{"rate": 0.2}, {}, {"min_start": 3, "min_end": 12, "longest": 15, "rate": 0.3}])
+def test_batches_of_reads_are_labelled_like_single_reads(spark, how):
+    draw = random.Random(3)
+    parts = ["ACATGGG", "CCATTTTTT", "TTTTTTTTTTTT", "AAAAAAAAAAAAAATGG", "CCCATGT", "ACNTGGG", ""]
+    reads = ["", "A", "é" * 9, *("".join(draw.choice(parts) for _ in range(2)) + "".join(draw.choices("ACGTacgtNé", k=draw.choice([0, 3, 30, 200]))) + draw.choice(parts) for _ in range(300))]
+    rows = [(str(i), s, "".join(draw.choices("!5I", [1, 1, 8], k=len(s)))) for i, s in enumerate(reads)] + [("none", None, None)]
+    got = {r.name.split("_")[0]: r for r in adapters.label(spark.createDataFrame(rows, "name string, seq1 string, qual1 string"), "ACATGGG", "CCATTTTTT+", **how).collect()}
+    for name, s, q in rows:
+        r = got[name]
+        assert (r.label, r.seq1, r.qual1, r.strand) == adapters.label_read(s or "", q or "", "ACATGGG", "CCATTTTTT+", **how), (s, q)
+
+
+def test_labelling_sends_only_the_ends_of_reads_to_python(spark):
+    rows = spark.createDataFrame([("r", "ACATGGG" + "ACGT" * 500, "I" * 2007)], "name string, seq1 string, qual1 string")
+    plan = adapters.label(rows, "ACATGGG", "CCATTTTTT+")._jdf.queryExecution().analyzed().toString()
+    assert next(line for line in plan.splitlines() if "AS __x" in line).count(", 120)") == 4
+
+
 def test_alignments(spark):
     T = "map<string,string>"
     rows = [
