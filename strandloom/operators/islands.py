@@ -34,18 +34,21 @@ def _numbered(df: DataFrame, order, left: str, max_gap: int, touch: bool, name:
 
 
 def _striped(df: DataFrame, keys: list[str], left: str, right: str, max_gap: int, touch: bool, name: str, stripe: int) -> DataFrame:
-    cut = F.floor(F.col(left) / stripe)
-    df = df.withColumn("__s", cut)
-    # one row per key and stripe: the largest right of the stripes before it
-    ends = df.groupBy(*keys, "__s").agg(F.max(right).alias("__m"))
-    over = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("__p", F.max("__m").over(over)).drop("__m")
+    cut, floor = F.floor(F.col(left) / stripe), (F.col("__s") * stripe).cast(df.schema[left].dataType)
+    # rows that reach into later stripes leave a row ahead of these: the largest right so far
+    reach = F.floor((F.col(right) + max_gap) / stripe)
+    ahead = df.where(reach > cut).select(*keys, F.col(right), F.explode(F.sequence(cut + 1, reach)).alias("__s"))
+    ahead = ahead.groupBy(*keys, "__s").agg(F.max(right).alias(right)).withColumn(left, (floor - 1).cast(df.schema[left].dataType))
     order = Window.partitionBy(*keys, "__s").orderBy(left, right)
-    held = df.join(ends, [*keys, "__s"]).withColumn("__b", F.greatest(F.max(right).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("__p")))
-    held = held.withColumn("__o", F.when(_opens(left, "__b", max_gap, touch), 1).otherwise(0))
+    held = df.withColumn("__s", cut).unionByName(ahead, allowMissingColumns=True).withColumn("__b", F.max(right).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    own = F.col(left) >= floor
+    held = held.withColumn("__o", F.when(own & _opens(left, "__b", max_gap, touch), 1).otherwise(0))
+    over = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     first = held.groupBy(*keys, "__s").agg(F.sum("__o").alias("__n")).withColumn("__n0", F.coalesce(F.sum("__n").over(over), F.lit(0))).drop("__n")
-    out = held.join(first, [*keys, "__s"]).withColumn(name, (F.col("__n0") + F.sum("__o").over(order.rangeBetween(Window.unboundedPreceding, 0))).cast("long"))
-    return out.drop("__s", "__p", "__b", "__o", "__n0")
+    # numbered before the join, whose sides are then sorted already
+    held = held.withColumn(name, F.sum("__o").over(order.rangeBetween(Window.unboundedPreceding, 0))).where(own)
+    out = held.join(first, [*keys, "__s"]).withColumn(name, (F.col("__n0") + F.col(name)).cast("long"))
+    return out.select(*df.columns, name)
 
 
 def loci(reads: DataFrame, max_gap: int = 50, max_intron: int | None = None, stripe: int | None = STRIPE) -> DataFrame:

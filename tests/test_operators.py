@@ -71,6 +71,18 @@ def test_breaks_at_the_gap(spark):
     assert sorted((r.left, r.locus) for r in islands.annotation_loci(touch).collect()) == [(0, 1), (10, 1), (21, 2)]
 
 
+@pytest.mark.parametrize("gap, touch", [(0, False), (0, True), (7, False)])
+def test_striped_islands_are_those_of_whole_chroms(spark, gap, touch):
+    draw = random.Random(gap + touch)
+    rows = [(c, l, l + draw.choice([0, 1, 3, 3, 9, 80]), i) for c in ("a", "b", None) for i, l in enumerate(draw.choices(range(-100, 900), k=150))] + [("c", -5, 400, 0), ("c", 401, 402, 1), ("c", 405, 409, 2)]
+    df = spark.createDataFrame(rows, "chrom string, left int, right int, row int")
+    want, got = (sorted(tuple(r) for r in islands.island_ids(df, ["chrom"], "left", "right", gap, touch, stripe=s).where("chrom is not null").collect()) for s in (None, 20))
+    assert want == got
+    # one join, and one sort of the rows per branch: a task holds them once
+    plan = islands.island_ids(df, ["chrom"], "left", "right", gap, touch, stripe=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
 def test_coverage_totals(spark):
     reads = views.reads(spark, DIR)
     total = reads.agg(F.sum(F.col("weight") * (F.col("right") - F.col("left")))).first()[0]
