@@ -280,11 +280,12 @@ SCHEMA = "chrom string, locus bigint, transcript_id string, strand int, left int
 
 
 def as_reads(rows: list[dict]) -> list[SimpleNamespace]:
-    """Blocks as tuples, and splices for rows without them."""
+    """Reads of a group, with splices for rows without them."""
     out = []
     for r in rows:
-        blocks = [(x["l"], x["r"]) for x in r["ranges"]]
-        out.append(SimpleNamespace(**(r | {"ranges": blocks, "splice": r.get("splice") or [True] * (len(blocks) - 1)})))
+        if not r.get("splice"):
+            r["splice"] = [True] * (len(r["ranges"]) - 1)
+        out.append(SimpleNamespace(**r))
     return out
 
 

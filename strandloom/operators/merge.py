@@ -63,7 +63,7 @@ def fold(rows: list[dict], o: Options) -> list[dict]:
 def named(found: list[dict], refs: list[dict], o: Options) -> list[dict]:
     """Reference names for matches; others are isoforms of the gene they share bases
     with (.i<n>), antisense to one (-AS), inside one's intron (-IT), or new."""
-    shared = lambda a, b: sum(max(0, min(r, y) - max(l, x)) for l, r in a for x, y in b)
+    shared = lambda a, b: sum(max(0, min(r, y) - max(l, x)) for l, r in a for x, y in b) if a[-1][1] > b[0][0] and b[-1][1] > a[0][0] else 0
     used: dict[str, int] = {}
     for t in found:
         match = next((r for r in refs if same_transcript(t, r, o)), None)
@@ -107,7 +107,7 @@ def reject(t: dict, o: Options) -> str | None:
     return next((name for name, fails in rules if fails), None)
 
 
-SCHEMA = "chrom string, locus bigint, name string, gene_id string, class string, strand int, ranges array<struct<l:int,r:int>>, weight double, TPM double, reps int, members array<string>, reject_reason string"
+SCHEMA = "chrom string, locus bigint, found array<struct<name:string,gene_id:string,class:string,strand:int,ranges:array<struct<l:int,r:int>>,weight:double,TPM:double,reps:int,members:array<string>,reject_reason:string,n:int>>"
 
 
 def merge(assemblies: DataFrame, reference: DataFrame, options: Options = Options()) -> DataFrame:
@@ -125,27 +125,42 @@ def merge(assemblies: DataFrame, reference: DataFrame, options: Options = Option
     chunks = annotation_loci(both)
 
     def run(key, rows):
-        for r in rows:
-            r["ranges"] = [(x["l"], x["r"]) for x in r["ranges"]]
         refs = sorted((r for r in rows if r["is_reference"]), key=lambda r: (r["ranges"], r["transcript_id"]))
         found = named(fold([r for r in rows if not r["is_reference"]], options), refs, options)
         if options.keep_best:
             found = found[:1]
-        return [
-            {"chrom": str(key[0]), "locus": key[1], "name": t.get("name"), "gene_id": t["gene_id"], "class": t["class"], "strand": int(t["strand"]), "ranges": [{"l": l, "r": r} for l, r in t["ranges"]],
-             "weight": t["weight"], "TPM": t["TPM"], "reps": len(t["sources"]), "members": t["members"], "reject_reason": reject(t, options)}
+        for known in (False, True):
+            group = sorted((t for t in found if (t["gene_id"] is not None) == known), key=lambda t: (t["ranges"], t["strand"]))
+            for n, t in enumerate(group, 1):
+                t["n"] = n
+        found = [
+            {"name": t.get("name"), "gene_id": t["gene_id"], "class": t["class"], "strand": int(t["strand"]), "ranges": t["ranges"],
+             "weight": t["weight"], "TPM": t["TPM"], "reps": len(t["sources"]), "members": t["members"], "reject_reason": reject(t, options), "n": t["n"]}
             for t in found
         ]
+        return [{"chrom": str(key[0]), "locus": key[1], "found": found}] if found else []
 
-    out = per_group(chunks, ["chrom", "locus"], run, SCHEMA)
+    # A row per locus, dealt once: numbers and transcripts read the same shuffle, so the
+    # function runs once. Both need whole rows and no filter of their own, or Spark would
+    # plan the function anew for each.
+    out = per_group(chunks, ["chrom", "locus"], run, SCHEMA).where("chrom is not null and locus is not null").repartition("chrom", "locus")
     # new genes: numbered within chroms, after those of the chroms before
-    fresh = out.where("gene_id is null").select("chrom", "locus").distinct()
-    before = fresh.groupBy("chrom").count().select("chrom", (F.sum("count").over(Window.orderBy("chrom")) - F.col("count")).alias("o"))
-    numbers = fresh.join(before, "chrom").select("chrom", "locus", (F.row_number().over(Window.partitionBy("chrom").orderBy("locus")) + F.col("o")).alias("g"))
-    out = out.join(numbers, ["chrom", "locus"], "left")
-    order = Window.partitionBy("chrom", "locus", F.col("gene_id").isNull()).orderBy("ranges", "strand")
+    fresh = out.select("chrom", "locus", F.exists("found", lambda t: t["gene_id"].isNull()).cast("long").alias("fresh"))
+    ahead = _before(fresh.groupBy("chrom").agg(F.sum("fresh").alias("fresh")))
+    g = F.sum("fresh").over(Window.partitionBy("chrom").orderBy("locus"))
+    numbers = fresh.withColumn("g", g).join(ahead, "chrom").select("chrom", "locus", F.when(F.col("fresh") == 1, F.col("g") + F.col("o")).alias("g"))
     own = F.concat(F.lit("NEW-"), "g")
-    return out.withColumn("__n", F.row_number().over(order)).withColumns({"name": F.coalesce("name", F.concat(own, F.lit(".i"), "__n")), "gene_id": F.coalesce("gene_id", own)}).drop("g", "__n")
+    named_ = out.join(numbers, ["chrom", "locus"], "left").select("chrom", "locus", "g", F.inline_outer("found"))
+    return named_.withColumns({"name": F.coalesce("name", F.concat(own, F.lit(".i"), "n")), "gene_id": F.coalesce("gene_id", own)}).drop("g", "n")
+
+
+def _before(counts: DataFrame) -> DataFrame:
+    """chrom, o: the sum of fresh over the chroms before; by the first letters of chroms, so
+    that no task orders them all."""
+    counts = counts.withColumn("__k", F.coalesce(F.substring("chrom", 1, 3), F.lit("")))
+    groups = counts.groupBy("__k").agg(F.sum("fresh").alias("__n")).select("__k", (F.sum("__n").over(Window.orderBy("__k")) - F.col("__n")).alias("__o"))
+    inside = F.sum("fresh").over(Window.partitionBy("__k").orderBy("chrom")) - F.col("fresh")
+    return counts.withColumn("__i", inside).join(groups, "__k").select("chrom", (F.col("__o") + F.col("__i")).alias("o"))
 
 
 def simulate(transcripts: DataFrame, n: int, seed: int = 0, jitter: float = 10.0) -> DataFrame:

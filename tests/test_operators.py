@@ -1,6 +1,7 @@
 import random
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -83,6 +84,27 @@ def test_striped_islands_are_those_of_whole_chroms(spark, gap, touch):
     assert plan.count("Join") == 1
 
 
+def test_grouped_rows_hold_blocks_as_tuples():
+    from strandloom.operators.grouped import row_lists
+
+    kind = pa.schema([("x", pa.int32()), ("b", pa.list_(pa.struct([("l", pa.int32()), ("r", pa.int32())])))])
+    data = [{"x": 1, "b": [{"l": 1, "r": 2}, {"l": 5, "r": 9}]}, {"x": None, "b": None}, {"x": 3, "b": []}, {"x": 4, "b": [{"l": 7, "r": 8}]}]
+    batch = pa.RecordBatch.from_pylist(data, kind)
+    assert row_lists(batch) == [{"x": 1, "b": [(1, 2), (5, 9)]}, {"x": None, "b": None}, {"x": 3, "b": []}, {"x": 4, "b": [(7, 8)]}]
+    assert row_lists(batch.slice(1)) == row_lists(batch)[1:]
+
+
+def test_merge_runs_its_function_once_and_numbers_genes_over_chroms(spark):
+    rows = [(c, 1, [(p, p + 30)], 1.0, 1.0, "s", f"{c}.{p}") for c in ("10", "2", "a", "100") for p in (500, 100)]
+    df = spark.createDataFrame(rows, f"chrom string, strand int, ranges {B}, weight double, TPM double, source string, transcript_id string")
+    ref = spark.createDataFrame([("2", 1, [(100, 130)], "G", "T")], f"chrom string, strand int, ranges {B}, gene_id string, transcript_id string")
+    out = merge.merge(df, ref)
+    got = {r.members[0]: r.name for r in out.collect()}
+    assert got == {"10.100": "NEW-1.i1", "10.500": "NEW-2.i1", "100.100": "NEW-3.i1", "100.500": "NEW-4.i1", "2.100": "T", "2.500": "NEW-5.i1", "a.100": "NEW-6.i1", "a.500": "NEW-7.i1"}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 1 and "ReusedExchange" in plan
+
+
 def test_coverage_totals(spark):
     reads = views.reads(spark, DIR)
     total = reads.agg(F.sum(F.col("weight") * (F.col("right") - F.col("left")))).first()[0]
