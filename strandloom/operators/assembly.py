@@ -304,33 +304,35 @@ def assemble(reads: DataFrame, max_gap: int = 50, options: Options = Options())
 
 def condense(reads: DataFrame, max_gap: int = 0, options: Options = Options(end_cluster=50, min_cov=1, min_length=20)) -> DataFrame:
     """Loci as their sums of equal walks, ends snapped to sites: chrom, strand, ranges, s_tag, e_tag, weight."""
-    columns = [c for c in ("chrom", "locus", "strand", "ranges", "splice", "s_tag", "e_tag", "capped", "weight") if c in reads.columns or c == "locus"]
+    columns = ["chrom", "locus", "strand", "ranges", "s_tag", "e_tag", "weight"]
     from strandloom.operators.islands import loci
 
     def run(key, group):
         rows: dict = defaultdict(float)
-        group = as_reads(group)
-        signal = {k: defaultdict(float) for k in ((1, "s"), (1, "e"), (-1, "s"), (-1, "e"))}
-        for r in group:
-            if r.strand:
-                l, e = r.ranges[0][0], r.ranges[-1][1]
-                if r.s_tag:
-                    signal[r.strand, "s"][l if r.strand == 1 else e] += r.weight
-                if r.e_tag:
-                    signal[r.strand, "e"][e if r.strand == 1 else l] += r.weight
-        sites = {k: cluster_ends(v, options) for k, v in signal.items()}
+        # one read's ends are their own sites
+        signal = {k: defaultdict(float) for k in ((1, "s"), (1, "e"), (-1, "s"), (-1, "e"))} if len(group) > 1 else {}
+        for r in group if signal else ():
+            strand = r["strand"]
+            if strand:
+                l, e = r["ranges"][0][0], r["ranges"][-1][1]
+                if r["s_tag"]:
+                    signal[strand, "s"][l if strand == 1 else e] += r["weight"]
+                if r["e_tag"]:
+                    signal[strand, "e"][e if strand == 1 else l] += r["weight"]
+        sites = {k: cluster_ends(v, options) for k, v in signal.items() if v}
         for r in group:
-            blocks = list(r.ranges)
-            if r.strand:
-                at = ("s", "e") if r.strand == 1 else ("e", "s")
-                has = {"s": r.s_tag, "e": r.e_tag}
-                l = sites[r.strand, at[0]].get(blocks[0][0], blocks[0][0]) if has[at[0]] else blocks[0][0]
-                e = sites[r.strand, at[1]].get(blocks[-1][1], blocks[-1][1]) if has[at[1]] else blocks[-1][1]
+            blocks, strand = list(r["ranges"]), r["strand"]
+            if strand and sites:
+                at = ("s", "e") if strand == 1 else ("e", "s")
+                has = {"s": r["s_tag"], "e": r["e_tag"]}
+                l = sites[strand, at[0]].get(blocks[0][0], blocks[0][0]) if has[at[0]] else blocks[0][0]
+                e = sites[strand, at[1]].get(blocks[-1][1], blocks[-1][1]) if has[at[1]] else blocks[-1][1]
                 if l < blocks[0][1] and e > blocks[-1][0] and (len(blocks) > 1 or l < e):
                     blocks[0] = (l, blocks[0][1]) if len(blocks) > 1 else (l, e)
                     blocks[-1] = (blocks[-1][0], e) if len(blocks) > 1 else (l, e)
-            rows[r.strand, tuple(blocks), bool(r.s_tag), bool(r.e_tag)] += r.weight
-        return [{"chrom": str(key[0]), "strand": int(s), "ranges": [{"l": a, "r": b} for a, b in bl], "s_tag": st, "e_tag": en, "weight": w} for (s, bl, st, en), w in sorted(rows.items())]
+            rows[strand, tuple(blocks), bool(r["s_tag"]), bool(r["e_tag"])] += r["weight"]
+        chrom = str(key[0])
+        return [{"chrom": chrom, "strand": int(s), "ranges": bl, "s_tag": st, "e_tag": en, "weight": w} for (s, bl, st, en), w in sorted(rows.items())]
 
     return per_group(loci(reads, max_gap).select(*columns), ["chrom", "locus"], run, "chrom string, strand int, ranges array<struct<l:int,r:int>>, s_tag boolean, e_tag boolean, weight double")
 

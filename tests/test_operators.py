@@ -94,6 +94,17 @@ def test_grouped_rows_hold_blocks_as_tuples():
     assert row_lists(batch.slice(1)) == row_lists(batch)[1:]
 
 
+def test_condense_deals_only_the_columns_it_needs_and_keeps_lone_reads(spark):
+    rows = [("a", 1, [(0, 30)], True, True, 2.0), ("a", 1, [(10, 40)], True, False, 5.0), ("a", 1, [(10, 40)], True, False, 1.0), ("a", -1, [(500, 520), (600, 640)], True, True, 1.0), ("a", 0, [(900, 910)], False, False, -1.0)]
+    df = spark.createDataFrame(rows, f"chrom string, strand int, ranges {B}, s_tag boolean, e_tag boolean, weight double")
+    df = df.withColumns({"left": F.col("ranges")[0]["l"], "right": F.element_at("ranges", -1)["r"], "capped": F.lit(False), "splice": F.array_repeat(F.lit(True), F.size("ranges") - 1)})
+    out = assembly.condense(df)
+    got = sorted((r.strand, [tuple(b) for b in r.ranges], r.s_tag, r.e_tag, r.weight) for r in out.collect())
+    assert got == [(-1, [(500, 520), (600, 640)], True, True, 1.0), (0, [(900, 910)], False, False, -1.0), (1, [(10, 30)], True, True, 2.0), (1, [(10, 40)], True, False, 6.0)]
+    call = next(line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in line)
+    assert "splice" not in call and "capped" not in call
+
+
 def test_merge_runs_its_function_once_and_numbers_genes_over_chroms(spark):
     rows = [(c, 1, [(p, p + 30)], 1.0, 1.0, "s", f"{c}.{p}") for c in ("10", "2", "a", "100") for p in (500, 100)]
     df = spark.createDataFrame(rows, f"chrom string, strand int, ranges {B}, weight double, TPM double, source string, transcript_id string")
