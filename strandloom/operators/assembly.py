@@ -15,6 +15,7 @@ the order of reads.
 
 from collections import defaultdict
 from dataclasses import dataclass
+from functools import cached_property
 
 from types import SimpleNamespace
 
@@ -52,7 +53,14 @@ class Walk:
     starts: bool  # left is a site
     ends: bool  # right is a site
 
-    @property
+    def __hash__(self) -> int:
+        return self._hash
+
+    @cached_property
+    def _hash(self) -> int:
+        return hash((self.left, self.right, self.introns, self.starts, self.ends))
+
+    @cached_property
     def length(self) -> int:
         return self.right - self.left - sum(r - l for l, r in self.introns)
 
@@ -128,9 +136,10 @@ def compatible(a: Walk, b: Walk) -> bool:
     l, r = max(a.left, b.left), min(a.right, b.right)
     if l >= r:
         return False
-    inside = lambda w: [i for i in w.introns if i[1] > l and i[0] < r]
-    if inside(a) != inside(b):
-        return False
+    if a.introns or b.introns:
+        inside = lambda w: [i for i in w.introns if i[1] > l and i[0] < r]
+        if inside(a) != inside(b):
+            return False
     for x, y in ((a, b), (b, a)):
         if x.starts and y.left < x.left or x.ends and y.right > x.right:
             return False
@@ -142,11 +151,13 @@ def merge(a: Walk, b: Walk) -> Walk:
 
 
 def contains(a: Walk, b: Walk) -> bool:
-    return compatible(a, b) and a.left <= b.left and a.right >= b.right and (not b.starts or a.starts) and (not b.ends or a.ends)
+    return a.left <= b.left and a.right >= b.right and (not b.starts or a.starts) and (not b.ends or a.ends) and compatible(a, b)
 
 
 def assemble_paths(weights: dict[Walk, float], o: Options) -> list[Path]:
     """Paths that explain the walks of one strand."""
+    if not o.allow_incomplete and not (any(w.starts for w in weights) and any(w.ends for w in weights)):
+        return []  # no path of them has both ends
     walks = sorted(weights)
     free = {w: weights[w] * w.length for w in walks}
     total = sum(free.values())
@@ -181,10 +192,10 @@ def share_weights(paths: list[Path], weights: dict[Walk, float], rounds: int = 2
     """Walks' bases shared among the paths that contain them, by the paths' weight."""
     for p in paths:
         p.weight = weights.get(p.walk, 0.0) + 1e-6
+    fits = [(w, x, [i for i, p in enumerate(paths) if contains(p.walk, w)]) for w, x in weights.items()]
     for _ in range(rounds):
         got = [0.0] * len(paths)
-        for w, x in weights.items():
-            fit = [i for i, p in enumerate(paths) if contains(p.walk, w)]
+        for w, x, fit in fits:
             all_of = sum(paths[i].weight for i in fit)
             for i in fit:
                 got[i] += x * w.length * paths[i].weight / all_of
@@ -216,9 +227,10 @@ def assemble_locus(reads: list, o: Options = Options()) -> list[dict]:
             continue
         junction, starts, ends, deltas, caps, plain = (defaultdict(float) for _ in range(6))
         for r in mine:
-            for (a, b), (c, d), s in zip(r.ranges, r.ranges[1:], r.splice, strict=False):
-                if s and r.strand == strand and b - a >= o.min_overhang and d - c >= o.min_overhang:
-                    junction[b, c] += r.weight
+            if len(r.ranges) > 1 and r.strand == strand:
+                for (a, b), (c, d), s in zip(r.ranges, r.ranges[1:], r.splice, strict=False):
+                    if s and b - a >= o.min_overhang and d - c >= o.min_overhang:
+                        junction[b, c] += r.weight
             for a, b in r.ranges:
                 deltas[a] += r.weight
                 deltas[b] -= r.weight
@@ -228,6 +240,8 @@ def assemble_locus(reads: list, o: Options = Options()) -> list[dict]:
                 (caps if r.capped else plain)[left if strand == 1 else right] += r.weight
             if r.strand == strand and r.e_tag:
                 ends[right if strand == 1 else left] += r.weight
+        if not (starts and ends) and not o.allow_incomplete:
+            continue  # without both kinds of sites no path is whole
         edges = sorted(deltas)
 
         def coverage(l, r, edges=edges, deltas=deltas):
@@ -240,20 +254,20 @@ def assemble_locus(reads: list, o: Options = Options()) -> list[dict]:
         good = prune_junctions(junction, coverage, o)
         s_site, e_site = cluster_ends(starts, o), cluster_ends(ends, o)
         s_site = capped_sites(s_site, starts, caps, plain, sorted({x for j in good for x in j}), coverage, strand, o)
-        e_site = {p: q for p, q in e_site.items() if sum(ends[x] for x, y in e_site.items() if y == q) >= o.min_end}
+        held: dict[int, float] = defaultdict(int)
+        for p, q in e_site.items():
+            held[q] += ends[p]
+        e_site = {p: q for p, q in e_site.items() if held[q] >= o.min_end}
         left_site, right_site = (s_site, e_site) if strand == 1 else (e_site, s_site)
         weights: dict[Walk, float] = defaultdict(float)
         for r in mine:
             introns, ok = [], True
-            blocks = [list(r.ranges[0])]
-            for (a, b), (c, d), s in zip(r.ranges, r.ranges[1:], r.splice, strict=False):
-                if s and (b, c) in good:
-                    introns.append((b, c))
-                    blocks.append([c, d])
-                elif s:
-                    ok = False
-                else:
-                    blocks[-1][1] = d
+            if len(r.ranges) > 1:
+                for (_, b), (c, _), s in zip(r.ranges, r.ranges[1:], r.splice, strict=False):
+                    if s and (b, c) in good:
+                        introns.append((b, c))
+                    elif s:
+                        ok = False
             if not ok:
                 continue
             left, right = r.ranges[0][0], r.ranges[-1][1]
@@ -265,13 +279,17 @@ def assemble_locus(reads: list, o: Options = Options()) -> list[dict]:
             if introns and not (l3 < introns[0][0] and r3 > introns[-1][1]) or l3 >= r3:
                 l3, r3, l2, r2 = left, right, None, None
             weights[Walk(l3, r3, tuple(introns), l2 is not None, r2 is not None)] += r.weight
+        left_end, right_end = (lambda r: r.ranges[0][0]), (lambda r: r.ranges[-1][1])
+        five, three = (left_end, right_end) if strand == 1 else (right_end, left_end)
+        own = [r for r in mine if r.strand == strand]
+        capped, labelled, ended = [(five(r), r.weight) for r in own if r.capped], [(five(r), r.weight) for r in own if r.s_tag], [(three(r), r.weight) for r in own if r.e_tag]
+        near = lambda signals, at: sum(w for p, w in signals if abs(p - at) <= o.end_cluster)
         for n, p in enumerate(remove_bad(assemble_paths(dict(weights), o), o)):
             w = p.walk
             if p.weight < o.min_cov or w.length < o.min_length:
                 continue
-            caps = sum(r.weight for r in mine if r.strand == strand and r.capped and abs((r.ranges[0][0] if strand == 1 else r.ranges[-1][1]) - (w.left if strand == 1 else w.right)) <= o.end_cluster)
-            first = sum(r.weight for r in mine if r.strand == strand and r.s_tag and abs((r.ranges[0][0] if strand == 1 else r.ranges[-1][1]) - (w.left if strand == 1 else w.right)) <= o.end_cluster)
-            last = sum(r.weight for r in mine if r.strand == strand and r.e_tag and abs((r.ranges[-1][1] if strand == 1 else r.ranges[0][0]) - (w.right if strand == 1 else w.left)) <= o.end_cluster)
+            begin, end = (w.left, w.right) if strand == 1 else (w.right, w.left)
+            caps, first, last = near(capped, begin), near(labelled, begin), near(ended, end)
             out.append({"strand": strand, "number": n, "left": w.left, "right": w.right, "ranges": w.exons(), "cov": p.weight, "s_reads": first, "s_capped": caps, "e_reads": last, "complete": w.starts and w.ends})
     return out
 
@@ -292,7 +310,7 @@ def as_reads(rows: list[dict]) -> list[SimpleNamespace]:
 def assemble(reads: DataFrame, max_gap: int = 50, options: Options = Options()) -> DataFrame:
     """Transcripts of all loci that have both ends; a locus is one group."""
     columns = [c for c in ("chrom", "locus", "strand", "ranges", "splice", "s_tag", "e_tag", "capped", "weight") if c in reads.columns or c == "locus"]
-    kept = assemblable(reads, max_gap, options.require_cap).select(*columns)
+    kept = assemblable(reads, max_gap, options.require_cap, whole=options.allow_incomplete).select(*columns)
 
     def run(key, rows):
         found = assemble_locus(as_reads(rows), options)

@@ -89,13 +89,17 @@ def has_ends(require_cap: bool = False) -> Column:
     return (seen(start, 1) & seen(F.col("e_tag"), 1)) | (seen(start, -1) & seen(F.col("e_tag"), -1))
 
 
-def assemblable(reads: DataFrame, max_gap: int = 50, require_cap: bool = False) -> DataFrame:
-    """Reads of loci with ends: filtered before any per-locus function runs."""
+def assemblable(reads: DataFrame, max_gap: int = 50, require_cap: bool = False, whole: bool = True) -> DataFrame:
+    """Reads of loci with ends: filtered before any per-locus function runs. Without whole
+    the reads of a strand go that lacks one of its ends."""
     kept = loci(reads, max_gap)
     over = Window.partitionBy("chrom", "locus")
     start = F.col("capped") if require_cap else F.col("s_tag")
     seen = lambda c, s: F.max(F.when((F.col("strand") == s) & c, 1).otherwise(0)).over(over)
-    both = F.greatest(seen(start, 1) + seen(F.col("e_tag"), 1), seen(start, -1) + seen(F.col("e_tag"), -1))
+    ends = {s: seen(start, s) + seen(F.col("e_tag"), s) for s in (1, -1)}
+    both = F.greatest(ends[1], ends[-1])
+    if not whole:
+        both = F.when(F.col("strand") == 1, ends[1]).when(F.col("strand") == -1, ends[-1]).otherwise(both)
     return kept.withColumn("__ends", both).where("__ends = 2").drop("__ends")
 
 

@@ -105,6 +105,15 @@ def test_condense_deals_only_the_columns_it_needs_and_keeps_lone_reads(spark):
     assert "splice" not in call and "capped" not in call
 
 
+def test_strands_without_both_ends_are_not_assembled(spark):
+    row = lambda strand, l, s, e: ("a", strand, [(l, l + 200)], [], s, e, False, 5.0, l, l + 200)
+    rows = [row(1, 0, True, False), row(1, 10, False, True), row(-1, 5, True, False), row(0, 8, False, False)]
+    df = spark.createDataFrame(rows, f"chrom string, strand int, ranges {B}, splice array<boolean>, s_tag boolean, e_tag boolean, capped boolean, weight double, left int, right int")
+    assert {r.strand for r in islands.assemblable(df).collect()} == {1, -1, 0}
+    assert sorted(r.strand for r in islands.assemblable(df, whole=False).collect()) == [0, 1, 1]
+    assert [(r.strand, r.left, r.right) for r in assembly.assemble(df).collect()] == [(1, 0, 210)]
+
+
 def test_merge_runs_its_function_once_and_numbers_genes_over_chroms(spark):
     rows = [(c, 1, [(p, p + 30)], 1.0, 1.0, "s", f"{c}.{p}") for c in ("10", "2", "a", "100") for p in (500, 100)]
     df = spark.createDataFrame(rows, f"chrom string, strand int, ranges {B}, weight double, TPM double, source string, transcript_id string")
