@@ -23,7 +23,11 @@ def pairs(query: DataFrame, reference: DataFrame, bin_size: int = 2000) -> DataF
     b = spans(reference.select("chrom", F.col("row").alias("ref"), F.col("gene_id").alias("ref_gene"), F.col("strand").alias("ref_strand"), F.col("ranges")))
     b = b.withColumnRenamed("ranges", "ref_ranges")
     out = range_join(a, b, ["chrom"], bin_size)
-    return out.withColumns({"shared": I.shared_bases(F.col("ranges"), F.col("ref_ranges")), "n": I.covered_length(F.col("ranges")), "ref_n": I.covered_length(F.col("ref_ranges"))})
+    out = out.withColumns({"gaps": I.gaps(F.col("ranges")), "ref_gaps": I.gaps(F.col("ref_ranges"))})
+    # the gaps of either row that reach into the overlap, once for all rules of match_code
+    l, r = F.greatest("left", "b_left"), F.least("right", "b_right")
+    reach = {n: F.filter(c, lambda g: (g["r"] > l) & (g["l"] < r)) for n, c in (("reach", "gaps"), ("ref_reach", "ref_gaps"))}
+    return out.withColumns(reach | {"shared": I.shared_bases(F.col("ranges"), F.col("ref_ranges")), "n": I.covered_length(F.col("ranges")), "ref_n": I.covered_length(F.col("ref_ranges"))})
 
 
 def end_differences() -> tuple[Column, Column]:
@@ -33,11 +37,17 @@ def end_differences() -> tuple[Column, Column]:
 
 
 def match_code(end_buffer: int = 100, fragment: float = 0.6, match_unstranded: bool = False) -> Column:
-    """The class of a pair. Equal junctions on one strand: full_match, fragment or
+    """The class of a pair (of ``pairs``, whose spans overlap: compatible, as in
+    ``intervals.compatible``, asks for gaps and strands only). Equal junctions on one strand: full_match, fragment or
     exon_match by ends and length; compatible: fragment of a longer reference, else
     splice_variant; otherwise by strand, shared bases, and how the chains differ."""
     a, b, strand = F.col("ranges"), F.col("ref_ranges"), F.col("strand")
-    kin = {"strand1": strand, "strand2": F.col("ref_strand")}
+    kin = strand * F.col("ref_strand") != -1
+    gaps, ref_gaps, reach, ref_reach = (F.col(c) for c in ("gaps", "ref_gaps", "reach", "ref_reach"))
+    l, r = F.greatest("left", "b_left"), F.least("right", "b_right")
+    within = lambda c: F.filter(c, lambda g: (g["l"] > l) & (g["r"] < r))
+    inner = (within(gaps) == within(ref_gaps)) & kin
+    retained = ((reach == ref_reach) | (F.size(F.array_except(reach, ref_reach)) == 0)) & kin
     five, three = end_differences()
     close = (F.abs(F.col("left") - F.col("b_left")) <= end_buffer) & (F.abs(F.col("right") - F.col("b_right")) <= end_buffer)
     whole = F.when(close, 8.0).when(F.col("n") < fragment * F.col("ref_n"), 5.0).otherwise(7.0)
@@ -47,9 +57,9 @@ def match_code(end_buffer: int = 100, fragment: float = 0.6, match_unstranded: b
     tss, pas = F.when(strand == 1, low).otherwise(high), F.when(strand == 1, high).otherwise(low)
     ends = F.when(pas & ~(tss & (F.abs(five) > F.abs(three))), 4.2).when(tss, 4.1).otherwise(0.0)
     spans = (first["l"] < ref_first["r"]) & (last["r"] > ref_last["l"])
-    chains = F.when(I.compatible(a, b, **kin, ignore_overhang=True), ends).when(I.compatible(a, b, **kin, allow_retention=True), F.when(spans, 4.3).otherwise(5.0)).otherwise(4.0)
+    chains = F.when(inner, ends).when(retained, F.when(spans, 4.3).otherwise(5.0)).otherwise(4.0)
     apart = F.when(strand == 0, 1.0).when(strand != F.col("ref_strand"), 2.0).when(F.col("shared") == 0, 3.0).otherwise(chains)
-    code = F.when(I.splice_match(a, b) & (strand == F.col("ref_strand")), whole).when(I.compatible(a, b, **kin), F.when(F.col("ref_n") > F.col("n"), 5.0).otherwise(4.0)).otherwise(apart)
+    code = F.when((gaps == ref_gaps) & (strand == F.col("ref_strand")), whole).when((reach == ref_reach) & kin, F.when(F.col("ref_n") > F.col("n"), 5.0).otherwise(4.0)).otherwise(apart)
     return code if match_unstranded else F.when((strand == 0) & F.floor(code).isin(4, 7, 8), 1.0).otherwise(code)
 
 
@@ -95,9 +105,13 @@ def classify_with_fusions(query: DataFrame, reference: DataFrame, end_buffer: in
 
     @F.pandas_udf("code double, refs string, genes string")
     def fold(refs: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([fold_fusions([(x["i"], x["g"], x["c"], x["s"], x["m"], [(y["l"], y["r"]) for y in x["b"]]) for x in r]) for r in refs], columns=["code", "refs", "genes"])
+        return pd.DataFrame([(None, None, None) if r is None else fold_fusions([(x["i"], x["g"], x["c"], x["s"], x["m"], [(y["l"], y["r"]) for y in x["b"]]) for x in r]) for r in refs], columns=["code", "refs", "genes"])
 
-    found = lists.select("row", fold("refs").alias("x")).select("row", "x.*")
+    # one reference stays if it says anything; only several are folded
+    only, several = F.col("refs")[0], F.size("refs") > 1
+    says = (only["c"] > 0) | (only["s"] > 0)
+    alone = F.struct(F.when(says, only["c"]).otherwise(0.0).alias("code"), F.when(says, only["i"].cast("string")).otherwise("").alias("refs"), F.when(says, F.coalesce(only["g"], F.lit("None"))).otherwise("").alias("genes"))
+    found = lists.select("row", "refs", fold(F.when(several, F.col("refs"))).alias("x")).select("row", F.when(several, F.col("x")).otherwise(alone).alias("x")).select("row", "x.*")
     return query.select("row").join(found, "row", "left").withColumn("code", F.coalesce("code", F.lit(0.0)))
 
 

@@ -399,3 +399,16 @@ def test_streaming_equals_batch(spark, tmp_path):
     q.stop()
     assert key(spark.table("loci")) == want
     assert streaming.binned_coverage(reads, 500).agg(F.sum("weight")).first()[0] == reads.agg(F.sum("weight")).first()[0]
+
+
+def analyzed(df):
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+def test_lone_references_are_not_sent_to_python(spark):
+    kind = f"row long, gene_id string, chrom string, strand int, ranges {B}"
+    q = spark.createDataFrame([(1, "", "a", 1, [(0, 100)]), (2, "", "a", 1, [(1000, 2000)]), (3, "", "a", 1, [(5000, 5100)])], kind)
+    ref = spark.createDataFrame([(11, "G", "a", 1, [(0, 100)]), (12, "H", "a", 1, [(1000, 1400)]), (13, "I", "a", 1, [(1500, 2000)]), (14, None, "a", 1, [(5100, 5200), (5300, 5400)])], kind)
+    out = classify.classify_with_fusions(q, ref)
+    assert {r.row: (r.code, r.refs, r.genes) for r in out.collect()} == {1: (8.0, "11", "G"), 2: (6.0, "12|13", "H|I"), 3: (5.0, "14", "None")}
+    assert "fold(CASE WHEN" in analyzed(out)
