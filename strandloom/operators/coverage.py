@@ -25,7 +25,8 @@ def coverage(reads: DataFrame, strand: int | None = None, stripe: int | None = S
     """chrom, start, end, value of all segments of nonzero coverage."""
     events = block_events(reads if strand is None else reads.where(F.col("strand") == strand))
     if stripe:
-        events = events.withColumn("__s", F.floor(F.col("pos") / stripe))
+        # the filter is that of the join below, so that both its sides read one shuffle
+        events = events.withColumn("__s", F.floor(F.col("pos") / stripe)).where("chrom is not null and __s is not null")
         before = Window.partitionBy("chrom").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
         after = Window.partitionBy("chrom").orderBy("__s").rowsBetween(1, Window.unboundedFollowing)
         parts = events.groupBy("chrom", "__s").agg(F.sum("delta").alias("__d"), F.min("pos").alias("__f"))
@@ -73,9 +74,9 @@ def inferred_strand_coverage(reads: DataFrame) -> DataFrame:
     share = F.when(F.col("p") + F.col("m") > 0, F.col("p") / (F.col("p") + F.col("m")))
     middle = (F.col("start") + F.col("end")) / 2
     known = F.when(share.isNotNull(), F.struct(middle.alias("x"), share.alias("y")))
-    by_start = Window.partitionBy("chrom").orderBy("start")
-    ahead = by_start.rowsBetween(0, Window.unboundedFollowing)
-    rows = segments.withColumns({"__a": F.last(known, True).over(by_start), "__z": F.first(known, True).over(ahead), "__x": middle})
+    # both ways as running windows: one that looks ahead reads a chrom's rest for every row
+    back, ahead = (Window.partitionBy("chrom").orderBy(c).rowsBetween(Window.unboundedPreceding, 0) for c in (F.asc("start"), F.desc("start")))
+    rows = segments.withColumns({"__a": F.last(known, True).over(back), "__z": F.last(known, True).over(ahead), "__x": middle})
     mixed = F.col("__a.y") + (F.col("__z.y") - F.col("__a.y")) * (F.col("__x") - F.col("__a.x")) / (F.col("__z.x") - F.col("__a.x"))
     at = F.coalesce(F.when(F.col("__a.x") == F.col("__z.x"), F.col("__a.y")), mixed, F.col("__a.y"), F.col("__z.y"), F.lit(0.5))
     at = F.when(at < 0.01, 0.0).when(at > 0.99, 1.0).otherwise(at)

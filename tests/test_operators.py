@@ -405,6 +405,21 @@ def analyzed(df):
     return df._jdf.queryExecution().analyzed().toString()
 
 
+def test_inferred_strands_need_no_window_that_looks_ahead(spark):
+    out = coverage.inferred_strand_coverage(views.reads(spark, DIR).where("chrom = 1"))
+    assert "unboundedfollowing" not in analyzed(out).lower()
+    rows = [("a", 1, 0, 10, 3.0), ("a", -1, 0, 10, 1.0), ("a", 0, 20, 30, 4.0), ("a", -1, 40, 50, 4.0), ("b", 0, 0, 5, 2.0)]
+    df = spark.createDataFrame(rows, "chrom string, strand int, l int, r int, weight double").withColumn("ranges", F.array(F.struct("l", "r")))
+    got = {(r.chrom, r.start): (r.plus, r.minus) for r in coverage.inferred_strand_coverage(df).collect()}
+    assert got == {("a", 0): (3.0, 1.0), ("a", 20): (pytest.approx(1.5), pytest.approx(2.5)), ("a", 40): (0.0, 4.0), ("b", 0): (1.0, 1.0)}
+
+
+def test_coverage_reads_its_events_once(spark):
+    out = coverage.coverage(views.reads(spark, DIR))
+    out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
 def test_lone_references_are_not_sent_to_python(spark):
     kind = f"row long, gene_id string, chrom string, strand int, ranges {B}"
     q = spark.createDataFrame([(1, "", "a", 1, [(0, 100)]), (2, "", "a", 1, [(1000, 2000)]), (3, "", "a", 1, [(5000, 5100)])], kind)
