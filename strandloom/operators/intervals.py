@@ -86,7 +86,11 @@ def shift_by(ranges: Column, offset: Column, strand: Column) -> Column:
     d = (offset * strand).cast("int")
     n = F.size(ranges)
     grown = F.transform(ranges, lambda x, i: F.struct((x["l"] + F.when(i == 0, F.least(d, F.lit(0))).otherwise(0)).cast("int").alias("l"), (x["r"] + F.when(i == n - 1, F.greatest(d, F.lit(0))).otherwise(0)).cast("int").alias("r")))
-    return shorten_to(grown, covered_length(ranges), F.when(d > 0, -1).otherwise(1))
+    moved = shorten_to(grown, covered_length(ranges), F.when(d > 0, -1).otherwise(1))
+    # one block is moved without a walk
+    l, r, by = ranges[0]["l"], ranges[0]["r"], F.coalesce(d, F.lit(0))
+    one = F.when(r > l, F.array(F.struct((l + by).cast("int").alias("l"), (r + by).cast("int").alias("r")))).otherwise(F.expr("cast(array() as array<struct<l:int,r:int>>)"))
+    return F.when(n == 1, one).otherwise(moved)
 
 
 def array_runs(values: Column) -> Column:

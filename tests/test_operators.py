@@ -420,6 +420,13 @@ def test_coverage_reads_its_events_once(spark):
     assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
 
 
+def test_one_block_is_shifted_like_several(spark):
+    rows = [([(5, 9)], 1), ([(5, 9)], -1), ([(5, 9)], 0), ([(5, 9)], None), ([(5, 5)], 1), ([(9, 5)], 1), ([(1, 3), (5, 9)], 1)]
+    df = spark.createDataFrame(rows, f"ranges {B}, strand int").select(intervals.shift_by(F.col("ranges"), F.lit(3), F.col("strand")).alias("x"))
+    assert [[tuple(b) for b in r.x] for r in df.collect()] == [[(8, 12)], [(2, 6)], [(5, 9)], [(5, 9)], [], [], [(6, 12)]]
+    assert "size(ranges" in analyzed(df) and "THEN CASE WHEN (ranges" in analyzed(df)
+
+
 def test_lone_references_are_not_sent_to_python(spark):
     kind = f"row long, gene_id string, chrom string, strand int, ranges {B}"
     q = spark.createDataFrame([(1, "", "a", 1, [(0, 100)]), (2, "", "a", 1, [(1000, 2000)]), (3, "", "a", 1, [(5000, 5100)])], kind)
