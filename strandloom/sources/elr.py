@@ -36,7 +36,12 @@ def parse_labels(df: DataFrame, left: str = "left", labels: str = "elcigar", str
     lengths = F.transform(F.regexp_extract_all(s, F.lit(r"(-?\d+)"), F.lit(1)), lambda x: x.cast("int"))
     start = F.struct(F.col(left).cast("int").alias("at"), F.lit(0).alias("i"), F.expr("cast(array() as array<struct<l:int,r:int>>)").alias("b"))
     walk = lambda a, n: F.struct((a["at"] + n).alias("at"), (a["i"] + 1).alias("i"), F.when(a["i"] % 2 == 0, F.concat(a["b"], F.array(F.struct(a["at"].alias("l"), (a["at"] + n).alias("r"))))).otherwise(a["b"]).alias("b"))
-    df = df.withColumn("__n", names).withColumn("ranges", F.aggregate(lengths, start, walk)["b"])
+    # one block needs no walk
+    single = s.rlike(r"^[A-Za-z.<>]-?\d{1,9}[A-Za-z.<>]$")
+    at, size = F.col(left).cast("int"), F.substring(s, F.lit(2), F.length(s) - 2).try_cast("int")
+    one = F.array(F.struct(at.alias("l"), (at + size).alias("r")))
+    df = df.withColumn("__n", F.when(single, F.array(F.left(s, F.lit(1)), F.right(s, F.lit(1)))).otherwise(names))
+    df = df.withColumn("ranges", F.when(single, one).otherwise(F.aggregate(lengths, start, walk)["b"]))
     inner = F.slice(F.col("__n"), 2, F.greatest(F.size("__n") - 2, F.lit(0)))
     pairs = F.when(F.size(inner) > 1, F.transform(F.sequence(F.lit(0), F.size(inner) - 2, F.lit(2)), lambda i: F.get(inner, i).isin("A", "D"))).otherwise(F.expr("cast(array() as array<boolean>)"))
     first, last = F.get("__n", F.lit(0)), F.element_at("__n", -1)
@@ -82,7 +87,8 @@ def label_string(ranges: Column, splice: Column, s_tag: Column, e_tag: Column, c
     pair = F.when(strand == -1, F.lit("A|D")).otherwise(F.lit("D|A"))
     marked = F.zip_with(gap, splice, lambda g, s: F.when(s, F.concat(F.split(pair, r"\|")[0], g, F.split(pair, r"\|")[1])).otherwise(F.concat(F.lit("."), g, F.lit("."))))
     body = F.array_join(F.zip_with(sizes, F.coalesce(marked, F.expr("cast(array() as array<string>)")), lambda s, g: F.concat(s, F.coalesce(g, F.lit("")))), "")
-    return F.concat(F.substring(ends, 1, 1), body, F.substring(ends, 2, 1))
+    only = (ranges[0]["r"] - ranges[0]["l"]).cast("string")
+    return F.concat(F.substring(ends, 1, 1), F.when(n == 1, only).otherwise(body), F.substring(ends, 2, 1))
 
 
 def weight_text(w: Column) -> Column:

@@ -117,3 +117,11 @@ def test_small_tables(spark, tmp_path):
     bg = spark.createDataFrame([("c", 0, 5, 12345678.5)], "chrom string, start int, end int, value double")
     assert tables.bedgraph_lines(bg).first().value == "c\t0\t5\t12345678.5"
     assert bg.select(elr.weight_text(F.lit(3.0))).first()[0] == "3"
+
+
+def test_labels_of_one_block_need_no_walk(spark):
+    df = spark.createDataFrame([(5, "S12E", 1), (5, "E-3.", -1), (5, "C12D7A9E", 1), (0, ".1.", 0)], "left int, elcigar string, strand int")
+    out = elr.parse_labels(df)
+    got = [([tuple(b) for b in r.ranges], r.splice, r.s_tag, r.capped, r.e_tag, r.right) for r in out.collect()]
+    assert got == [([(5, 17)], [], True, False, True, 17), ([(5, 2)], [], False, False, True, 2), ([(5, 17), (24, 33)], [True], True, True, True, 33), ([(0, 1)], [], False, False, False, 1)]
+    assert "CASE WHEN RLIKE(elcigar" in out._jdf.queryExecution().analyzed().toString()
